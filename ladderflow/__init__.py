@@ -1 +1,8 @@
 """Spark-native market linkage, order-book and tick analytics."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the Python workers by value: executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
