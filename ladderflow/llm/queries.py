@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ladderflow.llm import license_scan
+from ladderflow.llm import fingerprint, knn, license_scan
 from ladderflow.llm.common import read
 
 
@@ -14,9 +15,21 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = knn.integer_vectors(read(spark, sf_dir, "embeddings"))
+    return knn.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op4_exact_topk": op4_exact_topk,
+    "op8_fingerprint": op8_fingerprint,
 }
 ORACLE: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
+    "op4_exact_topk": knn.ORACLE,
 }
