@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderflow.llm import fingerprint, knn, license_scan
+from ladderflow.llm import fingerprint, knn, license_scan, packing
 from ladderflow.llm.common import read
 
 
@@ -24,10 +24,22 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def byte_bpe_path() -> str:
+    """Place of the public byte-level BPE vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), byte_bpe_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op4_exact_topk": op4_exact_topk,
     "op8_fingerprint": op8_fingerprint,
+    "op9_packing": op9_packing,
 }
 ORACLE: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
