@@ -6,6 +6,8 @@ cluster reaches; a folder of our own is set only where that setting is missing (
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -60,3 +62,11 @@ def texts(df: DataFrame, *keep: str | Column) -> DataFrame:
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch from sequences in the order of the schema."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def worker_cache(key: tuple, make: Callable[[], object]) -> object:
+    """An object that a Python worker keeps from task to task (a loaded vocabulary); made anew in a new worker."""
+    kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

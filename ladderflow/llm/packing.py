@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderflow.llm.byte_bpe import ByteBPE
-from ladderflow.llm.common import materialize, texts
+from ladderflow.llm.common import materialize, texts, worker_cache
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -40,7 +40,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        bpe, seen, task = ByteBPE(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        bpe = worker_cache(("byte-bpe", path), lambda: ByteBPE(path))
+        seen, task = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):

@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderflow.llm import fingerprint, knn, license_scan, packing
+from ladderflow.llm import fingerprint, knn, license_scan, packing, sentencepieces
 from ladderflow.llm.common import read
 
 
+def piece_model_path() -> str:
+    """Place of the public SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digest(read(spark, sf_dir, "documents"), piece_model_path())
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
 
@@ -36,6 +47,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_license_scan": op2_license_scan,
     "op4_exact_topk": op4_exact_topk,
     "op8_fingerprint": op8_fingerprint,
