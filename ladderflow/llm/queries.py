@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderflow.llm import fingerprint, knn, license_scan, packing, sentencepieces
+from ladderflow.llm import fingerprint, knn, license_scan, packing, sentencepieces, token_count
 from ladderflow.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
 
 
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(read(spark, sf_dir, "documents"), byte_bpe_path())
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = knn.integer_vectors(read(spark, sf_dir, "embeddings"))
     return knn.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -49,6 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_license_scan": op2_license_scan,
+    "op3_token_count": op3_token_count,
     "op4_exact_topk": op4_exact_topk,
     "op8_fingerprint": op8_fingerprint,
     "op9_packing": op9_packing,
