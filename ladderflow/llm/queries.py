@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderflow.llm import fingerprint, knn, license_scan, packing, sentencepieces, token_count, toxicity
+from ladderflow.llm import fingerprint, knn, license_scan, packing, pii, sentencepieces, token_count, toxicity
 from ladderflow.llm.common import read
 
 
@@ -35,6 +35,10 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_token_count": op3_token_count,
     "op4_exact_topk": op4_exact_topk,
+    "op5_pii": op5_pii,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprint": op8_fingerprint,
     "op9_packing": op9_packing,
