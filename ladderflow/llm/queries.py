@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderflow.llm import fingerprint, knn, license_scan, packing, pii, sentencepieces, token_count, toxicity
+from ladderflow.llm import fingerprint, knn, license_scan, line_dedup, packing, pii, sentencepieces, token_count, toxicity
 from ladderflow.llm.common import read
 
 
@@ -58,6 +58,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), byte_bpe_path())
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.dedup(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_license_scan": op2_license_scan,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_fingerprint": op8_fingerprint,
     "op9_packing": op9_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
