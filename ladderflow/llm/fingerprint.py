@@ -20,24 +20,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderflow.llm.common import texts
+from ladderflow.llm.common import texts, worker_cache
 
 #: Entries of a worker's table of sampled (word, count) pairs; beyond that it is started anew.
-CACHE_ROWS = 60_000
+CACHE_ROWS = 100_000
+#: Rows that are sampled at once, few enough for a core's cache.
+SLICE = 256
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit hash."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _mix_into(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit hash, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.bitwise_xor(x, np.right_shift(x, np.uint64(shift), out=spare), out=x)
+        np.multiply(x, np.uint64(factor), out=x)
+    return np.bitwise_xor(x, np.right_shift(x, np.uint64(31), out=spare), out=x)
 
 
 def _uniform(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two uniform numbers in (0, 1) of 24 bits from each 64-bit hash."""
-    scale = np.float32(2.0**-24)
-    half = lambda y: ((y & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * scale
-    return half(x >> np.uint64(40)), half(x >> np.uint64(8))
+    halves = x.view(np.uint32).reshape(*x.shape, 2)
+    number = lambda y: ((y >> np.uint32(8)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    return number(halves[..., 0]), number(halves[..., 1])
 
 
 class Sampler:
@@ -45,7 +49,8 @@ class Sampler:
 
     def __init__(self, n_samples: int = 64, cache_rows: int = CACHE_ROWS):
         self.k = n_samples
-        self.streams = _mix(np.arange(1, 3 * n_samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(3, n_samples)
+        seeds = np.arange(1, 3 * n_samples + 1, dtype=np.uint64) * _GOLDEN
+        self.streams = _mix_into(seeds, np.empty_like(seeds)).reshape(3, n_samples)
         self.a = np.empty((cache_rows, n_samples), np.float32)
         self.bits = np.empty((cache_rows, n_samples), np.uint16)
         self.at: dict[tuple[str, int], int] = {}
@@ -54,13 +59,21 @@ class Sampler:
         """ln a and the hash bits of (word, count) pairs: one row each. Three hashes give the five uniform numbers."""
         h = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") for w, _ in terms], np.uint64)
         weight = np.log(np.array([n * max(1, len(w)) for w, n in terms], np.float32))
-        u = [_uniform(_mix(h[:, None] ^ s[None, :])) for s in self.streams]
-        r = -np.log(u[0][0] * u[0][1])
-        ln_c = np.log(-np.log(u[1][0] * u[1][1]))
-        beta = u[2][0]
-        t = np.floor(weight[:, None] / r + beta)
-        bits = _mix(h[:, None] + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return ln_c - r * (t - beta) - r, (bits >> np.uint64(48)).astype(np.uint16)
+        spare = np.empty((len(h), self.k), np.uint64)
+        (r, r2), (ln_c, c2), (beta, _) = (_uniform(_mix_into(h[:, None] ^ s[None, :], spare)) for s in self.streams)
+        r *= r2
+        np.negative(np.log(r, out=r), out=r)
+        ln_c *= c2
+        np.log(np.negative(np.log(ln_c, out=ln_c), out=ln_c), out=ln_c)
+        t = weight[:, None] / r
+        t += beta
+        np.floor(t, out=t)
+        bits = _mix_into(t.astype(np.uint64) * _GOLDEN + h[:, None], spare)
+        t -= beta
+        t += 1
+        t *= r
+        ln_c -= t
+        return ln_c, (bits >> np.uint64(48)).astype(np.uint16)
 
     def learn(self, bags: list[list[tuple[str, int]]]) -> None:
         """Samples all new pairs of a batch in slices."""
@@ -72,9 +85,9 @@ class Sampler:
                 self.a = np.empty((len(new), self.k), np.float32)
                 self.bits = np.empty((len(new), self.k), np.uint16)
         first = len(self.at)
-        for i in range(0, len(new), 1000):
-            rows = slice(first + i, first + min(i + 1000, len(new)))
-            self.a[rows], self.bits[rows] = self.sample(new[i : i + 1000])
+        for i in range(0, len(new), SLICE):
+            rows = slice(first + i, first + min(i + SLICE, len(new)))
+            self.a[rows], self.bits[rows] = self.sample(new[i : i + SLICE])
         self.at.update(zip(new, range(first, first + len(new)), strict=True))
 
     def prints(self, documents: list[str]) -> np.ndarray:
@@ -108,7 +121,8 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 
 def _run(n_samples: int):
     def run(batches):
-        sampler, before = Sampler(n_samples), None  # before: (bucket, doc_id, text, print) that waits for its follower
+        sampler = worker_cache(("sampler", n_samples), lambda: Sampler(n_samples))
+        before = None  # before: (bucket, doc_id, text, print) that waits for its follower
 
         def rows(pairs):
             ids, own, follow, prints, next_prints = zip(*pairs, strict=True)
