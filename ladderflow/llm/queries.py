@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderflow.llm import fingerprint, knn, license_scan, line_dedup, packing, pii, sentencepieces, token_count, toxicity
+from ladderflow.llm import fingerprint, jaccard_join, knn, license_scan, line_dedup, packing, pii, sentencepieces, token_count, toxicity
 from ladderflow.llm.common import read
 
 
@@ -39,6 +39,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_count": op3_token_count,
     "op4_exact_topk": op4_exact_topk,
     "op5_pii": op5_pii,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprint": op8_fingerprint,
     "op9_packing": op9_packing,
