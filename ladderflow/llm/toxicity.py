@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderflow.llm.common import texts, worker_cache
+from ladderflow.llm.common import materialize, texts, worker_cache
 
 WORD = re.compile(r"\w+")
 
@@ -75,30 +75,31 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, n_buckets: int, n_terms: int = 4096, min_rows: int = 4, n_factors: int = 4, epochs: int = 60, rate: float = 0.05, l2: float = 2e-4, seed: int = 7) -> Model:
-    """Adam on the log loss, full rows in shuffled batches."""
-    y = np.asarray(label, float)
-    slot = np.full(n_buckets, -1)
-    if not len(rows) or y.min() == y.max():
-        rate_of_one = y.mean() if len(y) else 0.0
-        bias = float(np.log(rate_of_one / (1 - rate_of_one))) if 0 < rate_of_one < 1 else (40.0 if rate_of_one else -40.0)
-        return Model(bias, np.zeros(0), np.zeros((0, n_factors)), slot)
-    flat, size = np.concatenate(rows), np.array([len(r) for r in rows])
-    of_row = np.repeat(np.arange(len(rows)), size)
-    seen = np.bincount(flat, minlength=n_buckets).astype(float)
-    seen1 = np.bincount(flat, weights=y[of_row], minlength=n_buckets)
-    n, n1 = len(y), y.sum()
+def choose(seen: np.ndarray, seen1: np.ndarray, n: int, n1: int, n_terms: int = 4096, min_rows: int = 4) -> np.ndarray:
+    """The buckets that tell the labels apart best; seen, seen1: training rows, and toxic ones, that have each bucket."""
+    seen, seen1 = seen.astype(float), seen1.astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         gap = seen1 * (n - n1 - (seen - seen1)) - (n1 - seen1) * (seen - seen1)
         chi = np.where(seen >= min_rows, n * gap**2 / (seen * (n - seen) * n1 * (n - n1)), 0.0)
     chi = np.nan_to_num(chi)
     kept = np.argsort(-chi, kind="stable")[:n_terms]
-    kept = np.sort(kept[chi[kept] > 3.84])
+    return np.sort(kept[chi[kept] > 3.84])
+
+
+def constant(share: float, n_buckets: int, n_factors: int = 4) -> Model:
+    """The model of rows that all have one label, or of no rows."""
+    bias = 40.0 if share == 1 else -40.0
+    return Model(bias, np.zeros(0), np.zeros((0, n_factors)), np.full(n_buckets, -1, np.int32))
+
+
+def fit(rows: list[np.ndarray], label: np.ndarray, kept: np.ndarray, n_buckets: int, n_factors: int = 4, epochs: int = 60, rate: float = 0.05, l2: float = 2e-4, seed: int = 7) -> Model:
+    """Adam on the log loss, in shuffled batches. rows: the kept buckets of each training row; both labels occur."""
+    y = np.asarray(label, float)
+    slot = np.full(n_buckets, -1, np.int32)
     slot[kept] = np.arange(len(kept))
-    local = slot[flat]
-    use = local >= 0
-    local, of_row = local[use], of_row[use]
-    begin = np.searchsorted(of_row, np.arange(len(rows) + 1))
+    begin = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+    local = slot[np.concatenate(rows)] if begin[-1] else np.zeros(0, np.int32)
+    n, n1 = len(y), y.sum()
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), n_factors)), float(np.log(n1 / (n - n1)))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v), 0.0, 0.0]
@@ -136,7 +137,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows: int = 20_000) -> Model:
-    """Fits the model on at most max_rows labelled rows that are not held out."""
+    """Fits the model on at most max_rows labelled rows that are not held out. To the driver come a count for each bucket
+    and, of each training row, only the kept buckets."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # its size is bounded: it may be broadcast
@@ -149,8 +151,33 @@ def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
     found = sample.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(terms, "doc_id long, toxic int, terms array<int>")
-    table = found.limit(2 * max_rows).toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(t, np.int64) for t in table["terms"]], table["toxic"].to_numpy(), n_buckets)
+    found = materialize(found, "toxicity-sample")
+
+    def counted(batches):
+        seen = np.zeros((2, n_buckets), np.int64)
+        for b in batches:
+            for toxic, row in zip(b.column("toxic").to_pylist(), b.column("terms"), strict=True):
+                seen[int(toxic > 0), row.values.to_numpy()] += 1
+        at = np.flatnonzero(seen.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], names=["bucket", "clean", "toxic"])
+
+    n, n1 = found.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
+    if not n or n1 in (0, n):
+        return constant(n1 / n if n else 0.0, n_buckets)
+    stats = found.select("toxic", "terms").mapInArrow(counted, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    seen = np.zeros((2, n_buckets), np.int64)
+    seen[:, stats["bucket"]] = stats[["clean", "toxic"]].to_numpy().T
+    kept = choose(seen.sum(0), seen[1], n, n1)
+    is_kept = np.zeros(n_buckets, bool)
+    is_kept[kept] = True
+
+    def only_kept(batches):
+        for b in batches:
+            rows = [x[is_kept[x]] for x in (row.values.to_numpy() for row in b.column("terms"))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
+
+    table = found.mapInArrow(only_kept, "doc_id long, toxic int, terms array<int>").toPandas().sort_values("doc_id", kind="stable")
+    return fit([np.asarray(t, np.int32) for t in table["terms"]], (table["toxic"] > 0).to_numpy(), kept, n_buckets)
 
 
 def score(docs: DataFrame, model: Model | None, *keep: str, threshold: float = 0.3, n_buckets: int = 1 << 18) -> DataFrame:
