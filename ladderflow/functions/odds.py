@@ -40,10 +40,10 @@ def expected_value(probability: Column, odds: Column, rate: float = 0.02) -> Col
 
 
 def hedged_roi(ask: Column, odds: Column, fee: float = 0.02) -> Column:
-    """Return in percent of buying at the ask and hedging at the odds; null outside sensible values."""
+    """Return in percent of buying at the ask and hedging at the odds; null for prices up to 0 and odds up to 1."""
     net = after_commission(odds, fee)
     cost = ask + 1 / net
-    return F.when((ask > 0) & (ask < 1) & (odds > 1) & (cost > 0), (1 / cost - 1) * 100)
+    return F.when((ask > 0) & (odds > 1) & (net > 1), (1 / cost - 1) * 100)
 
 
 def lay_hedge_roi(price: Column, lay: Column, fee: float = 0.02) -> Column:
