@@ -33,12 +33,12 @@ def mid_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLOW = "CASE kind WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.5 WHEN 'error' THEN -1.0 ELSE -0.25 END * least(1.0, value / 100)"
 
 
-@query("signed_flow", "W08 S27 T23", f"WITH {TICKS}, f AS (SELECT seq, ts, key, {_FLOW} AS x FROM tick) SELECT seq, {q(f'greatest(-1.0, least(1.0, avg(x) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)))', 4)} AS shadow FROM f")
+@query("signed_flow", "W08 S27 T23", f"WITH {TICKS}, f AS (SELECT seq, ts, key, {_FLOW} AS x FROM tick) SELECT seq, {q(f'greatest(-1.0, least(1.0, avg(x) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))) + 1e-9', 6)} AS shadow FROM f")
 def signed_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("kind")
     sign = F.when(kind == "purchase", 1.0).when(kind == "click", 0.5).when(kind == "error", -1.0).otherwise(-0.25)
     flow = sign * F.least(F.lit(1.0), F.col("value") / 100)
-    return ticks(spark, sf_dir).withColumn("x", flow).select("seq", quantise(S.flow_mean(F.col("x"), S.by_key()), 4).alias("shadow"))
+    return ticks(spark, sf_dir).withColumn("x", flow).select("seq", quantise(S.flow_mean(F.col("x"), S.by_key()) + 1e-9).alias("shadow"))
 
 
 @query("since_last_fill", "W15", f"""WITH {TICKS}, l AS (SELECT seq, ts, max(CASE WHEN kind = 'purchase' THEN ts END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM tick)
@@ -135,7 +135,7 @@ def quote_crossing_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", F.when(F.col("value") <= F.col("b") - 10, "BUY").otherwise("SELL").alias("fill"))
 
 
-_TELEMETRY = f"""{TICKS}, l AS (SELECT key, list(value ORDER BY ts, seq) AS vs, list(CASE WHEN value >= 50 THEN 1.0 ELSE 0.0 END ORDER BY ts, seq) AS hs, count(*) AS n FROM tick GROUP BY 1),
+_TELEMETRY = f"""{TICKS}, l AS (SELECT key, list(value ORDER BY ts, seq) AS vs, list(CAST(CASE WHEN value >= 50 THEN 1 ELSE 0 END AS DOUBLE) ORDER BY ts, seq) AS hs, count(*) AS n FROM tick GROUP BY 1),
  e AS (SELECT key, floor(list_reduce(vs, lambda a, v: a * 0.7 + v * 0.3) * 1e6 + 0.5) / 1e6 AS v, floor(list_reduce(hs, lambda a, v: a * 0.7 + v * 0.3) * 1e6 + 0.5) / 1e6 AS h, n FROM l)"""
 
 
