@@ -1 +1,157 @@
-"""Queries."""
+"""Queries of record linkage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ladderflow.functions import fuzzy, predicates
+from ladderflow.functions import text as T
+from ladderflow.operators import link
+from ladderflow.plans.catalog import query
+from ladderflow.plans.proxies import q, quantise, table
+from ladderflow.plans.text_queries import TITLES, titles
+
+EVENTS = """ev AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS ts, CASE WHEN o_custkey % 11 = 0 THEN 'global' ELSE 'r' || CAST(o_custkey % 5 AS VARCHAR) END AS region FROM orders),
+ l AS (SELECT * FROM ev WHERE id % 7 = 0), r AS (SELECT * FROM ev WHERE id % 7 = 1)"""
+
+
+def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = table(spark, sf_dir, "orders")
+    ts = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 24 * 3_600_000_000)
+    region = F.when(F.col("o_custkey") % 11 == 0, "global").otherwise(F.concat(F.lit("r"), (F.col("o_custkey") % 5).cast("string")))
+    ev = orders.select(F.col("o_orderkey").alias("id"), ts.alias("ts"), region.alias("region"))
+    return ev.where("id % 7 = 0"), ev.where("id % 7 = 1")
+
+
+_BAND = f"""{EVENTS}, j AS (SELECT l.id AS left_id, r.id AS right_id, abs(epoch_us(l.ts) - epoch_us(r.ts)) AS gap FROM l JOIN r ON (l.region = r.region OR r.region = 'global')
+ AND r.ts > l.ts - INTERVAL 24 HOUR AND r.ts < l.ts + INTERVAL 24 HOUR)"""
+
+
+@query("band_join_24h", "J01 J02 J03 P06", f"WITH {_BAND} SELECT left_id, right_id, CAST(gap AS BIGINT) AS gap FROM j")
+def band_join_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.band_join(*_events(spark, sf_dir))
+
+
+@query("blocked_first_match", "J04 J02 F08", f"WITH {_BAND}, k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY gap, right_id) AS rn FROM j) SELECT left_id, right_id, CAST(gap AS BIGINT) AS gap FROM k WHERE rn = 1")
+def blocked_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.first_match(link.band_join(*_events(spark, sf_dir)), "gap", "right_id")
+
+
+@query("unmatched_antijoin", "J13 K07 S23 S31", f"WITH {_BAND} SELECT id FROM l WHERE id NOT IN (SELECT left_id FROM j)")
+def unmatched_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _events(spark, sf_dir)
+    return left.select("id").join(link.band_join(left, right).select(F.col("left_id").alias("id")), "id", "left_anti")
+
+
+#: The distinct words of more than 5 letters of a text's first 30, in SQL that both engines read.
+_DOC = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_extract(text, '^(\\S+\\s+){0,29}\\S+')), '\\s+'), lambda w: length(w) > 5))"
+_TOKENS = f"""d AS (SELECT doc_id AS id, {_DOC} AS tokens FROM documents), b AS (SELECT item_id AS id, {_DOC} AS tokens FROM benchmark),
+ p AS (SELECT b.id AS left_id, d.id AS right_id, len(list_intersect(b.tokens, d.tokens)) AS common, len(b.tokens) AS ls, len(d.tokens) AS rs FROM b, d)"""
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_extract("text", r"^(\S+\s+){0,29}\S+", 0)), r"\s+"), lambda w: F.length(w) > 5))
+    side = lambda t, k: table(spark, sf_dir, t).select(F.col(k).alias("id"), words.alias("tokens"))
+    return side("benchmark", "item_id"), side("documents", "doc_id")
+
+
+@query("token_join_min2", "J08 J12", f"WITH {_TOKENS} SELECT left_id, right_id, common FROM p WHERE common >= 2")
+def token_join_min2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.token_pairs(*_tokens(spark, sf_dir)).select("left_id", "right_id", "common")
+
+
+@query("jaccard_topk", "L03 L04 U04", f"""WITH {_TOKENS}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY common DESC, right_id) AS INTEGER) AS rank FROM p WHERE common >= 1)
+ SELECT left_id, right_id, common, {q('CAST(common AS DOUBLE) / (ls + rs - common)')} AS jaccard, rank FROM k WHERE rank <= 3""")
+def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.jaccard_top(*_tokens(spark, sf_dir)).withColumn("jaccard", quantise(F.col("jaccard")))
+
+
+_ALIASES = """al AS (SELECT 's' || CAST(p_partkey % 3 AS VARCHAR) AS sport, p_name AS alias, p_brand AS canonical, p_partkey AS version FROM part),
+ la AS (SELECT sport, lower(alias) AS alias_lc, arg_max(canonical, version) AS canonical FROM al GROUP BY 1, 2)"""
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("s"), (F.col("p_partkey") % 3).cast("string")).alias("sport"), F.col("p_name").alias("alias"), F.col("p_brand").alias("canonical"), F.col("p_partkey").alias("version"))
+
+
+@query("dictionary_resolve", "J14 X22 S21", f"""WITH {_ALIASES}, n AS (SELECT p_partkey AS id, 's' || CAST(p_partkey % 3 AS VARCHAR) AS sport, CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) || ' x' ELSE ' ' || upper(p_name) END AS name FROM part)
+ SELECT id, n.sport, name, canonical FROM n LEFT JOIN la ON n.sport = la.sport AND lower(trim(name)) = alias_lc""")
+def dictionary_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.when(k % 4 == 0, F.concat(F.upper("p_name"), F.lit(" x"))).otherwise(F.concat(F.lit(" "), F.upper("p_name")))
+    names = table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("sport"), name.alias("name"))
+    return link.resolve_exact(names, _aliases(spark, sf_dir)).select("id", "sport", "name", "canonical")
+
+
+@query("fuzzy_dictionary", "J16 X09 K12", None)
+def fuzzy_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    names = table(spark, sf_dir, "part").where("p_partkey <= 200").select(k.alias("id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("sport"), F.concat("p_name", F.lit("s")).alias("name"))
+    aliases = _aliases(spark, sf_dir).groupBy("sport", "alias").agg(F.max("canonical").alias("canonical"), F.max("version").alias("version"))
+    return link.resolve_fuzzy(names, aliases)
+
+
+@query("substring_dictionary", "J15 P15", f"""WITH {TITLES}, a AS (SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS alias, upper(split_part(p_name, ' ', 2)) AS canonical FROM part),
+ h AS (SELECT p_partkey AS id, list_sort(list(DISTINCT canonical)) AS c FROM title, a WHERE length(alias) >= 3 AND list_contains(regexp_split_to_array(lower(t), '\\s+'), alias) GROUP BY 1) SELECT id, array_to_string(c, ',') AS canonicals FROM h""")
+def substring_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.get(F.split("p_name", " "), F.lit(1))
+    aliases = table(spark, sf_dir, "part").select(F.lower(word).alias("alias"), F.upper(word).alias("canonical")).distinct()
+    texts = titles(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("t").alias("text"))
+    return link.mentioned(texts, aliases).select("id", F.array_join("canonicals", ",").alias("canonicals"))
+
+
+@query("two_sided_overlap", "P14 P15 X08", None)
+def two_sided_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring titles against each other; known pairs are held in a test."""
+    a = titles(spark, sf_dir).select("p_partkey", F.col("t").alias("a"))
+    b = titles(spark, sf_dir).select((F.col("p_partkey") - 9).alias("p_partkey"), F.col("t").alias("b"))
+    none = F.array().cast("array<string>")
+    rows = a.join(b, "p_partkey")
+    guard = link.guardrail(F.col("a"), F.col("b"), none, none)
+    return rows.select("p_partkey", link.overlap(F.col("a"), F.col("b"), "soccer").alias("fits"), guard["reason"].alias("reason"), link.static_match(F.col("a"), F.col("b")).alias("rule"))
+
+
+@query("fuzzy_best_match", "J05 J06 J07 J09 L09 X09 X10", None)
+def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best and hybrid score of each title among those that share a word and a type."""
+    t = titles(spark, sf_dir).where("p_partkey <= 400").select("p_partkey", T.normalize_title(F.col("t")).alias("t"), T.market_type(F.col("t")).alias("kind"))
+    side = lambda n, cond: t.where(cond).select(F.col("p_partkey").alias(f"{n}_id"), F.col("t").alias(n), "kind", F.explode(F.array_distinct(T.words(F.col("t")))).alias("w"))
+    pairs = side("left", "p_partkey % 2 = 0").join(side("right", "p_partkey % 2 = 1"), ["kind", "w"]).select("left_id", "right_id", "left", "right").distinct()
+    scored = pairs.select("left_id", "right_id", fuzzy.sort_ratio_column(F.col("left"), F.col("right")).alias("score"), fuzzy.set_ratio_column(F.col("left"), F.col("right")).alias("set_score"))
+    scored = scored.withColumn("hybrid", fuzzy.hybrid_score(F.col("set_score"), F.lit(None).cast("boolean")))
+    return link.first_match(scored, F.desc("score"), "right_id").where("score > 50")
+
+
+@query("triangle_links", "J11 J10 J19", """WITH ab AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_linestatus = 'O' AND l_orderkey % 5 = 0), bc AS (SELECT DISTINCT l_partkey AS b, l_suppkey AS c FROM lineitem WHERE l_returnflag = 'R')
+ SELECT a, b, c FROM ab JOIN bc USING (b)""")
+def triangle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    ab = line.where("l_linestatus = 'O' and l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    bc = line.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c")).distinct()
+    return link.triangle(ab, bc)
+
+
+@query("outcome_keyword_search", "P22 S05", """SELECT DISTINCT l_orderkey AS market_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(lower(p_name), 'red')""")
+def outcome_keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "part").where(F.lower("p_name").contains("red")).select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, sf_dir, "lineitem").join(named, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("market_id")).distinct()
+
+
+@query("prop_join", "J09 Y34 S24 S33", """WITH b AS (SELECT o_orderkey AS prop_id, CAST(o_orderkey % 7 AS VARCHAR) AS stat, o_custkey % 40 AS line FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus = 'F'),
+ p AS (SELECT p_partkey, CAST(p_partkey % 7 AS VARCHAR) AS stat, p_size AS line FROM part WHERE p_partkey % 5 = 0) SELECT prop_id, p_partkey FROM b JOIN p USING (stat, line)""")
+def prop_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Player props meet by statistic and line; names are then compared by the fuzzy operators."""
+    b = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0 and o_orderstatus = 'F'").select(F.col("o_orderkey").alias("prop_id"), (F.col("o_orderkey") % 7).cast("string").alias("stat"), (F.col("o_custkey") % 40).alias("line"))
+    p = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select("p_partkey", (F.col("p_partkey") % 7).cast("string").alias("stat"), F.col("p_size").cast("long").alias("line"))
+    return b.join(p, ["stat", "line"]).select("prop_id", "p_partkey")
+
+
+@query("type_compatibility", "P09 P10 P11 P13 X17", None)
+def type_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each title against the title nine parts on (which has its form); known pairs are held in a test."""
+    a = titles(spark, sf_dir).select("p_partkey", F.col("t").alias("a"))
+    b = titles(spark, sf_dir).select((F.col("p_partkey") - 9).alias("p_partkey"), F.col("t").alias("b"))
+    kind = F.when(T.base_type(F.col("b")) == "TOTALS", "OVER_UNDER_25").when(T.base_type(F.col("b")) == "SPREAD", "ASIAN_HANDICAP").otherwise("MATCH_ODDS")
+    x, y = F.col("a"), F.col("b")
+    return a.join(b, "p_partkey").select("p_partkey", predicates.compatible_types(x, kind, y).alias("types"), predicates.compatible_structures(x, y).alias("structures"), predicates.compatible_totals(x, F.lit("Yes"), y).alias("totals"))
