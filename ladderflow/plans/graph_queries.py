@@ -1 +1,119 @@
-"""Queries."""
+"""Queries over graphs, constraint systems and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ladderflow.operators import graph, polytope
+from ladderflow.operators.vectors import cached_answer, top_similar
+from ladderflow.plans.catalog import query
+from ladderflow.plans.proxies import OUTCOMES, outcomes, q, quantise, table, ticks
+
+_PAIRS = "p AS (SELECT l_suppkey AS left_id, l_partkey AS right_id, max(l_quantity) * 2 AS score FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-10-01' GROUP BY 1, 2)"
+_EDGES = f"{_PAIRS}, e AS (SELECT 'P_' || CAST(left_id AS VARCHAR) AS u, 'X_' || CAST(right_id AS VARCHAR) AS v, score AS weight FROM p WHERE score >= 92)"
+_COMPONENTS = f"""{_EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), reach AS (SELECT u AS id, u AS r FROM b UNION SELECT reach.id, b.v FROM reach JOIN b ON reach.r = b.u),
+ comp AS (SELECT id, min(r) AS component FROM reach GROUP BY 1)"""
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") >= F.lit("1998-10-01").cast("timestamp_ntz"))
+    pairs = line.groupBy(F.col("l_suppkey").alias("left_id"), F.col("l_partkey").alias("right_id")).agg((F.max("l_quantity") * 2).alias("score"))
+    return graph.bipartite_edges(pairs, 92.0)
+
+
+@query("link_graph", "G01", f"WITH {_EDGES} SELECT u, v, weight FROM e")
+def link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)
+
+
+@query("entity_components", "G02", f"WITH RECURSIVE {_COMPONENTS} SELECT id, component FROM comp")
+def entity_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_edges(spark, sf_dir))
+
+
+@query("best_neighbor", "G04 A16", f"""WITH RECURSIVE {_COMPONENTS}, k AS (SELECT e.*, component, row_number() OVER (PARTITION BY u ORDER BY weight DESC, v) AS rn, avg(weight) OVER (PARTITION BY component) AS m FROM e JOIN comp ON id = u)
+ SELECT u, component, v, weight, {q('m')} AS cluster_confidence FROM k WHERE rn = 1""")
+def best_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
+    rows = graph.best_neighbours(edges, graph.components(edges))
+    return rows.withColumn("cluster_confidence", quantise(F.col("cluster_confidence")))
+
+
+_POINTS = "SELECT l_orderkey AS group_id, CAST(l_linenumber AS INTEGER) AS idx, min(l_discount) * 5 AS value FROM lineitem GROUP BY 1, 2"
+
+
+@query("constraint_feasibility", "G07 G08 G14", f"""WITH x AS ({_POINTS}), s AS (SELECT group_id, sum(value) AS total, sum(CASE WHEN idx <= 2 THEN CASE idx WHEN 1 THEN value ELSE -value END END) AS diff FROM x GROUP BY 1)
+ SELECT group_id, total <= 1.00001 AND coalesce(diff >= -0.00001, true) AS feasible FROM s""")
+def constraint_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's outcomes must not add up to more than 1, and the first must not be below the second."""
+    line = table(spark, sf_dir, "lineitem")
+    points = line.groupBy(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("idx")).agg((F.min("l_discount") * 5).alias("value"))
+    keys = points.select("group_id", "idx")
+    total = keys.select("group_id", F.lit(0).alias("c_id"), "idx", F.lit(1.0).alias("coeff"))
+    order = keys.where("idx <= 2").select("group_id", F.lit(1).alias("c_id"), "idx", F.when(F.col("idx") == 1, 1.0).otherwise(-1.0).alias("coeff"))
+    terms = total.unionByName(order)
+    rules = terms.select("group_id", "c_id").distinct().select("group_id", "c_id", F.when(F.col("c_id") == 0, "<=").otherwise(">=").alias("sense"), F.when(F.col("c_id") == 0, 1.0).otherwise(0.0).alias("rhs"))
+    return polytope.feasible(terms, rules, points)
+
+
+_SMALL = f"{OUTCOMES}, g AS (SELECT market_id, count(*) AS n, sum(price * 0.4) AS total FROM outcome GROUP BY 1), s AS (SELECT market_id AS group_id, CAST(pos AS INTEGER) AS idx, price * 0.4 AS price, n, total FROM outcome JOIN g USING (market_id) WHERE n = 2 AND abs(1 - total) / n < 0.2 AND market_id % 4 = 0)"
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = outcomes(spark, sf_dir).select(F.col("market_id").alias("group_id"), F.col("pos").alias("idx"), (F.col("price") * 0.4).alias("price"))
+    sizes = o.groupBy("group_id").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
+    return o.join(sizes, "group_id").where("n = 2 and abs(1 - total) / n < 0.2 and group_id % 4 = 0").select("group_id", "idx", "price")
+
+
+@query("sum_projection", "G10", f"WITH {_SMALL} SELECT group_id, idx, {q('price')} AS price, {q('price + (1 - total) / n', 4)} AS fair FROM s")
+def sum_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that stay within bounds: there the cyclic projection has a closed form, which the SQL uses."""
+    rows = polytope.project_groups(_groups(spark, sf_dir))
+    return rows.select("group_id", "idx", quantise(F.col("price")).alias("price"), quantise(F.col("fair"), 4).alias("fair"))
+
+
+@query("max_deviation_arb", "G11 P31", f"WITH {_SMALL} SELECT group_id, 1 AS idx, CASE WHEN 1 - total > 0 THEN 'buy' ELSE 'sell' END AS side, {q('abs(1 - total) / n', 4)} AS edge FROM s WHERE idx = 1 AND abs(1 - total) / n >= 0.01")
+def max_deviation_arb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = polytope.project_groups(_groups(spark, sf_dir))
+    rows = rows.withColumn("price", quantise(F.col("price"), 9)).withColumn("fair", quantise(F.col("fair"), 9))
+    best = polytope.best_deviation(rows)
+    return best.select("group_id", F.lit(1).alias("idx"), "side", quantise(F.col("edge"), 4).alias("edge"))
+
+
+@query("bfw_projection", "G13 G12 G06", None)
+def bfw_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.project_groups(_groups(spark, sf_dir), "barrier")
+
+
+@query("half_space_projection", "G09 G05 G17", None)
+def half_space_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.project_groups(_groups(spark, sf_dir), "half-space")
+
+
+@query("cosine_topk", "Y20 L02 F07", f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS x, {q('list_dot_product(list_transform(a.embedding, lambda v: CAST(v AS DOUBLE)), list_transform(b.embedding, lambda v: CAST(v AS DOUBLE)))', 4)} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 25),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY sim DESC, x) AS INTEGER) AS rank FROM s) SELECT q, x, sim, rank FROM r WHERE rank <= 5""")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small set of queries against all vectors."""
+    e = table(spark, sf_dir, "embeddings")
+    return top_similar(e.where("vec_id < 25"), e, 5)
+
+
+@query("semantic_cache_lookup", "F06 K14", f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS x, {q('list_dot_product(list_transform(a.embedding, lambda v: CAST(v AS DOUBLE)), list_transform(b.embedding, lambda v: CAST(v AS DOUBLE)))', 4)} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 25),
+ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, x) AS rn FROM s), e AS (SELECT vec_id, md5(CAST(label AS VARCHAR)) AS h FROM embeddings), k AS (SELECT h, min(vec_id) AS hit FROM e WHERE vec_id >= 25 GROUP BY 1)
+ SELECT e.vec_id AS q, CASE WHEN e.vec_id % 2 = 0 THEN hit WHEN sim >= 0.3 THEN x END AS answer, CASE WHEN e.vec_id % 2 = 0 AND hit IS NOT NULL THEN 'exact' WHEN e.vec_id % 2 = 1 AND sim >= 0.3 THEN 'semantic' ELSE 'miss' END AS kind FROM e LEFT JOIN k USING (h) LEFT JOIN r ON r.q = e.vec_id AND rn = 1 WHERE e.vec_id < 25""")
+def semantic_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cached_answer(table(spark, sf_dir, "embeddings"), 0.3)
+
+
+@query("logistic_training", "G15 S22", None)
+def logistic_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ticks(spark, sf_dir).select((F.col("value") / 100).alias("x1"), (F.col("seq") % 2).cast("double").alias("x2"), (F.col("value") > 50).cast("int").alias("y"))
+    weights, bias = graph.logistic_fit(rows, ["x1", "x2"], "y", 10)
+    return spark.createDataFrame([("x1", weights[0]), ("x2", weights[1]), ("bias", bias)], "feature string, weight double")
+
+
+@query("online_ensemble", "G16", None)
+def online_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ticks(spark, sf_dir).select("key", "ts", "seq", (F.col("value") / 100).alias("x1"), (F.col("value") > 50).cast("int").alias("y"))
+    return polytope.online_ensemble(rows, ["x1"], "y")
