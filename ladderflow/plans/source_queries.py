@@ -1 +1,125 @@
-"""Queries."""
+"""Queries over sources, adapters and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ladderflow.plans.catalog import query
+from ladderflow.plans.proxies import TICKS, q, quantise, table, ticks
+from ladderflow.sources import readers, schemas, sinks
+from ladderflow.streaming import ticks as streaming
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+
+
+@query("adapted_markets", "S01 S15 Y28 Y29 P02", """SELECT 'c' || CAST(o_orderkey AS VARCHAR) AS id, 'Q ' || o_orderpriority AS name, CAST(strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' AS TIMESTAMP) AS open_date, 2 AS n_runners,
+ floor(CAST(o_orderkey % 100 AS DOUBLE) / 100 * 1e6 + 0.5) / 1e6 AS first_price, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 't' || CAST(o_orderkey AS VARCHAR) END AS second_id FROM orders""")
+def adapted_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw markets as landed (arrays in strings, alternative keys, times with a blank) to canonical markets."""
+    k = F.col("o_orderkey")
+    text = k.cast("string")
+    raw = table(spark, sf_dir, "orders").select(F.to_json(F.struct(
+        F.when(k % 2 == 0, F.concat(F.lit("c"), text)).alias("condition_id"), F.when(k % 2 == 1, F.concat(F.lit("c"), text)).alias("conditionId"), F.concat(F.lit("Q "), "o_orderpriority").alias("question"),
+        F.when(k % 5 == 0, "no date").alias("gameStartTime"), F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 00:00:00+00")).alias("startDate"), F.lit('["Yes","No"]').alias("outcomes"),
+        F.concat(F.lit('["'), (k % 100 / 100).cast("string"), F.lit('"]')).alias("outcomePrices"), F.when(k % 3 == 0, '["a"]').otherwise(F.concat(F.lit('["a","t'), text, F.lit('"]'))).alias("clobTokenIds"),
+    )).alias("json"))
+    markets = readers.adapt_market(raw.select(F.from_json("json", schemas.RAW_MARKET).alias("m")).select("m.*"))
+    run = lambda i: F.get("runners", F.lit(i))
+    return markets.select("id", "name", F.col("open_date").cast("timestamp_ntz").alias("open_date"), F.size("runners").alias("n_runners"), quantise(run(0)["price"]).alias("first_price"), run(1)["selection_id"].alias("second_id"))
+
+
+@query("adapted_pairs", "S11 S14 Y01", """SELECT 'h' || CAST(p_partkey AS VARCHAR) AS id, p_name || ' vs ' || p_brand AS name, epoch_us(CASE WHEN p_partkey % 2 = 0 THEN TIMESTAMP '2025-01-01' + INTERVAL 1 SECOND * p_partkey ELSE TIMESTAMP '2025-01-01' + INTERVAL 1 SECOND * p_partkey END) AS micros, '1|2' AS runners FROM part""")
+def adapted_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch seconds in even rows, milliseconds in odd ones; rows that repeat a hash are dropped."""
+    k = F.col("p_partkey")
+    seconds = 1_735_689_600 + k
+    raw = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("h"), k.cast("string")).alias("marketHash"), F.col("p_name").alias("teamOneName"), F.col("p_brand").alias("teamTwoName"), F.col("p_type").alias("leagueLabel"),
+        F.when(k % 2 == 0, seconds).otherwise(seconds * 1000).cast("string").alias("gameTime"), F.col("p_name").alias("outcomeOneName"), F.col("p_brand").alias("outcomeTwoName"),
+    )
+    rows = readers.adapt_pair_market(raw.union(raw))
+    return rows.select("id", "name", F.unix_micros("open_date").alias("micros"), F.array_join(F.transform("runners", lambda r: r["selection_id"]), "|").alias("runners"))
+
+
+@query("ladder_tops", "S06 S07 S09 S10", """WITH r AS (SELECT l_orderkey, l_extendedprice AS price, l_quantity AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_quantity DESC) AS rn FROM lineitem)
+ SELECT l_orderkey AS market, max(price) FILTER (WHERE rn = 1) AS back, max(size) FILTER (WHERE rn = 1) AS back_size, 0.0 AS lay, sum(size) FILTER (WHERE rn <= 3) AS back_top3, CASE WHEN l_orderkey % 2 = 0 THEN 15 ELSE 0 END AS delay_minutes FROM r GROUP BY 1""")
+def ladder_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("size"))), asc=False).alias("ladder"))
+    none = F.array().cast("array<struct<price:double,size:double>>")
+    runner = F.struct(F.lit(1).cast("bigint").alias("selectionId"), F.lit(None).cast("double").alias("lastPriceTraded"), F.struct(F.col("ladder").alias("availableToBack"), none.alias("availableToLay")).alias("ex"))
+    raw = line.select(F.col("l_orderkey").cast("string").alias("marketId"), (F.col("l_orderkey") % 2 == 0).alias("isMarketDataDelayed"), F.array(runner).alias("runners"))
+    return readers.top_of_ladder(raw).select(F.col("marketId").cast("long").alias("market"), "back", "back_size", "lay", "back_top3", "delay_minutes")
+
+
+@query("upserted_rows", "K03 K06 K12 K16", """WITH o AS (SELECT o_custkey AS key, o_orderkey AS version, o_totalprice AS v FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY version DESC) AS rn FROM o) SELECT key, version, v FROM r WHERE rn = 1""")
+def upserted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("v"))
+    return sinks.upsert(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"), "key", "version")
+
+
+@query("queue_append", "K07", """SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_linestatus = 'O' AND (l_partkey, l_suppkey) NOT IN (SELECT (l_partkey, l_suppkey) FROM lineitem WHERE l_linestatus <> 'O')""")
+def queue_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), "l_linestatus")
+    return sinks.queue_append(rows.where("l_linestatus <> 'O'"), rows.where("l_linestatus = 'O'"), ["a", "b"]).select("a", "b")
+
+
+@query("filtered_titles", "S25 S28", """SELECT p_partkey FROM part WHERE NOT contains(p_name, 'blue') ORDER BY p_partkey LIMIT 100""")
+def filtered_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").where(~F.col("p_name").contains("blue")).select("p_partkey").orderBy("p_partkey").limit(100)
+
+
+@query("hex_ids", "Y32", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'plain' || CAST(o_orderkey AS VARCHAR) END AS id FROM orders WHERE o_orderkey % 10 < 4""")
+def hex_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").where(k % 10 < 4)
+    return rows.select("o_orderkey", readers.hex_to_decimal(F.when(k % 2 == 0, F.concat(F.lit("0x"), F.lower(F.hex(k)))).otherwise(F.concat(F.lit("plain"), k.cast("string")))).alias("id"))
+
+
+@query("theta_vectors", "Y33", f"""SELECT l_orderkey AS market, {q('min((l_discount + l_tax) / 2)')} AS least_mid, count(*) AS n FROM lineitem GROUP BY 1""")
+def theta_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mid = (F.col("l_discount") + F.col("l_tax")) / 2
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("market")).agg(F.collect_list(mid).alias("theta"))
+    return rows.select("market", quantise(F.array_min("theta")).alias("least_mid"), F.size("theta").cast("long").alias("n"))
+
+
+@query("tick_fees", "T01 T24", f"""WITH {TICKS} SELECT seq, {q('value * (1 - 0.065)')} AS best_bid, {q('(value + 1) * (1 + 0.065)')} AS best_ask FROM tick WHERE key % 3 = 0""")
+def tick_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ticks(spark, sf_dir).select("seq", F.col("key").cast("string").alias("market_id"), F.col("value").alias("best_bid"), (F.col("value") + 1).alias("best_ask"), "key")
+    wanted = t.where("key % 3 = 0").select("market_id")
+    rows = streaming.with_fee(streaming.subscribed(t, wanted), 6.5)
+    return rows.select("seq", quantise(F.col("best_bid")).alias("best_bid"), quantise(F.col("best_ask")).alias("best_ask"))
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    raw = streaming.read_ticks(spark, path, schema)
+    return raw.select(F.col("event_id").alias("seq"), "ts", F.col("user_id").alias("key"), F.col("event_type").alias("kind"), "value")
+
+
+@query("tick_window_counts", "T02 T14 T16 T17 T21 F03", f"""WITH {TICKS} SELECT time_bucket(INTERVAL '6 hours', ts) AS start, kind, count(*) AS n, max(ts) AS last FROM tick GROUP BY 1, 2""")
+def tick_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over the event files, run to its end; equals the batch."""
+    path = streaming.run_available(streaming.window_counts(_stream(spark, sf_dir)), shared_folder(spark), "complete")
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spark.read.parquet(path).select(ntz("start"), "kind", "n", ntz("last"))
+
+
+@query("stream_latest_prices", "T04 J18 T22", f"""WITH {TICKS}, s AS (SELECT seq, ts, seq % 40 AS mapping, CASE WHEN kind IN ('view', 'click') THEN 'A' ELSE 'B' END AS side, value FROM tick),
+ l AS (SELECT seq, mapping, last_value(CASE WHEN side = 'A' THEN value END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN side = 'B' THEN value END IGNORE NULLS) OVER w AS b FROM s
+ WINDOW w AS (PARTITION BY mapping ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)) SELECT seq, mapping, a, b FROM l WHERE a IS NOT NULL AND b IS NOT NULL""")
+def stream_latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed state of a stream gives what the window gives in batch."""
+    t = _stream(spark, sf_dir).select("seq", "ts", (F.col("seq") % 40).alias("mapping"), F.when(F.col("kind").isin("view", "click"), "A").otherwise("B").alias("side"), "value")
+    return spark.read.parquet(streaming.run_available(streaming.latest_prices(t), shared_folder(spark)))
+
+
+@query("stream_signals", "T07 T08 T20 F09", None)
+def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stateful dedup of a stream; a test holds it against the batch twin."""
+    t = _stream(spark, sf_dir).select("seq", "ts", F.concat_ws("-", F.col("key").cast("string"), "kind").alias("key"), F.col("value").alias("profit"))
+    return spark.read.parquet(streaming.run_available(streaming.refiring_signals(t, 10 * 86_400.0), shared_folder(spark)))
