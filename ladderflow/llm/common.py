@@ -46,7 +46,27 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables of which everything that reads them has been written."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, row_bytes: int = 64, elements: str | None = None, limit: int = 32 << 20) -> DataFrame:
+    """A written table, marked for broadcast if it is measured to be small; else it is joined by a shuffle.
+
+    Its size is counted as row_bytes for each row and 12 bytes for each element of the named array column.
+    """
+    size = F.count("*") * row_bytes
+    if elements:
+        size = size + F.coalesce(F.sum(F.size(elements)), F.lit(0)) * 12
+    return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= limit else df
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -65,8 +85,13 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 def worker_cache(key: tuple, make: Callable[[], object]) -> object:
-    """An object that a Python worker keeps from task to task (a loaded vocabulary); made anew in a new worker."""
+    """An object that a Python worker keeps from task to task (a loaded vocabulary); made anew in a new worker.
+
+    Only one is kept at a time, so that the workers of a session do not gather those of all its queries.
+    """
     kept = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
     if key not in kept:
+        for other in [k for k in kept if isinstance(k, tuple)]:
+            del kept[other]
         kept[key] = make()
     return kept[key]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderflow.llm.common import materialize
+from ladderflow.llm.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = materialize(links.where("u <> v").select("u", "v").distinct(), "cc-links")
     mark = None
     for _ in range(rounds):
-        edges = materialize(_small_star(_large_star(edges)).where("u <> v").distinct(), "cc-round")
+        before, edges = edges, materialize(_small_star(_large_star(edges)).where("u <> v").distinct(), "cc-round")
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

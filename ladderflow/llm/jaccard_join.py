@@ -6,15 +6,16 @@ A document's set holds its distinct shingles of five words; two documents link w
    it also counts shingles that repeat within blocks of the corpus, which tells frequent shingles.
 2. Of each set the first n - ceil(0.8 n) + 1 shingles, frequent ones last and else by hash, go to groups: linked sets
    always meet in one. The order alone decides how large groups get, never the result.
-3. In each group every set is compared with the group's first: the number of pairs grows with the rows of a group, not
-   with their square. Linked sets become components.
-4. Within groups that still hold several components, signature trees are built: nodes hold OR-combined bitmaps and size
-   ranges, leaves hold documents. A dual traversal drops node pairs of one component, of sizes too far apart, and of too
+3. In each group every set is compared with the group's leader, the set whose shingles are the most frequent on average
+   (the likely source of a family of copies): the number of pairs grows with the rows of a group, not with their square.
+   Linked sets become components.
+4. For groups that still hold several components, one of each list of members, signature trees are built: nodes hold
+   OR-combined bitmaps and size ranges, leaves hold documents. A dual traversal drops node pairs of one component, of sizes too far apart, and of too
    small a maximum overlap. What remains is verified on the whole sets.
 5. Large-star/small-star steps give the components of all links.
 
-Broadcast are only the list of frequent shingles (at most ``hot_rows``), and ids of at most ``broadcast_ids`` documents
-after counting them; beyond that a shuffle join does the same.
+Broadcast are only the list of frequent shingles (at most ``hot_rows``), ids of at most ``broadcast_ids`` documents and
+tables whose measured size is small; beyond that a shuffle join does the same.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and are linked with nothing; texts of
 fewer than five words have their whole sequence as one shingle. Rows that repeat a doc_id are one document to others. Rows
@@ -25,14 +26,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderflow.llm.common import materialize, texts, worker_cache
+from ladderflow.llm.common import discard, materialize, small, texts, worker_cache
 from ladderflow.llm.components import components
 
-#: Bits of a token bitmap.
+#: Bits of a token bitmap in a tree; a document's own bitmap is wider if its set is larger.
 BITS = 1024
+MOST_BITS = 1 << 16
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64)) for k in range(8)]
 
 
@@ -48,7 +50,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -83,6 +85,22 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A set's bits by the low bits of its hashes, about as many as it has shingles; halves ORed give a narrower one."""
+    width = min(MOST_BITS, max(BITS, 1 << max(0, len(s) - 1).bit_length()))
+    flags = np.zeros(width, bool)
+    flags[s & np.uint64(width - 1)] = True
+    return np.packbits(flags).tobytes()
+
+
+def fold(raw: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps of at least a width, narrowed to it: one row each."""
+    out = np.empty((len(raw), width // 64), np.uint64)
+    for i, r in enumerate(raw):
+        np.bitwise_or.reduce(np.frombuffer(r, np.uint64).reshape(-1, width // 64), axis=0, out=out[i])
+    return out
+
+
 def _sets(block: int):
     """kind 0: one row for each document; kind 1: a shingle (in doc_id) and how often (n) a block of the corpus has it."""
 
@@ -104,12 +122,10 @@ def _sets(block: int):
             n, k1, k2, bits = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingles(text, known)
-                flags = np.zeros(BITS, bool)
-                flags[s >> np.uint64(54)] = True
                 n.append(len(s))
                 k1.append(int(_signed(_mix(s).sum(dtype=np.uint64).reshape(1))[0]))
                 k2.append(int(_signed(_mix(s * _POWERS[3]).sum(dtype=np.uint64).reshape(1))[0]))
-                bits.append(np.packbits(flags).tobytes())
+                bits.append(bitmap(s))
                 waiting.append(s)
                 size += len(s)
                 if size >= block:
@@ -134,21 +150,22 @@ class Order:
         self.low = np.zeros(1 << 20, bool)
         self.low[hot & np.uint64((1 << 20) - 1)] = True
 
-    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first shingles of a set in this order, and into how many parts the group of each is split."""
+    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The first shingles of a set in this order, into how many parts the group of each is split, and how frequent
+        the set's shingles are on average (in thousandths)."""
         size = len(s) - least_overlap(len(s)) + 1
         maybe = np.flatnonzero(self.low[s & np.uint64((1 << 20) - 1)]) if len(self.hot) else []
         if not len(maybe):
-            return s[:size], np.ones(size, np.int64)
+            return s[:size], np.ones(size, np.int64), 0
         at = np.minimum(np.searchsorted(self.hot, s[maybe]), len(self.hot) - 1)
         count = np.zeros(len(s), np.int64)
         count[maybe] = np.where(self.hot[at] == s[maybe], self.count[at], 0)
         order = np.lexsort((s, count))[:size]
-        return s[order], 1 + count[order] // self.salt_rows
+        return s[order], 1 + count[order] // self.salt_rows, int(min(count.mean() * 1000, 2**31 - 1))
 
 
 def _prefixes(order: Order):
-    """(h, salt, k1, n) of each prefix shingle; within a batch equal sets send one row."""
+    """(h, salt, typical, k1, n) of each prefix shingle; within a batch equal sets send one row."""
 
     def run(batches):
         known = worker_cache(("shingle-words",), Words)
@@ -162,12 +179,12 @@ def _prefixes(order: Order):
                 if (int(k1), len(s)) in seen:
                     continue
                 seen.add((int(k1), len(s)))
-                h, split = order.prefix(s)
+                h, split, typical = order.prefix(s)
                 salt = np.where(split > 1, 1 + (k1 >> np.uint64(20)).astype(np.int64) % split, 0).astype(np.int32)
-                parts.append((h, salt, np.full(len(h), k1), np.full(len(h), len(s), np.int32)))
+                parts.append((h, salt, np.full(len(h), typical, np.int32), np.full(len(h), k1), np.full(len(h), len(s), np.int32)))
             if parts:
-                h, salt, k1, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(salt), pa.array(_signed(k1)), pa.array(n)], names=["h", "salt", "k1", "n"])
+                h, salt, typical, k1, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(h)), pa.array(salt), pa.array(typical), pa.array(_signed(k1)), pa.array(n)], names=["h", "salt", "typical", "k1", "n"])
 
     return run
 
@@ -176,7 +193,7 @@ GROUPED = "h long, salt int, k1 long, n int, leader long, leader_n int"
 
 
 def _leaders(batches):
-    """Rows sorted by (h, salt, n, k1) that share their group with another set, each with the group's first row."""
+    """Rows sorted by (h, salt, typical from the top, k1) that share their group with another set, each with its first row."""
     group = leader = leader_n = previous = None
     given = False  # whether the first row of the group that a batch ends in has been given
     for b in batches:
@@ -197,10 +214,12 @@ def _leaders(batches):
         groups, at = np.unique(gid[follows], return_index=True)
         fresh = (groups > 0) | (not given)
         lone = follows[at[fresh]]  # for each group that is not given yet: a row that knows its first row
+        solo = np.flatnonzero(new & (salt > 0))  # parts of split groups give their first row at once, even if it stays alone
+        lone = np.r_[lone[salt[lone] == 0], solo]
         rows = [np.r_[x[lone], y[follows]] for x, y in ((h, h), (salt, salt), (lead, k1), (lead_n, n), (lead, lead), (lead_n, lead_n))]
         given = bool(len(groups) and groups[-1] == gid[-1]) or (gid[-1] == 0 and given)
         group, leader, leader_n, previous = (h[-1], salt[-1]), lead[-1], lead_n[-1], k1[-1]
-        if len(follows):
+        if len(rows[0]):
             kinds = (np.int64, np.int32, np.int64, np.int32, np.int64, np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(rows, kinds, strict=True)], names=["h", "salt", "k1", "n", "leader", "leader_n"])
 
@@ -210,20 +229,34 @@ def sizes_fit(a: str, b: str):
     return (F.col(a) * 5 >= F.col(b) * 4) & (F.col(b) * 5 >= F.col(a) * 4)
 
 
-def _bitmap(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), BITS // 64)
-
-
 def may_link(na: np.ndarray, a: np.ndarray, nb: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether the bitmaps of sets allow a link: each bit of one that the other lacks is a token that the other lacks."""
     most = np.minimum(na - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
     return most * 9 >= (na + nb) * 4
 
 
+def pairs_may_link(n: np.ndarray, raw: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """may_link() of the pairs of places (a, b), each at the narrower of the two widths."""
+    n, width = n.astype(np.int64), np.array([len(r) * 8 for r in raw], np.int64)
+    at, ok = np.minimum(width[a], width[b]), np.zeros(len(a), bool)
+    for w in np.unique(at).tolist():
+        rows = np.flatnonzero(at == w)
+        step = max(1, (1 << 26) // w)
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            used, back = np.unique(np.r_[a[part], b[part]], return_inverse=True)
+            m = fold([raw[k] for k in used.tolist()], w)
+            x, y = back[: len(part)], back[len(part) :]
+            ok[part] = may_link(n[a[part]], m[x], n[b[part]], m[y])
+    return ok
+
+
 def _prune_pairs(batches):
     for b in batches:
-        ok = may_link(b.column("an").to_numpy().astype(np.int64), _bitmap(b.column("abits")), b.column("bn").to_numpy().astype(np.int64), _bitmap(b.column("bbits")))
-        yield b.select(["u", "v"]).filter(pa.array(ok))
+        k = b.num_rows
+        n = np.r_[b.column("an").to_numpy(), b.column("bn").to_numpy()]
+        raw = b.column("abits").to_pylist() + b.column("bbits").to_pylist()
+        yield b.select(["u", "v"]).filter(pa.array(pairs_may_link(n, raw, np.arange(k), np.arange(k) + k)))
 
 
 class SignatureTree:
@@ -279,7 +312,8 @@ def _tree_pairs(batches):
         h, salt = t.column("h").to_numpy(), t.column("part").to_numpy()
         edge = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
         ids, n, comp, main = (t.column(c).to_numpy() for c in ("rep", "n", "comp", "main"))
-        bits = _bitmap(t.column("bits").combine_chunks() if t.num_rows else t.column("bits"))
+        raw = t.column("bits").to_pylist()
+        bits = fold(raw, BITS)
         out = [np.empty((0, 2), np.int64)]
         for begin, end in zip(edge.tolist(), [*edge[1:].tolist(), len(h)], strict=True):
             p = slice(begin, end)
@@ -290,7 +324,7 @@ def _tree_pairs(batches):
             if salt[begin]:
                 mixed = main[a] | main[b]
                 a, b = a[mixed], b[mixed]
-            ok = may_link(n[a].astype(np.int64), bits[a], n[b].astype(np.int64), bits[b])
+            ok = pairs_may_link(n, raw, a, b)
             out.append(np.stack([np.minimum(ids[a], ids[b])[ok], np.maximum(ids[a], ids[b])[ok]], 1))
         found = np.unique(np.concatenate(out), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["u", "v"])
@@ -329,12 +363,16 @@ def verify(pairs: DataFrame, docs: DataFrame, broadcast_ids: int = 2_000_000) ->
 
     sets = materialize(wanted.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>"), "jaccard-sets")
     a = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b"))
+    leaders = materialize(pairs.select("v").distinct(), "jaccard-leaders")
+    b = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")).join(small(leaders), "v", "left_semi")
     common = F.size(F.array_intersect("a", "b"))
-    return pairs.join(a, "u").join(b, "v").where(common * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v").distinct()
+    linked = a.join(small(pairs), "u").join(b, "v").where(common * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v").distinct()
+    linked = materialize(linked, "jaccard-links")
+    discard(pairs, sets, leaders)
+    return linked
 
 
-def links(df: DataFrame, hot_rows: int = 200_000, hot_count: int = 4, block: int = 2_000_000, salt_rows: int = 100_000, part_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def links(df: DataFrame, hot_rows: int = 200_000, hot_count: int = 4, block: int = 1_000_000, salt_rows: int = 100_000, part_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(sets: doc_id, n, rep; links u, v between representatives). Each set's rep is its smallest doc_id."""
     spark = df.sparkSession
     docs = texts(df.where(F.col("doc_id").isNotNull()), "doc_id")
@@ -347,33 +385,41 @@ def links(df: DataFrame, hot_rows: int = 200_000, hot_count: int = 4, block: int
     order = Order(hot["h"].to_numpy(np.int64).view(np.uint64), hot["c"].to_numpy(np.int64), salt_rows)
 
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    prefixes = docs.mapInArrow(_prefixes(order), "h long, salt int, k1 long, n int")
-    grouped = prefixes.repartition(n_parts, "h", "salt").sortWithinPartitions("h", "salt", "n", "k1").mapInArrow(_leaders, GROUPED)
+    prefixes = docs.mapInArrow(_prefixes(order), "h long, salt int, typical int, k1 long, n int")
+    in_order = ("h", "salt", F.desc("typical"), "k1", "n")
+    grouped = prefixes.repartition(n_parts, "h", "salt").sortWithinPartitions(*in_order).mapInArrow(_leaders, GROUPED)
     grouped = materialize(grouped, "jaccard-grouped")
     met = grouped.where("k1 <> leader").where(sizes_fit("n", "leader_n")).select("k1", "n", "leader", "leader_n")
     if len(hot) and hot["c"].max() >= salt_rows:  # first rows of the parts of a split group meet each other
-        heads = grouped.where("salt > 0").select("h", F.lit(0).alias("salt"), F.col("leader").alias("k1"), F.col("leader_n").alias("n")).distinct()
-        heads = heads.repartition(n_parts, "h").sortWithinPartitions("h", "salt", "n", "k1").mapInArrow(_leaders, GROUPED)
+        heads = grouped.where("salt > 0").select("h", F.lit(0).alias("salt"), F.lit(0).alias("typical"), F.col("leader").alias("k1"), F.col("leader_n").alias("n")).distinct()
+        heads = heads.repartition(n_parts, "h").sortWithinPartitions(*in_order).mapInArrow(_leaders, GROUPED)
         met = met.union(heads.where("k1 <> leader").where(sizes_fit("n", "leader_n")).select("k1", "n", "leader", "leader_n"))
     met = met.distinct()
     a = classes.select("k1", F.col("n"), F.col("rep").alias("u"), F.col("bits").alias("abits"), F.col("n").alias("an"))
     b = classes.select(F.col("k1").alias("leader"), F.col("n").alias("leader_n"), F.col("rep").alias("v"), F.col("bits").alias("bbits"), F.col("n").alias("bn"))
     pairs = met.join(a, ["k1", "n"]).join(b, ["leader", "leader_n"]).where("u <> v")
-    first = materialize(verify(pairs.select("u", "v", "an", "abits", "bn", "bbits").mapInArrow(_prune_pairs, "u long, v long"), docs), "jaccard-links")
+    first = verify(pairs.select("u", "v", "an", "abits", "bn", "bbits").mapInArrow(_prune_pairs, "u long, v long"), docs)
 
     comp = components(first)
-    info = classes.join(comp, classes["rep"] == comp["id"], "left").select("k1", "n", "rep", "bits", F.coalesce("component", "rep").alias("comp"))
+    info = classes.join(comp, classes["rep"] == comp["id"], "left").select("k1", "n", "rep", F.coalesce("component", "rep").alias("comp"))
     info = materialize(info, "jaccard-info")
-    rows = grouped.select("h", "k1", "n").distinct().join(info.drop("bits"), ["k1", "n"])
-    mixed = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.mode("comp").alias("largest")).where("low <> high")
+    rows = grouped.select("h", "k1", "n", (F.col("k1") == F.col("leader")).alias("leads")).join(small(info), ["k1", "n"])
+    members = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"m{i}") for i in (1, 2)]
+    mixed = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("leads"), F.col("comp"))).alias("main"), *members)
+    once = mixed.where("low <> high").groupBy("c", "m1", "m2").agg(F.min("h").alias("h"), F.min_by("main", "h").alias("main"))
+    once = materialize(once.select("h", "c", "main"), "jaccard-groups")
     parts = (F.col("c") / part_rows).cast("int") + 1
-    rows = rows.join(mixed, "h").withColumn("main", F.col("comp") == F.col("largest"))
+    rows = rows.join(small(once), "h").withColumn("main", F.col("comp") == F.col("main"))
     place = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("rep"), parts.cast("bigint")).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
     rows = rows.withColumn("part", F.explode(place)).select("h", "part", "rep", "n", "comp", "main")
-    rows = rows.join(info.select("rep", "bits").dropDuplicates(["rep"]), "rep").select("h", "part", "rep", "n", "comp", "main", "bits")
+    by_size = Window.partitionBy("h", "part").orderBy("n", "rep")
+    fits = (F.lag("n").over(by_size) * 5 >= F.col("n") * 4) | (F.col("n") * 5 >= F.lead("n").over(by_size) * 4)
+    rows = rows.withColumn("fits", fits).where("fits").drop("fits")  # the others have no set of a fitting size beside them
+    rows = rows.join(classes.groupBy("rep").agg(F.first("bits").alias("bits")), "rep").select("h", "part", "rep", "n", "comp", "main", "bits")
     trees = rows.repartition(n_parts, "h", "part").sortWithinPartitions("h", "part").mapInArrow(_tree_pairs, "u long, v long")
     second = verify(trees, docs)
-    sets = one.join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left").select("doc_id", "n", "rep")
+    discard(grouped, info, once)
+    sets = one.join(small(classes.select("k1", "k2", "n", "rep")), ["k1", "k2", "n"], "left").select("doc_id", "n", "rep")
     return sets, first.union(second)
 
 
@@ -381,7 +427,8 @@ def join(df: DataFrame, **sizes: int) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     sets, found = links(df, **sizes)
     comp = components(found)
-    own = sets.join(comp, sets["rep"] == comp["id"], "left")
+    comp = materialize(comp, "jaccard-components")
+    own = sets.join(small(comp), sets["rep"] == comp["id"], "left")
     out = own.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
     lost = texts(df.where(F.col("doc_id").isNull()), "doc_id").mapInArrow(_sizes, "doc_id long, n_shingles long")
     return out.union(lost.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
@@ -396,5 +443,5 @@ def _sizes(batches):
 def keep_one(df: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest doc_id, with all columns; documents without a doc_id, and
     those that nothing links with, stay. Rows that repeat the kept doc_id stay, too."""
-    gone = join(df).where("doc_id is not null and component_id < doc_id").select("doc_id").distinct()
-    return df.join(gone, "doc_id", "left_anti").select(*df.columns)
+    gone = materialize(join(df).where("doc_id is not null and component_id < doc_id").select("doc_id").distinct(), "jaccard-gone")
+    return df.join(small(gone), "doc_id", "left_anti").select(*df.columns)

@@ -86,10 +86,8 @@ def test_tree_loses_no_pair():
         own[rng.integers(0, len(own), rng.integers(0, 6))] = rng.integers(0, 2**63)
         own = np.unique(own)
         sets.append(own)
-        flags = np.zeros(J.BITS, bool)
-        flags[own >> np.uint64(54)] = True
         n.append(len(own))
-        bits.append(np.frombuffer(np.packbits(flags).tobytes(), np.uint64))
+        bits.append(J.fold([J.bitmap(own)], J.BITS)[0])
         comp.append(i // 4)
     a, b = J.SignatureTree(np.array(n), np.array(bits), np.array(comp), 4).pairs()
     found = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
@@ -99,3 +97,17 @@ def test_tree_loses_no_pair():
             if comp[i] != comp[j] and 9 * common >= 4 * (len(sets[i]) + len(sets[j])):
                 assert frozenset((i, j)) in found
     assert len(found) < 90 * 89 / 4
+
+
+def test_wide_bitmaps_fold_and_never_lose_a_link():
+    rng = np.random.default_rng(8)
+    big = np.unique(rng.integers(0, 2**63, 3000).astype(np.uint64))
+    near = np.unique(np.r_[big[150:], rng.integers(0, 2**63, 100).astype(np.uint64)])
+    far = np.unique(np.r_[big[:900], rng.integers(0, 2**63, 2000).astype(np.uint64)])
+    small = np.unique(rng.integers(0, 2**63, 700).astype(np.uint64))
+    sets = [big, near, far, small]
+    raw = [J.bitmap(s) for s in sets]
+    assert [len(r) * 8 for r in raw] == [4096, 4096, 4096, 1024]
+    assert (J.fold(raw[:1], 1024)[0] == J.fold([J.bitmap(big)], 1024)[0]).all()
+    n = np.array([len(s) for s in sets])
+    assert J.pairs_may_link(n, raw, np.array([0, 0, 0]), np.array([1, 2, 3])).tolist() == [True, False, False]
