@@ -123,3 +123,41 @@ def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful dedup of a stream; a test holds it against the batch twin."""
     t = _stream(spark, sf_dir).select("seq", "ts", F.concat_ws("-", F.col("key").cast("string"), "kind").alias("key"), F.col("value").alias("profit"))
     return spark.read.parquet(streaming.run_available(streaming.refiring_signals(t, 10 * 86_400.0), shared_folder(spark)))
+
+
+@query("catalogue_flatten", "S08 S03", """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'E' || CAST(o_custkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 4 = 0 THEN 'MATCH_ODDS' ELSE o_orderpriority END AS market_type, n AS selection_id, 'R' || n AS runner
+ FROM orders, (VALUES ('1'), ('2')) v(n) WHERE o_orderstatus = 'O' AND o_orderkey % 3 = 0""")
+def catalogue_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested catalogue rows as landed JSON, one row for each runner."""
+    k = F.col("o_orderkey")
+    runner = lambda n: F.struct(F.lit(n).cast("bigint").alias("selectionId"), F.lit(f"R{n}").alias("runnerName"))
+    raw = table(spark, sf_dir, "orders").where((F.col("o_orderstatus") == "O") & (k % 3 == 0)).select(F.to_json(F.struct(
+        k.cast("string").alias("marketId"), F.struct(F.lit("e").alias("id"), F.concat(F.lit("E"), F.col("o_custkey").cast("string")).alias("name")).alias("event"),
+        F.when(k % 4 != 0, F.struct(F.col("o_orderpriority").alias("marketType"))).alias("description"), F.array(runner(1), runner(2)).alias("runners"),
+    )).alias("json"))
+    rows = readers.adapt_catalogue(raw.select(F.from_json("json", schemas.RAW_CATALOGUE).alias("m")).select("m.*"))
+    return rows.select("id", "name", "market_type", F.explode("runners").alias("r")).select("id", "name", "market_type", F.col("r.selection_id").alias("selection_id"), F.col("r.name").alias("runner"))
+
+
+@query("csv_history", "S19 S20 K04 K08", """SELECT CAST(o_orderkey AS VARCHAR) AS "Date", o_orderpriority AS "HomeTeam", CASE WHEN o_orderstatus = 'F' THEN 'H' ELSE 'A' END AS "FTR", CAST(o_custkey % 90 AS DOUBLE) / 10 + 1 AS "B365H" FROM orders WHERE o_orderkey % 5 <> 0""")
+def csv_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odds history written as CSV with some broken rows, and read again without them."""
+    import uuid
+
+    k = F.col("o_orderkey")
+    price = F.when(k % 5 == 0, "broken").otherwise((F.col("o_custkey") % 90 / 10 + 1).cast("string"))
+    rows = table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("Date"), F.col("o_orderpriority").alias("HomeTeam"), F.lit("x").alias("AwayTeam"), F.when(F.col("o_orderstatus") == "F", "H").otherwise("A").alias("FTR"), price.alias("B365H"), F.lit("2.0").alias("B365D"), F.lit("3.0").alias("B365A")
+    )
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    sinks.to_csv(rows, path)
+    return readers.csv_rows(spark, path, schemas.ODDS_HISTORY).select("Date", "HomeTeam", "FTR", "B365H")
+
+
+@query("enriched_aliases", "U07 S23 S34", """WITH f AS (SELECT p_partkey, lower(p_name) AS entity, [upper(p_name), p_brand] AS aliases FROM part), k AS (SELECT DISTINCT lower(p_name) AS entity FROM part WHERE p_partkey % 2 = 0) SELECT p_partkey, entity, aliases[1] AS canonical FROM f WHERE entity NOT IN (SELECT entity FROM k)""")
+def enriched_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Found entities that are not known yet; the first alias is the canonical name."""
+    part = table(spark, sf_dir, "part")
+    found = part.select("p_partkey", F.lower("p_name").alias("entity"), F.array(F.upper("p_name"), F.col("p_brand")).alias("aliases"))
+    known = part.where("p_partkey % 2 = 0").select(F.lower("p_name").alias("entity")).distinct()
+    return found.join(known, "entity", "left_anti").select("p_partkey", "entity", F.get("aliases", F.lit(0)).alias("canonical"))

@@ -195,3 +195,13 @@ def garbage_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers are read as decimals, never by way of double."""
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k decimal(38,18)")["k"].cast("double").alias("k"))
+
+
+@query("answer_json", "Y30 F05", """SELECT p_partkey, CAST(p_size AS DOUBLE) / 100 AS confidence FROM part WHERE p_partkey % 4 <> 3""")
+def answer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts in free answers: bare JSON, a fenced block, an object within a sentence, or none."""
+    k = F.col("p_partkey")
+    body = F.concat(F.lit('{"is_match": true, "confidence": '), (F.col("p_size") / 100).cast("string"), F.lit("}"))
+    answer = F.when(k % 4 == 0, body).when(k % 4 == 1, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```"))).when(k % 4 == 2, F.concat(F.lit("I think "), body, F.lit(" fits"))).otherwise("no idea")
+    rows = table(spark, sf_dir, "part").select("p_partkey", T.extract_json(answer).alias("json")).where("json is not null")
+    return rows.select("p_partkey", F.get_json_object("json", "$.confidence").cast("double").alias("confidence"))
