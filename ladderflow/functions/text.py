@@ -223,16 +223,21 @@ def is_garbage(alias: Column) -> Column:
     return (F.length(alias) < 2) | F.lower(alias).isin("id", "sport", "metadata", "unknown", "null", "undefined", "n/a")
 
 
+#: What is taken off a title, in this order, and words that no name holds.
+TITLE_NOISE = (
+    r"(?i)^(Will|Who|How many|Total|Over/Under|Spread|Market)\s+",
+    r"(?i)\s+(win\??|defeat\??|beats\??|win on|win the|win by|win game\s?\d|win match\s?\d|sells any|price|at any point|O/U\s?[\d\.]+|\?)$",
+    r"(?i)\b(Over/Under|Handicap|Total Goals|Total Games|Total Sets|Asian Handicap|Winner|Markets|Correct Score|BTTS)\b.*",
+    r"\b(202[0-9]|2[0-9]-[0-9]{2})\b",
+    r"(?i)\b(Final|Semifinal|Round \d|Wimbledon|US Open|French Open|Australian Open|NBA|NFL|MLB|UFC|EPL|La Liga)\b",
+)
+TITLE_JUNK = ("o/u", "3.5", "2.5", "total", "handicap", "score", "games")
+
+
 def clean_event_title(x: Column) -> Column:
     """The part before a colon or dash, without prefixes, suffixes, betting terms, years and rounds."""
     t = F.get(F.split(x, r"[:\-]"), F.lit(0))
-    for pattern in (
-        r"(?i)^(Will|Who|How many|Total|Over/Under|Spread|Market)\s+",
-        r"(?i)\s+(win\??|defeat\??|beats\??|win on|win the|win by|win game\s?\d|win match\s?\d|sells any|price|at any point|O/U\s?[\d\.]+|\?)$",
-        r"(?i)\b(Over/Under|Handicap|Total Goals|Total Games|Total Sets|Asian Handicap|Winner|Markets|Correct Score|BTTS)\b.*",
-        r"\b(202[0-9]|2[0-9]-[0-9]{2})\b",
-        r"(?i)\b(Final|Semifinal|Round \d|Wimbledon|US Open|French Open|Australian Open|NBA|NFL|MLB|UFC|EPL|La Liga)\b",
-    ):
+    for pattern in TITLE_NOISE:
         t = F.regexp_replace(t, pattern, "")
     return F.trim(t)
 
@@ -243,8 +248,7 @@ def title_entities(x: Column) -> Column:
     pattern = r"(.+?)\s+(?:vs|VS|v|V|@)\.?\s+(.+)"
     both = F.array(*(F.trim(F.regexp_extract(cleaned, pattern, i)) for i in (1, 2)))
     found = F.when(cleaned.rlike(pattern), both).when((cleaned != "") & (F.size(words(cleaned)) <= 4), F.array(cleaned)).otherwise(F.array().cast("array<string>"))
-    junk = ("o/u", "3.5", "2.5", "total", "handicap", "score", "games")
-    return F.filter(found, lambda n: (F.length(n) >= 2) & (F.length(n) <= 40) & ~holds(F.lower(n), junk))
+    return F.filter(found, lambda n: (F.length(n) >= 2) & (F.length(n) <= 40) & ~holds(F.lower(n), TITLE_JUNK))
 
 
 def sport(x: Column) -> Column:

@@ -82,23 +82,23 @@ def dip_strategy(low: float, high: float, size: float) -> Callable:
 
 def odds_backtest(history: DataFrame, capital: float, stake: float = 50.0, edge: float = 0.05, inefficiency: float = 0.3) -> DataFrame:
     """History (run_id, seq, odds, result); bets the stake where the skewed price is below the implied probability by
-    the edge, wins stake / price on 'H', and stops when the capital is below the stake."""
+    the edge, wins stake / price on 'H', and stops when the capital is below the stake.
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        cash, bets, wins = capital, 0, 0
-        for r in rows.sort_values("seq").itertuples(index=False):
-            true = 1 / r.odds
-            price = true + (0.5 - true) * inefficiency
-            if cash < stake:
-                break
-            if true - price > edge:
-                bets += 1
-                won = r.result == "H"
-                wins += won
-                cash += stake / price - stake if won else -stake
-        return pd.DataFrame([(key[0], bets, wins, cash)], columns=["run_id", "bets", "wins", "capital"])
-
-    return history.groupBy("run_id").applyInPandas(run, "run_id long, bets long, wins long, capital double")
+    The stake is constant, so the flows do not depend on the path up to the stop: the capital is a running sum, and rows
+    count while it has never been below the stake.
+    """
+    order = Window.partitionBy("run_id").orderBy("seq")
+    true = 1 / F.col("odds")
+    price = true + (0.5 - true) * inefficiency
+    won = F.col("result") == "H"
+    flow = F.when(true - price > edge, F.when(won, stake / price - stake).otherwise(-stake))
+    rows = history.withColumn("flow", flow).withColumn("won", won)
+    before = capital + F.coalesce(F.sum("flow").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("before", before).withColumn("least", F.min("before").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    live = (F.col("least") >= stake) & F.col("flow").isNotNull()
+    return rows.groupBy("run_id").agg(
+        F.count_if(live).alias("bets"), F.count_if(live & F.col("won")).alias("wins"), (capital + F.coalesce(F.sum(F.when(live, F.col("flow"))), F.lit(0.0))).alias("capital")
+    )
 
 
 def dedup_signals(signals: DataFrame, ttl_seconds: float = 3600.0, points: float = 5.0) -> DataFrame:

@@ -86,9 +86,10 @@ def bfw_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polytope.project_groups(_groups(spark, sf_dir), "barrier")
 
 
-@query("half_space_projection", "G09 G05 G17", None)
+@query("half_space_projection", "G09 G05 G17", f"WITH {_SMALL} SELECT group_id, idx, {q('price')} AS price, {q('price + (1 - total) / n', 4)} AS fair FROM s")
 def half_space_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polytope.project_groups(_groups(spark, sf_dir), "half-space")
+    rows = polytope.project_groups(_groups(spark, sf_dir), "half-space")
+    return rows.select("group_id", "idx", quantise(F.col("price")).alias("price"), quantise(F.col("fair"), 4).alias("fair"))
 
 
 @query("cosine_topk", "Y20 L02 F07", f"""WITH s AS (SELECT a.vec_id AS q, b.vec_id AS x, {q('list_dot_product(list_transform(a.embedding, lambda v: CAST(v AS DOUBLE)), list_transform(b.embedding, lambda v: CAST(v AS DOUBLE)))', 4)} AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 25),

@@ -83,14 +83,22 @@ def recovery_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.recovery_plan(legs)
 
 
-@query("signal_dedup_ttl", "T07 K03 A24", None)
+SIGNALS = f"""WITH RECURSIVE {TICKS}, g AS (SELECT seq, ts, CAST(key AS VARCHAR) || '-' || kind AS key, value AS profit FROM tick),
+ f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, seq) AS rn FROM g), sent AS (SELECT seq, ts, key, profit, rn FROM f WHERE rn = 1
+ UNION ALL SELECT seq, ts, key, profit, rn FROM (SELECT f.*, row_number() OVER (PARTITION BY f.key ORDER BY f.rn) AS pick FROM sent JOIN f ON f.key = sent.key AND f.rn > sent.rn
+ AND (epoch_us(f.ts) - epoch_us(sent.ts) > 864000000000 OR f.profit >= sent.profit + 5)) WHERE pick = 1) SELECT seq, key, profit FROM sent"""
+
+
+@query("signal_dedup_ttl", "T07 K03 A24", SIGNALS)
 def signal_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals that are new, older than the lifetime, or 5 points better than the last one sent."""
     signals = ticks(spark, sf_dir).select("seq", "ts", F.concat_ws("-", F.col("key").cast("string"), "kind").alias("key"), F.col("value").alias("profit"))
     return backtest.dedup_signals(signals, ttl_seconds=10 * 86_400.0)
 
 
-@query("alert_rate_limit", "T08 K11", None)
+@query("alert_rate_limit", "T08 K11", f"""WITH RECURSIVE {TICKS}, f AS (SELECT seq, ts, kind AS key, row_number() OVER (PARTITION BY kind ORDER BY ts, seq) AS rn FROM tick), sent AS (SELECT seq, ts, key, rn FROM f WHERE rn = 1
+ UNION ALL SELECT seq, ts, key, rn FROM (SELECT f.*, row_number() OVER (PARTITION BY f.key ORDER BY f.rn) AS pick FROM sent JOIN f ON f.key = sent.key AND f.rn > sent.rn AND epoch_us(f.ts) - epoch_us(sent.ts) >= 259200000000) WHERE pick = 1)
+ SELECT seq, key FROM sent""")
 def alert_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of one type are at least the interval apart."""
     alerts = ticks(spark, sf_dir).select("seq", "ts", F.col("kind").alias("key"))
@@ -112,10 +120,14 @@ def replay_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtest.replay(snaps, backtest.dip_strategy(0.3, 0.7, 100.0), 1000.0)
 
 
-@query("odds_backtest", "B03 Y27 A13", None)
+@query("odds_backtest", "B03 Y27 A13", f"""WITH h AS (SELECT o_custkey % 50 AS run_id, o_orderkey AS seq, CAST(1.2 AS DOUBLE) + CAST(o_orderkey % 37 AS DOUBLE) / 10 AS odds, o_orderstatus = 'F' AS won FROM orders),
+ p AS (SELECT *, 1 / odds + (0.5 - 1 / odds) * 0.3 AS price FROM h), f AS (SELECT *, CASE WHEN 1 / odds - price > 0.05 THEN CASE WHEN won THEN 50 / price - 50 ELSE -50.0 END END AS flow FROM p),
+ b AS (SELECT *, 1000 + coalesce(sum(flow) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
+ l AS (SELECT *, min(before) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) >= 50 AND flow IS NOT NULL AS live FROM b)
+ SELECT run_id, count(*) FILTER (WHERE live) AS bets, count(*) FILTER (WHERE live AND won) AS wins, {q('1000 + coalesce(sum(flow) FILTER (WHERE live), 0)')} AS capital FROM l GROUP BY 1""")
 def odds_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bets where skewed prices lie below the probability that the odds imply."""
     orders = table(spark, sf_dir, "orders").select(
-        (F.col("o_custkey") % 50).alias("run_id"), F.col("o_orderkey").alias("seq"), (1.2 + (F.col("o_orderkey") % 37) / 10).alias("odds"), F.when(F.col("o_orderstatus") == "F", "H").otherwise("A").alias("result")
+        (F.col("o_custkey") % 50).alias("run_id"), F.col("o_orderkey").alias("seq"), (1.2 + F.col("o_orderkey") % 37 / 10).alias("odds"), F.when(F.col("o_orderstatus") == "F", "H").otherwise("A").alias("result")
     )
-    return backtest.odds_backtest(orders, capital=1000.0)
+    return backtest.odds_backtest(orders, capital=1000.0).withColumn("capital", quantise(F.col("capital")))

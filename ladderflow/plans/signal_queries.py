@@ -118,13 +118,20 @@ def opportunity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", c("r.tag").alias("tag"), score.alias("score")).where("score >= 0.6")
 
 
-@query("quotes", "Y24", None)
+_QUOTE = """h0 AS (SELECT *, CASE WHEN (mid + 0.03) - (mid - 0.02) >= 0.05 THEN least(greatest(0.001, CAST(0.02 AS DOUBLE) / 2), ((mid + 0.03) - (mid - 0.02)) * 0.8 / 2) ELSE greatest(0.001, CAST(0.02 AS DOUBLE) / 2) END AS h FROM g),
+ h1 AS (SELECT *, CASE WHEN vol > 0.02 THEN h * (1 + least(3.0, (vol - 0.02) / 0.02) * 0.15) ELSE h END * (1 + 0.1 * buzz) * (1 + 0.2 * pressure) * (1 + 0.1 * abs(shadow)) * (1 + widen) AS half FROM h0),
+ h2 AS (SELECT *, sent * 0.5 * half * 0.5 + shadow * half * 0.35 + lean * half * 0.5 - sent * 0.5 * half - trend * 0.8 * half - pos * 0.0001 AS lift FROM h1),
+ h3 AS (SELECT *, floor((mid - half + lift) * 1000 + 0.5) / 1000 AS b, floor((mid + half + lift) * 1000 + 0.5) / 1000 AS a FROM h2)"""
+
+
+@query("quotes", "Y24", f"""WITH {_FEATURES.replace("/ 10.0 AS sent", "/ CAST(10 AS DOUBLE) AS sent").replace("0.3 + (seq % 40) / 100.0 AS mid", "CAST(0.3 AS DOUBLE) + (seq % 40) / CAST(100 AS DOUBLE) AS mid")}, {_REGIME}, {_QUOTE}
+ SELECT seq, {q('CASE WHEN b > 0 AND a < 1 AND b < a THEN least(b, mid + 0.03 - 0.001) END', 4)} AS bid, {q('CASE WHEN b > 0 AND a < 1 AND b < a THEN greatest(a, mid - 0.02 + 0.001) END', 4)} AS ask FROM h3""")
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes around the mid; tests hold known books against the rules."""
     c = F.col
     rows = _regime(_features(spark, sf_dir))
     made = S.quote(c("mid"), c("mid") - 0.02, c("mid") + 0.03, c("sent"), c("vol"), c("trend"), c("buzz"), c("sent"), c("pressure"), c("shadow"), c("r.widen"), c("r.lean"), c("pos"))
-    return rows.select("seq", made.alias("quote")).select("seq", "quote.bid", "quote.ask")
+    return rows.select("seq", made.alias("quote")).select("seq", quantise(F.col("quote.bid"), 4).alias("bid"), quantise(F.col("quote.ask"), 4).alias("ask"))
 
 
 @query("quote_crossing_fills", "B05", f"""WITH {TICKS}, l AS (SELECT seq, key, value, lag(value) OVER ({W}) AS b FROM tick) SELECT seq, CASE WHEN value <= b - 10 THEN 'BUY' WHEN value >= b + 10 THEN 'SELL' END AS fill FROM l WHERE abs(value - b) >= 10""")

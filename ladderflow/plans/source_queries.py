@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ladderflow.plans.catalog import query
 from ladderflow.plans.proxies import TICKS, q, quantise, table, ticks
+from ladderflow.plans.risk_queries import SIGNALS
 from ladderflow.sources import readers, schemas, sinks
 from ladderflow.streaming import ticks as streaming
 
@@ -118,7 +119,7 @@ def stream_latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(streaming.run_available(streaming.latest_prices(t), shared_folder(spark)))
 
 
-@query("stream_signals", "T07 T08 T20 F09", None)
+@query("stream_signals", "T07 T08 T20 F09", SIGNALS)
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful dedup of a stream; a test holds it against the batch twin."""
     t = _stream(spark, sf_dir).select("seq", "ts", F.concat_ws("-", F.col("key").cast("string"), "kind").alias("key"), F.col("value").alias("profit"))

@@ -177,7 +177,19 @@ def sport_and_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select("p_partkey", T.sport(F.col("t")).alias("sport"), T.region(F.col("t")).alias("region"))
 
 
-@query("title_entities", "X18", None)
+def _clean_title_sql() -> str:
+    t = "regexp_split_to_array(t, '[:\\-]')[1]"
+    for pattern in T.TITLE_NOISE:
+        t = f"regexp_replace({t}, '{pattern}', '', 'g')"
+    return f"trim({t})"
+
+
+_VERSUS = r"(.+?)\s+(?:vs|VS|v|V|@)\.?\s+(.+)"
+
+
+@query("title_entities", "X18", f"""WITH {TITLES}, c AS (SELECT p_partkey, {_clean_title_sql()} AS clean FROM title),
+ e AS (SELECT *, CASE WHEN regexp_matches(clean, '{_VERSUS}') THEN [trim(regexp_extract(clean, '{_VERSUS}', 1)), trim(regexp_extract(clean, '{_VERSUS}', 2))] WHEN clean <> '' AND len({_words('clean')}) <= 4 THEN [clean] ELSE [] END AS found FROM c)
+ SELECT p_partkey, clean, array_to_string(list_filter(found, lambda n: length(n) >= 2 AND length(n) <= 40 AND NOT {_holds('lower(n)', T.TITLE_JUNK)}), '|') AS entities FROM e""")
 def title_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir).select("p_partkey", T.clean_event_title(F.col("t")).alias("clean"), F.array_join(T.title_entities(F.col("t")), "|").alias("entities"))
 
