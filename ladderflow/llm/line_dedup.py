@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladderflow.llm.common import materialize, texts
+from ladderflow.llm.common import materialize, small, texts
 
 
 def line_key(line: str) -> tuple[int, int]:
@@ -137,7 +137,7 @@ def dedup(df: DataFrame, min_words: int = 25, anchor_words: int = 8) -> DataFram
     gone = materialize(deletions(df, min_words, anchor_words), "dedup-gone")
     keyed = df.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = (keyed["doc_id"] == gone["doc_id"]) & (keyed["_key"] == gone["text_key"])
-    both = keyed.join(gone, same, "left").select(*(keyed[c] for c in df.columns), gone["gone"].alias("_numbers"))
+    both = keyed.join(small(gone, elements="gone"), same, "left").select(*(keyed[c] for c in df.columns), gone["gone"].alias("_numbers"))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_numbers"), i)), "\n")
     out = both.select(

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderflow.llm.common import materialize, texts
+from ladderflow.llm.common import materialize, small, texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: The strict forms.
@@ -169,7 +169,7 @@ def _count_words(bits: np.ndarray):
                         hit = memo[w] = bool(bits[zlib.crc32(w.encode("utf-8", "surrogatepass")) % BLOOM_BITS])
                     if hit:
                         total[w] += n
-            if len(memo) > 300_000:
+            if len(memo) > 150_000:
                 memo = {}
             if len(total) > 100_000:
                 yield rows()
@@ -190,7 +190,7 @@ def find(df: DataFrame, rounds: int = 3, min_support: int = 3, min_score: float
     if added is None:
         return base.withColumn("added", none)
     same = (base["doc_id"].eqNullSafe(added["doc_id"])) & (base["text_key"] == added["text_key"])
-    return base.join(added, same, "left").select(*(base[c] for c in base.columns), F.coalesce(added["added"], none).alias("added"))
+    return base.join(small(added, elements="added"), same, "left").select(*(base[c] for c in base.columns), F.coalesce(added["added"], none).alias("added"))
 
 
 def _bootstrap(found: DataFrame, docs: DataFrame, rounds: int, min_support: int, min_score: float) -> DataFrame | None:
@@ -241,9 +241,10 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; all columns stay, n_chars follows."""
     spans = find(docs).where("size(base) + size(added) > 0").select("doc_id", "text_key", all_spans().alias("_spans")).dropDuplicates(["doc_id", "text_key"])
+    spans = materialize(spans, "pii-spans")
     keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = keyed["doc_id"].eqNullSafe(spans["doc_id"]) & (keyed["_key"] == spans["text_key"])
-    both = keyed.join(spans, same, "left").select(*(keyed[c] for c in docs.columns), spans["_spans"])
+    both = keyed.join(small(spans, elements="_spans"), same, "left").select(*(keyed[c] for c in docs.columns), spans["_spans"])
     # pieces of the text between spans, from the sorted spans: begin of each piece is the end of the one before
     wide = F.array_sort(F.col("_spans"))
     clean = F.aggregate(

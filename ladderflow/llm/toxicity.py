@@ -34,7 +34,7 @@ WORD = re.compile(r"\w+")
 class Terms:
     """Hashed terms of texts; keeps the terms of words that it has met."""
 
-    def __init__(self, n_buckets: int, prefixes: tuple[int, ...] = (3, 4, 5, 6), cache_words: int = 300_000):
+    def __init__(self, n_buckets: int, prefixes: tuple[int, ...] = (3, 4, 5, 6), cache_words: int = 120_000):
         self.n_buckets, self.prefixes, self.limit = n_buckets, prefixes, cache_words
         self.known: dict[str, tuple[int, ...]] = {}
 
@@ -180,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows
     return fit([np.asarray(t, np.int32) for t in table["terms"]], (table["toxic"] > 0).to_numpy(), kept, n_buckets)
 
 
-def score(docs: DataFrame, model: Model | None, *keep: str, threshold: float = 0.3, n_buckets: int = 1 << 18) -> DataFrame:
-    """The kept columns, score and predicted of every text. keep names columns of docs; text may be among them."""
+def score(docs: DataFrame, model: Model | None, *keep: str, threshold: float = 0.3, n_buckets: int = 1 << 18, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The kept columns, score and predicted (under the given names) of every text. keep names columns of docs; text may be
+    among them."""
     source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_scored"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_scored")
 
@@ -190,9 +191,9 @@ def score(docs: DataFrame, model: Model | None, *keep: str, threshold: float = 0
         for b in batches:
             s = [model.score(hashed.of(t)) if model is not None else 0.0 for t in b.column("_scored").to_pylist()]
             own = [b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*keep, *names])
 
-    return source.mapInArrow(run, f"{fields}, score double, predicted int")
+    return source.mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` int")
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -204,7 +205,7 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with all their columns, whose prediction is not toxic.
 
-    The decision is made on (doc_id, text) alone; whole rows do not pass through Python but for the columns of docs.
+    The decision is made on the text alone.
     """
     model = train(docs, labels)
-    return score(docs, model, *docs.columns).where(F.col("predicted") == 0).select(*docs.columns)
+    return score(docs, model, *docs.columns, names=("_score", "_predicted")).where(F.col("_predicted") == 0).select(*docs.columns)
