@@ -10,7 +10,7 @@ from ladderflow.functions import text as T
 from ladderflow.operators import link
 from ladderflow.plans.catalog import query
 from ladderflow.plans.proxies import q, quantise, table
-from ladderflow.plans.text_queries import TITLES, titles
+from ladderflow.plans.text_queries import _BASE, _LINE_SQL, _SPEC, _TYPE, TITLES, _structure_sql, titles
 
 EVENTS = """ev AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS ts, CASE WHEN o_custkey % 11 = 0 THEN 'global' ELSE 'r' || CAST(o_custkey % 5 AS VARCHAR) END AS region FROM orders),
  l AS (SELECT * FROM ev WHERE id % 7 = 0), r AS (SELECT * FROM ev WHERE id % 7 = 1)"""
@@ -147,7 +147,21 @@ def prop_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(p, ["stat", "line"]).select("prop_id", "p_partkey")
 
 
-@query("type_compatibility", "P09 P10 P11 P13 X17", None)
+def _type_sql() -> str:
+    """P09 to P11 for pairs of titles a and b, from the SQL twins of the text rules."""
+    kind = lambda x: _BASE.replace("x,", f"lower({x}),")
+    line = lambda x: _LINE_SQL.format(x=f"lower({x})")
+    sides = {n: _structure_sql(f"lower({n})") for n in "ab"}
+    spec = lambda x: f"TRY_CAST(nullif(regexp_extract({x}, '{_SPEC}', 2), '') AS DOUBLE)"
+    return f"""WITH {TITLES}, p AS (SELECT l.p_partkey, l.t AS a, r.t AS b FROM title l JOIN title r ON r.p_partkey = l.p_partkey + 9),
+ k AS (SELECT *, {kind('a')} AS ka, CASE {kind('b')} WHEN 'TOTALS' THEN 'OVER_UNDER_25' WHEN 'SPREAD' THEN 'ASIAN_HANDICAP' ELSE 'MATCH_ODDS' END AS mt, {_TYPE.replace('(t)', '(a)')} AS ta FROM p)
+ SELECT p_partkey, CASE ka WHEN 'TOTALS' THEN mt = 'OVER_UNDER_25' WHEN 'SPREAD' THEN mt = 'ASIAN_HANDICAP' WHEN 'BTTS' THEN false ELSE mt = 'MATCH_ODDS' END
+ AND CASE WHEN ka IN ('TOTALS', 'SPREAD') THEN coalesce(abs({line('a')} - {line('b')}) <= 0.01, false) ELSE true END AS types,
+ {sides['a']['scope']} = {sides['b']['scope']} AND {sides['a']['kind']} = {sides['b']['kind']} AND ({sides['a']['kind']} <> 'player_prop' OR {sides['a']['subtype']} = {sides['b']['subtype']}) AS structures,
+ CASE WHEN ta = 'TOTALS' OR contains(lower(b), 'over') OR contains(lower(b), 'under') THEN coalesce({spec('a')} = {spec('b')}, false) WHEN ta = 'DRAW' THEN contains(lower(b), 'draw') OR contains(lower(b), 'tie') ELSE true END AS totals FROM k"""
+
+
+@query("type_compatibility", "P09 P10 P11 P13 X17", _type_sql())
 def type_compatibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each title against the title nine parts on (which has its form); known pairs are held in a test."""
     a = titles(spark, sf_dir).select("p_partkey", F.col("t").alias("a"))
