@@ -88,7 +88,7 @@ def _normal_side(s: Column, sport: str) -> Column:
     return s
 
 
-def overlap(poly: Column, other: Column, sport: str) -> Column:
+def overlap(title: Column, other: Column, sport: str) -> Column:
     """Every side of the first title fits a side of the second: by a shared word that is not generic, or by a generic
     one if one name holds the other; words that tell teams apart (state, tech, st, ...) must stand on both or neither."""
     arr = lambda xs: F.array(*map(F.lit, xs))
@@ -114,21 +114,21 @@ def overlap(poly: Column, other: Column, sport: str) -> Column:
         return (F.size(shared) > 0) & F.when(lone, contained).otherwise(ok)
 
     norm = lambda s: _normal_side(s, sport)
-    ps, bs = F.transform(sides(poly), norm), F.transform(sides(other), norm)
+    ps, bs = F.transform(sides(title), norm), F.transform(sides(other), norm)
     found = F.transform(ps, lambda p: F.exists(bs, lambda b: fits(p, b)))
     every, some = F.forall(found, lambda x: x), F.exists(found, lambda x: x)
     return F.when((F.size(ps) == 0) | (F.size(bs) == 0), True).when(F.size(ps) >= 2, every).otherwise(some)
 
 
-def guardrail(poly: Column, other: Column, poly_entities: Column, other_entities: Column) -> Column:
+def guardrail(title: Column, other: Column, title_entities: Column, other_entities: Column) -> Column:
     """Struct (ok, reason): a shared canonical name; else, if both titles have two sides, every side must share a
     clean word with one of the other; else a shared clean word."""
-    shared = F.size(F.array_intersect(poly_entities, other_entities)) > 0
+    shared = F.size(F.array_intersect(title_entities, other_entities)) > 0
     parts = lambda x: F.filter(F.transform(F.split(F.lower(x), r" vs\.? | v\.? | @ | - "), lambda s: F.trim(s)), lambda s: s != "")
-    ps, bs = parts(poly), parts(other)
+    ps, bs = parts(title), parts(other)
     both = (F.size(ps) >= 2) & (F.size(bs) >= 2)
     each = F.forall(ps, lambda p: F.exists(bs, lambda b: F.arrays_overlap(T.clean_tokens(p), T.clean_tokens(b))))
-    words = F.size(F.array_intersect(T.clean_tokens(poly), T.clean_tokens(other))) >= 1
+    words = F.size(F.array_intersect(T.clean_tokens(title), T.clean_tokens(other))) >= 1
     reason = F.when(shared, "shared_canonical").when(both & ~each, "no_double_side").when(words, "shared_tokens").otherwise("no_match")
     return F.struct(reason.isin("shared_canonical", "shared_tokens").alias("ok"), reason.alias("reason"))
 

@@ -40,7 +40,7 @@ def _clean_sql(x: str) -> str:
     return f"trim(regexp_replace({low}, '[^a-zA-Z0-9\\s]', '', 'g'))"
 
 
-T_ = T  # the module under a short name inside f-strings
+
 
 
 @query("normalize_titles", "X01 X05", f"""WITH {TITLES} SELECT p_partkey, array_to_string(list_filter({_words("regexp_replace(lower(t), '[^a-z\\s]', '', 'g')")}, lambda w: w NOT IN {_list(T.LEGACY_STOP)}), ' ') AS normal,
