@@ -122,12 +122,11 @@ OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edit
 def _run(n_samples: int):
     def run(batches):
         sampler = worker_cache(("sampler", n_samples), lambda: Sampler(n_samples))
-        before = None  # before: (bucket, doc_id, text, print) that waits for its follower
+        before = None  # (bucket, doc_id, text, its print or the place of it) that waits for its follower
 
         def rows(pairs):
-            ids, own, follow, prints, next_prints = zip(*pairs, strict=True)
-            changed = [edited(a, b) for a, b in zip(own, follow, strict=True)]
-            p, q, e = np.array(prints), np.array(next_prints), sampler.prints(changed)
+            ids, own, changed, prints, following, edits = zip(*pairs, strict=True)
+            p, q, e = np.array(prints), np.array(following), np.array(edits)
             hexed = lambda m: [bytes(x.astype(">u2").tobytes()).hex() for x in m]
             return pa.RecordBatch.from_arrays(
                 [
@@ -141,11 +140,21 @@ def _run(n_samples: int):
         for b in batches:
             bucket, tail = b.column("bucket").to_pylist(), b.column("tail").to_pylist()
             ids, text = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            prints, pairs = sampler.prints(text), []
+            work, plan = [], []  # a text stands beside the edited text that shares its words, so words are sampled once
             for i in range(len(ids)):
                 if before is not None and before[0] == bucket[i]:
-                    pairs.append((before[1], before[2], text[i], before[3], prints[i]))
-                before = None if tail[i] else (bucket[i], ids[i], text[i], prints[i])
+                    changed = edited(before[2], text[i])
+                    plan.append((before, changed, len(work), len(work) + 1))
+                    work += [changed, text[i]]
+                else:
+                    work.append(text[i])
+                before = None if tail[i] else (bucket[i], ids[i], text[i], len(work) - 1)
+            prints = sampler.prints(work)
+            pairs = []
+            for (_, doc_id, own, at), changed, e, q in plan:
+                pairs.append((doc_id, own, changed, prints[at] if isinstance(at, int) else at, prints[q], prints[e]))
+            if before is not None:  # waits for the next batch with its print
+                before = (*before[:3], prints[before[3]] if isinstance(before[3], int) else before[3])
             if pairs:
                 yield rows(pairs)
 
@@ -164,7 +173,8 @@ def fingerprints(df: DataFrame, n_samples: int = 64, bucket_rows: int = 3000, ma
     n = docs.count()
     if not n:
         return spark.createDataFrame([], OUT)
-    n_buckets = max(1, min(max_buckets, n // bucket_rows))
+    cores = spark.sparkContext.defaultParallelism
+    n_buckets = max(1, min(max_buckets, max(n // bucket_rows, min(cores, n // 64))))
     cuts = docs.select("key").agg(F.percentile_approx("key", [i / n_buckets for i in range(1, n_buckets)] or [0.5], 10 * n_buckets)).first()[0]
     cuts = sorted(set(cuts)) if n_buckets > 1 else []
     bucket = F.lit(0)
