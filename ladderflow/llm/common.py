@@ -29,7 +29,14 @@ def prepare(spark: SparkSession) -> None:
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the corpus, by Spark's own reader."""
     prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer input splits than cores (a small file) is dealt to all cores; others are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
 
 
 def scratch_dir(spark: SparkSession) -> str:
