@@ -1,11 +1,15 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by common blocks.
 
-1. Every line is hashed (blanks folded). Anchors are lines, and pairs of neighbouring lines, of at least ``anchor_words``
-   words. An anchor that several documents hold links each of them to the first of them (smallest doc_id): the number of
-   pairs grows with the anchors, never with the square of a group, and no anchor is too frequent.
-2. Each pair of documents is aligned by patience diff: lines that are unique in both give, by a longest increasing
-   subsequence, the fixed points, which grow up and down into common blocks.
-3. A common block of at least ``min_words`` words is deleted from the later document.
+A common block is a run of successive lines (blanks folded, blank lines included) of at least ``min_words`` words that
+also stands, line for line, in a document of smaller doc_id. Every line of a common block is deleted from the later
+document, wherever the block stands there or in the earlier one and however often.
+
+1. Every line is hashed. For each line the shortest run of ``min_words`` words that starts with it and the shortest that
+   ends with it are its windows: at most two for each line, whatever the length of the lines.
+2. A line x of a common block is in a window inside the block: if the block has ``min_words`` words up to x, the window
+   that ends with x starts inside it; else the window that starts with the block's first line reaches beyond x and ends
+   inside it. And each window is itself a block. So the lines to delete are those of the windows that an earlier document
+   holds: one minimum of doc_id for each window, with no pairs of documents and no choice of a partner.
 
 A deleted line always stands in an earlier document too, so the first copy of everything remains.
 
@@ -36,22 +40,56 @@ def line_key(line: str) -> tuple[int, int]:
     return h - (1 << 64) if h >= 1 << 63 else h, len(words)
 
 
-LINES = "doc_id long, text_key long, lines array<long>, words array<int>"
+WINDOWS = "doc_id long, text_key long, windows array<struct<window:long,low:int,high:int>>"
+#: Odd base (3 mod 4) of the window hashes modulo 2**64, and what a blank line counts as.
+BASE, BLANK = 0x9E3779B97F4A7C17, 0xD6E8FEB86659FD93
+
+
+def windows(lines: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(signed hash, first line, line after the last) of the shortest runs of min_words words from and to each line."""
+    import numpy as np
+
+    n = len(lines)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    if total[-1] < min_words:
+        return []
+    place = np.arange(n)
+    ends = np.searchsorted(total, total[:-1] + min_words, "left")
+    starts = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    runs = np.concatenate([np.stack([place, ends])[:, ends <= n], np.stack([starts, place + 1])[:, starts >= 0]], axis=1)
+    low, high = np.unique(runs, axis=1)
+    one = np.array(lines, dtype=np.int64).astype(np.uint64)
+    one[one == 0] = BLANK
+    powers = lambda x: np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n, x, dtype=np.uint64)]))
+    power, inverse = powers(BASE), powers(pow(BASE, -1, 1 << 64))
+    prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(one * power[:-1], dtype=np.uint64)])
+    hashes = ((prefix[high] - prefix[low]) * inverse[low]).view(np.int64)
+    return list(zip(hashes.tolist(), low.tolist(), high.tolist(), strict=True))
+
 
+def _windows(min_words: int):
+    """The distinct windows of each document."""
 
-def _lines(batches):
-    for b in batches:
-        hashes, words = [], []
-        for text in b.column("text").to_pylist():
-            keys = [line_key(x) for x in text.split("\n")]
-            hashes.append([k for k, _ in keys])
-            words.append([n for _, n in keys])
-        columns = [b.column("doc_id"), b.column("text_key"), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "lines", "words"])
+    def run(batches):
+        for b in batches:
+            found: tuple[list, list, list] = ([], [], [])
+            offsets = [0]
+            for text in b.column("text").to_pylist():
+                keys = [line_key(x) for x in text.split("\n")]
+                for row in windows([k for k, _ in keys], [n for _, n in keys], min_words):
+                    for column, x in zip(found, row, strict=True):
+                        column.append(x)
+                offsets.append(len(found[0]))
+            columns = [pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names=["window", "low", "high"]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), lists], names=["doc_id", "text_key", "windows"])
+
+    return run
 
 
 def align(early: list[int], late: list[int]) -> list[tuple[int, int, int]]:
-    """Patience diff: (place in early, place in late, length) of the aligned common blocks; blank lines are 0."""
+    """Patience diff of two documents: (place in early, place in late, length) of the aligned common blocks; blank lines are
+    0. It finds some of the common blocks only, so the dedup does not use it."""
     places: dict[int, list[int]] = {}
     for i, x in enumerate(early):
         places.setdefault(x, []).append(i)
@@ -95,46 +133,23 @@ def align(early: list[int], late: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
-def _deletions(min_words: int):
-    """Line numbers of the later document in common blocks of at least min_words words."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for early, late, words in zip(b.column("early").to_pylist(), b.column("lines").to_pylist(), b.column("words").to_pylist(), strict=True):
-                gone: list[int] = []
-                for _, j, n in align(early, late):
-                    if sum(words[j : j + n]) >= min_words:
-                        gone += range(j, j + n)
-                out.append(gone)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "text_key", "gone"])
-
-    return run
-
-
-def deletions(df: DataFrame, min_words: int = 25, anchor_words: int = 8) -> DataFrame:
+def deletions(df: DataFrame, min_words: int = 25) -> DataFrame:
     """doc_id, text_key and the sorted numbers of the lines to delete, for the documents that lose any."""
     docs = texts(df.where(F.col("doc_id").isNotNull()), "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key"))
-    lines = materialize(docs.mapInArrow(_lines, LINES), "dedup-lines")
-    one = F.zip_with("lines", "words", lambda h, n: F.when(n >= anchor_words, h))
-    two = F.zip_with(
-        F.zip_with("lines", F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull() & (a != 0) & (b != 0), F.xxhash64(a, b))),
-        F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: a + b),
-        lambda h, n: F.when(n >= anchor_words, h),
-    )
-    anchors = lines.select("doc_id", F.explode(F.array_distinct(F.array_compact(F.concat(one, two)))).alias("anchor"))
-    first = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor", "first")
-    pairs = anchors.join(first, "anchor").where("first < doc_id").select("doc_id", "first").distinct()
-    early = lines.groupBy(F.col("doc_id").alias("first")).agg(F.min("lines").alias("early"))
-    late = pairs.join(lines, "doc_id")
-    both = late.join(early, "first").select("doc_id", "text_key", "lines", "words", "early")
-    gone = both.mapInArrow(_deletions(min_words), "doc_id long, text_key long, gone array<int>").where("size(gone) > 0")
-    return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    held = materialize(docs.mapInArrow(_windows(min_words), WINDOWS), "dedup-windows").select("doc_id", "text_key", F.inline("windows"))
+    first = held.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
+    found = held.join(first, "window").where("first < doc_id").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("runs"))
+
+    def fresh(run, at):  # no run lies inside another, so the ends rise with the starts: only lines behind the last end are new
+        low = F.greatest(run["low"], F.coalesce(F.get("runs", at - 1)["high"], F.lit(0)))
+        return F.when(low < run["high"], F.sequence(low, run["high"] - 1)).otherwise(F.array().cast("array<int>"))
+
+    return found.select("doc_id", "text_key", F.flatten(F.transform("runs", fresh)).alias("gone"))
 
 
-def dedup(df: DataFrame, min_words: int = 25, anchor_words: int = 8) -> DataFrame:
+def dedup(df: DataFrame, min_words: int = 25) -> DataFrame:
     """The documents without the deleted lines, all columns kept (n_chars follows), with _lines and _gone (numbers)."""
-    gone = materialize(deletions(df, min_words, anchor_words), "dedup-gone")
+    gone = materialize(deletions(df, min_words), "dedup-gone")
     keyed = df.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
     same = (keyed["doc_id"] == gone["doc_id"]) & (keyed["_key"] == gone["text_key"])
     both = keyed.join(small(gone, elements="gone"), same, "left").select(*(keyed[c] for c in df.columns), gone["gone"].alias("_numbers"))
