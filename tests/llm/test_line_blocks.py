@@ -45,3 +45,10 @@ def test_random_documents(spark):
     vocabulary = ["", "  ", "a", "b b", "c c c", "d d d d d", "e " * 9]
     rows = [(i, "\n".join(vocabulary[k] for k in rng.integers(0, 7, rng.integers(1, 14)))) for i in range(80)]
     assert found(spark, rows, 8) == brute(rows, 8)
+
+
+def test_blocks_of_short_lines(spark):
+    verse = passage(1, 60, 3)
+    apart = passage(2, 60, 7).replace("\n", "\n\n")
+    rows = [(1, f"a\n{verse}"), (2, f"b\n{verse}\nc"), (3, f"d\n{apart}"), (4, f"{apart}\ne"), (5, f"f\n{passage(3, 24, 3)}"), (6, f"g\n{passage(3, 24, 3)}")]
+    assert found(spark, rows) == {2: list(range(1, 21)), 4: list(range(17))} == brute(rows, 25)
