@@ -55,19 +55,45 @@ def resolve_exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return keyed.join(last, ["sport", "alias_lc"], "left").drop("alias_lc")
 
 
-def resolve_fuzzy(names: DataFrame, aliases: DataFrame, least: int = 85) -> DataFrame:
-    """Exact, else the alias of the best token_sort_ratio among those that share a word, at least the threshold."""
+def resolve_fuzzy(names: DataFrame, aliases: DataFrame, least: int = 85, salts: int = 16) -> DataFrame:
+    """Exact, else the alias of the best token_sort_ratio among those that share a word, at least the threshold. The
+    names of a word are dealt to several tasks."""
     from ladderflow.functions.fuzzy import sort_ratio_column
 
     exact = resolve_exact(names, aliases)
     open_ = exact.where("canonical is null").select("name", "sport").distinct()
     words = lambda df, c: df.withColumn("w", F.explode(F.array_distinct(T.words(F.lower(c)))))
-    pairs = words(open_, "name").join(words(aliases, "alias"), ["sport", "w"]).select("sport", "name", "alias", "canonical").distinct()
+    dealt = words(open_, "name").withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(salts)).cast("int"))
+    copies = words(aliases, "alias").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = dealt.join(copies, ["sport", "w", "salt"]).select("sport", "name", "alias", "canonical").distinct()
     scored = pairs.withColumn("score", sort_ratio_column(F.col("name"), F.col("alias"))).where(F.col("score") >= least)
     best = scored.groupBy("sport", "name").agg(F.max_by("canonical", F.struct("score", "alias")).alias("fuzzy"))
     return exact.join(best, ["sport", "name"], "left").withColumn("canonical", F.coalesce("canonical", "fuzzy")).drop("fuzzy")
 
 
+def best_fuzzy(titles: DataFrame, salts: int = 16) -> DataFrame:
+    """For each title (id, kind, t) the other title of its kind of best token_sort_ratio among those that share a
+    word, ties to the smaller id, with both ratios. Equal texts are scored once: a title's equals are the two least ids of
+    its text. The left texts of a word are dealt to several tasks, and a pair is taken at its least word only."""
+    from ladderflow.functions.fuzzy import set_ratio_column, sort_ratio_column
+
+    least = F.row_number().over(Window.partitionBy("kind", "t").orderBy("id"))
+    two = titles.select("id", "kind", "t").withColumn("_rn", least).where("_rn <= 2")
+    texts = two.groupBy("kind", "t").agg(F.min("id").alias("first"), F.max("id").alias("second")).withColumn("ws", F.array_distinct(T.words(F.col("t")))).where("size(ws) > 0")
+    left = texts.select("kind", F.col("t").alias("left"), F.col("ws").alias("lw"), F.explode("ws").alias("w"), F.pmod(F.xxhash64("t"), F.lit(salts)).cast("int").alias("salt"))
+    right = texts.select("kind", F.col("t").alias("right"), F.col("ws").alias("rw"), "first", F.explode("ws").alias("w")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = left.join(right, ["kind", "w", "salt"]).where((F.col("left") != F.col("right")) & (F.col("w") == F.array_min(F.array_intersect("lw", "rw"))))
+    scored = pairs.select("kind", "left", "right", "first", sort_ratio_column(F.col("left"), F.col("right")).alias("score"))
+    other = scored.groupBy("kind", F.col("left").alias("t")).agg(F.min_by(F.struct("right", "first", "score"), F.struct(-F.col("score"), F.col("first"))).alias("o"))
+    known = texts.join(other, ["kind", "t"], "left").select("kind", "t", F.col("first").alias("_first"), F.col("second").alias("_second"), "o", sort_ratio_column(F.col("t"), F.col("t")).alias("_own"))
+    rows = titles.select(F.col("id").alias("left_id"), "kind", "t").join(known, ["kind", "t"])
+    same = F.when(F.col("left_id") != F.col("_first"), F.col("_first")).when(F.col("_second") != F.col("_first"), F.col("_second"))
+    rows = rows.withColumn("s", F.when(same.isNotNull(), F.struct(F.col("t").alias("right"), same.alias("first"), F.col("_own").alias("score"))))
+    ahead = F.col("o").isNull() | (F.col("s.score") > F.col("o.score")) | ((F.col("s.score") == F.col("o.score")) & (F.col("s.first") < F.col("o.first")))
+    rows = rows.withColumn("best", F.when(F.col("s").isNotNull() & ahead, F.col("s")).otherwise(F.col("o"))).where("best is not null")
+    return rows.select("left_id", F.col("best.first").alias("right_id"), F.col("best.score").alias("score"), set_ratio_column(F.col("t"), F.col("best.right")).alias("set_score"))
+
+
 def mentioned(texts: DataFrame, aliases: DataFrame, least_length: int = 3) -> DataFrame:
     """The canonical names whose aliases a text holds; the first word of an alias must be a word of the text, which
     makes the search an equality join."""

@@ -87,7 +87,7 @@ def dictionary_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("fuzzy_dictionary", "J16 X09 K12", None)
 def fuzzy_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    names = table(spark, sf_dir, "part").where("p_partkey <= 200").select(k.alias("id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("sport"), F.concat("p_name", F.lit("s")).alias("name"))
+    names = table(spark, sf_dir, "part").select(k.alias("id"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("sport"), F.concat("p_name", F.lit("s")).alias("name"))
     aliases = _aliases(spark, sf_dir).groupBy("sport", "alias").agg(F.max("canonical").alias("canonical"), F.max("version").alias("version"))
     return link.resolve_fuzzy(names, aliases)
 
@@ -114,13 +114,10 @@ def two_sided_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fuzzy_best_match", "J05 J06 J07 J09 L09 X09 X10", None)
 def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best and hybrid score of each title among those that share a word and a type."""
-    t = titles(spark, sf_dir).where("p_partkey <= 400").select("p_partkey", T.normalize_title(F.col("t")).alias("t"), T.market_type(F.col("t")).alias("kind"))
-    side = lambda n, cond: t.where(cond).select(F.col("p_partkey").alias(f"{n}_id"), F.col("t").alias(n), "kind", F.explode(F.array_distinct(T.words(F.col("t")))).alias("w"))
-    pairs = side("left", "p_partkey % 2 = 0").join(side("right", "p_partkey % 2 = 1"), ["kind", "w"]).select("left_id", "right_id", "left", "right").distinct()
-    scored = pairs.select("left_id", "right_id", fuzzy.sort_ratio_column(F.col("left"), F.col("right")).alias("score"), fuzzy.set_ratio_column(F.col("left"), F.col("right")).alias("set_score"))
-    scored = scored.withColumn("hybrid", fuzzy.hybrid_score(F.col("set_score"), F.lit(None).cast("boolean")))
-    return link.first_match(scored, F.desc("score"), "right_id").where("score > 50")
+    """Best and hybrid score of each title among all others that share a word and a type."""
+    t = titles(spark, sf_dir).select(F.col("p_partkey").alias("id"), T.normalize_title(F.col("t")).alias("t"), T.market_type(F.col("t")).alias("kind"))
+    scored = link.best_fuzzy(t).where("score > 50")
+    return scored.withColumn("hybrid", fuzzy.hybrid_score(F.col("set_score"), F.lit(None).cast("boolean")))
 
 
 @query("triangle_links", "J11 J10 J19", """WITH ab AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_linestatus = 'O' AND l_orderkey % 5 = 0), bc AS (SELECT DISTINCT l_partkey AS b, l_suppkey AS c FROM lineitem WHERE l_returnflag = 'R')
