@@ -50,9 +50,11 @@ def best_neighbours(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return best.join(means, "component").select("u", "component", F.col("b.v").alias("v"), F.col("b.weight").alias("weight"), "cluster_confidence")
 
 
-def logistic_fit(rows: DataFrame, features: list[str], label: str, epochs: int = 50, rate: float = 0.1) -> tuple[list[float], float]:
+def logistic_fit(rows: DataFrame, features: list[str], label: str, epochs: int = 200, rate: float = 0.1) -> tuple[list[float], float]:
     """Weights and bias of a logistic regression by full-batch descent from zero; each epoch is one aggregation, of
-    which only the gradient (one number for each feature) comes to the driver."""
+    which only the gradient (one number for each feature) comes to the driver. The rows are written once and read in each."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    rows = rows.select(*features, label).checkpoint()
     n = rows.count()
     weights, bias = [0.0] * len(features), 0.0
     for _ in range(epochs if n else 0):

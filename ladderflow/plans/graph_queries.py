@@ -110,7 +110,7 @@ def semantic_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("logistic_training", "G15 S22", None)
 def logistic_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ticks(spark, sf_dir).select((F.col("value") / 100).alias("x1"), (F.col("seq") % 2).cast("double").alias("x2"), (F.col("value") > 50).cast("int").alias("y"))
-    weights, bias = graph.logistic_fit(rows, ["x1", "x2"], "y", 10)
+    weights, bias = graph.logistic_fit(rows, ["x1", "x2"], "y")
     return spark.createDataFrame([("x1", weights[0]), ("x2", weights[1]), ("bias", bias)], "feature string, weight double")
 
 
