@@ -31,11 +31,12 @@ def first_match(candidates: DataFrame, *order: str | Column) -> DataFrame:
     return candidates.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
 
 
-def token_pairs(left: DataFrame, right: DataFrame, least: int = 2, least_length: int = 4) -> DataFrame:
-    """Pairs of (id, tokens array) that share at least so many tokens, one of them long enough."""
-    a = left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct("tokens")).alias("t"))
-    b = right.select(F.col("id").alias("right_id"), F.explode(F.array_distinct("tokens")).alias("t"))
-    pairs = a.join(b, "t").groupBy("left_id", "right_id").agg(F.count("*").alias("common"), F.count_if(F.length("t") >= least_length).alias("long"))
+def token_pairs(left: DataFrame, right: DataFrame, least: int = 2, least_length: int = 4, salts: int = 16) -> DataFrame:
+    """Pairs of (id, tokens array) that share at least so many tokens, one of them long enough. The right rows of a
+    token are dealt to several tasks."""
+    a = left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct("tokens")).alias("t")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b = right.select(F.col("id").alias("right_id"), F.explode(F.array_distinct("tokens")).alias("t"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    pairs = a.join(b, ["t", "salt"]).groupBy("left_id", "right_id").agg(F.count("*").alias("common"), F.count_if(F.length("t") >= least_length).alias("long"))
     return pairs.where((F.col("common") >= least) & (F.col("long") >= 1))
 
 

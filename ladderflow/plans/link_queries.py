@@ -67,6 +67,25 @@ def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.jaccard_top(*_tokens(spark, sf_dir)).withColumn("jaccard", quantise(F.col("jaccard")))
 
 
+def _whole_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All distinct words of both sides."""
+    words = F.array_distinct(T.words(F.lower("text")))
+    side = lambda t, k: table(spark, sf_dir, t).select(F.col(k).alias("id"), words.alias("tokens"))
+    return side("benchmark", "item_id"), side("documents", "doc_id")
+
+
+@query("token_join_whole_text", "J08 J12", None)
+def token_join_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_join_min2 without the prefix of its SQL: 2 shared words, one of them longer than 3."""
+    return link.token_pairs(*_whole_tokens(spark, sf_dir)).select("left_id", "right_id", "common")
+
+
+@query("jaccard_topk_whole_text", "L03 U04", None)
+def jaccard_topk_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """jaccard_topk without the prefix of its SQL."""
+    return link.jaccard_top(*_whole_tokens(spark, sf_dir)).withColumn("jaccard", quantise(F.col("jaccard")))
+
+
 _ALIASES = """al AS (SELECT 's' || CAST(p_partkey % 3 AS VARCHAR) AS sport, p_name AS alias, p_brand AS canonical, p_partkey AS version FROM part),
  la AS (SELECT sport, lower(alias) AS alias_lc, arg_max(canonical, version) AS canonical FROM al GROUP BY 1, 2)"""
 
