@@ -28,7 +28,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """id, component (least id reachable) of every id that has a link to another; links: u, v."""
+    """id, component (least id reachable) of every id that has a link to another; links: u, v. The number of rounds grows
+    with the logarithm of the links, so the limit is never met; if it were, that is an error and not a result."""
     edges = materialize(links.where("u <> v").select("u", "v").distinct(), "cc-links")
     mark = None
     for _ in range(rounds):
@@ -38,4 +39,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"links have no stable components after {rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())

@@ -10,10 +10,21 @@ A document's set holds its distinct shingles of five words; two documents link w
    (the likely source of a family of copies): the number of pairs grows with the rows of a group, not with their square.
    Linked sets become components.
 4. For groups that still hold several components, one of each list of members, signature trees are built: nodes hold
-   OR-combined bitmaps and size ranges, leaves hold documents. A dual traversal drops node pairs of one component, of sizes too far apart, and of too
-   small a maximum overlap. What remains is verified on the whole sets.
+   OR-combined bitmaps and size ranges, leaves hold documents. A dual traversal, a bounded number of node pairs at a time,
+   drops node pairs of one component, of sizes too far apart, and of too small a maximum overlap. A pair of sets is given
+   only by the first of the groups in which both are, so its rows do not multiply by the shingles that it shares. What
+   remains is verified on the whole sets.
 5. Large-star/small-star steps give the components of all links.
 
+Groups of more than ``part_rows`` sets in step 4 are dealt out in blocks: parts of the group's main component against parts
+of the other sets, and those against each other, so that a task holds at most two parts. In step 2 the groups of frequent
+shingles are split by ``salt_rows``. A shingle that no block of ``block`` shingles repeats is less than 2 / block of all
+shingles, and its group (a stream that is not held) less than 10 / block of all prefix rows: below one task's share as
+long as there are fewer than block / 10 tasks.
+
+Pairs in step 4 are those that bitmaps allow: sets of one family whose overlap is just too small for a link and that no
+component joins can still be many. They are compared, never dropped.
+
 Broadcast are only the list of frequent shingles (at most ``hot_rows``), ids of at most ``broadcast_ids`` documents and
 tables whose measured size is small; beyond that a shuffle join does the same.
 
@@ -276,79 +287,131 @@ class SignatureTree:
             }
             self.levels.append(level)
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all pairs of sets in different components that may link (dual traversal, from the root down)."""
-        a = b = np.zeros(1, np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            x = self.levels[depth]
-            if depth < len(self.levels) - 1:
-                step = np.arange(self.fanout)
-                a = (a[:, None, None] * self.fanout + step[None, :, None] + 0 * step[None, None, :]).reshape(-1)
-                b = (b[:, None, None] * self.fanout + step[None, None, :] + 0 * step[None, :, None]).reshape(-1)
-                keep = (a < len(x["low"])) & (b < len(x["low"])) & (a <= b)
-                a, b = a[keep], b[keep]
-            near = (x["high"][a] * 5 >= x["low"][b] * 4) & (x["high"][b] * 5 >= x["low"][a] * 4)
-            near &= ~(x["single"][a] & x["single"][b] & (x["one"][a] == x["one"][b]))
-            a, b = a[near], b[near]
-            shared = np.zeros(len(a), np.int64)
-            for i in range(0, len(a), 100_000):
-                p = slice(i, i + 100_000)
-                shared[p] = np.bitwise_count(x["bits"][a[p]] & x["bits"][b[p]]).sum(1, dtype=np.int64)
-            most = np.minimum(np.minimum(x["spare"][a], x["spare"][b]) + shared, np.minimum(x["high"][a], x["high"][b]))
-            keep = most * 9 >= (x["low"][a] + x["low"][b]) * 4
+    def walk(self, at_once: int = 8192):
+        """Places of all pairs of sets in different components that may link, in pieces: a dual traversal from the root
+        down, that opens at_once pairs of nodes at a time."""
+        step = np.arange(self.fanout)
+        waiting = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while waiting:
+            depth, a, b = waiting.pop()
+            if len(a) > at_once:
+                waiting.append((depth, a[at_once:], b[at_once:]))
+                a, b = a[:at_once], b[:at_once]
+            keep = self._may(self.levels[depth], a, b)
             a, b = a[keep], b[keep]
-        keep = a < b
-        return self.order[a[keep]], self.order[b[keep]]
+            if not len(a):
+                continue
+            if not depth:
+                keep = a < b
+                yield self.order[a[keep]], self.order[b[keep]]
+                continue
+            below = len(self.levels[depth - 1]["low"])
+            a = (a[:, None, None] * self.fanout + step[None, :, None] + 0 * step[None, None, :]).reshape(-1)
+            b = (b[:, None, None] * self.fanout + step[None, None, :] + 0 * step[None, :, None]).reshape(-1)
+            keep = (a < below) & (b < below) & (a <= b)
+            waiting.append((depth - 1, a[keep], b[keep]))
+
+    @staticmethod
+    def _may(x: dict, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs of nodes of a level may hold sets of different components that link."""
+        keep = (x["high"][a] * 5 >= x["low"][b] * 4) & (x["high"][b] * 5 >= x["low"][a] * 4)
+        keep &= ~(x["single"][a] & x["single"][b] & (x["one"][a] == x["one"][b]))
+        at = np.flatnonzero(keep)
+        a, b = a[at], b[at]
+        shared = np.bitwise_count(x["bits"][a] & x["bits"][b]).sum(1, dtype=np.int64)
+        most = np.minimum(np.minimum(x["spare"][a], x["spare"][b]) + shared, np.minimum(x["high"][a], x["high"][b]))
+        keep[at] = most * 9 >= (x["low"][a] + x["low"][b]) * 4
+        return keep
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """All of walk() at once."""
+        found = [*self.walk(), (np.empty(0, np.int64), np.empty(0, np.int64))]
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+#: side: sets of one side of a block are not compared with each other; those of side ANY are.
+ANY = 2
+TREE_ROWS = ("h", "part", "side", "rep", "n", "comp", "bits", "groups")
+
+
+def _group_pairs(h: int, side: np.ndarray, ids: np.ndarray, n: np.ndarray, comp: np.ndarray, raw: list[bytes], groups: list[list[int]]):
+    """Pieces of candidate pairs (u, v) of one block of one group, of which h is the first common group."""
+    if len(n) < 2 or (comp == comp[0]).all():
+        return
+    before: dict[int, frozenset] = {}
+
+    def earlier(i: int) -> frozenset:
+        if i not in before:
+            before[i] = frozenset(g for g in groups[i] if g < h)
+        return before[i]
+
+    for a, b in SignatureTree(n, fold(raw, BITS), np.where(side == ANY, comp, side)).walk():
+        ok = comp[a] != comp[b]
+        a, b = a[ok], b[ok]
+        ok = np.fromiter((earlier(i).isdisjoint(earlier(j)) for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+        a, b = a[ok], b[ok]
+        ok = pairs_may_link(n, raw, a, b)
+        if ok.any():
+            a, b = ids[a[ok]], ids[b[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
 
 
 def _tree_pairs(batches):
-    """Candidate pairs (u, v) of each (h, salt); rows come sorted by it. main: of the group's largest component; pairs
-    of others among themselves are left to the first part of a split group."""
+    """Candidate pairs (u, v) of each (h, part); rows come sorted by it."""
     held: list[pa.RecordBatch] = []
     key = None
 
     def solve():
         t = pa.Table.from_batches(held).combine_chunks()
-        h, salt = t.column("h").to_numpy(), t.column("part").to_numpy()
-        edge = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])
-        ids, n, comp, main = (t.column(c).to_numpy() for c in ("rep", "n", "comp", "main"))
-        raw = t.column("bits").to_pylist()
-        bits = fold(raw, BITS)
-        out = [np.empty((0, 2), np.int64)]
+        h, part = t.column("h").to_numpy(), t.column("part").to_numpy()
+        edge = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])])
+        side, ids, n, comp = (t.column(c).to_numpy() for c in ("side", "rep", "n", "comp"))
         for begin, end in zip(edge.tolist(), [*edge[1:].tolist(), len(h)], strict=True):
-            p = slice(begin, end)
-            if end - begin < 2 or (comp[p] == comp[begin]).all():
-                continue
-            a, b = SignatureTree(n[p], bits[p], comp[p]).pairs()
-            a, b = a + begin, b + begin
-            if salt[begin]:
-                mixed = main[a] | main[b]
-                a, b = a[mixed], b[mixed]
-            ok = pairs_may_link(n, raw, a, b)
-            out.append(np.stack([np.minimum(ids[a], ids[b])[ok], np.maximum(ids[a], ids[b])[ok]], 1))
-        found = np.unique(np.concatenate(out), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["u", "v"])
+            p, rows = slice(begin, end), t.slice(begin, end - begin)
+            yield from _group_pairs(int(h[begin]), side[p], ids[p], n[p], comp[p], rows.column("bits").to_pylist(), rows.column("groups").to_pylist())
 
     for b in batches:
         if not b.num_rows:
             continue
-        h, salt = b.column("h").to_numpy(), b.column("part").to_numpy()
-        tail = int(np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])])[-1])
-        if key != (h[0], salt[0]) and held:
-            yield solve()
+        h, part = b.column("h").to_numpy(), b.column("part").to_numpy()
+        tail = int(np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (part[1:] != part[:-1])])[-1])
+        if key != (h[0], part[0]) and held:
+            yield from solve()
             held = []
         if tail:  # all groups but the last are whole
             held.append(b.slice(0, tail))
-            yield solve()
+            yield from solve()
             held = []
         held.append(b.slice(tail))
-        key = (h[-1], salt[-1])
+        key = (h[-1], part[-1])
     if held:
-        yield solve()
+        yield from solve()
+
+
+def _blocks(rows: DataFrame, part_rows: int) -> DataFrame:
+    """rows (h, c, rep, n, comp, main) dealt out to blocks (part, side) of at most about 2 * part_rows of a group."""
+    if (rows.agg(F.max("c")).first()[0] or 0) <= part_rows:
+        return rows.select("h", F.lit(1).cast("long").alias("part"), F.lit(ANY).alias("side"), "rep", "n", "comp")
+    parts = rows.where(F.col("c") > part_rows).groupBy("h").agg(*(F.ceil(F.sum(x.cast("int")) / part_rows).cast("int").alias(name) for x, name in ((F.col("main"), "ms"), (~F.col("main"), "os"))))
+    rows = rows.join(small(materialize(parts, "jaccard-parts")), "h", "left")
+    own = lambda of: F.pmod(F.xxhash64("rep"), F.greatest(F.col(of), F.lit(1)).cast("bigint"))
+    place = lambda i, j, kind, side: F.struct(((i.cast("long") * (1 << 24) + j) * 2 + kind).alias("part"), side.cast("int").alias("side"))
+    upto = lambda of: F.when(F.col(of) > 0, F.sequence(F.lit(0), F.col(of) - 1)).otherwise(F.array().cast("array<int>"))
+    mixed = F.transform(upto("os"), lambda t: place(own("ms"), t, 0, F.lit(0)))
+    crossed = F.transform(upto("ms"), lambda t: place(t, own("os"), 0, F.lit(1)))
+    among = F.transform(upto("os"), lambda t: place(F.least(own("os"), t), F.greatest(own("os"), t), 1, F.when(own("os") == t, ANY).when(own("os") < t, 0).otherwise(1)))
+    whole = F.array(place(F.lit(0), F.lit(0), 1, F.lit(ANY)))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("ms").isNull(), whole).when(F.col("main"), mixed).otherwise(F.concat(crossed, among))))
+    return rows.select("h", "at.part", "at.side", "rep", "n", "comp")
+
+
+def _salted(pairs: DataFrame, side: str, salt_pairs: int) -> DataFrame:
+    """Of each id on a side: in how many parts its pairs are joined."""
+    return pairs.groupBy(side).agg((F.ceil(F.count("*") / salt_pairs)).cast("int").alias("parts"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """The pairs (u, v) whose whole sets link."""
+def verify(pairs: DataFrame, docs: DataFrame, broadcast_ids: int = 2_000_000, salt_pairs: int = 2_000) -> DataFrame:
+    """The pairs (u, v) whose whole sets link. The set of an id with many pairs goes to one part for each salt_pairs of them."""
     pairs = materialize(pairs.distinct(), "jaccard-pairs")
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     if ids.count() <= broadcast_ids:
@@ -362,17 +425,20 @@ def verify(pairs: DataFrame, docs: DataFrame, broadcast_ids: int = 2_000_000) ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
     sets = materialize(wanted.select("doc_id", "text").mapInArrow(run, "doc_id long, s array<long>"), "jaccard-sets")
-    a = sets.select(F.col("doc_id").alias("u"), F.col("s").alias("a"))
-    leaders = materialize(pairs.select("v").distinct(), "jaccard-leaders")
-    b = sets.select(F.col("doc_id").alias("v"), F.col("s").alias("b")).join(small(leaders), "v", "left_semi")
+    us, vs = (materialize(_salted(pairs, x, salt_pairs), "jaccard-parts") for x in "uv")
+    dealt = pairs.join(small(us), "u").withColumn("i", F.pmod(F.xxhash64("v"), F.col("parts").cast("bigint"))).drop("parts")
+    dealt = dealt.join(small(vs), "v").withColumn("j", F.pmod(F.xxhash64("u"), F.col("parts").cast("bigint"))).drop("parts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("parts") - 1).cast("long")))
+    a = sets.join(small(us), sets["doc_id"] == us["u"]).select("u", copies.alias("i"), F.col("s").alias("a"))
+    b = sets.join(small(vs), sets["doc_id"] == vs["v"]).select("v", copies.alias("j"), F.col("s").alias("b"))
     common = F.size(F.array_intersect("a", "b"))
-    linked = a.join(small(pairs), "u").join(b, "v").where(common * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v").distinct()
+    linked = a.join(small(materialize(dealt, "jaccard-dealt")), ["u", "i"]).join(b, ["v", "j"]).where(common * 9 >= (F.size("a") + F.size("b")) * 4).select("u", "v").distinct()
     linked = materialize(linked, "jaccard-links")
-    discard(pairs, sets, leaders)
+    discard(pairs, sets, us, vs)
     return linked
 
 
-def links(df: DataFrame, hot_rows: int = 200_000, hot_count: int = 4, block: int = 1_000_000, salt_rows: int = 100_000, part_rows: int = 50_000) -> tuple[DataFrame, DataFrame]:
+def links(df: DataFrame, hot_rows: int = 200_000, hot_count: int = 4, block: int = 1_000_000, salt_rows: int = 100_000, part_rows: int = 8192) -> tuple[DataFrame, DataFrame]:
     """(sets: doc_id, n, rep; links u, v between representatives). Each set's rep is its smallest doc_id."""
     spark = df.sparkSession
     docs = texts(df.where(F.col("doc_id").isNotNull()), "doc_id")
@@ -408,17 +474,16 @@ def links(df: DataFrame, hot_rows: int = 200_000, hot_count: int = 4, block: int
     mixed = rows.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("leads"), F.col("comp"))).alias("main"), *members)
     once = mixed.where("low <> high").groupBy("c", "m1", "m2").agg(F.min("h").alias("h"), F.min_by("main", "h").alias("main"))
     once = materialize(once.select("h", "c", "main"), "jaccard-groups")
-    parts = (F.col("c") / part_rows).cast("int") + 1
-    rows = rows.join(small(once), "h").withColumn("main", F.col("comp") == F.col("main"))
-    place = F.when(F.col("main"), F.array(F.pmod(F.xxhash64("rep"), parts.cast("bigint")).cast("int"))).otherwise(F.sequence(F.lit(0), parts - 1))
-    rows = rows.withColumn("part", F.explode(place)).select("h", "part", "rep", "n", "comp", "main")
+    rows = rows.join(small(once), "h").withColumn("main", F.coalesce(F.col("comp") == F.col("main"), F.lit(False)))
+    rows = _blocks(rows.select("h", "c", "rep", "n", "comp", "main"), part_rows)
     by_size = Window.partitionBy("h", "part").orderBy("n", "rep")
     fits = (F.lag("n").over(by_size) * 5 >= F.col("n") * 4) | (F.col("n") * 5 >= F.lead("n").over(by_size) * 4)
-    rows = rows.withColumn("fits", fits).where("fits").drop("fits")  # the others have no set of a fitting size beside them
-    rows = rows.join(classes.groupBy("rep").agg(F.first("bits").alias("bits")), "rep").select("h", "part", "rep", "n", "comp", "main", "bits")
+    rows = rows_written = materialize(rows.withColumn("fits", fits).where("fits").drop("fits"), "jaccard-rows")  # the others have no set of a fitting size beside them
+    groups = rows.groupBy("rep").agg(F.array_sort(F.collect_set("h")).alias("groups"))
+    rows = rows.join(classes.groupBy("rep").agg(F.first("bits").alias("bits")), "rep").join(groups, "rep").select(*TREE_ROWS)
     trees = rows.repartition(n_parts, "h", "part").sortWithinPartitions("h", "part").mapInArrow(_tree_pairs, "u long, v long")
     second = verify(trees, docs)
-    discard(grouped, info, once)
+    discard(grouped, info, once, rows_written)
     sets = one.join(small(classes.select("k1", "k2", "n", "rep")), ["k1", "k2", "n"], "left").select("doc_id", "n", "rep")
     return sets, first.union(second)
 
