@@ -2,9 +2,11 @@
 versions of those that SQL cannot express."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -101,32 +103,69 @@ def test_token_count(docs):
     assert token_count.count_tokens(docs.limit(0), BPE).collect() == []
 
 
+def best_of(rows, k):
+    """Brute force over all rows: {row of the query: [(rank, vec_id, score)]}, integers of any size."""
+    kept = [(i, v) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    whole = [(i, [math.floor(64 * x) for x in v]) for i, v in kept]
+    out = {}
+    for n, (q, a) in enumerate(whole):
+        if q is not None and q % 20 == 0:
+            scored = [(-sum(x * y for x, y in zip(a, b, strict=False)), x is None, x or 0) for m, (x, b) in enumerate(whole) if m != n]
+            out[n] = [(r, None if null else x, -s) for r, (s, null, x) in enumerate(sorted(scored)[:k], 1)]
+    return whole, out
+
+
+def same_lists(found, expected, whole):
+    """Each query's list, those of a repeated query_id one beside the other."""
+    got = Counter((r.query_id, r.rank, r.vec_id, r.score) for r in found)
+    return got == Counter((whole[n][0], *r) for n, rs in expected.items() for r in rs)
+
+
 def test_exact_search(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(130)]
-    rows += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [1.0] * 6), (220, [0.5] * 6), (240, [0.5] * 6), (260, [0.5] * 6), (280, [0.0] * 6), (7, rows[7][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("cell", F.lit("x"))
+    rows += [(200, None), (201, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (202, [float("nan")] * 6), (203, [float("inf")] * 6), (None, [1.0] * 6), (220, [0.5] * 6), (240, [0.5] * 6), (260, [0.5] * 6), (280, [0.0] * 6)]
+    rows += [(7, rows[7][1]), (1, [3.0] * 6), (1, [2.0] * 6), (20, [1.5] * 6), (20, rows[20][1]), (300, [2.0, 1.0]), (301, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("cell", F.lit("x")).withColumn("uid", F.lit(0))
     vectors = knn.integer_vectors(df)
-    data = {r.vec_id: np.array(r.v) for r in vectors.collect()}
-    assert set(data) == {*range(130), 220, 240, 260, 280}
-    for sizes in ({}, {"n_pivots": 9, "group_queries": 3, "block_rows": 17}, {"n_pivots": 1, "block_rows": 5}):
-        got: dict = {}
-        for r in knn.top_k(vectors, F.col("vec_id") % 20 == 0, 5, **sizes).collect():
-            got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-        for q in (i for i in data if i % 20 == 0):
-            best = sorted(((-int(data[q] @ data[x]), x) for x in data if x != q))[:5]
-            assert sorted(got[q]) == [(n, x, -s) for n, (s, x) in enumerate(best, 1)]
-    assert len({r.query_id for r in knn.top_k(vectors.where("vec_id in (20, 40)"), F.col("vec_id") % 20 == 0, 5).collect()}) == 2
+    whole, expected = best_of(rows, 5)
+    for sizes in ({}, {"n_pivots": 9, "group_queries": 3, "block_rows": 17}, {"n_pivots": 1, "block_rows": 5, "group_queries": 2}):
+        assert same_lists(knn.top_k(vectors, F.col("vec_id") % 20 == 0, 5, **sizes).collect(), expected, whole)
+    assert len({r.query_id for r in knn.top_k(vectors.where("vec_id in (40, 60)"), F.col("vec_id") % 20 == 0, 5).collect()}) == 2
     assert knn.top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_exact_search_of_large_numbers(spark):
+    big = float(2**24)
+    rows = [(i, [big + i * 2.0, 1.0 + i / 64, -big]) for i in range(40)] + [(40, [2.0**20, 1.0, 2.0**20])]
+    vectors = knn.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole, expected = best_of(rows, 7)
+    assert max(s for rs in expected.values() for _, _, s in rs) > 2**53
+    assert same_lists(knn.top_k(vectors, F.col("vec_id") % 20 == 0, 7, block_rows=9).collect(), expected, whole)
+    for x in (2.0**30, 1e300):  # a score, and a component, that no 64-bit integer holds
+        far = knn.integer_vectors(spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>"))
+        with pytest.raises(Exception, match="too large for a 64-bit integer"):
+            knn.top_k(far, F.col("vec_id") % 20 == 0).collect()
+
+
+def test_exact_search_sql(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i % 50, [float(x) for x in rng.normal(size=4)]) for i in range(120)] + [(20, None), (60, [1.0, float("nan"), 0.0, 0.0]), (61, [None, 1.0, 1.0, 1.0])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    twin = Counter(con.execute(knn.ORACLE).fetchall())
+    vectors = knn.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert twin == Counter((r.query_id, r.rank, r.vec_id, r.score) for r in knn.top_k(vectors, F.col("vec_id") % 20 == 0).collect())
+
+
 def test_cells_leave_out_what_cannot_matter():
     """Data far from all queries is not replicated."""
     pivots = np.array([[100.0, 0.0], [-100.0, 0.0]])
     data = __import__("pandas").DataFrame({"cell": [0, 1], "near": [[0.0, 1.0, 1.0], [0.0, 1.0, 2.0]]})
     queries = __import__("pandas").DataFrame({"cell": [0], "n": [5], "radius": [1.0], "norm": [101.0]})
     groups, need = knn.plan_groups(pivots, data, queries, 2, 10)
-    assert groups == {0: [0]} and need[0, 0] <= 1 and need[0, 1] > 50
+    assert groups == {0: 0} and need[0, 0] <= 1 and need[0, 1] > 50
 
 
 def brute_spans(text):
@@ -234,14 +273,16 @@ def test_line_dedup(spark, docs):
         (1, f"intro a\n{passage(1)}\n{passage(2, 5)}\nend"), (2, f"other start\n{passage(1)}\n{passage(2, 5)}\nown tail of two"), (3, passage(1)), (4, f"short line\n{passage(3, 6)}"), (5, f"short line\n{passage(3, 6)}"),
         (6, f"{passage(4, 13)}\n{passage(5, 13)}"), (7, f"lead\n{passage(4, 13)}\n{passage(5, 13)}\nlast"), (8, f"  {passage(1).replace(' ', '   ')}  \nx"), (9, None), (10, ""), (11, f"b\n{passage(6)}"), (11, f"b\n{passage(6)}"), (None, passage(1)),
     ]
-    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, gone string")
+    clash = "doc_id long, text string, gone string, _key string, _gone string, row string, n_lines string, `a.b` string"
+    df = spark.createDataFrame([(*r, *"kkkkkk") for r in rows], clash)
     got = {}
     for r in line_dedup.dedup(df).collect():
-        got.setdefault(r.doc_id, []).append(r)
-    text = {i: rs[0].text for i, rs in got.items()}
+        got.setdefault(r.row.doc_id, []).append(r)
+    assert all(tuple(r.row)[2:] == tuple("kkkkkk") for rs in got.values() for r in rs) and line_dedup.left_over(line_dedup.dedup(df)).columns == df.columns
+    text = {i: rs[0].row.text for i, rs in got.items()}
     assert text[1] == rows[0][1] and text[2] == "other start\nown tail of two" and text[3] == ""
     assert text[5] == rows[4][1] and text[6] == rows[5][1] and text[7] == "lead\nlast" and text[8] == "x" and text[9] is None and text[10] == ""
-    assert [r._gone for r in got[11]] == [0, 0] and text[None] == passage(1) and got[1][0].gone == "k"
+    assert [r.n_deleted for r in got[11]] == [0, 0] and text[None] == passage(1)
     assert len(line_dedup.digest(line_dedup.dedup(docs)).collect()) == len(TEXTS)
     assert line_dedup.dedup(df.limit(0)).collect() == []
 
@@ -250,6 +291,7 @@ def test_patience_alignment():
     assert line_dedup.align([1, 2, 3, 4], [9, 2, 3, 8]) == [(1, 1, 2)]
     assert line_dedup.align([1, 2, 3], [3, 2, 1]) in ([(0, 2, 1)], [(1, 1, 1)], [(2, 0, 1)])
     assert line_dedup.align([5, 5, 1, 5], [5, 5, 1, 7]) == [(0, 0, 3)]
+    assert line_dedup.align([1, 7, 2, 7, 3], [1, 8, 7, 2, 9, 3]) == [(0, 0, 1), (1, 2, 2), (4, 5, 1)]
     assert line_dedup.align([0, 0], [0, 0]) == [] and line_dedup.align([], [1]) == []
     rng = np.random.default_rng(2)
     for _ in range(300):
@@ -266,10 +308,10 @@ def test_dedup_deletes_only_what_stands_earlier(spark, real):
     for i in sorted(texts):
         for line in texts[i].split("\n"):
             first.setdefault(" ".join(line.split()), i)
-    for r in line_dedup.dedup(real).collect():
+    for n_deleted, r in ((r.n_deleted, r.row) for r in line_dedup.dedup(real).collect()):
         gone = Counter(texts[r.doc_id].split("\n")) - Counter(r.text.split("\n"))
         assert all(first[" ".join(x.split())] < r.doc_id for x in gone if x.strip())
-        if not r._gone:
+        if not n_deleted:
             assert r.text == texts[r.doc_id]
         for line in r.text.split("\n"):
             assert len(line.split()) < 50 or first[" ".join(line.split())] >= r.doc_id
