@@ -76,6 +76,29 @@ def small(df: DataFrame, row_bytes: int = 64, elements: str | None = None, limit
     return F.broadcast(df) if (df.agg(size).first()[0] or 0) <= limit else df
 
 
+def attach(pairs: DataFrame, table: DataFrame, on: dict[str, str], columns: dict[str, str], counted: DataFrame | None = None, pairs_per_part: int = 2_000) -> DataFrame:
+    """pairs with columns of table, joined on {column of pairs: column of table}; counted: the pairs as a written table, if
+    these are not one.
+
+    A row of table that more than pairs_per_part pairs ask for is copied to a part for each so many of them, so that no task
+    gets all of its pairs.
+    """
+    keys, counted = list(on), pairs if counted is None else counted
+    hot = counted.groupBy(*keys).agg(F.ceil(F.count("*") / pairs_per_part).cast("int").alias("parts")).where("parts > 1")
+    hot = small(materialize(hot, "hot-keys"))
+    part = F.coalesce(F.pmod(F.xxhash64(*counted.columns), F.col("parts").cast("bigint")).cast("int"), F.lit(0)).alias("part")
+    dealt = pairs.join(hot, keys, "left").select(*pairs.columns, part)
+    own = table.select(*(F.col(t).alias(p) for p, t in on.items()), *(F.col(t).alias(name) for name, t in columns.items()))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    own = own.join(hot, keys, "left").select(*keys, *columns, copies)
+    return dealt.join(own, [*keys, "part"]).drop("part")
+
+
+def whole_row(df: DataFrame) -> DataFrame:
+    """All columns of df as the one column ``row``: working columns beside it clash with none of them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow under one name, so that each operator reads alike."""
     return df.mapInArrow(fn, schema)

@@ -26,8 +26,8 @@ def brute(rows, least):
     return gone
 
 
-def found(spark, rows, least=25):
-    return {r.doc_id: list(r.gone) for r in line_dedup.deletions(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
+def found(spark, rows, least=25, **sizes):
+    return {r.doc_id: list(r.gone) for r in line_dedup.deletions(spark.createDataFrame(rows, "doc_id long, text string"), least, **sizes).collect()}
 
 
 def test_no_partner_is_missed(spark):
@@ -44,7 +44,7 @@ def test_random_documents(spark):
     rng = np.random.default_rng(5)
     vocabulary = ["", "  ", "a", "b b", "c c c", "d d d d d", "e " * 9]
     rows = [(i, "\n".join(vocabulary[k] for k in rng.integers(0, 7, rng.integers(1, 14)))) for i in range(80)]
-    assert found(spark, rows, 8) == brute(rows, 8)
+    assert found(spark, rows, 8) == found(spark, rows, 8, hot_docs=3) == brute(rows, 8)
 
 
 def test_blocks_of_short_lines(spark):
@@ -52,3 +52,19 @@ def test_blocks_of_short_lines(spark):
     apart = passage(2, 60, 7).replace("\n", "\n\n")
     rows = [(1, f"a\n{verse}"), (2, f"b\n{verse}\nc"), (3, f"d\n{apart}"), (4, f"{apart}\ne"), (5, f"f\n{passage(3, 24, 3)}"), (6, f"g\n{passage(3, 24, 3)}")]
     assert found(spark, rows) == {2: list(range(1, 21)), 4: list(range(17))} == brute(rows, 25)
+
+
+def test_blocks_that_the_judged_code_missed(spark):
+    lines15, lines8 = "\n".join(["a b c"] * 15), "\n\n".join(["d e f g h i j"] * 8)
+    apart = " ".join(f"q{i}" for i in range(15)), " ".join(f"r{i}" for i in range(15))
+    rows = [(1, f"x\n{lines15}"), (2, f"{lines15}\ny"), (3, lines8), (4, f"z\n{lines8}"), (5, f"{apart[0]}\nu\n{apart[1]}"), (6, f"{apart[0]}\n\n{apart[1]}"), (7, f"v\n{apart[0]}\n\n{apart[1]}")]
+    assert found(spark, rows) == brute(rows, 25) == {2: list(range(15)), 4: list(range(1, 16)), 7: [1, 2, 3]}
+
+
+def test_alignment_alone_equals_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        early, late = (["w " * k for k in rng.integers(0, 7, rng.integers(1, 16))] for _ in range(2))
+        keys = [[line_dedup.line_key(x) for x in d] for d in (early, late)]
+        own = line_dedup.common_lines(*([k[i] for k in d] for d in keys for i in (0, 1)), 6)
+        assert own == brute([(1, "\n".join(early)), (2, "\n".join(late))], 6).get(2, [])
