@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ladderflow.llm import jaccard_join, line_dedup, packing, pii, queries, toxicity
 from ladderflow.llm.common import materialize, prepare, read
@@ -23,8 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes aligned common blocks from later documents; documents of which nothing is left go."""
     prepare(spark)
-    out = line_dedup.dedup(docs)
-    return out.where((F.col("_gone") == 0) | (F.regexp_replace("text", r"\s+", "") != "")).select(*docs.columns)
+    return line_dedup.left_over(line_dedup.dedup(docs))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
