@@ -1,31 +1,36 @@
 """Personal data by bootstrapped contextual extraction.
 
 1. Seeds: every whole text is searched for e-mail addresses, IP addresses, card numbers and phone numbers in their
-   strict forms (the base spans). Number-like and address-like strings that miss the strict forms are candidates.
-2. The words left and right of seeds and candidates are lexical patterns. Patterns and instances form a graph.
-3. Spark scores the graph in rounds: a pattern's confidence is the summed score of its instances over all occurrences of
-   its word in the whole corpus, an instance's score is the noisy-or of its patterns; seeds stay at 1.
-4. Candidates of high score become additional spans of the pattern's kind. Base spans always stay.
-
-Occurrences of pattern words are counted in a second pass, which finds them by a Bloom filter of fixed size.
-
-Defined results: null text is the empty text, without spans. Additional spans never overlap base spans. Repeated rows
-give repeated results; a null doc_id is kept; extra columns are ignored. Spans count code points, ends exclusive.
+   strict forms (the base spans). Candidates are all other identifiers: runs of at least four digits, codes of letters and
+   digits around such a run, and addresses that miss the strict form.
+2. The words beside an instance are its lexical patterns: one or two words to the left, one or two to the right, and the
+   words of both sides together. Patterns and instances form a graph.
+3. Spark scores the graph in rounds. Of a pattern with at least ``min_support`` known instances, the confidence for a kind is
+   ``pos / (1 + pos + unknown / 3 + other)`` over the occurrences in its slot: pos is the summed score of known instances,
+   unknown those whose form would fit the kind, other the rest. A candidate's score is the noisy-or of its patterns, each
+   weighed by its share of the candidate's occurrences, so that a frequent number is not known by one good place.
+4. Candidates of at least ``min_score`` (``odd_score`` if their form does not fit the kind) are promoted: they are known
+   instances of the next round and induce patterns of their own. Rounds end when nothing new is promoted, or at ``rounds``.
+5. Promoted candidates are the additional spans, wherever they stand. Base spans always stay.
+
+Joins carry only patterns of some confidence and promoted candidates; both are broadcast only if measured to be small.
+
+Defined results: null text is the empty text, without spans. Additional spans never overlap base spans or each other.
+Repeated rows give repeated results; a null doc_id is kept; extra columns of any name are kept by redact() and ignored by
+find(). Of kinds of equal score the first listed counts. Spans count code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderflow.llm.common import materialize, small, texts
+from ladderflow.llm.common import discard, materialize, small, texts, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 #: The strict forms.
@@ -37,7 +42,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 RUN = re.compile(r"[0-9+][0-9+().\x20-]*")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LOOSE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+")
-BLOOM_BITS = 1 << 20
+VEILED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]+)*", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -84,43 +89,61 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def fits(part: str) -> int:
+    """Kinds (bit k for KINDS[k]) whose form a run of digits and separators would fit."""
+    digits = sum(c.isdigit() for c in part)
+    groups = part.split(".")
+    if len(groups) >= 4 and all(g.isdigit() for g in groups):
+        return 1 << 1
+    return (1 << 2) * (12 <= digits <= 19) + (1 << 3) * (7 <= digits <= 15)
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of looser forms that overlap no base span."""
+    """(start, end, fitting kinds) of identifiers that overlap no base span and none of each other: from the left, the longest."""
     found = []
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in LOOSE.finditer(text)]
+        found += [(m.start(), m.end(), 1) for m in LOOSE.finditer(text)]
+    low = text.lower()
+    if "at]" in low or "at)" in low or "at ]" in low or "at )" in low:
+        found += [(m.start(), m.end(), 1) for m in VEILED.finditer(text)]
     for run in RUN.finditer(text):
         part = run.group().rstrip("+().- ")
-        digits = sum(c.isdigit() for c in part)
-        if digits < 7:
+        if sum(c.isdigit() for c in part) < 4:
             continue
-        groups = part.split(".")
-        if len(groups) >= 4 and all(g.isdigit() for g in groups):
-            found.append((run.start(), 1, run.start() + len(part)))
-        elif digits <= 19:
-            found.append((run.start(), 3 if digits < 12 else 2, run.start() + len(part)))
-    taken = [(a, b) for a, _, b in base]
-    out, i = [], 0
-    for a, k, b in sorted(found):
-        while i < len(taken) and taken[i][1] <= a:
+        begin, end, kinds = run.start(), run.start() + len(part), None
+        while begin and text[begin - 1].isalnum() and text[begin - 1].isascii():
+            begin, kinds = begin - 1, 0
+        while end < len(text) and text[end].isalnum() and text[end].isascii():
+            end, kinds = end + 1, 0
+        found.append((begin, end, fits(part) if kinds is None else kinds))
+    taken = sorted((x, y) for x, _, y in base)
+    out, i, last = [], 0, 0
+    for begin, end, kinds in sorted(found, key=lambda x: (x[0], -x[1])):
+        while i < len(taken) and taken[i][1] <= begin:
             i += 1
-        if not any(x < b and y > a for x, y in taken[max(0, i - 4) : i + 4]):
-            out.append((a, k, b))
+        if begin >= last and not any(x < end and y > begin for x, y in taken[max(0, i - 4) : i + 4]):
+            out.append((begin, end, kinds))
+            last = end
     return out
 
 
-def context(text: str, begin: int, end: int, window: int = 48) -> tuple[str, str]:
-    """The lower-cased words beside a span; empty at the edge of the text."""
-    left = text[max(0, begin - window) : begin].split()
-    right = text[end : end + window].split()
-    return (left[-1].lower() if left else ""), (right[0].lower() if right else "")
+def patterns(text: str, begin: int, end: int, window: int = 48) -> list[int]:
+    """Signed 64-bit hashes of the patterns beside a span: none for a side at the edge of the text."""
+    import xxhash
+
+    left = text[max(0, begin - window) : begin].lower().split()[-2:]
+    right = text[end : end + window].lower().split()[:2]
+    named = [("L", left[-1:]), ("LL", left if len(left) > 1 else []), ("R", right[:1]), ("RR", right if len(right) > 1 else []), ("LR", left[-1:] + right[:1] if left and right else [])]
+    hashes = (xxhash.xxh3_64_intdigest(" ".join([side, *words]).encode("utf-8", "surrogatepass")) for side, words in named if words)
+    return [h - (1 << 64) if h >= 1 << 63 else h for h in hashes]
 
 
 SPAN = "struct<s:int,k:int,e:int>"
-INSTANCE = "struct<s:int,k:int,e:int,value:bigint,left:string,right:string,seed:boolean>"
+#: k: the kind of a seed, -1 of a candidate; fits: the kinds whose form it would fit, one bit each.
+INSTANCE = "struct<s:int,k:int,e:int,fits:int,value:bigint,patterns:array<bigint>>"
 FOUND = f"doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{SPAN}>, inst array<{INSTANCE}>"
 _SPAN = pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())])
-_INSTANCE = pa.struct([*_SPAN, ("value", pa.int64()), ("left", pa.string()), ("right", pa.string()), ("seed", pa.bool_())])
+_INSTANCE = pa.struct([*_SPAN, ("fits", pa.int32()), ("value", pa.int64()), ("patterns", pa.list_(pa.int64()))])
 
 
 def joined(spans) -> str:
@@ -128,19 +151,20 @@ def joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def instances(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """Seeds and candidates of a text, as rows of INSTANCE."""
+    spans = [(s, k, e, 1 << k) for s, k, e in base] + [(s, -1, e, kinds) for s, e, kinds in candidates(text, base)]
+    value = lambda x: int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return [{"s": s, "k": k, "e": e, "fits": kinds, "value": value(text[s:e]), "patterns": patterns(text, s, e)} for s, k, e, kinds in spans]
+
+
 def _search(batches):
     for b in batches:
         columns: list[list] = [[] for _ in range(7)]
         for text in b.column("text").to_pylist():
             base = base_spans(text)
             count = Counter(k for _, k, _ in base)
-            inst = []
-            for spans, seed in ((base, True), (candidates(text, base), False)):
-                for s, k, e in spans:
-                    left, right = context(text, s, e)
-                    value = int.from_bytes(hashlib.blake2b(text[s:e].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-                    inst.append({"s": s, "k": k, "e": e, "value": value, "left": left, "right": right, "seed": seed})
-            row = [*(count[k] for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), [{"s": s, "k": k, "e": e} for s, k, e in base], inst]
+            row = [*(count[k] for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), [{"s": s, "k": k, "e": e} for s, k, e in base], instances(text, base)]
             for column, x in zip(columns, row, strict=True):
                 column.append(x)
         kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(_SPAN), pa.list_(_INSTANCE)]
@@ -148,43 +172,12 @@ def _search(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
 
-def _count_words(bits: np.ndarray):
-    """Occurrences of the words that the Bloom filter holds, one row for each word and task."""
-
-    def run(batches):
-        memo: dict[str, bool] = {}
-        total: Counter[str] = Counter()
-
-        def rows():
-            words = list(total)
-            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([total[w] for w in words], pa.int64())], names=["word", "n"])
-            total.clear()
-            return out
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                for w, n in Counter(text.lower().split()).items():
-                    hit = memo.get(w)
-                    if hit is None:
-                        hit = memo[w] = bool(bits[zlib.crc32(w.encode("utf-8", "surrogatepass")) % BLOOM_BITS])
-                    if hit:
-                        total[w] += n
-            if len(memo) > 150_000:
-                memo = {}
-            if len(total) > 100_000:
-                yield rows()
-        if total:
-            yield rows()
-
-    return run
-
-
-def find(df: DataFrame, rounds: int = 3, min_support: int = 3, min_score: float = 0.6) -> DataFrame:
+def find(df: DataFrame, rounds: int = 4, min_support: int = 3, min_score: float = 0.6, odd_score: float = 0.9) -> DataFrame:
     """doc_id, text_key, base counts and digest, base and added array<struct<s, k, e>> of every document."""
     docs = texts(df, "doc_id")
     found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_search, FOUND)
     found = materialize(found, "pii-base")
-    added = _bootstrap(found, docs, rounds, min_support, min_score)
+    added = _bootstrap(found, rounds, min_support, min_score, odd_score)
     none = F.array().cast(f"array<{SPAN}>")
     base = found.drop("inst")
     if added is None:
@@ -193,34 +186,61 @@ def find(df: DataFrame, rounds: int = 3, min_support: int = 3, min_score: float
     return base.join(small(added, elements="added"), same, "left").select(*(base[c] for c in base.columns), F.coalesce(added["added"], none).alias("added"))
 
 
-def _bootstrap(found: DataFrame, docs: DataFrame, rounds: int, min_support: int, min_score: float) -> DataFrame | None:
-    """doc_id, text_key, added spans of the documents that have any; None if there are no candidates or patterns."""
-    inst = found.select("doc_id", "text_key", F.explode("inst").alias("i")).select("doc_id", "text_key", "i.*")
-    beside = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("word")), F.struct(F.lit("R").alias("side"), F.col("right").alias("word"))))
-    edges = inst.withColumn("p", beside).select("k", "p.side", "p.word", "value", "seed").where("word <> ''")
-    edges = edges.groupBy("k", "side", "word", "value").agg(F.max("seed").alias("seed"), F.count("*").alias("n"))
-    support = edges.groupBy("k", "side", "word").agg(F.sum(F.col("seed").cast("int")).alias("seeds"), F.count("*").alias("values"))
-    support = materialize(support.where(F.col("seeds") >= min_support).where(F.col("values") > F.col("seeds")), "pii-support")
-    if support.isEmpty():  # a pattern matters only if it has seeds, and candidates besides
+def _bit(mask: Column, k: Column) -> Column:
+    """Whether bit k of mask is set."""
+    return F.get(F.array(*(mask.bitwiseAND(1 << x) != 0 for x in range(len(KINDS)))), k)
+
+
+def promoted(inst: DataFrame, rounds: int, min_support: int, min_score: float, odd_score: float) -> DataFrame | None:
+    """(value, k, score) of the promoted candidates, a written table; None if there are none. inst: rows of INSTANCE."""
+    edges = inst.select("value", "k", "fits", F.explode("patterns").alias("p")).groupBy("p", "value", "k", "fits").agg(F.count("*").alias("n"))
+    totals = inst.where("k < 0").groupBy("value").agg(F.count("*").alias("places"))
+    by_kind = [F.sum(F.when(F.col("fits").bitwiseAND(1 << k) != 0, F.col("n")).otherwise(0)).alias(f"fits{k}") for k in range(4)]
+    seeds = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"pos{k}") for k in range(4)] + [F.sum((F.col("k") == k).cast("int")).alias(f"known{k}") for k in range(4)]
+    edges = materialize(edges, "pii-edges")
+    stats = edges.groupBy("p").agg(F.count("*").alias("values"), F.sum("n").alias("n"), F.sum((F.col("k") < 0).cast("int")).alias("open"), *by_kind, *seeds)
+    # a pattern matters only with enough instances, and with candidates to promote
+    stats = materialize(stats.where((F.col("values") >= min_support) & (F.col("open") > 0)), "pii-patterns")
+    if stats.isEmpty():
+        discard(edges, stats)
         return None
-    positions = support.select((F.crc32("word") % BLOOM_BITS).alias("at")).distinct().collect()  # at most BLOOM_BITS numbers
-    bits = np.zeros(BLOOM_BITS, bool)
-    bits[[r["at"] for r in positions]] = True
-    totals = docs.select("text").mapInArrow(_count_words(bits), "word string, n long").groupBy("word").agg(F.sum("n").alias("total"))
-    patterns = support.join(totals, "word", "left").select("k", "side", "word", F.coalesce("total", F.lit(0)).alias("total"))
-    keys = ["k", "side", "word"]
-    graph = materialize(edges.join(patterns, keys), "pii-graph")
-    score = graph.select("k", "value", F.col("seed").cast("double").alias("score")).groupBy("k", "value").agg(F.max("score").alias("score"))
+    open_edges = edges.where("k < 0").join(small(stats.select("p")), "p", "left_semi").join(totals, "value").select("p", "value", "fits", "n", "places")
+    open_edges = materialize(open_edges, "pii-open")
+    kinds = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"fits{k}").alias("fitting"), F.col(f"pos{k}").cast("double").alias("pos"), F.col(f"known{k}").alias("known")) for k in range(4)))
+    slots = stats.select("p", "n", F.explode(kinds).alias("x")).select("p", "n", "x.*")
+    best, n_best = None, 0
     for _ in range(rounds):
-        weighed = graph.join(score, ["k", "value"])
-        confidence = weighed.groupBy(*keys).agg((F.sum(F.col("score") * F.col("n")) / (1 + F.greatest(F.max("total"), F.sum("n")))).alias("confidence"))
-        again = graph.join(confidence, keys).groupBy("k", "value").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("confidence", F.lit(0.99)))).alias("doubt"))
-        score = materialize(again.select("k", "value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("doubt")).alias("score")), "pii-score")
-    good = score.where(F.col("score") >= min_score).select("k", "value")
-    chosen = inst.where(~F.col("seed")).join(good, ["k", "value"], "left_semi")
+        known = slots.withColumn("seen", F.col("pos"))  # occurrences of known instances that fit
+        if best is not None:
+            more = open_edges.join(small(best.select("value", "k", "score")), "value").groupBy("p", "k").agg(
+                F.sum(F.col("score") * F.col("n")).alias("more"), F.count("*").alias("ones"), F.sum(F.when(_bit(F.col("fits"), F.col("k")), F.col("n")).otherwise(0)).alias("fit"))
+            known = known.join(more, ["p", "k"], "left").fillna(0, ["more", "ones", "fit"])
+            known = known.select("p", "n", "k", "fitting", (F.col("pos") + F.col("more")).alias("pos"), (F.col("known") + F.col("ones")).alias("known"), (F.col("seen") + F.col("fit")).alias("seen"))
+        unknown = F.greatest(F.col("fitting") - F.col("seen"), F.lit(0))
+        confidence = F.col("pos") / (1 + F.col("pos") + unknown / 3 + (F.col("n") - F.col("fitting")))
+        sure = known.where(F.col("known") >= min_support).select("p", "k", F.least(confidence, F.lit(0.99)).alias("confidence")).where("confidence >= 0.1")
+        sure = materialize(sure, "pii-confidence")
+        scored = open_edges.join(small(sure), "p").groupBy("value", "k").agg(F.max("fits").alias("fits"), F.sum(F.log1p(-F.col("confidence")) * F.col("n") / F.col("places")).alias("doubt"))
+        scored = scored.select("value", "k", (1 - F.exp("doubt")).alias("score"), F.when(_bit(F.col("fits"), F.col("k")), min_score).otherwise(odd_score).alias("least")).where("score >= least")
+        before, best = best, materialize(scored.groupBy("value").agg(F.max_by(F.struct("k", "score"), F.struct("score", -F.col("k"))).alias("x")).select("value", "x.*"), "pii-promoted")
+        discard(sure, *([before] if before is not None else []))
+        now = best.count()
+        if now == n_best:
+            break
+        n_best = now
+    discard(edges, stats, open_edges)
+    return best if n_best else None
+
+
+def _bootstrap(found: DataFrame, rounds: int, min_support: int, min_score: float, odd_score: float) -> DataFrame | None:
+    """doc_id, text_key, added spans of the documents that have any; None if nothing is promoted."""
+    inst = found.select("doc_id", "text_key", F.explode("inst").alias("i")).select("doc_id", "text_key", "i.*")
+    best = promoted(inst, rounds, min_support, min_score, odd_score)
+    if best is None:
+        return None
+    chosen = inst.where("k < 0").drop("k").join(small(best), "value")
     spans = chosen.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("s", "k", "e"))).alias("added"))
-    spans = materialize(spans, "pii-added")
-    return None if spans.isEmpty() else spans
+    return materialize(spans, "pii-added")
 
 
 def all_spans() -> Column:
@@ -240,22 +260,22 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; all columns stay, n_chars follows."""
-    spans = find(docs).where("size(base) + size(added) > 0").select("doc_id", "text_key", all_spans().alias("_spans")).dropDuplicates(["doc_id", "text_key"])
+    spans = find(docs).where("size(base) + size(added) > 0").select(F.col("doc_id").alias("of"), "text_key", all_spans().alias("spans")).dropDuplicates(["of", "text_key"])
     spans = materialize(spans, "pii-spans")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = keyed["doc_id"].eqNullSafe(spans["doc_id"]) & (keyed["_key"] == spans["text_key"])
-    both = keyed.join(small(spans, elements="_spans"), same, "left").select(*(keyed[c] for c in docs.columns), spans["_spans"])
-    # pieces of the text between spans, from the sorted spans: begin of each piece is the end of the one before
-    wide = F.array_sort(F.col("_spans"))
+    keyed = whole_row(docs).withColumn("key", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("of")) & (F.col("key") == F.col("text_key"))
+    both = keyed.join(small(spans, elements="spans"), same, "left").select("row", "spans")
+    text = F.col("row.text")
+    # pieces of the text between spans: begin of each piece is the end of the one before
     clean = F.aggregate(
-        wide, F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
+        "spans", F.struct(F.lit("").alias("done"), F.lit(0).alias("at")),
         lambda acc, x: F.when(x["s"] < acc["at"], acc).otherwise(F.struct(
-            F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), F.get(F.array(*map(F.lit, KINDS)), x["k"]), F.lit(">")).alias("done"),
+            F.concat(acc["done"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), F.get(F.array(*map(F.lit, KINDS)), x["k"]), F.lit(">")).alias("done"),
             x["e"].alias("at"),
         )),
-        lambda acc: F.concat(acc["done"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
+        lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    out = both.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean))
+    new = F.col("row").withField("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return out.select(*docs.columns)
+        new = new.withField("n_chars", F.length(clean).cast(docs.schema["n_chars"].dataType))
+    return both.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(new).alias("row")).select("row.*")

@@ -199,6 +199,8 @@ def test_pii_finds_more_in_known_contexts(spark, docs):
     assert got[105][0].n_email == 3000 and len(got[5]) == 3 and got[103][0].base_sha256 == hashlib.sha256(b"").hexdigest()
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean[100] == "ring tel: <phone> now" and clean[103] is None and clean[102] == "serial 99887766 here" and "@" not in clean[105]
+    clash = spark.createDataFrame([(1, "mail a@b.co", "x", "y", "z")], "doc_id long, text string, _key string, _spans string, spans string")
+    assert tuple(pii.redact(clash).first()) == (1, "mail <email>", "x", "y", "z")
     assert len(pii.digest(pii.find(docs)).collect()) == len(TEXTS)
     assert pii.digest(pii.find(df.limit(0))).collect() == [] and pii.redact(docs).columns == docs.columns
 
