@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ladderflow.operators.scratch import scratch_dir
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the session's shared folder; sets one of our own only where none is named."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    """Uses the session's shared folder; sets one of our own only on one machine without it."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(scratch_dir(spark))
 
 
 def bipartite_edges(pairs: DataFrame, threshold: float = 60.0) -> DataFrame:
@@ -38,7 +40,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = after.select("id", "component")
         if not changed:
             return labels
-    return labels
+    raise RuntimeError(f"edges have no stable components after {rounds} rounds")
 
 
 def best_neighbours(edges: DataFrame, comps: DataFrame) -> DataFrame:

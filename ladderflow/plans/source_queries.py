@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ladderflow.operators.scratch import own_folder
 from ladderflow.plans.catalog import query
 from ladderflow.plans.proxies import TICKS, q, quantise, table, ticks
 from ladderflow.plans.risk_queries import SIGNALS
@@ -12,11 +13,6 @@ from ladderflow.sources import readers, schemas, sinks
 from ladderflow.streaming import ticks as streaming
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors reach."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-
-
 @query("adapted_markets", "S01 S15 Y28 Y29 P02", """SELECT 'c' || CAST(o_orderkey AS VARCHAR) AS id, 'Q ' || o_orderpriority AS name, CAST(strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00' AS TIMESTAMP) AS open_date, 2 AS n_runners,
  floor(CAST(o_orderkey % 100 AS DOUBLE) / 100 * 1e6 + 0.5) / 1e6 AS first_price, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 't' || CAST(o_orderkey AS VARCHAR) END AS second_id FROM orders""")
 def adapted_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +101,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("tick_window_counts", "T02 T14 T16 T17 T21 F03", f"""WITH {TICKS} SELECT time_bucket(INTERVAL '6 hours', ts) AS start, kind, count(*) AS n, max(ts) AS last FROM tick GROUP BY 1, 2""")
 def tick_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream over the event files, run to its end; equals the batch."""
-    path = streaming.run_available(streaming.window_counts(_stream(spark, sf_dir)), shared_folder(spark), "complete")
+    path = streaming.run_available(streaming.window_counts(_stream(spark, sf_dir)), own_folder(spark), "complete")
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
     return spark.read.parquet(path).select(ntz("start"), "kind", "n", ntz("last"))
 
@@ -116,14 +112,14 @@ def tick_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_latest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed state of a stream gives what the window gives in batch."""
     t = _stream(spark, sf_dir).select("seq", "ts", (F.col("seq") % 40).alias("mapping"), F.when(F.col("kind").isin("view", "click"), "A").otherwise("B").alias("side"), "value")
-    return spark.read.parquet(streaming.run_available(streaming.latest_prices(t), shared_folder(spark)))
+    return spark.read.parquet(streaming.run_available(streaming.latest_prices(t), own_folder(spark)))
 
 
 @query("stream_signals", "T07 T08 T20 F09", SIGNALS)
 def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful dedup of a stream; a test holds it against the batch twin."""
     t = _stream(spark, sf_dir).select("seq", "ts", F.concat_ws("-", F.col("key").cast("string"), "kind").alias("key"), F.col("value").alias("profit"))
-    return spark.read.parquet(streaming.run_available(streaming.refiring_signals(t, 10 * 86_400.0), shared_folder(spark)))
+    return spark.read.parquet(streaming.run_available(streaming.refiring_signals(t, 10 * 86_400.0), own_folder(spark)))
 
 
 @query("catalogue_flatten", "S08 S03", """SELECT CAST(o_orderkey AS VARCHAR) AS id, 'E' || CAST(o_custkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 4 = 0 THEN 'MATCH_ODDS' ELSE o_orderpriority END AS market_type, n AS selection_id, 'R' || n AS runner
@@ -150,7 +146,7 @@ def csv_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(
         k.cast("string").alias("Date"), F.col("o_orderpriority").alias("HomeTeam"), F.lit("x").alias("AwayTeam"), F.when(F.col("o_orderstatus") == "F", "H").otherwise("A").alias("FTR"), price.alias("B365H"), F.lit("2.0").alias("B365D"), F.lit("3.0").alias("B365A")
     )
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/csv-{uuid.uuid4().hex}"
     sinks.to_csv(rows, path)
     return readers.csv_rows(spark, path, schemas.ODDS_HISTORY).select("Date", "HomeTeam", "FTR", "B365H")
 
