@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: table access, scratch tables, Arrow helpers.
 
 Scratch data is written as Parquet below the folder named by ``spark.checkpoint.dir``, which every executor of a
-cluster reaches; a folder of our own is set only where that setting is missing (tests on one machine).
+cluster reaches. Tables that a returned DataFrame still reads are deleted when the driver ends, others as soon as possible.
 """
 
 from __future__ import annotations
@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts may be long, so a batch is kept far below Spark's usual 10,000 rows.
-BATCH_ROWS = 400
-#: Only used where the session names no shared folder.
-OWN_SCRATCH = "/tmp/checkpoints"
+from ladderflow.operators.scratch import own_folder
+
+#: Bytes in one Arrow batch: whole texts of any length pass through Python workers in bounded memory (a batch holds at least
+#: one row). The number of rows in a batch stays the session's own.
+BATCH_BYTES = "1m"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: whole texts of any length pass through Python workers in bounded memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Arrow batches bounded by bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,19 +40,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if splits < cores else df
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = OWN_SCRATCH
-        spark.sparkContext.setCheckpointDir(shared)
-    return shared.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors, costs one write."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

@@ -12,7 +12,8 @@ only sample. Everything else covers all rows. Scores come from the text alone.
 
 Defined results: null text is the empty text and gets the score of the bias. Rows without labels are scored like all
 others; null labels do not train, and of conflicting labels of one doc_id the larger counts. With no training rows every
-score is 0. Repeated rows give repeated results; extra columns are ignored.
+score is that of a bias of -40, below 1e-17. Repeated rows give repeated results; a null doc_id is kept and not held out;
+equal scores need no order; extra columns of any name are kept by keep_clean() and ignored by predictions().
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ladderflow.llm.common import materialize, texts, worker_cache
 
@@ -66,13 +68,20 @@ class Model:
     factors: np.ndarray
     slot: np.ndarray
 
+    def scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Scores of texts by their terms: sums over all kept terms of a batch at once."""
+        slots = self.slot[np.concatenate(rows)] if rows else np.empty(0, np.int32)
+        own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[slots >= 0]
+        slots = slots[slots >= 0]
+        add = lambda x: np.bincount(own, x, len(rows))
+        z = self.bias + add(self.weight[slots])
+        for v in self.factors[slots].T:
+            z += 0.5 * (add(v) ** 2 - add(v**2))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
     def score(self, terms: np.ndarray) -> float:
-        rows = self.slot[terms]
-        rows = rows[rows >= 0]
-        v = self.factors[rows]
-        pair = 0.5 * float((v.sum(0) ** 2 - (v**2).sum(0)).sum())
-        z = self.bias + float(self.weight[rows].sum()) + pair
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        """The score of one text."""
+        return float(self.scores([terms])[0])
 
 
 def choose(seen: np.ndarray, seen1: np.ndarray, n: int, n1: int, n_terms: int = 4096, min_rows: int = 4) -> np.ndarray:
@@ -180,26 +189,24 @@ def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows
     return fit([np.asarray(t, np.int32) for t in table["terms"]], (table["toxic"] > 0).to_numpy(), kept, n_buckets)
 
 
-def score(docs: DataFrame, model: Model | None, *keep: str, threshold: float = 0.3, n_buckets: int = 1 << 18, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """The kept columns, score and predicted (under the given names) of every text. keep names columns of docs; text may be
-    among them."""
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_scored"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_scored")
+def score(docs: DataFrame, model: Model, *keep: str, threshold: float = 0.3, n_buckets: int = 1 << 18) -> DataFrame:
+    """row (the kept columns of docs, a struct that no name clashes with), score and predicted of every text."""
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    fields = StructType([source.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
         hashed = worker_cache(("terms", n_buckets), lambda: Terms(n_buckets))
         for b in batches:
-            s = [model.score(hashed.of(t)) if model is not None else 0.0 for t in b.column("_scored").to_pylist()]
-            own = [b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*keep, *names])
+            s = model.scores([hashed.of(t) for t in b.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    return source.mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` int")
+    return source.mapInArrow(run, fields)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = train(docs, labels)
-    return score(docs, model, "doc_id").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    return score(docs, model, "doc_id").select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,5 +214,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The decision is made on the text alone.
     """
-    model = train(docs, labels)
-    return score(docs, model, *docs.columns, names=("_score", "_predicted")).where(F.col("_predicted") == 0).select(*docs.columns)
+    return score(docs, train(docs, labels), *docs.columns).where("predicted = 0").select("row.*")

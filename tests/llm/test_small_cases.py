@@ -225,7 +225,9 @@ def test_toxicity_learns_pairs(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.97
     none = toxicity.predictions(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert all(r.score < 1e-9 and r.predicted == 0 for r in none)
+    docs = docs.withColumn("_scored", F.lit("y")).withColumn("predicted", F.lit("z")).withColumn("row", F.lit("w"))
     clean = toxicity.keep_clean(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert clean.select("score", "_scored", "predicted", "row").distinct().collect() == [("x", "y", "z", "w")]
     assert clean.columns == docs.columns and abs(clean.count() - sum(1 for t in truth.values() if not t) - 3) < 40
 
 
@@ -237,6 +239,27 @@ def test_held_out_accuracy_on_the_tables(spark):
     assert hit[1, 1] / (hit[1, 1] + hit[1, 0]) > 0.8 and hit[0, 1] / (hit[0, 0] + hit[0, 1]) < 0.01
 
 
+def test_factorization_machine_equals_the_sum_over_pairs():
+    """Scores of a batch, and the gradient's direction, against plain sums over all pairs of terms."""
+    rng = np.random.default_rng(11)
+    slot = np.full(30, -1, np.int32)
+    slot[::2] = np.arange(15)
+    m = toxicity.Model(-0.3, rng.normal(size=15), rng.normal(size=(15, 4)), slot)
+    rows = [np.sort(rng.choice(30, n, replace=False)) for n in (0, 1, 2, 9, 30)]
+    for r, got in zip(rows, m.scores(rows), strict=True):
+        at = [slot[t] for t in r if slot[t] >= 0]
+        z = m.bias + sum(m.weight[i] for i in at) + sum(float(m.factors[i] @ m.factors[j]) for i in at for j in at if i < j)
+        assert abs(got - 1 / (1 + math.exp(-z))) < 1e-9 and m.score(r) == got
+    assert m.scores([]).tolist() == []
+    train = [np.sort(rng.choice(30, 8, replace=False)) for _ in range(400)]
+    label = np.array([2 in r and 4 in r for r in train])
+    kept = np.arange(0, 30, 2)
+    fitted = toxicity.fit([r[r % 2 == 0] for r in train], label, kept, 30)
+    loss = lambda model: -np.mean(np.log(np.where(label, model.scores(train), 1 - model.scores(train)) + 1e-12))
+    flat = toxicity.Model(fitted.bias, fitted.weight, fitted.factors * 0, fitted.slot)
+    assert loss(fitted) < 0.05 and loss(fitted) < loss(flat)
+
+
 def generalised_jaccard(a, b):
     x, y = (Counter({w: n * max(1, len(w)) for w, n in Counter(t.lower().split()).items()}) for t in (a, b))
     return sum((x & y).values()) / max(1, sum((x | y).values()))
