@@ -12,6 +12,18 @@ VIABLE = "soccer tennis basketball american_football ice_hockey esports teams un
 BLOCKED_TAGS = "politics pop-culture crypto science entertainment".split()
 
 
+#: Names of soccer leagues, words of other leagues, words of regions.
+LEAGUES = {
+    "premier-league": ("premier league", "england premier league"), "la-liga": ("la liga", "laliga"), "serie-a": ("serie a", "italy serie a"), "bundesliga": ("bundesliga",),
+    "ligue-1": ("ligue 1", "ligue1"), "ucl": ("champions league", "uefa champions league"), "europa-league": ("europa league", "uefa europa league"),
+}
+LEAGUE_WORDS = {"nba": ("nba",), "wnba": ("wnba",), "ncaa": ("ncaa", "college"), "atp": ("atp",), "wta": ("wta",), "mlb": ("mlb", "major league"), "nfl": ("nfl",), "nhl": ("nhl", "hockey")}
+REGION_WORDS = {
+    "england": ("england", "premier league", "efl", "fa cup"), "spain": ("spain", "la liga", "laliga", "copa del rey"), "italy": ("italy", "serie a", "coppa italia"),
+    "germany": ("germany", "bundesliga", "dfb"), "france": ("france", "ligue 1", "ligue1"), "usa": ("usa", "mlb", "nba", "nfl", "nhl", "wnba"),
+}
+
+
 def _micros(x: Column) -> Column:
     return F.unix_micros(x.cast("timestamp"))
 
@@ -78,6 +90,26 @@ def viable(category: Column, tags: Column) -> Column:
     return F.lower(category).isin(*VIABLE) & ~F.exists(tags, lambda t: F.lower(t).isin(*BLOCKED_TAGS))
 
 
+def cross_check(slug: Column, category: Column, name: Column, competition: Column, region: Column, sport: Column) -> Column:
+    """A market and an event are of one league and region. College and professional basketball never meet; a soccer
+    league, or a league's words, in the market must stand in the event's competition, if that is known; so must the
+    region's."""
+    slug, category, name, competition, region = (F.lower(F.coalesce(x, F.lit(""))) for x in (slug, category, name, competition, region))
+    clash = (T.holds(slug, ("ncaab", "college-basketball")) & name.contains("nba")) | (slug.contains("nba") & T.holds(name, ("ncaa", "college basketball")))
+    for key, names in LEAGUES.items():
+        clash = clash | ((sport == "soccer") & T.holds(slug, (key, *names)) & (competition != "") & ~T.holds(competition, names))
+    for words in LEAGUE_WORDS.values():
+        clash = clash | ((competition != "") & (T.holds(slug, words) | T.holds(category, words)) & ~T.holds(competition, words))
+    for key, words in REGION_WORDS.items():
+        clash = clash | ((region != "") & (T.holds(slug, words) | T.holds(category, words)) & (region != key))
+    return ~clash
+
+
+def worth_alert(liquidity_ok: Column, edge: Column, least: float) -> Column:
+    """An opportunity that can be traded and pays at least so much."""
+    return liquidity_ok & (edge >= least)
+
+
 def triage(score: Column) -> Column:
     """What happens to a suggestion."""
     return F.when(score >= 0.75, "auto").when(score >= 0.6, "medium").otherwise("weak")

@@ -15,14 +15,16 @@ DAY = 86_400_000_000
 
 def band_join(left: DataFrame, right: DataFrame, hours: int = 24) -> DataFrame:
     """Rows (id, ts, region) less than so many hours apart in one region; region 'global' on the right fits
-    all. Left rows go to their own bucket and both neighbours, right rows to their own, so each pair meets once."""
+    all. Left rows go to their own bucket and both neighbours, right rows to their own, so each pair meets once. Buckets
+    are kept by region; global rows meet in a second join by bucket alone."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     width = hours * 3_600_000_000
-    a = left.select(F.col("id").alias("left_id"), micros("ts").alias("a"), F.col("region").alias("ra"))
+    a = left.select(F.col("id").alias("left_id"), micros("ts").alias("a"), "region")
     a = a.withColumn("b0", F.floor(F.col("a") / width)).withColumn("bucket", F.explode(F.sequence(F.col("b0") - 1, F.col("b0") + 1)))
-    b = right.select(F.col("id").alias("right_id"), micros("ts").alias("b"), F.col("region").alias("rb")).withColumn("bucket", F.floor(F.col("b") / width))
+    b = right.select(F.col("id").alias("right_id"), micros("ts").alias("b"), "region").withColumn("bucket", F.floor(F.col("b") / width))
     near = F.abs(F.col("a") - F.col("b")) < width
-    return a.join(b, "bucket").where(near & ((F.col("ra") == F.col("rb")) | (F.col("rb") == "global"))).select("left_id", "right_id", F.abs(F.col("a") - F.col("b")).alias("gap"))
+    pairs = lambda x, on: a.join(x, on).where(near).select("left_id", "right_id", F.abs(F.col("a") - F.col("b")).alias("gap"))
+    return pairs(b.where("region <> 'global'"), ["bucket", "region"]).union(pairs(b.where("region = 'global'").drop("region"), "bucket"))
 
 
 def first_match(candidates: DataFrame, *order: str | Column) -> DataFrame:
@@ -32,21 +34,38 @@ def first_match(candidates: DataFrame, *order: str | Column) -> DataFrame:
 
 
 def token_pairs(left: DataFrame, right: DataFrame, least: int = 2, least_length: int = 4, salts: int = 16) -> DataFrame:
-    """Pairs of (id, tokens array) that share at least so many tokens, one of them long enough. The right rows of a
-    token are dealt to several tasks."""
-    a = left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct("tokens")).alias("t")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    b = right.select(F.col("id").alias("right_id"), F.explode(F.array_distinct("tokens")).alias("t"), F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    pairs = a.join(b, ["t", "salt"]).groupBy("left_id", "right_id").agg(F.count("*").alias("common"), F.count_if(F.length("t") >= least_length).alias("long"))
+    """Pairs of (id, tokens array) that share at least so many tokens, one of them long enough.
+
+    Tokens are ordered by how many right rows hold them. A pair with ``least`` shared tokens shares one besides the
+    ``least - 1`` most frequent of its left row, so left rows look for partners by all others only; what a pair shares in
+    all is then counted on the whole lists. The right rows of a token are dealt to several tasks.
+    """
+    rows = lambda df, i: df.select(F.col("id").alias(i), F.array_distinct("tokens").alias("ts"))
+    lefts, rights = rows(left, "left_id"), rows(right, "right_id")
+    held = rights.select("right_id", F.explode("ts").alias("t"))
+    ranked = lefts.select("left_id", F.explode("ts").alias("t")).join(held.groupBy("t").agg(F.count("*").alias("df")), "t")
+    if least > 1:
+        by = Window.partitionBy("left_id").orderBy(F.desc("df"), "t")
+        ranked = ranked.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") >= least)
+    a = ranked.select("left_id", "t").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    b = held.withColumn("salt", F.pmod(F.xxhash64("right_id"), F.lit(salts)).cast("int"))
+    met = a.join(b, ["t", "salt"]).select("left_id", "right_id").distinct()
+    shared = met.join(lefts, "left_id").join(rights.withColumnRenamed("ts", "rs"), "right_id").withColumn("both", F.array_intersect("ts", "rs"))
+    pairs = shared.select("left_id", "right_id", F.size("both").cast("long").alias("common"), F.size(F.filter("both", lambda t: F.length(t) >= least_length)).cast("long").alias("long"))
     return pairs.where((F.col("common") >= least) & (F.col("long") >= 1))
 
 
-def jaccard_top(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
-    """For each left row the k right rows of most shared tokens, ties by id, with their Jaccard similarity."""
+def jaccard_pairs(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
+    """Pairs of (id, tokens) that share at least so many tokens, with their Jaccard similarity."""
     size = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.size(F.array_distinct("tokens")).alias(f"{n}_size"))
-    pairs = token_pairs(left, right, 1, 0).join(size(left, "left"), "left_id").join(size(right, "right"), "right_id")
-    pairs = pairs.withColumn("jaccard", F.col("common") / (F.col("left_size") + F.col("right_size") - F.col("common")))
+    pairs = token_pairs(left, right, least, 0).join(size(left, "left"), "left_id").join(size(right, "right"), "right_id")
+    return pairs.withColumn("jaccard", F.col("common") / (F.col("left_size") + F.col("right_size") - F.col("common")))
+
+
+def jaccard_top(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
+    """For each left row the k right rows of most shared tokens, ties by id, with their Jaccard similarity."""
     by = Window.partitionBy("left_id").orderBy(F.desc("common"), "right_id")
-    return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("left_id", "right_id", "common", "jaccard", "rank")
+    return jaccard_pairs(left, right).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("left_id", "right_id", "common", "jaccard", "rank")
 
 
 def resolve_exact(names: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -160,24 +179,94 @@ def guardrail(title: Column, other: Column, title_entities: Column, other_entiti
     return F.struct(reason.isin("shared_canonical", "shared_tokens").alias("ok"), reason.alias("reason"))
 
 
-def static_match(a: Column, b: Column, sport: str = "") -> Column:
-    """The name of the first rule that joins two names, null for none; rules that need ratios are left to the fuzzy
-    operators."""
-    stop = "fc cf sc afc cd esports club de the v vs u21 u23 fk sk al town".split() + ([] if sport == "soccer" else "utd united city real athletic".split())
-    fold = lambda x: T.fold_accents(F.lower(F.trim(x)))
-    tokens = lambda x: T.without(F.regexp_extract_all(fold(x), F.lit(r"\w+"), F.lit(0)), stop)
-    x, y = tokens(a), tokens(b)
+#: Fixed values of the matcher: words that names share, names with two spellings, rivals, legal suffixes.
+MATCH_STOP = "fc cf sc afc cd esports club de the v vs u21 u23 fk sk al town".split()
+MATCH_TEAM_STOP = "utd united city real athletic".split()
+SYNONYMS = {"man utd": "manchester united", "man city": "manchester city", "barca": "barcelona", "g2": "g2 esports", "psg": "paris saint germain"}
+RIVALS = (("city", "united"), ("real", "atletico"), ("paris", "psg"))
+PARIS_SIGNS = ("psg", "saint", "germain", "st germain", "saint germain")
+LEGAL_SUFFIXES = "fc cf cd bc sc united city club".split()
+LOOSE_WORDS = "fc club team real".split()
+
+
+def static_match(a: Column, b: Column, sport: str = "", canonical_a: Column | None = None, canonical_b: Column | None = None, overrides: dict[str, str] | None = None) -> Column:
+    """The first rule of the cascade that joins two names, null for none. canonical_*: names from a dictionary;
+    overrides: alias -> canonical of the sport, a small literal table."""
+    from ladderflow.functions.fuzzy import set_ratio_column
+
+    overrides = overrides or {}
+    literal = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    low = lambda x: F.trim(F.lower(x))
+    bare = lambda x: F.regexp_replace(T.fold_accents(low(x)), r"[^a-z0-9]", " ")
+    stop = MATCH_STOP + ([] if sport == "soccer" else MATCH_TEAM_STOP)
+
+    def tokens(x: Column) -> Column:
+        own = F.regexp_replace(T.fold_accents(F.regexp_replace(F.lower(T.reorder_name(x)), rf"\b({'|'.join(stop)})\b", "")), r"[^a-z0-9]", " ")
+        more = [F.when(bare(x).contains(k), literal(v.split())).otherwise(literal([])) for k, v in SYNONYMS.items()]
+        more += [F.when(F.lower(x).contains(k), literal(v.lower().split())).otherwise(literal([])) for k, v in overrides.items()]
+        return F.array_distinct(F.concat(T.words(F.trim(own)), *more))
+
+    def person(x: Column) -> tuple[Column, Column]:
+        """First names and surname."""
+        n = F.trim(F.regexp_replace(F.lower(x), r"\.", " "))
+        parts = F.split(n, ",")
+        ws = T.words(n)
+        swapped = F.size(parts) == 2
+        first = F.when(swapped, F.trim(F.get(parts, F.lit(1)))).otherwise(F.array_join(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), " "))
+        last = F.when(swapped, F.trim(F.get(parts, F.lit(0)))).otherwise(F.try_element_at(ws, F.lit(-1)))
+        return first, F.coalesce(last, F.lit(""))
+
+    x, y, bx, by = tokens(a), tokens(b), bare(a), bare(b)
     has = lambda t, w: F.array_contains(t, w)
     rivals = F.lit(False)
-    for p, q in (("city", "united"), ("real", "atletico"), ("paris", "psg")):
-        raw_x, raw_y = T.words(fold(a)), T.words(fold(b))
-        rivals = rivals | (has(raw_x, p) & has(raw_y, q)) | (has(raw_x, q) & has(raw_y, p))
-    common = F.size(F.array_intersect(x, y))
-    subset = (common > 0) & ((common == F.size(F.array_distinct(x))) | (common == F.size(F.array_distinct(y))))
-    surname = lambda t: F.try_element_at(t, F.lit(-1))
-    initial = lambda t: F.substring(F.get(t, F.lit(0)), 1, 1)
-    person = (F.size(x) >= 1) & (F.size(y) >= 1) & (surname(x) == surname(y)) & ((F.size(x) == 1) | (F.size(y) == 1) | (initial(x) == initial(y)))
-    return F.when(fold(a) == fold(b), "equal").when(rivals, F.lit(None).cast("string")).when(subset, "subset").when(person, "surname")
+    for p, q in RIVALS:
+        rivals = rivals | (has(x, p) & has(y, q)) | (has(x, q) & has(y, p))
+    sign = lambda t, n: F.arrays_overlap(t, literal(PARIS_SIGNS)) | T.holds(n, PARIS_SIGNS)
+    rivals = rivals | (has(x, "paris") & has(y, "paris") & (sign(x, bx) != sign(y, by)))
+    shared = F.array_intersect(x, y)
+    n = F.size(shared)
+    subset = (n > 0) & ((n == F.size(x)) | (n == F.size(y))) & (F.size(F.array_except(shared, literal(LOOSE_WORDS))) > 0)
+    inside = (n > 0) & (by.contains(bx) | bx.contains(by))
+    (fa, la), (fb, lb) = person(a), person(b)
+    surname = (la != "") & (lb != "") & (la.contains(lb) | lb.contains(la))
+    first = (fa == "") | (fb == "") | (F.substring(fa, 1, 1) == F.substring(fb, 1, 1))
+    strip = lambda t: F.trim(F.regexp_replace(low(t), rf" ({'|'.join(LEGAL_SUFFIXES)})$", ""))
+    known = F.lit(False)
+    if canonical_a is not None and canonical_b is not None:
+        known = F.coalesce(canonical_a == canonical_b, F.lit(False)) | F.coalesce(F.lower(canonical_a) == F.lower(b), F.lit(False)) | F.coalesce(F.lower(canonical_b) == F.lower(a), F.lit(False))
+    listed = bx.isin(*overrides) | by.isin(*overrides) if overrides else F.lit(False)
+    return (
+        F.when(known, "canonical").when(low(a) == low(b), "equal").when(listed, "alias").when(rivals, F.lit(None).cast("string")).when(set_ratio_column(a, b) >= 85, "ratio85").when(subset, "subset")
+        .when(inside, "substring").when(surname & first, "surname").when((strip(a) == strip(b)) & (F.length(strip(a)) > 3), "suffix").when(set_ratio_column(bx, by) >= 90, "ratio90")
+    )
+
+
+def name_cascade(left: DataFrame, right: DataFrame, least_common: int = 2, least_jaccard: float = 0.6) -> DataFrame:
+    """Left and right (id, name): by equal name, else by one side of a title that equals a name, else by shared
+    words of Jaccard similarity above the least (most shared words first). The first stage that hits counts; ties go to the
+    smaller right id. stage: name, side or words."""
+    plain = lambda c: F.replace(F.replace(F.lower(c), F.lit(" vs "), F.lit(" ")), F.lit(" v "), F.lit(" "))
+    names = right.groupBy(plain("name").alias("key")).agg(F.min("id").alias("right_id"))
+    own = left.select(F.col("id").alias("left_id"), plain("name").alias("key"), T.split_versus(F.col("name")).alias("sides"))
+    by_name = own.join(names, "key").select("left_id", "right_id", F.lit("name").alias("stage"))
+    rest = own.join(by_name, "left_id", "left_anti")
+    side = rest.select("left_id", F.posexplode("sides").alias("pos", "side")).select("left_id", "pos", plain("side").alias("key"))
+    by_side = side.join(names, "key").groupBy("left_id").agg(F.min_by("right_id", "pos").alias("right_id")).withColumn("stage", F.lit("side"))
+    rest = rest.join(by_side, "left_id", "left_anti")
+    tokens = lambda df, i, k: df.select(F.col(i).alias("id"), F.array_distinct(T.words(F.col(k))).alias("tokens"))
+    words = jaccard_pairs(tokens(rest, "left_id", "key"), tokens(names, "right_id", "key"), least_common)
+    best = words.where(F.col("jaccard") > least_jaccard).groupBy("left_id").agg(F.min_by("right_id", F.struct(-F.col("common"), F.col("right_id"))).alias("right_id"))
+    return by_name.unionByName(by_side).unionByName(best.withColumn("stage", F.lit("words")))
+
+
+def prop_match(props: DataFrame, titles: DataFrame, least: int = 85) -> DataFrame:
+    """Player props (prop_id, stat, line, player) and titles (title_id, stat, line, title) of one statistic and line
+    whose names fit: partial token-set ratio of at least so much. Equal pairs of names are compared once."""
+    from ladderflow.functions.fuzzy import partial_set_ratio_column
+
+    pairs = props.join(titles, ["stat", "line"])
+    scored = pairs.select("player", "title").distinct().withColumn("score", partial_set_ratio_column(F.col("player"), F.col("title"))).where(F.col("score") >= least)
+    return pairs.join(scored, ["player", "title"]).select("prop_id", "title_id", "score")
 
 
 def triangle(ab: DataFrame, bc: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
 """Prices and logical constraints: feasibility, vertices, projections.
 
 Constraint systems are small and many: what one system needs stays within one group. Tests of feasibility are plain
-aggregates; vertices and iterative projections run in one Arrow batch for each group.
+aggregates; iterative projections run over all groups of one size of an Arrow batch at once. Vertices of a general system are
+enumerated, which bounds it to MAX_VARIABLES variables (an error above); systems that add up to 1 have no such bound.
 """
 
 from __future__ import annotations
 
 import itertools
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +50,9 @@ class System:
     def vertices(self) -> np.ndarray:
         """All feasible 0/1 points, enumerated once for each system."""
         if self._vertices is None:
+            if len(self.rows) == 1 and self.sense == ["="] and self.b[0] == 1 and (self.a == 1).all():
+                self._vertices = np.eye(self.n)[::-1]
+                return self._vertices
             if self.n > MAX_VARIABLES:
                 raise ValueError(f"vertices are enumerated for at most {MAX_VARIABLES} variables")
             every = np.array(list(itertools.product((0.0, 1.0), repeat=self.n)))
@@ -145,24 +151,95 @@ def barrier_frank_wolfe(theta: np.ndarray, system: System, rounds: int = 200, to
     return mu
 
 
+def cyclic_batch(x: np.ndarray, low: float, high: float, least_gap: float, least_move: float, sweeps: int = 100) -> np.ndarray:
+    """G09, G10 for rows of prices that must add up to 1: shift all to the sum, clip to the box, until nothing moves."""
+    x = x.astype(float).copy()
+    active = np.ones(len(x), bool)
+    for _ in range(sweeps):
+        if not active.any():
+            break
+        gap = 1 - x[active].sum(1)
+        moved = np.clip(x[active] + np.where(np.abs(gap) > least_gap, gap / x.shape[1], 0.0)[:, None], low, high)
+        still = (np.abs(moved - x[active]).max(1) >= least_move) if least_move else np.abs(gap) > least_gap
+        x[active] = moved
+        active[np.flatnonzero(active)[~still]] = False
+    return x
+
+
+def frank_wolfe_batch(theta: np.ndarray, barrier: bool, rounds: int | None = None, tolerance: float = 1e-6, epsilon: float = 0.1) -> np.ndarray:
+    """G12, G13 (calm markets) for rows of prices that must add up to 1, whose vertices are the unit vectors."""
+    g, n = theta.shape
+    eps, unit, clip = np.full(g, epsilon if barrier else 0.0), np.eye(n), 1e-12 if barrier else 1e-9
+    drawn = lambda z, e: (1 - e[:, None]) * z + e[:, None] / n
+    mu = drawn(np.repeat(unit[-1:], g, 0), eps)
+    last, stalls, active = np.full(g, np.inf), np.zeros(g, int), np.ones(g, bool)
+    for t in range(rounds or (200 if barrier else 100)):
+        at = np.flatnonzero(active)
+        if not len(at):
+            break
+        m = np.clip(mu[at], clip, 1 - clip if barrier else 1)
+        grad = np.log(m) - np.log(np.clip(theta[at], clip, 1))
+        if barrier:
+            grad = grad + 0.01 * (1 / (1 - m) - 1 / m)
+        target = drawn(unit[n - 1 - grad[:, ::-1].argmin(1)], eps[at])
+        gap = (grad * (mu[at] - target)).sum(1)
+        done = gap <= tolerance
+        if barrier:
+            stalls[at] = np.where(np.abs(last[at] - gap) < tolerance * 0.1, stalls[at] + 1, 0)
+            done |= stalls[at] > 5
+            last[at] = gap
+            eps[at] = np.where(~done & (gap < 10 * eps[at]), np.maximum(1e-6, eps[at] * 0.9), eps[at])
+        step = mu[at] + 2 / (t + 2) * (target - mu[at])
+        mu[at[~done]] = (np.clip(step, clip, 1 - clip) if barrier else step)[~done]
+        active[at[done]] = False
+    return mu
+
+
+METHODS = {
+    "cyclic": lambda x: cyclic_batch(x, 0.001, 0.999, 1e-6, 1e-6), "half-space": lambda x: cyclic_batch(x, 0.0, 1.0, 0.0, 0.0),
+    "barrier": lambda x: frank_wolfe_batch(x, True), "frank-wolfe": lambda x: frank_wolfe_batch(x, False),
+}
+
+
 def project_groups(prices: DataFrame, method: str = "cyclic") -> DataFrame:
-    """G09 to G13 over groups: prices (group_id, idx, price) of outcomes that must add up to 1; gives idx, price, fair."""
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        x, n = rows["price"].to_numpy(float), len(rows)
-        system = System(n, [(dict.fromkeys(range(n), 1.0), "=", 1.0)])
-        if method == "barrier":
-            fair = barrier_frank_wolfe(x, system)
-        elif method == "frank-wolfe":
-            fair = frank_wolfe(x, system)
-        elif method == "half-space":
-            fair = system.project(x, split_equalities=True)
-        else:
-            fair = project_prices(x, [(list(range(n)), 1.0)], [])
-        return pd.DataFrame({"group_id": key[0], "idx": rows["idx"], "price": x, "fair": fair})
-
-    return prices.groupBy("group_id").applyInPandas(run, "group_id long, idx int, price double, fair double")
+    """G09 to G13 over groups: prices (group_id, idx, price) of outcomes that must add up to 1; gives idx, price, fair. A group
+    is an array, and the groups of one size in a batch are solved at once."""
+    solve = METHODS[method]
+    rows = prices.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("price").cast("double").alias("price")))).alias("x"))
+    arrays = rows.select("group_id", F.transform("x", lambda r: r["idx"].cast("int")).alias("idx"), F.transform("x", lambda r: r["price"]).alias("price"))
+
+    def run(batches):
+        for b in batches:
+            price = b.column("price").to_pylist()
+            sizes, fair = np.array([len(x) for x in price], int), [None] * len(price)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                for i, x in zip(at, solve(np.array([price[i] for i in at])), strict=True):
+                    fair[i] = x
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fair, pa.list_(pa.float64()))], names=["group_id", "idx", "price", "fair"])
+
+    out = arrays.mapInArrow(run, "group_id long, idx array<int>, price array<double>, fair array<double>")
+    return out.select("group_id", F.explode(F.arrays_zip("idx", "price", "fair")).alias("z")).select("group_id", "z.*")
+
+
+@lru_cache(500)
+def _status(n: int, rows: tuple) -> str:
+    return System(n, [(dict(enumerate(c)), s, r) for c, s, r in rows]).status()
+
+
+def statuses(systems: DataFrame) -> DataFrame:
+    """Whether each system (group_id, n, rows array<struct<coeffs, sense, rhs>>) has a 0/1 point. Equal systems are
+    solved once, and a worker remembers the last 500."""
+
+    def run(batches):
+        for b in batches:
+            rows = [tuple((tuple(r["coeffs"]), r["sense"], r["rhs"]) for r in x) for x in b.column("rows").to_pylist()]
+            out = [_status(n, r) for n, r in zip(b.column("n").to_pylist(), rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=["n", "rows", "status"])
+
+    one = systems.select("n", "rows").distinct()
+    kind = systems.schema["rows"].dataType.simpleString()
+    return systems.join(one.mapInArrow(run, f"n int, rows {kind}, status string"), ["n", "rows"]).select("group_id", "status")
 
 
 def best_deviation(projected: DataFrame, least: float = 0.01) -> DataFrame:

@@ -22,21 +22,32 @@ def validated_balance(raw: Column) -> Column:
 
 def breaker_by_day(df: DataFrame, failed: Column, warmup: int = 10, limit: float = 0.2) -> DataFrame:
     """Error rate so far of each day, and whether the breaker has tripped: rate above the limit after the warm-up,
-    latched until the day ends."""
-    day = df.withColumn("day", F.to_date("ts"))
-    w = running("day")
-    n, bad = F.count("*").over(w), F.sum(failed.cast("int")).over(w)
-    rated = day.withColumn("attempts", n).withColumn("rate", bad / n)
-    now = (F.col("attempts") >= warmup) & (F.col("rate") > limit)
-    return rated.withColumn("_now", now.cast("int")).withColumn("tripped", F.max("_now").over(w) == 1).drop("_now")
+    latched until the day ends. The breaker is one for all keys, so a day is a hot group: counts run within minutes, and
+    what came before a minute is added from the day's (at most 1,440) minutes."""
+    rows = df.withColumn("day", F.to_date("ts")).withColumn("_minute", F.date_trunc("minute", "ts")).withColumn("_bad", failed.cast("int"))
+    w, earlier = running("day", "_minute"), Window.partitionBy("day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    before = rows.groupBy("day", "_minute").agg(F.count("*").alias("n"), F.sum("_bad").alias("bad")).select("day", "_minute", total("n").alias("_n0"), total("bad").alias("_bad0"))
+    rated = rows.join(before, ["day", "_minute"]).withColumn("attempts", F.col("_n0") + F.count("*").over(w)).withColumn("rate", (F.col("_bad0") + F.sum("_bad").over(w)) / F.col("attempts"))
+    rated = rated.withColumn("_now", ((F.col("attempts") >= warmup) & (F.col("rate") > limit)).cast("int"))
+    return _latched(rated, "tripped").drop("_now", "_minute", "_bad", "_n0", "_bad0")
+
+
+def _latched(rows: DataFrame, name: str) -> DataFrame:
+    """Whether _now was 1 in this or an earlier row of the day; rows carry day and _minute."""
+    w, earlier = running("day", "_minute"), Window.partitionBy("day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("day", "_minute").agg(F.max("_now").alias("m")).select("day", "_minute", F.coalesce(F.max("m").over(earlier), F.lit(0)).alias("_before"))
+    return rows.join(before, ["day", "_minute"]).withColumn(name, F.greatest(F.col("_before"), F.max("_now").over(w)) == 1).drop("_before")
 
 
 def capital_breaker(df: DataFrame, balance: Column, max_drawdown: float = 0.05, least: float = 10.0) -> DataFrame:
-    """Trips on a balance below the least, or on a loss since the day's first balance above the limit; latched."""
-    w, day = running("day"), df.withColumn("day", F.to_date("ts")).withColumn("balance", balance)
-    start = F.first("balance").over(w)
+    """Trips on a balance below the least, or on a loss since the day's first balance above the limit; latched. Minutes
+    bound the windows, as in breaker_by_day()."""
+    rows = df.withColumn("day", F.to_date("ts")).withColumn("_minute", F.date_trunc("minute", "ts")).withColumn("balance", balance)
+    first = rows.groupBy("day").agg(F.min_by("balance", F.struct("ts", "seq")).alias("_start"))
+    start, rows = F.col("_start"), rows.join(first, "day")
     now = (F.col("balance") < least) | ((start > 0) & ((start - F.col("balance")) / start > max_drawdown))
-    return day.withColumn("_now", now.cast("int")).withColumn("broken", F.max("_now").over(w) == 1).drop("_now")
+    return _latched(rows.withColumn("_now", now.cast("int")), "broken").drop("_now", "_minute", "_start")
 
 
 def burst(df: DataFrame, happened: Column, seconds: int = 60, limit: int = 10, key: str = "key") -> DataFrame:
@@ -97,7 +108,15 @@ def recovery_plan(legs: DataFrame) -> DataFrame:
     )
 
 
-def chase_prices(price: Column, breakeven: Column, step: float = 0.005, tries: int = 3) -> Column:
-    """Limit prices of a buyer that chases a fill, up to the break-even price."""
-    ladder = F.transform(F.sequence(F.lit(1), F.lit(tries)), lambda i: price * (1 + step * i))
-    return F.filter(ladder, lambda p: p <= breakeven)
+def chase_prices(side: Column, price: Column, breakeven: Column, step_pct: float = 0.5, tries: int = 3) -> Column:
+    """Limit prices that chase a partial fill towards the break-even price, at most so many, none worse than it. For a
+    lay a higher price is worse, else a lower one; the price moves up by the step unless break-even is worse than it."""
+    worse = lambda new, than: F.when(side == "LAY", new > than).otherwise(new < than)
+
+    def step(acc: Column, _: Column) -> Column:
+        at = acc["at"] * (1 + step_pct / 100 * F.when(worse(breakeven, acc["at"]), -1).otherwise(1))
+        stop = acc["stop"] | worse(at, breakeven)
+        return F.struct(at.alias("at"), stop.alias("stop"), F.when(stop, acc["tried"]).otherwise(F.concat(acc["tried"], F.array(at))).alias("tried"))
+
+    begin = F.struct(price.cast("double").alias("at"), F.lit(False).alias("stop"), F.array().cast("array<double>").alias("tried"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(tries)), begin, step, lambda acc: acc["tried"])

@@ -24,7 +24,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.agg(F.min("l_discount").alias("price"))
 
 
-@query("sum_to_one_events", "A02 S04", f"""WITH {_EVENTS}, s AS (SELECT event_id, sum(price * 8) AS total, count(*) AS n, array_to_string(list_sort(list(DISTINCT market_id)), ',') AS tokens
+@query("sum_to_one_events", "A02", f"""WITH {_EVENTS}, s AS (SELECT event_id, sum(price * 8) AS total, count(*) AS n, array_to_string(list_sort(list(DISTINCT market_id)), ',') AS tokens
  FROM ev WHERE price > 0 GROUP BY 1) SELECT event_id, {q('total')} AS total, n, tokens, {q('1 - total')} AS edge, CASE WHEN 1 - total > 0 THEN 'BUY' ELSE 'SELL' END AS side
  FROM s WHERE n >= 2 AND abs(1 - total) > 0.0051""")
 def sum_to_one_events(spark: SparkSession, sf_dir: str) -> DataFrame:

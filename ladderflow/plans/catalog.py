@@ -35,6 +35,7 @@ def load() -> None:
     from ladderflow.plans import (  # noqa: F401
         arbitrage_queries,
         book_queries,
+        feed_queries,
         graph_queries,
         link_queries,
         pipeline_queries,

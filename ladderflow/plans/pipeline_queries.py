@@ -38,7 +38,7 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("snapshot_recorder", "K02 K01 S17 S18", f"""WITH {BOOK}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, side ORDER BY CASE side WHEN 'bid' THEN -price ELSE price END) AS rn FROM book),
+@query("snapshot_recorder", "K02", f"""WITH {BOOK}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, side ORDER BY CASE side WHEN 'bid' THEN -price ELSE price END) AS rn FROM book),
  s AS (SELECT book_id, max(price) FILTER (WHERE side = 'bid') AS b, min(price) FILTER (WHERE side = 'ask') AS a, sum(size) FILTER (WHERE side = 'bid' AND rn <= 5) AS bd, sum(size) FILTER (WHERE side = 'ask' AND rn <= 5) AS ad FROM r GROUP BY 1)
  SELECT book_id, {q('(a + b) / 2')} AS mid_price, {q('a - b')} AS spread, bd AS bid_depth, ad AS ask_depth FROM s WHERE a IS NOT NULL AND b IS NOT NULL""")
 def snapshot_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def snapshot_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("book_id", quantise(F.col("mid")).alias("mid_price"), quantise(F.col("best_ask") - F.col("best_bid")).alias("spread"), "bid_depth", "ask_depth")
 
 
-@query("opportunity_log", "K04 K05", """SELECT o_orderkey, floor(o_totalprice * 100 + 0.5) / 100 AS value, CASE WHEN o_orderstatus = 'F' THEN 'DATA_LOGGED' ELSE 'PENDING' END AS label FROM orders WHERE o_orderpriority LIKE '1%'""")
+@query("opportunity_log", "K15", """SELECT o_orderkey, floor(o_totalprice * 100 + 0.5) / 100 AS value, CASE WHEN o_orderstatus = 'F' THEN 'DATA_LOGGED' ELSE 'PENDING' END AS label FROM orders WHERE o_orderpriority LIKE '1%'""")
 def opportunity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1"))
     return rows.select("o_orderkey", quantise(F.col("o_totalprice"), 2).alias("value"), F.when(F.col("o_orderstatus") == "F", "DATA_LOGGED").otherwise("PENDING").alias("label"))

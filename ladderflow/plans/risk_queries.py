@@ -28,7 +28,7 @@ def capital_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "balance", "broken")
 
 
-@query("error_burst_60s", "T09 S29", f"""WITH {TICKS}, r AS (SELECT seq, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS recent FROM tick) SELECT seq, recent, recent >= 2 AS blocked FROM r""")
+@query("error_burst_60s", "T09", f"""WITH {TICKS}, r AS (SELECT seq, sum(CASE WHEN kind = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS recent FROM tick) SELECT seq, recent, recent >= 2 AS blocked FROM r""")
 def error_burst_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The synthetic ticks are sparse, so the window is a day here; the rule is the same."""
     return risk.burst(ticks(spark, sf_dir), F.col("kind") == "error", 86_400, 2).select("seq", "recent", "blocked")
@@ -74,7 +74,7 @@ def leg_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", out.alias("o")).select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "o.state", "o.pnl")
 
 
-@query("recovery_plan", "B09 B06", """SELECT l_orderkey AS strategy_id, l_linenumber AS leg, CASE WHEN l_returnflag = 'R' THEN 'RETRY' ELSE 'LIQUIDATE' END AS action,
+@query("recovery_plan", "B09", """SELECT l_orderkey AS strategy_id, l_linenumber AS leg, CASE WHEN l_returnflag = 'R' THEN 'RETRY' ELSE 'LIQUIDATE' END AS action,
  CASE WHEN l_returnflag = 'R' THEN s ELSE CASE WHEN s = 'BUY' THEN 'SELL' ELSE 'BUY' END END AS order_side, CASE WHEN l_returnflag = 'R' THEN CASE WHEN s = 'BUY' THEN 1.0 ELSE 0.0 END END AS limit_price
  FROM (SELECT *, CASE WHEN l_linestatus = 'O' THEN 'BUY' ELSE 'SELL' END AS s FROM lineitem)""")
 def recovery_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def mid_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FLOW = "CASE kind WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.5 WHEN 'error' THEN -1.0 ELSE -0.25 END * least(1.0, value / 100)"
 
 
-@query("signed_flow", "W08 S27 T23", f"WITH {TICKS}, f AS (SELECT seq, ts, key, {_FLOW} AS x FROM tick) SELECT seq, {q(f'greatest(-1.0, least(1.0, avg(x) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))) + 1e-9', 6)} AS shadow FROM f")
+@query("signed_flow", "W08 T23", f"WITH {TICKS}, f AS (SELECT seq, ts, key, {_FLOW} AS x FROM tick) SELECT seq, {q(f'greatest(-1.0, least(1.0, avg(x) OVER ({W} ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))) + 1e-9', 6)} AS shadow FROM f")
 def signed_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("kind")
     sign = F.when(kind == "purchase", 1.0).when(kind == "click", 0.5).when(kind == "error", -1.0).otherwise(-0.25)
@@ -66,7 +66,7 @@ def loss_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.streaks(ticks(spark, sf_dir), F.col("value") < 50).select("seq", "streak")
 
 
-@query("fee_prediction", "W13 S36", f"""WITH {TICKS}, f AS (SELECT seq, ts, key, CAST(floor(value * 1000000) AS BIGINT) AS fee FROM tick), w AS (SELECT seq, fee, first_value(fee) OVER v AS f0, count(*) OVER v AS n FROM f WINDOW v AS ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+@query("fee_prediction", "W13", f"""WITH {TICKS}, f AS (SELECT seq, ts, key, CAST(floor(value * 1000000) AS BIGINT) AS fee FROM tick), w AS (SELECT seq, fee, first_value(fee) OVER v AS f0, count(*) OVER v AS n FROM f WINDOW v AS ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
  SELECT seq, CASE WHEN n < 2 THEN fee ELSE least(fee + CAST(trunc((fee - f0) / CAST(n AS DOUBLE) * 0.5) AS BIGINT), fee + CAST(trunc(fee * CAST(0.125 AS DOUBLE)) AS BIGINT)) END AS predicted FROM w""")
 def fee_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ticks(spark, sf_dir).withColumn("fee", F.floor(F.col("value") * 1000000))

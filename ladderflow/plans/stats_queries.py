@@ -55,7 +55,7 @@ def strategy_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("grid_score", "A19 U06 F02", f"""WITH {TICKS}, g AS (SELECT e.e, p.p FROM (VALUES (0.1), (0.3), (0.5)) e(e), (VALUES (20.0), (60.0)) p(p)), r AS (SELECT CAST(e AS DOUBLE) AS edge, CAST(p AS DOUBLE) AS pressure, key, sum(CASE WHEN value > p THEN value * CAST(e AS DOUBLE) - 10 ELSE 0.0 END) AS pnl FROM g, tick GROUP BY 1, 2, 3)
+@query("grid_score", "A19 U06", f"""WITH {TICKS}, g AS (SELECT e.e, p.p FROM (VALUES (0.1), (0.3), (0.5)) e(e), (VALUES (20.0), (60.0)) p(p)), r AS (SELECT CAST(e AS DOUBLE) AS edge, CAST(p AS DOUBLE) AS pressure, key, sum(CASE WHEN value > p THEN value * CAST(e AS DOUBLE) - 10 ELSE 0.0 END) AS pnl FROM g, tick GROUP BY 1, 2, 3)
  SELECT edge, pressure, {q('avg(pnl)', 4)} AS mean, {q('avg(pnl) - 0.5 * stddev_samp(pnl)', 4)} AS score FROM r GROUP BY 1, 2""")
 def grid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each setting over all keys: the mean less half the deviation. The grid is literal, so the product is small."""
@@ -75,14 +75,14 @@ def link_scorecard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.coalesce("c_mktsegment", F.lit("ALL")).alias("exchange"), F.coalesce("o_orderpriority", F.lit("ALL")).alias("kind"), "fetched", "matched", "rate")
 
 
-@query("cache_ratios", "A17 T19", f"""WITH {TICKS}, c AS (SELECT key, count(*) AS n, count(*) FILTER (WHERE kind = 'view') AS exact, count(*) FILTER (WHERE kind = 'click') AS semantic, count(*) FILTER (WHERE kind = 'purchase') AS llm FROM tick GROUP BY 1)
+@query("cache_ratios", "A17", f"""WITH {TICKS}, c AS (SELECT key, count(*) AS n, count(*) FILTER (WHERE kind = 'view') AS exact, count(*) FILTER (WHERE kind = 'click') AS semantic, count(*) FILTER (WHERE kind = 'purchase') AS llm FROM tick GROUP BY 1)
  SELECT key, {q('CAST(exact + semantic AS DOUBLE) / n * 100')} AS hit_rate, {q('(1 - CAST(llm AS DOUBLE) / n) * 100')} AS savings FROM c""")
 def cache_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, n = F.col("kind"), F.count("*")
     return ticks(spark, sf_dir).groupBy("key").agg(quantise(stats.ratio(F.count_if(kind.isin("view", "click")), n) * 100).alias("hit_rate"), quantise((1 - stats.ratio(F.count_if(kind == "purchase"), n)) * 100).alias("savings"))
 
 
-@query("trace_final_status", "A21 K10", """SELECT l_orderkey AS trace_id, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') > 0 THEN 'REJECTED' ELSE 'PASSED' END AS final,
+@query("trace_final_status", "A21", """SELECT l_orderkey AS trace_id, CASE WHEN count(*) FILTER (WHERE l_returnflag = 'R') > 0 THEN 'REJECTED' ELSE 'PASSED' END AS final,
  arg_max(l_suppkey, l_linenumber * 1000000 + l_suppkey) FILTER (WHERE l_returnflag = 'R') AS reason, count(*) AS steps FROM lineitem GROUP BY 1""")
 def trace_final_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
@@ -136,7 +136,7 @@ def market_discard_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markets(spark, sf_dir).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("market_predicates", "P06 P07 P08 P12 P16 P19 P20 P23 P30", f"""WITH {MARKETS} SELECT market_id, CAST(market_id % 30 AS INTEGER) < 24 AS within_24h, market_id % 13 = 0 OR market_id % 30 <= 12 AS within_12h, CAST(market_id % 6 AS INTEGER) <= 2 AS same_day,
+@query("market_predicates", "P06 P07 P08 P12 P16 P19 P23", f"""WITH {MARKETS} SELECT market_id, CAST(market_id % 30 AS INTEGER) < 24 AS within_24h, market_id % 13 = 0 OR market_id % 30 <= 12 AS within_12h, CAST(market_id % 6 AS INTEGER) <= 2 AS same_day,
  NOT (category = 'BUILDING' AND market_id % 3 = 2) AS runners_ok, least(volume, liquidity) >= 500 AS liquid, abs(volume / 500000 - liquidity / 10000) <= 0.2 AS consistent,
  CASE WHEN liquidity / 10000 >= 0.75 THEN 'auto' WHEN liquidity / 10000 >= 0.6 THEN 'medium' ELSE 'weak' END AS triage FROM market""")
 def market_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,10 +124,36 @@ def prometheus(spark: SparkSession, path: str) -> DataFrame:
 
 def transfers(raw: DataFrame, wallets: DataFrame, after_block: int) -> DataFrame:
     """Transfers of followed wallets after a block: BUY if the wallet receives, else SELL."""
-    new = raw.where(F.col("block") > after_block)
-    w = F.broadcast(wallets.select(F.lower("wallet").alias("wallet")))
-    to, source = F.lower("to"), F.lower("from")
-    return new.join(w, (to == F.col("wallet")) | (source == F.col("wallet"))).withColumn("side", F.when(to == F.col("wallet"), "BUY").otherwise("SELL"))
+    new = raw.where(F.col("block") > after_block).withColumn("_to", F.lower("to")).withColumn("_from", F.lower("from"))
+    w = wallets.select(F.lower("wallet").alias("wallet")).distinct()
+    bought = new.join(w, F.col("_to") == F.col("wallet")).withColumn("side", F.lit("BUY"))
+    sold = new.join(w, (F.col("_from") == F.col("wallet")) & ~F.col("_to").eqNullSafe(F.col("wallet"))).withColumn("side", F.lit("SELL"))  # a transfer to oneself is bought, once
+    return bought.unionByName(sold).drop("_to", "_from")
+
+
+def with_props(h2h: DataFrame, props: DataFrame, most: int = 5, sports: tuple[str, ...] = ("basketball_nba", "americanfootball_nfl")) -> DataFrame:
+    """Head-to-head events (event_id, sport, pos, ...) of all leagues, and behind them the prop rows of the first
+    so many events of the sports that have props. Sent as a limit before the join, so few events are looked up."""
+    chosen = h2h.where(F.col("sport").isin(*sports)).orderBy("pos").limit(most).select("event_id")
+    return h2h.withColumn("step", F.lit(1)).unionByName(props.join(F.broadcast(chosen), "event_id", "left_semi").withColumn("step", F.lit(2)), allowMissingColumns=True)
+
+
+def first_known(*sources: tuple[str, Column]) -> Column:
+    """Struct of the first source that answers, and its value."""
+    return F.coalesce(*(F.when(x.isNotNull(), F.struct(F.lit(name).alias("source"), x.cast("double").alias("value"))) for name, x in sources))
+
+
+def simulated_events(spark: SparkSession, n: int, runners: int = 2) -> DataFrame:
+    """Made-up events with prices that depend on the number of the event alone: the same on every run."""
+    e = spark.range(n).select(F.format_string("sim-%06d", "id").alias("market_id"), "id", F.explode(F.sequence(F.lit(1), F.lit(runners))).alias("selection_id"))
+    back = F.lit(1.5) + F.pmod(F.col("id") * 7 + F.col("selection_id") * 13, F.lit(40)) / 10
+    return e.select("market_id", "selection_id", back.alias("back"), (back + 0.02).alias("lay"), (F.lit(100.0) + F.pmod(F.col("id"), F.lit(10)) * 10).alias("size"))
+
+
+def seed_rows(entities: DataFrame, done: DataFrame) -> DataFrame:
+    """Alias rows (league, canonical, alias) of the entities (league, name, code) of leagues that are not done."""
+    new = entities.join(done.select("league").distinct(), "league", "left_anti")
+    return new.select("league", F.col("name").alias("canonical"), F.explode(F.array_distinct(F.array_compact(F.array("name", "code")))).alias("alias"))
 
 
 def hex_to_decimal(x: Column) -> Column:

@@ -48,3 +48,36 @@ def mapping_rows(links: DataFrame) -> DataFrame:
     return links.select(
         F.coalesce("condition_id", "id").cast("string").alias("market_id"), F.col("event_id").cast("string").alias("exchange_id"), F.col("selection_id").cast("string").alias("selection_id"), "confidence", "source",
     )
+
+
+def compact_dictionary(aliases: DataFrame, garbage) -> DataFrame:
+    """Dictionary rows (sport, canonical, alias, pos) without garbage aliases and with one alias of each folded form, the
+    first. A canonical name that loses all aliases goes."""
+    from ladderflow.functions.text import fold_accents
+
+    kept = aliases.where(~garbage).withColumn("_form", fold_accents(F.lower(F.trim("alias"))))
+    return top_per_group(kept, ["sport", "canonical", "_form"], ["pos"]).drop("_form")
+
+
+def cache_put(cache: DataFrame, new: DataFrame, ttl: float) -> DataFrame:
+    """The semantic cache (hash, query, embedding, data, stamp, ttl) with new answers (query, embedding, data, stamp); an
+    answer replaces the one of the same query."""
+    keyed = new.select(F.md5(F.lower(F.trim("query"))).alias("hash"), "query", "embedding", "data", "stamp", F.lit(float(ttl)).alias("ttl"))
+    return upsert(cache, keyed, "hash", "stamp")
+
+
+def cache_live(cache: DataFrame, now) -> DataFrame:
+    """The entries of a cache that have not outlived their ttl (seconds)."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("stamp").cast("timestamp"))
+    return cache.where(age <= F.col("ttl") * 1e6)
+
+
+def trace_html(steps: DataFrame, path: str) -> None:
+    """One HTML file of traces (name, passed, step, pos): passed ones first, then by name, with their steps as a list.
+    The rows of a trace are gathered; the report as a whole is written in order by a range sort, never in one task."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    one = steps.groupBy("name", "passed").agg(F.array_sort(F.collect_list(F.struct("pos", "step"))).alias("s"))
+    items = F.array_join(F.transform("s", lambda x: F.concat(F.lit("<li>"), safe(x["step"]), F.lit("</li>"))), "")
+    state = F.when(F.col("passed"), "PASS").otherwise("FAIL")
+    html = F.concat(F.lit("<section class='"), F.lower(state), F.lit("'><h2>"), safe(F.col("name")), F.lit(" "), state, F.lit("</h2><ol>"), items, F.lit("</ol></section>"))
+    one.orderBy(F.desc("passed"), "name").select(html.alias("value")).write.mode("overwrite").text(path)

@@ -6,9 +6,12 @@ already seen does not change its state.
 
 from __future__ import annotations
 
+import random
+import time
 import uuid
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -114,3 +117,25 @@ def run_available(stream: DataFrame, base: str, mode: str = "append") -> str:
     done = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     done.awaitTermination()
     return f"{root}/result"
+
+
+def run_restarting(stream: DataFrame, base: str, subscribers: list, attempts: int = 5, first_wait: float = 1.0, longest_wait: float = 60.0) -> str:
+    """Runs a stream over all that is there, micro-batch by micro-batch; each batch is written and given to the
+    subscribers (functions of a batch and its number). A run that fails is started again from its checkpoint, after a random
+    wait that doubles up to the longest; batches are written under their number, so a repeated one replaces itself."""
+    root = f"{base}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/result/batch={number}")
+        for subscriber in subscribers:
+            subscriber(batch, number)
+
+    for n in range(attempts):
+        try:
+            stream.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+            return f"{root}/result"
+        except StreamingQueryException:
+            if n == attempts - 1:
+                raise
+            time.sleep(random.random() * min(longest_wait, first_wait * 2**n))
+    return f"{root}/result"
