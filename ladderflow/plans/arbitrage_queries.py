@@ -77,13 +77,13 @@ def exclusive_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("all_opportunities", "L05 U01", f"""{_BINARY}, o AS (SELECT token_id, market_id, pos, price FROM outcome), p AS (SELECT a.token_id AS key, a.market_id % 2 AS odd, a.price AS pa, b.price AS pb FROM o a
  JOIN o b ON a.market_id = b.market_id AND b.pos = a.pos + 1), u AS (SELECT 'binary' AS kind, CAST(market_id AS VARCHAR) AS key, {q('profit')} AS profit FROM v
  UNION ALL SELECT 'implies', key, {q('pb + 0.1 - pa')} FROM p WHERE odd = 0 AND pb + 0.1 - pa > 0.005 UNION ALL SELECT 'exclusive', key, {q('pa + pb - 1')} FROM p WHERE odd = 1 AND pa + pb - 1 > 0.005)
- SELECT kind, key, profit FROM u ORDER BY profit DESC, kind, key LIMIT 100""")
+ SELECT kind, key, profit FROM u""")
 def all_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _constraint_pairs(spark, sf_dir)
     part = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), quantise(F.col("profit")).alias("profit"))
     rows = part(arb.binary_violations(outcomes(spark, sf_dir)), "binary", "market_id")
     rows = rows.unionByName(part(arb.implication_violations(pairs), "implies", "outcome_a")).unionByName(part(arb.exclusive_violations(pairs), "exclusive", "outcome_a"))
-    return arb.best_first(rows).limit(100)
+    return arb.best_first(rows)
 
 
 _LINE = "SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, {cols} FROM (SELECT *, l_quantity / 51 AS p, 1 + l_extendedprice / 20000 AS o, l_discount AS d, l_tax AS t FROM lineitem)"

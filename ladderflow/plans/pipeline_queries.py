@@ -50,7 +50,7 @@ def snapshot_recorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("book_id", quantise(F.col("mid")).alias("mid_price"), quantise(F.col("best_ask") - F.col("best_bid")).alias("spread"), "bid_depth", "ask_depth")
 
 
-@query("opportunity_log", "K15", """SELECT o_orderkey, floor(o_totalprice * 100 + 0.5) / 100 AS value, CASE WHEN o_orderstatus = 'F' THEN 'DATA_LOGGED' ELSE 'PENDING' END AS label FROM orders WHERE o_orderpriority LIKE '1%'""")
+@query("opportunity_log", "K15", """SELECT o_orderkey, floor(o_totalprice * 100 + 0.5) / 100 AS value, CASE WHEN o_orderstatus = 'F' THEN 'DATA_LOGGED' ELSE 'PENDING' END AS label FROM orders""")
 def opportunity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1"))
+    rows = table(spark, sf_dir, "orders")
     return rows.select("o_orderkey", quantise(F.col("o_totalprice"), 2).alias("value"), F.when(F.col("o_orderstatus") == "F", "DATA_LOGGED").otherwise("PENDING").alias("label"))

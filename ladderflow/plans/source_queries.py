@@ -64,9 +64,9 @@ def queue_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.queue_append(rows.where("l_linestatus <> 'O'"), rows.where("l_linestatus = 'O'"), ["a", "b"]).select("a", "b")
 
 
-@query("filtered_titles", "S25 S28", """SELECT p_partkey FROM part WHERE NOT contains(p_name, 'blue') ORDER BY p_partkey LIMIT 100""")
+@query("filtered_titles", "S25 S28", """SELECT p_partkey FROM part WHERE NOT contains(p_name, 'blue')""")
 def filtered_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(~F.col("p_name").contains("blue")).select("p_partkey").orderBy("p_partkey").limit(100)
+    return table(spark, sf_dir, "part").where(~F.col("p_name").contains("blue")).select("p_partkey")
 
 
 @query("hex_ids", "Y32", """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE 'plain' || CAST(o_orderkey AS VARCHAR) END AS id FROM orders""")
@@ -82,10 +82,11 @@ def theta_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("market", quantise(F.array_min("theta")).alias("least_mid"), F.size("theta").cast("long").alias("n"))
 
 
-@query("tick_fees", "T01 T24", f"""WITH {TICKS} SELECT seq, {q('value * (1 - 0.065)')} AS best_bid, {q('(value + 1) * (1 + 0.065)')} AS best_ask FROM tick WHERE key % 3 = 0""")
+@query("tick_fees", "T01 T24", f"""WITH {TICKS} SELECT seq, {q('value * (1 - 0.065)')} AS best_bid, {q('(value + 1) * (1 + 0.065)')} AS best_ask FROM tick WHERE key IN (SELECT key FROM tick WHERE kind = 'purchase')""")
 def tick_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ticks(spark, sf_dir).select("seq", F.col("key").cast("string").alias("market_id"), F.col("value").alias("best_bid"), (F.col("value") + 1).alias("best_ask"), "key")
-    wanted = t.where("key % 3 = 0").select("market_id")
+    """Markets are followed from a first purchase on."""
+    t = ticks(spark, sf_dir).select("seq", "kind", F.col("key").cast("string").alias("market_id"), F.col("value").alias("best_bid"), (F.col("value") + 1).alias("best_ask"))
+    wanted = t.where("kind = 'purchase'").select("market_id").distinct()
     rows = streaming.with_fee(streaming.subscribed(t, wanted), 6.5)
     return rows.select("seq", quantise(F.col("best_bid")).alias("best_bid"), quantise(F.col("best_ask")).alias("best_ask"))
 

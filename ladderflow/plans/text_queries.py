@@ -135,9 +135,9 @@ def outcome_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ACCENT = f"translate(text, '{T.ACCENTED}', '{T.FOLDED}')"
 
 
-@query("fold_accents", "X06", f"SELECT doc_id, md5({_ACCENT}) AS folded FROM documents WHERE lang <> 'en'")
+@query("fold_accents", "X06", f"SELECT doc_id, md5({_ACCENT}) AS folded FROM documents")
 def fold_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang <> 'en'")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(T.fold_accents(F.col("text"))).alias("folded"))
 
 
