@@ -114,6 +114,43 @@ def best_fuzzy(titles: DataFrame, salts: int = 16) -> DataFrame:
     return rows.select("left_id", F.col("best.first").alias("right_id"), F.col("best.score").alias("score"), set_ratio_column(F.col("t"), F.col("best.right")).alias("set_score"))
 
 
+def fuzzy_pairs(left: DataFrame, right: DataFrame, keep: float = 60, good: float = 75) -> DataFrame:
+    """All pairs (id, t) that share a word and whose token-sort and token-set ratios are above the threshold on average;
+    good ones are marked. Equal pairs of texts are compared once."""
+    from ladderflow.functions.fuzzy import set_ratio_column, sort_ratio_column
+
+    tokens = lambda df: df.select(F.col("t").alias("id"), T.words(F.col("t")).alias("tokens")).distinct()
+    met = token_pairs(tokens(left), tokens(right), 1, 0).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    mean = (sort_ratio_column(F.col("a"), F.col("b")) + set_ratio_column(F.col("a"), F.col("b"))) / 2
+    scored = met.withColumn("score", mean).where(F.col("score") > keep)
+    named = scored.join(left.select(F.col("id").alias("left_id"), F.col("t").alias("a")), "a").join(right.select(F.col("id").alias("right_id"), F.col("t").alias("b")), "b")
+    return named.select("left_id", "right_id", "score", (F.col("score") > good).alias("good"))
+
+
+def hybrid_top(left: DataFrame, right: DataFrame, k: int = 10, least_ratio: int = 70, least_overlap: float = 0.3) -> DataFrame:
+    """Of each left row (id, t) the k right rows that pass one of three filters (token-set ratio, share of words, a common
+    word), best first by the larger of ratio / 100 and share; ties go to the smaller id.
+
+    Rows without a common word pass by the ratio alone; those meet by two shared pairs of neighbouring letters. A pair of
+    texts of such a ratio without them (possible only for texts of a few letters) is not looked at.
+    """
+    from ladderflow.functions.fuzzy import set_ratio_column
+
+    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, 2)))
+    keyed = lambda df, of: df.select(F.col("t").alias("id"), of(F.lower("t")).alias("tokens")).distinct()
+    met = token_pairs(keyed(left, T.words), keyed(right, T.words), 1, 0).union(token_pairs(keyed(left, grams), keyed(right, grams), 2, 0))
+    met = met.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).distinct()
+    x, y = F.array_distinct(T.words(F.lower("a"))), F.array_distinct(T.words(F.lower("b")))
+    common = F.size(F.array_intersect(x, y))
+    scored = met.withColumn("ratio", set_ratio_column(F.col("a"), F.col("b"))).withColumn("common", common).withColumn("share", common / F.greatest(F.least(F.size(x), F.size(y)), F.lit(1)))
+    scored = scored.where((F.col("ratio") >= least_ratio) | (F.col("share") >= least_overlap) | (F.col("common") > 0)).withColumn("score", F.greatest(F.col("ratio") / 100, F.col("share")))
+    texts = right.groupBy(F.col("t").alias("b")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k).alias("ids"))  # of equal texts the k least ids can be among the best
+    best = scored.join(texts, "b").select("a", "score", F.explode("ids").alias("right_id"))
+    by = Window.partitionBy("a").orderBy(F.desc("score"), "right_id")
+    best = best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return left.select(F.col("id").alias("left_id"), F.col("t").alias("a")).join(best, "a").select("left_id", "right_id", "score", "rank")
+
+
 def mentioned(texts: DataFrame, aliases: DataFrame, least_length: int = 3) -> DataFrame:
     """The canonical names whose aliases a text holds; the first word of an alias must be a word of the text, which
     makes the search an equality join."""

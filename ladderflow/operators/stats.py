@@ -59,3 +59,15 @@ def final_status(steps: DataFrame) -> DataFrame:
 def ratio(part: Column, whole: Column) -> Column:
     """Part / whole, 0 without a whole."""
     return F.when(whole > 0, part / whole).otherwise(0.0)
+
+
+def evaluate_grid(grid: DataFrame, evaluator, schema: str) -> DataFrame:
+    """a user's evaluator (a function of one setting, a dict, to a dict of metrics) over all settings of a grid; settings
+    run on the executors, and each gives one row of the setting and its metrics."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([{**r, **evaluator(r)} for r in b.to_dict("records")], columns=[f.split()[0] for f in schema.split(", ")])
+
+    return grid.mapInPandas(run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladderflow.functions import predicates
-from ladderflow.operators import link, risk
+from ladderflow.operators import link, risk, stats
 from ladderflow.operators.scratch import own_folder
 from ladderflow.plans.catalog import query
 from ladderflow.plans.proxies import q, quantise, table
@@ -272,3 +272,42 @@ def matcher_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = titles(spark, sf_dir)
     pairs = t.select("p_partkey", F.col("t").alias("a")).join(t.select((F.col("p_partkey") - 9).alias("p_partkey"), F.col("t").alias("b")), "p_partkey")
     return pairs.select("p_partkey", link.static_match(F.col("a"), F.col("b"), "soccer").alias("rule"))
+
+
+@query("event_groups", "S04", """SELECT 'e' || CAST(o_orderkey AS VARCHAR) AS event_id, o_orderpriority AS title, 'm' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS market_id, l_quantity / 51 AS price
+ FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag <> 'R'""")
+def event_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that land with their markets, the returned ones closed."""
+    path = landed(spark, "event-groups")
+    market_id = F.concat(F.lit("m"), F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
+    token = F.struct(F.lit("Yes").alias("outcome"), (F.col("l_quantity") / 51).alias("price"), F.lit("t").alias("token_id"))
+    market = F.struct(market_id.alias("id"), F.lit("q").alias("question"), (F.col("l_returnflag") == "R").alias("closed"), F.array(token).alias("tokens"))
+    events = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(market).alias("markets"))
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("e"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderpriority").alias("title"), "o_orderkey")
+    orders.join(events, F.col("o_orderkey") == F.col("l_orderkey")).select("id", "title", "markets").write.json(path)
+    return readers.event_markets(spark, path).select("event_id", "title", "market_id", "price")
+
+
+_RUNS = "WITH g AS (SELECT CAST(e AS DOUBLE) AS edge, CAST(p AS DOUBLE) AS pressure FROM (VALUES (0.1), (0.3), (0.5)) e(e), (VALUES (20.0), (60.0)) p(p))"
+
+
+@query("grid_evaluator", "F02", f"{_RUNS} SELECT edge, pressure, {q('edge * pressure - 1')} AS profit FROM g")
+def grid_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's function over a grid of settings."""
+    grid = spark.createDataFrame([(e, p) for e in (0.1, 0.3, 0.5) for p in (20.0, 60.0)], "edge double, pressure double")
+    out = stats.evaluate_grid(grid, lambda s: {"profit": s["edge"] * s["pressure"] - 1}, "edge double, pressure double, profit double")
+    return out.select("edge", "pressure", quantise(F.col("profit")).alias("profit"))
+
+
+@query("fuzzy_all_pairs", "J07", None)
+def fuzzy_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts against each other's brand and name; a test holds it to brute force."""
+    part = table(spark, sf_dir, "part")
+    return link.fuzzy_pairs(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("t")), part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_name").alias("t")))
+
+
+@query("hybrid_prefilter", "L04", None)
+def hybrid_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten candidates of each name; a test holds it to brute force."""
+    part = table(spark, sf_dir, "part")
+    return link.hybrid_top(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("t")), part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("t")))

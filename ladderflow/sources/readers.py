@@ -164,3 +164,10 @@ def hex_to_decimal(x: Column) -> Column:
         return ids.map(lambda v: str(int(v, 16)) if v is not None and v.lower().startswith("0x") else v)
 
     return F.pandas_udf(run, "string")(x)
+
+
+def event_markets(spark: SparkSession, path: str) -> DataFrame:
+    """Landed events with their groups of markets: (event_id, title, market_id, question, price of the first token), open
+    markets only."""
+    e = json_pages(spark, path, schemas.RAW_EVENT).select(F.col("id").alias("event_id"), "title", F.explode("markets").alias("m")).where(~F.coalesce("m.closed", F.lit(False)))
+    return e.select("event_id", "title", F.col("m.id").alias("market_id"), F.col("m.question").alias("question"), F.get("m.tokens", F.lit(0))["price"].alias("price"))
