@@ -70,3 +70,16 @@ def test_packing_stage(results):
 def test_run(spark, results):
     rows = cp.run(spark, SF).collect()
     assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows) == Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in results[5].collect())
+
+
+def test_empty_documents_and_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+    odd = docs.limit(3).unionByName(docs.limit(1)).withColumns({"text": F.when(F.col("doc_id") % 2 == 0, F.col("text")), "_key": F.lit("k"), "_scored": F.lit("s"), "row": F.lit("r")})
+    odd = materialize(odd.unionByName(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long"))), "odd")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd, SF)
+        assert out.columns == odd.columns and out.exceptAll(odd).where("row <> 'r' or _key <> 'k' or _scored <> 's'").count() == 0, name
+        odd = materialize(out, f"odd-{name}")
+    assert cp.STAGES[-1][1](spark, odd, SF).count() >= odd.count()
