@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. A
 stage works on all that the stage before it kept, and run() writes each stage's result before the next one reads it.
+
+Defined results of all stages: a null text counts as empty and stays null; rows that repeat a doc_id, and rows without one, are
+kept as they are unless their own text is toxic or a near copy (a row without doc_id is a copy of none); extra columns of any
+name pass through all but the last stage; texts of any length are taken whole; ties are those of the operators; empty
+documents give an empty result.
 """
 
 from __future__ import annotations
