@@ -168,15 +168,15 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, min_coverag
 
     def starts(i: Column) -> Column:
         of = F.get(postings, (F.array_position(strings(rare), here(i)) - 1).cast("int"))
-        return F.transform(of, lambda p: F.struct(p["t"].alias("t"), (i - p["at"]).alias("start")))
+        return F.transform(of, lambda p: F.struct(F.get(known, p["t"]).alias("t"), (i - p["at"]).alias("start")))
 
     def met(c: Column) -> Column:
-        t, at = F.get(known, c["t"]), c["start"]
+        t, at = c["t"], c["start"]
         key = F.slice(t["words"], t["low"] + 1, t["high"] - t["low"])
         return (here(at + t["second"]) == F.get(t["words"], t["second"])) & F.when(at + t["low"] >= 0, F.slice(F.col("words"), at + t["low"] + 1, t["high"] - t["low"]) == key).otherwise(False)
 
     def match(c: Column) -> Column:
-        t, at = F.get(known, c["t"]), c["start"]
+        t, at = c["t"], c["start"]
         stands = F.transform(t["words"], lambda w, j: F.when(here(at + j) == w, F.get(t["idf"], j)).otherwise(0.0))
         share = F.aggregate(stands, F.lit(0.0), lambda acc, x: acc + x) / t["total"]
         return F.struct(t["label"].alias("label"), t["base"].alias("base"), at.cast("int").alias("start"), (at + F.size(t["words"])).cast("int").alias("end"), F.least(F.lit(1.0), share).alias("coverage"))
