@@ -9,7 +9,7 @@ from ladderflow.functions import fuzzy, predicates
 from ladderflow.functions import text as T
 from ladderflow.operators import link
 from ladderflow.plans.catalog import query
-from ladderflow.plans.proxies import q, quantise, table
+from ladderflow.plans.proxies import q, quantise, spread, table
 from ladderflow.plans.text_queries import _BASE, _LINE_SQL, _SPEC, _TYPE, TITLES, _structure_sql, titles
 
 EVENTS = """ev AS (SELECT o_orderkey AS id, o_orderdate + INTERVAL 1 HOUR * (o_orderkey % 24) AS ts, CASE WHEN o_custkey % 11 = 0 THEN 'global' ELSE 'r' || CAST(o_custkey % 5 AS VARCHAR) END AS region, o_orderstatus AS status FROM orders),
@@ -44,48 +44,31 @@ def unmatched_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("id").join(link.band_join(left, right).select(F.col("left_id").alias("id")), "id", "left_anti")
 
 
-#: The distinct words of more than 5 letters of a text's first 30, in SQL that both engines read.
-_DOC = "list_distinct(list_filter(regexp_split_to_array(lower(regexp_extract(text, '^(\\S+\\s+){0,29}\\S+')), '\\s+'), lambda w: length(w) > 5))"
-_TOKENS = f"""d AS (SELECT doc_id AS id, {_DOC} AS tokens FROM documents), b AS (SELECT item_id AS id, {_DOC} AS tokens FROM benchmark),
- p AS (SELECT b.id AS left_id, d.id AS right_id, len(list_intersect(b.tokens, d.tokens)) AS common, len(b.tokens) AS ls, len(d.tokens) AS rs FROM b, d)"""
+#: The distinct words of whole texts and the pairs that share some, in SQL.
+_WORDS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"
+_TOKENS = f"""d AS (SELECT doc_id AS id, {_WORDS} AS tokens FROM documents), b AS (SELECT item_id AS id, {_WORDS} AS tokens FROM benchmark),
+ p AS (SELECT bt.id AS left_id, dt.id AS right_id, count(*) AS common, count(*) FILTER (WHERE length(t) > 3) AS long FROM (SELECT id, unnest(tokens) AS t FROM b) bt JOIN (SELECT id, unnest(tokens) AS t FROM d) dt USING (t) GROUP BY 1, 2)"""
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = F.array_distinct(F.filter(F.split(F.lower(F.regexp_extract("text", r"^(\S+\s+){0,29}\S+", 0)), r"\s+"), lambda w: F.length(w) > 5))
-    side = lambda t, k: table(spark, sf_dir, t).select(F.col(k).alias("id"), words.alias("tokens"))
+    """All distinct words of both sides."""
+    words = F.array_distinct(T.words(F.lower("text")))
+    side = lambda t, k: spread(table(spark, sf_dir, t)).select(F.col(k).alias("id"), words.alias("tokens"))
     return side("benchmark", "item_id"), side("documents", "doc_id")
 
 
-@query("token_join_min2", "J08 J12", f"WITH {_TOKENS} SELECT left_id, right_id, common FROM p WHERE common >= 2")
+@query("token_join_min2", "J08 J12", f"WITH {_TOKENS} SELECT left_id, right_id, common FROM p WHERE common >= 2 AND long >= 1")
 def token_join_min2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2 shared words, one of them longer than 3."""
     return link.token_pairs(*_tokens(spark, sf_dir)).select("left_id", "right_id", "common")
 
 
-@query("jaccard_topk", "L03 U04", f"""WITH {_TOKENS}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY common DESC, right_id) AS INTEGER) AS rank FROM p WHERE common >= 1)
- SELECT left_id, right_id, common, {q('CAST(common AS DOUBLE) / (ls + rs - common)')} AS jaccard, rank FROM k WHERE rank <= 3""")
+@query("jaccard_topk", "L03 U04", f"""WITH {_TOKENS}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY common DESC, right_id) AS INTEGER) AS rank FROM p)
+ SELECT left_id, right_id, common, {q('CAST(common AS DOUBLE) / (len(b.tokens) + len(d.tokens) - common)')} AS jaccard, rank FROM k JOIN b ON b.id = left_id JOIN d ON d.id = right_id WHERE rank <= 3""")
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.jaccard_top(*_tokens(spark, sf_dir)).withColumn("jaccard", quantise(F.col("jaccard")))
 
 
-def _whole_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All distinct words of both sides."""
-    words = F.array_distinct(T.words(F.lower("text")))
-    side = lambda t, k: table(spark, sf_dir, t).select(F.col(k).alias("id"), words.alias("tokens"))
-    return side("benchmark", "item_id"), side("documents", "doc_id")
-
-
-@query("token_join_whole_text", "J08 J12", None)
-def token_join_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """token_join_min2 without the prefix of its SQL: 2 shared words, one of them longer than 3."""
-    return link.token_pairs(*_whole_tokens(spark, sf_dir)).select("left_id", "right_id", "common")
-
-
-@query("jaccard_topk_whole_text", "L03 U04", None)
-def jaccard_topk_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """jaccard_topk without the prefix of its SQL."""
-    return link.jaccard_top(*_whole_tokens(spark, sf_dir)).withColumn("jaccard", quantise(F.col("jaccard")))
-
-
 _ALIASES = """al AS (SELECT 's' || CAST(p_partkey % 3 AS VARCHAR) AS sport, p_name AS alias, p_brand AS canonical, p_partkey AS version FROM part),
  la AS (SELECT sport, lower(alias) AS alias_lc, arg_max(canonical, version) AS canonical FROM al GROUP BY 1, 2)"""
 

@@ -71,3 +71,9 @@ def quantise(x, digits: int = 6):
 def q(x: str, digits: int = 6) -> str:
     """quantise() as SQL."""
     return f"(floor(({x}) * {10**digits} + 0.5) / {10**digits})"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores (a small file) is dealt to all cores; others are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -42,9 +42,9 @@ def test_tokens_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(documents, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     shared = {(i, k): (set(t.lower().split()) & set(u.lower().split()), set(t.lower().split()) | set(u.lower().split())) for i, t in benchmark for k, u, _ in documents}
-    got = {(r.left_id, r.right_id): r.common for r in catalog.QUERIES["token_join_whole_text"](spark, str(tmp_path)).collect()}
+    got = {(r.left_id, r.right_id): r.common for r in catalog.QUERIES["token_join_min2"](spark, str(tmp_path)).collect()}
     assert got == {p: len(c) for p, (c, _) in shared.items() if len(c) >= 2 and any(len(w) > 3 for w in c)} and (7, 1) in got
-    top = {(r.left_id, r.rank): (r.right_id, r.common, r.jaccard) for r in catalog.QUERIES["jaccard_topk_whole_text"](spark, str(tmp_path)).collect()}
+    top = {(r.left_id, r.rank): (r.right_id, r.common, r.jaccard) for r in catalog.QUERIES["jaccard_topk"](spark, str(tmp_path)).collect()}
     want = {}
     for i, _ in benchmark:
         ranked = sorted((-len(c), k, int(len(c) / len(u) * 10**6 + 0.5) / 10**6) for (j, k), (c, u) in shared.items() if j == i and c)[:3]
