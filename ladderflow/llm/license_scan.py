@@ -17,6 +17,7 @@ of the input are ignored, a null doc_id is kept. Very long texts are taken whole
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from dataclasses import dataclass
@@ -149,16 +150,17 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, min_coverag
     """doc_id, n_words, matches array<struct<label, base, start, end, coverage>> (start in words, from 0)."""
     made = index(templates)
     rare = sorted(made.postings)
-    strings = lambda xs: F.array(*map(F.lit, xs))
     # literal tables: the postings of each indexed word, and the templates, found by number
-    postings = F.array(*(F.array(*(F.struct(F.lit(n).alias("t"), F.lit(at).alias("at")) for n, at in made.postings[w])) for w in rare))
-    known = F.array(*(
-        F.struct(
-            F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), strings(t.words).alias("words"), F.array(*map(F.lit, idf)).alias("idf"), F.lit(sum(idf)).alias("total"),
-            F.lit(t.key[0]).alias("low"), F.lit(t.key[1]).alias("high"), F.lit(second).alias("second"),
-        )
-        for t, idf, (_, second) in zip(templates, made.idf, made.anchors, strict=True)
-    ))
+    constant = lambda rows, schema: F.from_json(F.lit(json.dumps(rows)), schema)
+    indexed = constant(rare, "array<string>")
+    postings = constant([[{"t": n, "at": at} for n, at in made.postings[w]] for w in rare], "array<array<struct<t:int,at:int>>>")
+    known = constant(
+        [
+            {"label": t.label, "base": t.base, "words": t.words, "idf": idf, "total": sum(idf), "low": t.key[0], "high": t.key[1], "second": second}
+            for t, idf, (_, second) in zip(templates, made.idf, made.anchors, strict=True)
+        ],
+        "array<struct<label:string,base:boolean,words:array<string>,idf:array<double>,total:double,low:int,high:int,second:int>>",
+    )
     words = df.select("doc_id", _words(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
     hits = words.select(
         "doc_id", F.size("words").cast("long").alias("n_words"), "words",
@@ -167,7 +169,7 @@ def scan(df: DataFrame, templates: tuple[Template, ...] = TEMPLATES, min_coverag
     here = lambda i: F.get(F.col("words"), i)
 
     def starts(i: Column) -> Column:
-        of = F.get(postings, (F.array_position(strings(rare), here(i)) - 1).cast("int"))
+        of = F.get(postings, (F.array_position(indexed, here(i)) - 1).cast("int"))
         return F.transform(of, lambda p: F.struct(F.get(known, p["t"]).alias("t"), (i - p["at"]).alias("start")))
 
     def met(c: Column) -> Column:
