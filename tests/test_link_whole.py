@@ -50,3 +50,13 @@ def test_tokens_of_whole_texts(spark, tmp_path):
         ranked = sorted((-len(c), k, int(len(c) / len(u) * 10**6 + 0.5) / 10**6) for (j, k), (c, u) in shared.items() if j == i and c)[:3]
         want |= {(i, n): (k, -c, j) for n, (c, k, j) in enumerate(ranked, 1)}
     assert top == want
+
+
+def test_token_pairs_of_odd_rows(spark):
+    schema = "id long, tokens array<string>"
+    left = spark.createDataFrame([(1, ["long", "b", "b"]), (2, []), (3, None), (4, ["b", "c"])], schema)
+    right = spark.createDataFrame([(7, ["b", "long", "long"]), (8, None), (9, []), (10, ["c", "b"])], schema)
+    pairs = lambda a, b, *least: {(r.left_id, r.right_id): (r.common, r.long) for r in link.token_pairs(a, b, *least).collect()}
+    assert pairs(left, right) == {(1, 7): (2, 1)}
+    assert pairs(left, right, 1, 0) == {(1, 7): (2, 2), (1, 10): (1, 1), (4, 7): (1, 1), (4, 10): (2, 2)}
+    assert pairs(left, right.limit(0)) == pairs(left.limit(0), right) == {}
