@@ -187,7 +187,7 @@ def fingerprints(df: DataFrame, n_samples: int = 64, bucket_rows: int = 3000, ma
     heads = F.broadcast(spark.createDataFrame([(k, b) for k, b in to.items()], "key long, before int"))
     own = numbered.withColumn("tail", F.lit(False))
     tails = numbered.join(heads, "key").select("key", "doc_id", "text", F.col("before").alias("bucket"), F.lit(True).alias("tail"))
-    both = own.unionByName(tails).repartition(max(1, len(tops)), "bucket")
+    both = own.unionByName(tails).repartitionById(len(cuts) + 1, "bucket")  # one range, one task: no two meet by hash
     ordered = both.sortWithinPartitions("bucket", "tail", F.desc("key"), "text")
     return ordered.select("bucket", "tail", "doc_id", "text").mapInArrow(_run(n_samples), OUT)
 
