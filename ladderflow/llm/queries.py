@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderflow.llm import fingerprint, jaccard_join, knn, license_scan, line_dedup, packing, pii, sentencepieces, token_count, toxicity
+from ladderflow.llm import filter_audit, fingerprint, jaccard_join, knn, license_scan, line_dedup, nearest_tree, packing, pii, sentencepieces, token_count, toxicity, vector_codes
 from ladderflow.llm.common import read
 
 
@@ -66,6 +66,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.dedup(read(spark, sf_dir, "documents")))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(vector_codes.integer_rows(read(spark, sf_dir, "embeddings")))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_nearest_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_tree.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_license_scan": op2_license_scan,
@@ -77,8 +89,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_nearest_tree": op13_nearest_tree,
 }
 ORACLE: dict[str, str] = {
     "op2_license_scan": license_scan.oracle(),
     "op4_exact_topk": knn.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
