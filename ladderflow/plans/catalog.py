@@ -42,6 +42,7 @@ def load() -> None:
         risk_queries,
         signal_queries,
         source_queries,
+        state_queries,
         stats_queries,
         text_queries,
     )

@@ -108,11 +108,25 @@ def verified(opportunities: DataFrame, prices: DataFrame, delay_minutes: int = 1
 
 def run_available(stream: DataFrame, base: str, mode: str = "append") -> str:
     """Runs a stream over all that is there and returns the folder that holds its result; checkpoint and result stand
-    below base, a shared folder. Stateful queries in complete mode overwrite the result with each batch."""
+    below base, a shared folder. Stateful queries in complete mode overwrite the result with each batch. In append mode a
+    batch's files carry its number, and a batch that is given again replaces them; readers that must not see a batch while
+    its files are moved follow manifests instead (committed.run_committed)."""
     root = f"{base}/stream-{uuid.uuid4().hex}"
+    context = stream.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(context._jsc.hadoopConfiguration())
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{root}/result")
+    def write(batch: DataFrame, number: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(f"{root}/result")
+            return
+        batch.write.mode("overwrite").parquet(f"{root}/staging/{number}")
+        fs.mkdirs(path(f"{root}/result"))
+        for old in fs.globStatus(path(f"{root}/result/batch-{number}-*")):
+            fs.delete(old.getPath(), False)
+        for i, part in enumerate(fs.globStatus(path(f"{root}/staging/{number}/*.parquet"))):
+            if not fs.rename(part.getPath(), path(f"{root}/result/batch-{number}-{i}.parquet")):
+                raise OSError(f"a file of batch {number} could not be moved")
 
     done = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     done.awaitTermination()
