@@ -5,10 +5,14 @@ No join here compares all pairs: each has an equality on a bucket, a token or a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderflow.functions import text as T
+from ladderflow.operators import candidates
+from ladderflow.operators.scratch import written
 
 DAY = 86_400_000_000
 
@@ -33,21 +37,10 @@ def first_match(candidates: DataFrame, *order: str | Column) -> DataFrame:
     return candidates.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
 
 
-def token_pairs(left: DataFrame, right: DataFrame, least: int = 2, least_length: int = 4, salts: int = 16) -> DataFrame:
-    """Pairs of (id, tokens array) that share at least so many tokens, one of them long enough.
-
-    Only tokens travel, never the lists, and of the right side only tokens that the left one holds; the right rows of a token
-    are dealt to several tasks, and what a pair shares is counted before the shuffle. No token is left out of the meeting:
-    leaving out a left row's ``least - 1`` most frequent ones saves few rows and costs a second join to count them. Ids are
-    keys: each stands once on its side.
-    """
-    rows = lambda df, i: df.select(F.col("id").alias(i), F.explode(F.array_distinct("tokens")).alias("t"))
-    wanted, held = rows(left, "left_id"), rows(right, "right_id")
-    held = held.join(wanted.select("t").distinct(), "t", "left_semi").withColumn("salt", F.pmod(F.xxhash64("right_id"), F.lit(salts)).cast("int"))
-    wanted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    long = F.sum(F.when(F.length("t") >= least_length, 1).otherwise(0)).alias("long")
-    pairs = wanted.join(held, ["t", "salt"]).groupBy("left_id", "right_id").agg(F.count("*").alias("common"), long)
-    return pairs.where((F.col("common") >= least) & (F.col("long") >= 1))
+def token_pairs(left: DataFrame, right: DataFrame, least: int = 2, least_length: int = 4) -> DataFrame:
+    """Pairs of (id, tokens array) that share at least so many tokens, one of them long enough: see
+    candidates.shared_tokens()."""
+    return candidates.shared_tokens(left, right, least, least_length)
 
 
 def jaccard_pairs(left: DataFrame, right: DataFrame, least: int = 1) -> DataFrame:
@@ -109,32 +102,52 @@ def best_fuzzy(titles: DataFrame, salts: int = 16) -> DataFrame:
     return rows.select("left_id", F.col("best.first").alias("right_id"), F.col("best.score").alias("score"), set_ratio_column(F.col("t"), F.col("best.right")).alias("set_score"))
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, keep: float = 60, good: float = 75) -> DataFrame:
-    """All pairs (id, t) that share a word and whose token-sort and token-set ratios are above the threshold on average;
-    good ones are marked. Equal pairs of texts are compared once."""
+def fuzzy_pairs(left: DataFrame, right: DataFrame, keep: float = 60, good: float = 75, share_word: bool = True) -> DataFrame:
+    """All pairs (id, t) whose token-sort and token-set ratios are above the threshold on average; good ones are marked.
+    With share_word only those that share a word. Equal pairs of texts are compared once.
+
+    Without a shared word both ratios compare the sorted words, with and without repeats; a mean above the threshold needs one
+    of them above it, so candidates are the pairs whose counted characters allow that (candidates.ratio_pairs)."""
     from ladderflow.functions.fuzzy import set_ratio_column, sort_ratio_column
 
-    tokens = lambda df: df.select(F.col("t").alias("id"), T.words(F.col("t")).alias("tokens")).distinct()
-    met = token_pairs(tokens(left), tokens(right), 1, 0).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    if share_word:
+        tokens = lambda df: df.select(F.col("t").alias("id"), T.words(F.col("t")).alias("tokens")).distinct()
+        met = token_pairs(tokens(left), tokens(right), 1, 0).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    else:
+        met = _near_names(left, right, math.floor(keep) + 0.5, ["once", "whole"])
     mean = (sort_ratio_column(F.col("a"), F.col("b")) + set_ratio_column(F.col("a"), F.col("b"))) / 2
     scored = met.withColumn("score", mean).where(F.col("score") > keep)
     named = scored.join(left.select(F.col("id").alias("left_id"), F.col("t").alias("a")), "a").join(right.select(F.col("id").alias("right_id"), F.col("t").alias("b")), "b")
     return named.select("left_id", "right_id", "score", (F.col("score") > good).alias("good"))
 
 
+def _near_names(left: DataFrame, right: DataFrame, least: float, kinds: list[str]) -> DataFrame:
+    """a, b: pairs of distinct texts (t) that share a word of letters and digits, or of which a form ("once" or "whole": the sorted
+    words, without or with repeats) can reach the ratio. Forms that differ for no text are taken once."""
+    sides = [written(df.select("t").distinct().select("t", candidates.forms(F.col("t")).alias("f")).select("t", "f.*"), "forms") for df in (left, right)]
+    if len(kinds) > 1 and all(df.where("once <> whole").isEmpty() for df in sides):
+        kinds = kinds[:1]
+    words = [df.select(F.col("t").alias("id"), F.col("words").alias("tokens")) for df in sides]
+    met = token_pairs(*words, 1, 0).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    for kind in kinds:
+        units = [df.select(F.col(kind).alias("id")).distinct().select("id", candidates.counted_letters(F.col("id")).alias("units")) for df in sides]
+        named = [df.select(F.col("t").alias(n), F.col(kind).alias(f"{side}_id")) for df, n, side in zip(sides, "ab", ("left", "right"), strict=True)]
+        met = met.union(candidates.ratio_pairs(*units, least).join(named[0], "left_id").join(named[1], "right_id").select("a", "b"))
+    return met.distinct()
+
+
 def hybrid_top(left: DataFrame, right: DataFrame, k: int = 10, least_ratio: int = 70, least_overlap: float = 0.3) -> DataFrame:
     """Of each left row (id, t) the k right rows that pass one of three filters (token-set ratio, share of words, a common
     word), best first by the larger of ratio / 100 and share; ties go to the smaller id.
 
-    Rows without a common word pass by the ratio alone; those meet by two shared pairs of neighbouring letters. A pair of
-    texts of such a ratio without them (possible only for texts of a few letters) is not looked at.
+    Rows without a common word pass by the ratio alone; those meet by their counted characters, a bound that depends on both
+    lengths and loses no pair, however short the texts are (candidates.ratio_pairs).
     """
     from ladderflow.functions.fuzzy import set_ratio_column
 
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, 2)))
-    keyed = lambda df, of: df.select(F.col("t").alias("id"), of(F.lower("t")).alias("tokens")).distinct()
-    met = token_pairs(keyed(left, T.words), keyed(right, T.words), 1, 0).union(token_pairs(keyed(left, grams), keyed(right, grams), 2, 0))
-    met = met.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).distinct()
+    keyed = lambda df: df.select(F.col("t").alias("id"), T.words(F.lower("t")).alias("tokens")).distinct()
+    met = token_pairs(keyed(left), keyed(right), 1, 0).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    met = met.union(_near_names(left, right, least_ratio, ["once"])).distinct()
     x, y = F.array_distinct(T.words(F.lower("a"))), F.array_distinct(T.words(F.lower("b")))
     common = F.size(F.array_intersect(x, y))
     scored = met.withColumn("ratio", set_ratio_column(F.col("a"), F.col("b"))).withColumn("common", common).withColumn("share", common / F.greatest(F.least(F.size(x), F.size(y)), F.lit(1)))
@@ -286,8 +299,8 @@ def name_cascade(left: DataFrame, right: DataFrame, least_common: int = 2, least
     by_side = side.join(names, "key").groupBy("left_id").agg(F.min_by("right_id", "pos").alias("right_id")).withColumn("stage", F.lit("side"))
     rest = rest.join(by_side, "left_id", "left_anti")
     tokens = lambda df, i, k: df.select(F.col(i).alias("id"), F.array_distinct(T.words(F.col(k))).alias("tokens"))
-    words = jaccard_pairs(tokens(rest, "left_id", "key"), tokens(names, "right_id", "key"), least_common)
-    best = words.where(F.col("jaccard") > least_jaccard).groupBy("left_id").agg(F.min_by("right_id", F.struct(-F.col("common"), F.col("right_id"))).alias("right_id"))
+    words = candidates.similar_sets(tokens(rest, "left_id", "key"), tokens(names, "right_id", "key"), least_jaccard)
+    best = words.where(F.col("common") >= least_common).groupBy("left_id").agg(F.min_by("right_id", F.struct(-F.col("common"), F.col("right_id"))).alias("right_id"))
     return by_name.unionByName(by_side).unionByName(best.withColumn("stage", F.lit("words")))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Only used on one machine, where driver and executors are one process.
 OWN_SCRATCH = "/tmp/checkpoints"
@@ -34,6 +35,13 @@ def own_folder(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the application's folder and read again: cuts lineage, survives lost executors."""
+    path = f"{own_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the gateway may be gone
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -12,6 +12,7 @@ from ladderflow.functions import predicates
 from ladderflow.operators import link, risk, stats
 from ladderflow.operators.scratch import own_folder
 from ladderflow.plans.catalog import query
+from ladderflow.plans.fuzzy_sql import scored_pairs
 from ladderflow.plans.proxies import q, quantise, table
 from ladderflow.plans.text_queries import titles
 from ladderflow.sources import readers, sinks
@@ -299,15 +300,20 @@ def grid_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("edge", "pressure", quantise(F.col("profit")).alias("profit"))
 
 
-@query("fuzzy_all_pairs", "J07", None)
+_NAMES = """na AS (SELECT p_partkey AS id, p_name AS t FROM part), nb AS (SELECT p_partkey AS id, p_brand || ' ' || p_name AS t FROM part), nc AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS t FROM part)"""
+
+
+@query("fuzzy_all_pairs", "J07 X09", f"""WITH {_NAMES}, {scored_pairs('na', 'nb')} SELECT na.id AS left_id, nb.id AS right_id, (sort_score + set_score) / 2.0 AS score, (sort_score + set_score) / 2.0 > 75 AS good
+ FROM scored JOIN na ON na.t = a JOIN nb ON nb.t = b WHERE (sort_score + set_score) / 2.0 > 60""")
 def fuzzy_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of parts against each other's brand and name; a test holds it to brute force."""
+    """Names of parts against all brands and names, with or without a shared word."""
     part = table(spark, sf_dir, "part")
-    return link.fuzzy_pairs(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("t")), part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_name").alias("t")))
+    return link.fuzzy_pairs(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("t")), part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_name").alias("t")), share_word=False)
 
 
-@query("hybrid_prefilter", "L04", None)
+@query("hybrid_prefilter", "L04 X09", f"""WITH {_NAMES}, {scored_pairs('na', 'nc')}, p AS (SELECT a, nc.id AS right_id, greatest(set_score / 100.0, share) AS score FROM scored JOIN nc ON nc.t = b WHERE set_score >= 70 OR share >= 0.3 OR common > 0),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY a ORDER BY score DESC, right_id) AS INTEGER) AS rank FROM p) SELECT na.id AS left_id, right_id, score, rank FROM r JOIN na ON na.t = a WHERE rank <= 10""")
 def hybrid_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten candidates of each name; a test holds it to brute force."""
+    """Ten candidates of each name."""
     part = table(spark, sf_dir, "part")
     return link.hybrid_top(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("t")), part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("t")))
