@@ -92,7 +92,8 @@ def build(data: DataFrame, book: Codebook) -> DataFrame:
 def calibrate(queries: DataFrame, index: DataFrame, data: DataFrame, book: Codebook, k: int, recall: float, sample: int = 256) -> tuple[int, float]:
     """(cells to read, the recall they reach) on at most so many queries, whose exact neighbours are searched by blocks."""
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    exact = top_similar(some.select("vec_id", F.col("v").alias("embedding")), data.select("vec_id", F.col("v").alias("embedding")), k)
+    filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(len(book.step)) - F.size("v"))).alias("embedding")
+    exact = top_similar(some.select("vec_id", filled), data.select("vec_id", filled), k)
     placed = exact.join(index.select(F.col("vec_id").alias("x"), "cell"), "x").select("q", "cell")
     truth: dict[int, list[int]] = {}
     for r in placed.collect():  # sample * k rows

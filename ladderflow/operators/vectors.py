@@ -43,12 +43,12 @@ def top_similar(queries: DataFrame, data: DataFrame, k: int, query_rows: int = 4
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def cached_answer(queries: DataFrame, cache: DataFrame, least: float) -> DataFrame:
+def cached_answer(queries: DataFrame, cache: DataFrame, least: float, similar=top_similar) -> DataFrame:
     """for each query (vec_id, h, embedding) the cached row of the same hash, else the most similar one with at least the
-    similarity."""
+    similarity. similar: the exact search, or similarity_index.indexed_top."""
     exact = cache.groupBy("h").agg(F.min("vec_id").alias("hit"))
     known = queries.join(exact, "h", "left").select("vec_id", "embedding", "hit")
-    near = top_similar(known.where("hit is null"), cache, 1).where(F.col("sim") >= least).select(F.col("q").alias("vec_id"), "x")
+    near = similar(known.where("hit is null"), cache, 1).where(F.col("sim") >= least).select(F.col("q").alias("vec_id"), "x")
     rows = known.join(near, "vec_id", "left")
     kind = F.when(F.col("hit").isNotNull(), "exact").when(F.col("x").isNotNull(), "semantic").otherwise("miss")
     return rows.select(F.col("vec_id").alias("q"), F.coalesce("hit", "x").alias("answer"), kind.alias("kind"))

@@ -9,13 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladderflow.functions import predicates
-from ladderflow.operators import link, risk, stats
+from ladderflow.operators import aggregators, answers, link, risk, stats
 from ladderflow.operators.scratch import own_folder
 from ladderflow.plans.catalog import query
 from ladderflow.plans.fuzzy_sql import scored_pairs
-from ladderflow.plans.proxies import q, quantise, table
+from ladderflow.plans.proxies import OUTCOMES, outcomes, q, quantise, table
 from ladderflow.plans.text_queries import titles
-from ladderflow.sources import readers, sinks
+from ladderflow.sources import readers, seeding, sinks
 
 
 def landed(spark: SparkSession, name: str) -> str:
@@ -39,20 +39,27 @@ def scan_union_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SNAPSHOT = """SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", CAST(user_id AS VARCHAR) AS token_id, value AS mid_price FROM events"""
 
 
-def _snapshots(spark: SparkSession, sf_dir: str) -> str:
+def _snapshots(spark: SparkSession, sf_dir: str, buckets: int = 0) -> str:
     """The recorder's snapshots, appended by day."""
     path = landed(spark, "snapshots")
     rows = table(spark, sf_dir, "events").select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.lit("").alias("condition_id"), F.col("user_id").cast("string").alias("token_id"), F.col("event_type").alias("outcome"), F.col("value").alias("mid_price"),
         *(F.lit(0.0).alias(c) for c in ("best_bid", "best_ask", "bid_depth", "ask_depth", "spread")),
     )
-    sinks.append_by_day(rows, path)
+    sinks.append_by_day(rows, path, buckets=buckets)
     return path
 
 
 @query("snapshot_scan", "S17 K01 K08", f"""WITH s AS ({_SNAPSHOT}) SELECT * FROM s WHERE "timestamp" BETWEEN '2024-01-10 00:00:00' AND '2024-02-10 12:00:00'""")
 def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.snapshots(spark, _snapshots(spark, sf_dir), "2024-01-10 00:00:00", "2024-02-10 12:00:00").select("timestamp", "token_id", "mid_price")
+    return readers.snapshots(spark, _snapshots(spark, sf_dir), "2024-01-10 00:00:00", "2024-02-10 12:00:00", in_order=False).select("timestamp", "token_id", "mid_price")
+
+
+@query("snapshot_tokens", "S17 K01", f"""WITH s AS ({_SNAPSHOT}) SELECT * FROM s WHERE "timestamp" BETWEEN '2024-01-05 06:00:00' AND '2024-01-20 18:00:00' AND token_id IN ('7', '16', '46', '143')""")
+def snapshot_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some tokens of some days: the scan lists the folders of those days and of the tokens' buckets alone."""
+    path = _snapshots(spark, sf_dir, buckets=4)
+    return readers.snapshots(spark, path, "2024-01-05 06:00:00", "2024-01-20 18:00:00", ["7", "16", "46", "143"], in_order=False).select("timestamp", "token_id", "mid_price")
 
 
 @query("snapshot_count", "S18 K01", "SELECT count(*) AS n FROM events")
@@ -64,12 +71,12 @@ _NATIONS = """SELECT r_name AS sport, n_name AS canonical, alias, version FROM n
 
 
 def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dictionary file: region -> nation -> aliases (the nations of the world, so one file)."""
+    """Dictionary files: region -> nation -> aliases, one nation a line."""
     path = landed(spark, "dictionary")
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    names = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("n_name", F.array(F.lower("n_name"), F.substring("n_name", 1, 3))))).alias("names"))
-    names.groupBy().agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("r_name", "names")))).alias("value")).write.text(path)
-    return readers.dictionary(spark, path)
+    names = F.create_map("n_name", F.array(F.lower("n_name"), F.substring("n_name", 1, 3)))
+    nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.to_json(F.create_map("r_name", names)).alias("value")).write.text(path)
+    return readers.dictionary(spark, path, lines=True)
 
 
 @query("dictionary_scan", "S21", _NATIONS)
@@ -130,18 +137,68 @@ def gas_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", first.alias("x")).select("event_id", "x.source", quantise(F.col("x.value")).alias("fee"))
 
 
-@query("simulated_ladder", "S10", f"""SELECT 'sim-' || lpad(CAST(id AS VARCHAR), 6, '0') AS market_id, s AS selection_id, {q('1.5 + CAST((id * 7 + s * 13) % 40 AS DOUBLE) / 10')} AS back, {q('1.5 + CAST((id * 7 + s * 13) % 40 AS DOUBLE) / 10 + 0.02')} AS lay, 100.0 + (id % 10) * 10 AS size FROM range(500) t(id), (VALUES (1), (2)) v(s)""")
-def simulated_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.simulated_events(spark, 500).withColumns({c: quantise(F.col(c)) for c in ("back", "lay")})
-
-
-@query("seeded_aliases", "S31 S32", """WITH e AS (SELECT n_regionkey AS league, n_name AS name, substr(n_name, 1, 4) AS code FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%'))
+@query("seeded_aliases", "S31 S32", """WITH e AS (SELECT CAST(n_regionkey AS VARCHAR) AS league, n_name AS name, substr(n_name, 1, 4) AS code FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name LIKE 'A%'))
  SELECT league, name AS canonical, name AS alias FROM e UNION SELECT league, name, code FROM e""")
 def seeded_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leagues that a checkpoint lists as done are skipped."""
-    entities = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("league"), F.col("n_name").alias("name"), F.substring("n_name", 1, 4).alias("code"))
-    done = table(spark, sf_dir, "region").where("r_name like 'A%'").select(F.col("r_regionkey").alias("league"))
-    return readers.seed_rows(entities, done)
+    """Leagues in chunks; the run breaks off behind the first one and is started again, and each alias comes once."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region").where("r_name NOT LIKE 'A%'")
+    entities = nation.select(F.col("n_regionkey").cast("string").alias("league"), F.col("n_name").alias("name"), F.substring("n_name", 1, 4).alias("code"))
+    root, calls = landed(spark, "seeds"), []
+
+    def fetch(some: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("the source does not answer")
+        return entities.join(some, "league", "left_semi")
+
+    leagues = region.select(F.col("r_regionkey").alias("league"))
+    try:
+        return seeding.seed(spark, leagues, fetch, root, chunk=1)
+    except OSError:
+        return seeding.seed(spark, leagues, fetch, root, chunk=1)
+
+
+@query("discovery_counters", "S28", """WITH m AS (SELECT o_orderkey // 1000 AS page, o_orderstatus <> 'F' AS accepting, o_orderpriority LIKE '1%' AS closed, o_custkey % 3 AS tokens FROM orders)
+ SELECT page, count(*) AS markets, count(*) FILTER (WHERE accepting) AS accepting, count(*) FILTER (WHERE accepting AND NOT closed) AS tradeable, count(*) FILTER (WHERE accepting AND NOT closed AND tokens = 2) AS two_sided FROM m GROUP BY ROLLUP (page)""")
+def discovery_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = F.transform(F.sequence(F.lit(0), F.col("o_custkey") % 3), lambda i: i)
+    markets = table(spark, sf_dir, "orders").select(
+        F.floor(F.col("o_orderkey") / 1000).alias("page"), (F.col("o_orderstatus") != "F").alias("accepting_orders"), F.col("o_orderpriority").startswith("1").alias("closed"), F.slice(tokens, 2, 3).alias("tokens")
+    )
+    return readers.discovery_counters(markets)
+
+
+@query("sparql_aliases", "S23 U07", """WITH b AS (SELECT p_name AS label, CASE p_partkey % 4 WHEN 0 THEN ' ' || upper(p_name) WHEN 1 THEN '' WHEN 2 THEN p_brand || ' ' || p_name ELSE p_type || ' ' || p_brand END AS alt FROM part),
+ k AS (SELECT lower(p_brand || ' ' || p_name) AS alias FROM part WHERE p_size > 40), f AS (SELECT lower(trim(alt)) AS alias, label FROM b WHERE alt <> '')
+ SELECT alias, min(label) AS label FROM f WHERE alias <> '' AND alias <> lower(trim(label)) AND alias NOT IN (SELECT alias FROM k) GROUP BY 1""")
+def sparql_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed bindings of labels and their aliases, of which the new ones count."""
+    path, part, k = landed(spark, "bindings"), table(spark, sf_dir, "part"), F.col("p_partkey") % 4
+    both = F.concat_ws(" ", "p_brand", "p_name")
+    alt = F.when(k == 0, F.concat(F.lit(" "), F.upper("p_name"))).when(k == 1, "").when(k == 2, both).otherwise(F.concat_ws(" ", "p_type", "p_brand"))
+    part.select(F.struct(F.col("p_name").alias("value")).alias("clubLabel"), F.struct(alt.alias("value")).alias("altLabel")).write.json(path)
+    return readers.new_aliases(readers.sparql_bindings(spark, path), part.where("p_size > 40").select(F.lower(both).alias("alias")).distinct())
+
+
+@query("answer_cascade", "F05", """WITH r AS (SELECT o_orderkey, CAST(o_custkey % 12 AS DOUBLE) / 4 AS ev, o_orderkey % 4 = 0 AS hit, o_orderkey % 5 AS a, o_custkey % 2 = 0 AS arb FROM orders)
+ SELECT o_orderkey, CASE WHEN ev < 0.5 THEN false WHEN hit THEN true ELSE a < 3 AND arb END AS is_opportunity, CASE WHEN ev < 0.5 THEN 0.0 WHEN hit THEN 0.9 WHEN a < 3 THEN 0.8 ELSE 0.3 END AS confidence,
+ CASE WHEN ev < 0.5 THEN 'math_filter' WHEN hit THEN 'cache' ELSE 'primary' END AS source FROM r""")
+def answer_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected value, cached answers, the cheap model's and the primary model's, as given in columns."""
+    body = F.concat(F.lit('{"is_arb": '), F.when(F.col("o_custkey") % 2 == 0, "true").otherwise("false"), F.lit(', "confidence": 0.8, "reason": "r"}'))
+    a = F.col("o_orderkey") % 5
+    deep = F.when(a == 0, body).when(a == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(a == 2, F.concat(F.lit("So: "), body, F.lit(" it is"))).when(a == 3, "no idea").otherwise("")
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_custkey") % 12 / 4).alias("ev_net"), F.when(F.col("o_orderkey") % 4 == 0, '{"is_arb": true, "confidence": 0.9, "reason": "Cached result"}').alias("cached"), F.when(F.col("o_orderkey") % 3 == 0, "y").otherwise("N").alias("quick"), deep.alias("deep")
+    )
+    return answers.cascade(rows).select("o_orderkey", "is_opportunity", "confidence", "source")
+
+
+@query("market_aggregator", "F09 A02", f"""WITH {OUTCOMES} SELECT event_id, count(*) AS outcomes, {q('sum(price)', 4)} AS total, arg_min(token_id, {{'p': price, 't': token_id}}) AS cheapest, {q('1 - sum(price)', 4)} AS gain FROM outcome GROUP BY 1""")
+def market_aggregator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's aggregate over the outcomes of each supplier: partial states in each task, merged behind the shuffle."""
+    found = aggregators.aggregate(outcomes(spark, sf_dir), ["event_id"], aggregators.MarketPrices())
+    return found.withColumn("total", quantise(F.col("total"), 4)).withColumn("gain", quantise(F.col("gain"), 4))
 
 
 @query("mapping_rows", "K16", """SELECT CASE WHEN o_orderstatus = 'F' THEN 'c' || CAST(o_custkey AS VARCHAR) ELSE CAST(o_orderkey AS VARCHAR) END AS market_id, CAST(o_custkey AS VARCHAR) AS exchange_id, CAST(o_orderkey AS VARCHAR) AS selection_id, o_totalprice AS confidence, o_orderpriority AS source FROM orders""")
@@ -289,15 +346,12 @@ def event_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.event_markets(spark, path).select("event_id", "title", "market_id", "price")
 
 
-_RUNS = "WITH g AS (SELECT CAST(e AS DOUBLE) AS edge, CAST(p AS DOUBLE) AS pressure FROM (VALUES (0.1), (0.3), (0.5)) e(e), (VALUES (20.0), (60.0)) p(p))"
-
-
-@query("grid_evaluator", "F02", f"{_RUNS} SELECT edge, pressure, {q('edge * pressure - 1')} AS profit FROM g")
+@query("grid_evaluator", "F02", f"SELECT o_orderkey, edge, pressure, {q('edge * pressure - 1')} AS profit FROM (SELECT o_orderkey, CAST(o_custkey % 7 AS DOUBLE) / 10 AS edge, o_totalprice / 1000 AS pressure FROM orders)")
 def grid_evaluator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's function over a grid of settings."""
-    grid = spark.createDataFrame([(e, p) for e in (0.1, 0.3, 0.5) for p in (20.0, 60.0)], "edge double, pressure double")
-    out = stats.evaluate_grid(grid, lambda s: {"profit": s["edge"] * s["pressure"] - 1}, "edge double, pressure double, profit double")
-    return out.select("edge", "pressure", quantise(F.col("profit")).alias("profit"))
+    """A user's function over a table of settings."""
+    grid = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7 / 10).alias("edge"), (F.col("o_totalprice") / 1000).alias("pressure"))
+    out = stats.evaluate_grid(grid, lambda s: {"profit": s["edge"] * s["pressure"] - 1}, "o_orderkey long, edge double, pressure double, profit double")
+    return out.withColumn("profit", quantise(F.col("profit")))
 
 
 _NAMES = """na AS (SELECT p_partkey AS id, p_name AS t FROM part), nb AS (SELECT p_partkey AS id, p_brand || ' ' || p_name AS t FROM part), nc AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS t FROM part)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderflow.operators import graph, polytope
+from ladderflow.operators import communities, graph, polytope, similarity_index, systems
 from ladderflow.operators.vectors import cached_answer, top_similar
 from ladderflow.plans.catalog import query
 from ladderflow.plans.proxies import OUTCOMES, outcomes, q, quantise, table, ticks
@@ -118,6 +118,61 @@ def system_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polytope.statuses(g.select("group_id", "n", F.array(rule(ones, ">=", F.col("group_id") % 9), rule(first, "<=", F.lit(0.0))).alias("rows")))
 
 
+_RULES = f"""{OUTCOMES}, n AS (SELECT market_id AS group_id, count(*) AS n, list(CAST(floor(price * 51 + 0.5) AS BIGINT) % 11 - 5 ORDER BY pos) AS g FROM outcome GROUP BY 1)"""
+
+
+def _constraint_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's outcomes: one or two of them hold, the first if the second does, and never both the first and the last."""
+    rows = outcomes(spark, sf_dir).select(F.col("market_id").alias("group_id"), F.col("pos").alias("idx"), (F.floor(F.col("price") * 51 + 0.5) % 11 - 5).alias("value"))
+    n = rows.groupBy("group_id").agg(F.count("*").alias("n"))
+    term = lambda df, c, coeff: df.select("group_id", F.lit(c).alias("c_id"), "idx", coeff.cast("double").alias("coeff"))
+    sized = rows.join(n, "group_id")
+    ends = sized.where("n > 2 AND (idx = 1 OR idx = n)")
+    terms = term(rows, 0, F.lit(1)).union(term(rows, 1, F.lit(1))).union(term(sized.where("n > 1 AND idx <= 2"), 2, F.when(F.col("idx") == 1, 1).otherwise(-1))).union(term(ends, 3, F.lit(1)))
+    kinds = F.create_map(*(F.lit(x) for x in (0, "<=", 1, ">=", 2, ">=", 3, "<=")))
+    sides = F.create_map(*(F.lit(x) for x in (0, 2.0, 1, 1.0, 2, 0.0, 3, 1.0)))
+    rules = terms.select("group_id", "c_id").distinct().select("group_id", "c_id", kinds[F.col("c_id")].alias("sense"), sides[F.col("c_id")].alias("rhs"))
+    return systems.gather(terms, rules, rows)
+
+
+@query("descent_vertices", "G06 G08", f"""WITH {_RULES}, m AS (SELECT group_id, n, g, unnest(range(1 << CAST(n AS INT))) AS m FROM n), z AS (SELECT group_id, n, g, m, list_transform(range(1, n + 1), lambda i: (m >> CAST(n - i AS INT)) & 1) AS z FROM m),
+ f AS (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: z[i] * g[i])) AS cost FROM z WHERE list_sum(z) BETWEEN 1 AND 2 AND (n < 2 OR z[1] >= z[2]) AND (n < 3 OR z[1] + z[n] <= 1)),
+ b AS (SELECT group_id, n, g, arg_min(z, cost * (1 << 24) + m) AS z FROM f GROUP BY 1, 2, 3)
+ SELECT group_id, unnest(range(1, n + 1)) AS idx, CAST(unnest(g) AS DOUBLE) AS value, CAST(unnest(z) AS DOUBLE) AS z FROM b""")
+def descent_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest 0/1 point of each order's constraint tables; the first on ties."""
+    return systems.descent_vertices(_constraint_tables(spark, sf_dir))
+
+
+@query("relaxed_status", "G05 G17", f"""WITH {_RULES}, s AS (SELECT group_id, n, (group_id % 9) / 2 AS s FROM n)
+ SELECT group_id, CASE WHEN CASE WHEN n = 1 THEN s BETWEEN 0 AND 1 ELSE s BETWEEN 0.5 AND n - 0.5 END THEN 'Optimal' ELSE 'Infeasible' END AS status FROM s""")
+def relaxed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether prices in [0, 1] can add up to a multiple of a half, the first at least a half above the second."""
+    rows = outcomes(spark, sf_dir).select(F.col("market_id").alias("group_id"), F.col("pos").alias("idx"), F.lit(0.0).alias("value"))
+    two = rows.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1").join(rows.where("idx <= 2"), "group_id")
+    terms = rows.select("group_id", F.lit(0).alias("c_id"), "idx", F.lit(1.0).alias("coeff")).union(two.select("group_id", F.lit(1), "idx", F.when(F.col("idx") == 1, 1.0).otherwise(-1.0)))
+    rules = terms.select("group_id", "c_id").distinct().select("group_id", "c_id", F.when(F.col("c_id") == 0, "=").otherwise(">=").alias("sense"), F.when(F.col("c_id") == 0, F.col("group_id") % 9 / 2).otherwise(0.5).alias("rhs"))
+    return systems.statuses(systems.gather(terms, rules, rows))
+
+
+@query("volatile_projection", "G13 G14", None)
+def volatile_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of volatile markets projected on general systems; a test holds it to the plain algorithm."""
+    return systems.project(_constraint_tables(spark, sf_dir).withColumn("points", F.transform("points", lambda p: F.struct(p["idx"].alias("idx"), ((p["value"] + 6) / 12).alias("value")))), volatile=True)
+
+
+@query("graph_communities", "G02", f"WITH {_EDGES} SELECT count(*) AS nodes, true AS named_by_least, true AS above_components FROM (SELECT u FROM e UNION SELECT v FROM e)")
+def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities by modularity: every node is in one, which is named by its least node, and modularity is above that of the
+    connected components. A test holds the communities to the plain greedy method."""
+    edges = _edges(spark, sf_dir)
+    found, q_found = communities.communities(edges)
+    parts = graph.components(edges).select("id", F.col("component").alias("c"))
+    above = q_found > communities.modularity(communities.adjacency(edges), parts)
+    named = found.groupBy("community").agg((F.min("id") == F.col("community")).alias("ok"), F.count("*").alias("n"))
+    return named.agg(F.sum("n").alias("nodes"), F.bool_and("ok").alias("named_by_least")).withColumn("above_components", F.lit(above))
+
+
 _DOT = q('list_dot_product(list_transform(a.embedding, lambda v: CAST(v AS DOUBLE)), list_transform(b.embedding, lambda v: CAST(v AS DOUBLE)))', 4)
 
 
@@ -129,6 +184,24 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_similar(e.where("vec_id % 20 = 0"), e, 5)
 
 
+@query("similar_by_index", "L02 F06", None)
+def similar_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all, by the inverted file; index_recall measures it."""
+    e = table(spark, sf_dir, "embeddings")
+    return similarity_index.indexed_top(e.where("vec_id % 20 = 0"), e, 5)
+
+
+@query("index_recall", "L02", "SELECT count(*) FILTER (WHERE vec_id % 20 = 0) AS queries, count(*) AS filed, true AS nine_tenths FROM embeddings")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted file against the exact search over the whole table: every row is filed, and at least nine tenths of the exact
+    neighbours are found."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0")
+    recall = similarity_index.recall_of(similarity_index.indexed_top(asked, e, 5), top_similar(asked, e, 5))
+    filed = similarity_index.rows_of(e)
+    return filed.agg(F.count(F.when(F.col("vec_id") % 20 == 0, 1)).alias("queries"), F.count("*").alias("filed")).withColumn("nine_tenths", F.lit(recall >= 0.9))
+
+
 @query("semantic_cache_lookup", "F06", f"""WITH e AS (SELECT vec_id, embedding, md5(CAST(label AS VARCHAR) || '-' || CAST(vec_id % 499 AS VARCHAR)) AS h FROM embeddings), a AS (SELECT * FROM e WHERE vec_id % 20 = 0), b AS (SELECT * FROM e WHERE vec_id % 20 <> 0),
  k AS (SELECT h, min(vec_id) AS hit FROM b GROUP BY 1), s AS (SELECT a.vec_id AS q, b.vec_id AS x, {_DOT} AS sim FROM a, b), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, x) AS rn FROM s)
  SELECT a.vec_id AS q, CASE WHEN hit IS NOT NULL THEN hit WHEN sim >= 0.3 THEN x END AS answer, CASE WHEN hit IS NOT NULL THEN 'exact' WHEN sim >= 0.3 THEN 'semantic' ELSE 'miss' END AS kind FROM a LEFT JOIN k USING (h) LEFT JOIN r ON r.q = a.vec_id AND rn = 1""")

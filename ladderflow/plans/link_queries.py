@@ -9,6 +9,7 @@ from ladderflow.functions import fuzzy, predicates
 from ladderflow.functions import text as T
 from ladderflow.operators import link
 from ladderflow.plans.catalog import query
+from ladderflow.plans.fuzzy_sql import scored_pairs
 from ladderflow.plans.proxies import q, quantise, spread, table
 from ladderflow.plans.text_queries import _BASE, _LINE_SQL, _SPEC, _TYPE, TITLES, _structure_sql, titles
 
@@ -122,6 +123,22 @@ def fuzzy_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("hybrid", fuzzy.hybrid_score(F.col("set_score"), F.lit(None).cast("boolean")))
 
 
+_DATED = """l AS (SELECT p_partkey, p_name AS a, CASE WHEN p_partkey % 7 > 0 THEN '2024-01-0' || CAST(p_partkey % 5 + 1 AS VARCHAR) || 'T10:00:00' ELSE '' END AS da FROM part),
+ r AS (SELECT p_partkey - 9 AS p_partkey, p_brand || ' ' || p_name AS b, CASE WHEN p_partkey % 11 > 0 THEN '2024-01-0' || CAST(p_partkey % 3 + 1 AS VARCHAR) END AS db FROM part)"""
+
+
+@query("hybrid_scores", "X10 X09", f"""WITH {_DATED}, {scored_pairs('(SELECT a AS t FROM l)', '(SELECT b AS t FROM r)')} SELECT l.p_partkey, {q('set_score * 0.7 + CASE WHEN coalesce(da, %s) = %s OR coalesce(db, %s) = %s THEN 50 WHEN substr(da, 1, 10) = substr(db, 1, 10) THEN 100 ELSE 0 END * 0.3' % (("''",) * 4))} AS score
+ FROM l JOIN r USING (p_partkey) JOIN scored s ON s.a = l.a AND s.b = r.b""")
+def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and dates of each part against the part nine on: token-set ratio, and whether the days are equal, different or unknown."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    day = lambda n: F.concat(F.lit("2024-01-0"), (k % n + 1).cast("string"))
+    left = part.select("p_partkey", F.col("p_name").alias("a"), F.when(k % 7 > 0, F.concat(day(5), F.lit("T10:00:00"))).otherwise("").alias("da"))
+    right = part.select((k - 9).alias("p_partkey"), F.concat_ws(" ", "p_brand", "p_name").alias("b"), F.when(k % 11 > 0, day(3)).alias("db"))
+    score = fuzzy.hybrid_score(fuzzy.set_ratio_column(F.col("a"), F.col("b")), fuzzy.same_day(F.col("da"), F.col("db")))
+    return left.join(right, "p_partkey").select("p_partkey", quantise(score).alias("score"))
+
+
 @query("triangle_links", "J11", """WITH ab AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_linestatus = 'O'), bc AS (SELECT DISTINCT l_partkey AS b, l_suppkey AS c FROM lineitem WHERE l_returnflag = 'R')
  SELECT a, b, c FROM ab JOIN bc USING (b)""")
 def triangle_links(spark: SparkSession, sf_dir: str) -> DataFrame:

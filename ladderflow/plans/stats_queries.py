@@ -174,11 +174,6 @@ def metrics_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(*[F.count_if(v <= b).alias(f"le_{b}") for b in (10, 50, 100, 500)], F.count("*").alias("le_inf"), quantise(F.sum(v), 2).alias("total"))
 
 
-@query("maker_simulation", "B04 T25", None)
-def maker_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.random_walk_maker(spark, 20, 500, 0.02, 0.001)
-
-
 @query("api_breaker", "T11", None)
 def api_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = ticks(spark, sf_dir).select("seq", "ts", "key", (F.col("value") > 30).alias("ok"))

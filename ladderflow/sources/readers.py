@@ -29,12 +29,29 @@ def json_lines(spark: SparkSession, path: str, kinds: list[str]) -> DataFrame:
     return spark.read.schema(schemas.LEARNING_EVENT).json(path).where(F.col("event_type").isin(*kinds))
 
 
-def snapshots(spark: SparkSession, path: str, start: str, end: str, token_ids: list[str] | None = None) -> DataFrame:
-    """Snapshots between two times (ISO text, compared as text), of some tokens, in order; filters reach the scan."""
-    rows = spark.read.schema(schemas.SNAPSHOT).parquet(path).where(F.col("timestamp").between(start, end))
+#: Partition column of a table that is cut into so many buckets of tokens.
+BUCKET = "bucket_of_"
+
+
+def token_bucket(token: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(n)).cast("int")
+
+
+def snapshots(spark: SparkSession, path: str, start: str, end: str, token_ids: list[str] | None = None, in_order: bool = True) -> DataFrame:
+    """Snapshots between two times (ISO text, compared as text), of some tokens; filters reach the scan.
+
+    Of a table that sinks.append_by_day() wrote, only the folders of the days in between are listed (and those of rows whose day
+    is unknown), and only those of the tokens' buckets, if it has any. in_order sorts the result by time, which is a shuffle."""
+    table = spark.read.schema(schemas.SNAPSHOT).parquet(path)
+    rows = table.where(F.col("timestamp").between(start, end))
+    if "date" in table.columns:
+        rows = rows.where(F.col("date").isNull() | F.col("date").cast("string").between(start[:10], end[:10]))
     if token_ids:
         rows = rows.where(F.col("token_id").isin(*token_ids))
-    return rows.orderBy("timestamp")
+        for c in table.columns:
+            if c.startswith(BUCKET):
+                rows = rows.where(F.col(c).isin(*(token_bucket(F.lit(t), int(c[len(BUCKET) :])) for t in token_ids)))
+    return rows.orderBy("timestamp") if in_order else rows
 
 
 def count_snapshots(spark: SparkSession, path: str) -> int:
@@ -107,9 +124,10 @@ def top_of_ladder(raw: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON file sport -> canonical -> [aliases] as rows (sport, alias, canonical, version)."""
-    text = spark.read.text(path, wholetext=True)
+def dictionary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON sport -> canonical -> [aliases] as rows (sport, alias, canonical, version): one object a file, or one a line, which
+    any number of tasks can read."""
+    text = spark.read.text(path, wholetext=not lines)
     parsed = text.select(F.from_json("value", "map<string,map<string,array<string>>>").alias("m"))
     a = parsed.select(F.explode("m").alias("sport", "names")).select("sport", F.explode("names").alias("canonical", "aliases"))
     return a.select("sport", "canonical", F.posexplode(F.array_union(F.array("canonical"), "aliases")).alias("version", "alias"))
@@ -143,11 +161,27 @@ def first_known(*sources: tuple[str, Column]) -> Column:
     return F.coalesce(*(F.when(x.isNotNull(), F.struct(F.lit(name).alias("source"), x.cast("double").alias("value"))) for name, x in sources))
 
 
-def simulated_events(spark: SparkSession, n: int, runners: int = 2) -> DataFrame:
-    """Made-up events with prices that depend on the number of the event alone: the same on every run."""
-    e = spark.range(n).select(F.format_string("sim-%06d", "id").alias("market_id"), "id", F.explode(F.sequence(F.lit(1), F.lit(runners))).alias("selection_id"))
-    back = F.lit(1.5) + F.pmod(F.col("id") * 7 + F.col("selection_id") * 13, F.lit(40)) / 10
-    return e.select("market_id", "selection_id", back.alias("back"), (back + 0.02).alias("lay"), (F.lit(100.0) + F.pmod(F.col("id"), F.lit(10)) * 10).alias("size"))
+def sparql_bindings(spark: SparkSession, path: str) -> DataFrame:
+    """Landed bindings of a query, one a line: label, alt."""
+    return json_pages(spark, path, "clubLabel struct<value:string>, altLabel struct<value:string>").select(F.col("clubLabel.value").alias("label"), F.col("altLabel.value").alias("alt"))
+
+
+def new_aliases(bindings: DataFrame, known: DataFrame) -> DataFrame:
+    """Alias, label of bindings (label, alt) whose folded alias is neither empty, nor the label itself, nor known (alias of
+    any sport). Of several labels the least stays."""
+    key = F.lower(F.trim("alt"))
+    rows = bindings.where("label <> '' AND alt <> ''").select(key.alias("alias"), "label").where((F.col("alias") != "") & (F.col("alias") != F.lower(F.trim("label"))))
+    return rows.join(known.select("alias"), "alias", "left_anti").groupBy("alias").agg(F.min("label").alias("label"))
+
+
+def discovery_counters(markets: DataFrame) -> DataFrame:
+    """For each page of a scan (page, accepting_orders, closed, tokens array) and for all of them (page null): markets, how many
+    accept orders, how many can be traded (and are not closed), and how many of these have two tokens at least."""
+    accepting = F.coalesce("accepting_orders", F.lit(False))
+    open_ = accepting & ~F.coalesce("closed", F.lit(False))
+    return markets.rollup("page").agg(
+        F.count("*").alias("markets"), F.count_if(accepting).alias("accepting"), F.count_if(open_).alias("tradeable"), F.count_if(open_ & (F.size(F.coalesce("tokens", F.array())) >= 2)).alias("two_sided"),
+    )
 
 
 def seed_rows(entities: DataFrame, done: DataFrame) -> DataFrame:

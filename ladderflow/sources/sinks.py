@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from ladderflow.operators.arb import top_per_group
 
 
-def append_by_day(df: DataFrame, path: str, ts: str = "timestamp", sort: str = "token_id") -> None:
-    """Appends rows partitioned by day and sorted within, which stands for an index on (time, token)."""
-    day = df.withColumn("date", F.to_date(F.col(ts)))
-    day.repartition("date").sortWithinPartitions("date", ts, sort).write.mode("append").partitionBy("date").parquet(path)
+def append_by_day(df: DataFrame, path: str, ts: str = "timestamp", sort: str = "token_id", buckets: int = 0) -> None:
+    """Appends rows partitioned by day and sorted within, which stands for an index on (time, token). With buckets a day
+    is cut by the token too, so that one busy day is no single task and a search for tokens lists few folders."""
+    from ladderflow.sources.readers import BUCKET, token_bucket
+
+    day = df.withColumn("date", F.try_to_timestamp(F.col(ts).cast("string")).cast("date"))
+    by = ["date"]
+    if buckets:
+        by.append(f"{BUCKET}{buckets}")
+        day = day.withColumn(by[1], token_bucket(F.col(sort), buckets))
+    day.repartition(*by).sortWithinPartitions(*by, ts, sort).write.mode("append").partitionBy(*by).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
