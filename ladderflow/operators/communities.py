@@ -19,6 +19,8 @@ from ladderflow.operators.scratch import written
 
 #: Gains below this share of the graph's weight are rounding.
 LEAST_GAIN = 1e-12
+#: A level ends when two rounds in a row raise modularity by less than this.
+LEAST_RISE = 1e-4
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -60,10 +62,10 @@ def _apart(moves: DataFrame) -> DataFrame:
     return moves.where("first_c = id AND first_to = id").select("id", "c", "to", "gain")
 
 
-def local_moving(adj: DataFrame, labels: DataFrame, total: float, q: float, rounds: int = 500) -> tuple[DataFrame, float, bool]:
-    """(labels, modularity, whether anything moved): rounds of moves until no node gains."""
+def local_moving(adj: DataFrame, labels: DataFrame, total: float, q: float, rounds: int = 500, least_rise: float = LEAST_RISE) -> tuple[DataFrame, float, bool]:
+    """(labels, modularity, whether anything moved): rounds of moves until no node gains, or two rounds in a row gain little."""
     degrees = written(adj.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")), "degrees")
-    moved = False
+    moved, slow = False, 0
     for n in range(rounds):
         nodes = degrees.join(labels, "id")
         moves = written(_moves(adj, nodes, total), "moves")
@@ -76,10 +78,13 @@ def local_moving(adj: DataFrame, labels: DataFrame, total: float, q: float, roun
             new = written(new, "labels")
             found = modularity(adj, new)
             if found > q:
+                slow = slow + 1 if found - q < least_rise else 0
                 labels, q, moved = new, found, True
                 break
         else:
             return labels, q, moved  # what is left to gain is rounding
+        if slow == 2:
+            return labels, q, moved
     raise RuntimeError(f"nodes still move after {rounds} rounds")
 
 
