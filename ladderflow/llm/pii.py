@@ -10,7 +10,8 @@
    unknown those whose form would fit the kind, other the rest. A candidate's score is the noisy-or of its patterns, each
    weighed by its share of the candidate's occurrences, so that a frequent number is not known by one good place.
 4. Candidates of at least ``min_score`` (``odd_score`` if their form does not fit the kind) are promoted: they are known
-   instances of the next round and induce patterns of their own. Rounds end when nothing new is promoted, or at ``rounds``.
+   instances of the next round and induce patterns of their own. Rounds end when the promoted set stands still, or comes back to
+   one that was there before.
 5. Promoted candidates are the additional spans, wherever they stand. Base spans always stay.
 
 Joins carry only patterns of some confidence and promoted candidates; both are broadcast only if measured to be small.
@@ -35,14 +36,15 @@ from ladderflow.llm.common import discard, materialize, small, texts, whole_row
 KINDS = ("email", "ip", "card", "phone")
 #: The strict forms.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match never begins within digits: what fails from the first of them fails from the others too.
+IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Every match of the last three lies in one such run.
 RUN = re.compile(r"[0-9+][0-9+().\x20-]*")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-LOOSE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+")
-VEILED = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]+)*", re.IGNORECASE)
+LOOSE = re.compile(r"@[A-Za-z0-9-]+")
+VEILED = re.compile(r" ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]+(?:(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z0-9-]+)*", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -98,24 +100,60 @@ def fits(part: str) -> int:
     return (1 << 2) * (12 <= digits <= 19) + (1 << 3) * (7 <= digits <= 15)
 
 
+def before(text: str, rest: re.Pattern) -> list[tuple[int, int, int]]:
+    """Loose addresses, found from each match of what follows the name on: linear in the text."""
+    out, low = [], 0
+    for m in rest.finditer(text):
+        begin = m.start()
+        while begin > low and text[begin - 1] in LOCAL:
+            begin -= 1
+        if begin < m.start():
+            out.append((begin, m.end(), 1))
+            low = m.end()
+    return out
+
+
+def glued(text: str, at: int) -> bool:
+    """Whether an ASCII letter or digit stands there."""
+    return 0 <= at < len(text) and text[at].isalnum() and text[at].isascii()
+
+
+def numbers(text: str) -> list[tuple[int, int, int]]:
+    """Runs of at least four digits, and codes: such a run with the letters that it is glued to. A run that begins or ends within a
+    word is cut at its first or last blank there, so a word before a number ("gate2 555 1234") does not swallow it."""
+    found, covered = [], 0
+    for run in RUN.finditer(text):
+        pieces = [(run.start(), run.start() + len(run.group().rstrip("+().- ")))]
+        begin, end = pieces[0]
+        if glued(text, begin - 1) and (cut := text.find(" ", begin, end)) >= 0:
+            pieces = [(begin, cut), (cut + 1, end)]
+        begin, end = pieces[-1]
+        if end == run.end() and glued(text, end) and (cut := text.rfind(" ", begin, end)) >= 0:
+            pieces = [*pieces[:-1], (begin, cut), (cut + 1, end)]
+        for begin, end in pieces:
+            begin += len(part := text[begin:end]) - len(part.lstrip("().- "))
+            end = begin + len(part := text[begin:end].rstrip("+().- "))
+            if begin < covered or sum(c.isdigit() for c in part) < 4:
+                continue
+            kinds = None
+            while begin > covered and glued(text, begin - 1):
+                begin, kinds = begin - 1, 0
+            while glued(text, end):
+                end, kinds = end + 1, 0
+            found.append((begin, end, fits(part) if kinds is None else kinds))
+            covered = end
+    return found
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, fitting kinds) of identifiers that overlap no base span and none of each other: from the left, the longest."""
     found = []
     if "@" in text:
-        found += [(m.start(), m.end(), 1) for m in LOOSE.finditer(text)]
+        found += before(text, LOOSE)
     low = text.lower()
     if "at]" in low or "at)" in low or "at ]" in low or "at )" in low:
-        found += [(m.start(), m.end(), 1) for m in VEILED.finditer(text)]
-    for run in RUN.finditer(text):
-        part = run.group().rstrip("+().- ")
-        if sum(c.isdigit() for c in part) < 4:
-            continue
-        begin, end, kinds = run.start(), run.start() + len(part), None
-        while begin and text[begin - 1].isalnum() and text[begin - 1].isascii():
-            begin, kinds = begin - 1, 0
-        while end < len(text) and text[end].isalnum() and text[end].isascii():
-            end, kinds = end + 1, 0
-        found.append((begin, end, fits(part) if kinds is None else kinds))
+        found += before(text, VEILED)
+    found += numbers(text)
     taken = sorted((x, y) for x, _, y in base)
     out, i, last = [], 0, 0
     for begin, end, kinds in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -172,7 +210,7 @@ def _search(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
 
-def find(df: DataFrame, rounds: int = 4, min_support: int = 3, min_score: float = 0.6, odd_score: float = 0.9) -> DataFrame:
+def find(df: DataFrame, rounds: int | None = None, min_support: int = 3, min_score: float = 0.6, odd_score: float = 0.9) -> DataFrame:
     """doc_id, text_key, base counts and digest, base and added array<struct<s, k, e>> of every document."""
     docs = texts(df, "doc_id")
     found = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_search, FOUND)
@@ -191,8 +229,9 @@ def _bit(mask: Column, k: Column) -> Column:
     return F.get(F.array(*(mask.bitwiseAND(1 << x) != 0 for x in range(len(KINDS)))), k)
 
 
-def promoted(inst: DataFrame, rounds: int, min_support: int, min_score: float, odd_score: float) -> DataFrame | None:
-    """(value, k, score) of the promoted candidates, a written table; None if there are none. inst: rows of INSTANCE."""
+def promoted(inst: DataFrame, rounds: int | None, min_support: int, min_score: float, odd_score: float) -> DataFrame | None:
+    """(value, k, score) of the promoted candidates, a written table; None if there are none. inst: rows of INSTANCE. Rounds go on
+    until the promoted set stands still or is one that was there before (or, if given, for so many rounds)."""
     edges = inst.select("value", "k", "fits", F.explode("patterns").alias("p")).groupBy("p", "value", "k", "fits").agg(F.count("*").alias("n"))
     totals = inst.where("k < 0").groupBy("value").agg(F.count("*").alias("places"))
     by_kind = [F.sum(F.when(F.col("fits").bitwiseAND(1 << k) != 0, F.col("n")).otherwise(0)).alias(f"fits{k}") for k in range(4)]
@@ -208,8 +247,9 @@ def promoted(inst: DataFrame, rounds: int, min_support: int, min_score: float, o
     open_edges = materialize(open_edges, "pii-open")
     kinds = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"fits{k}").alias("fitting"), F.col(f"pos{k}").cast("double").alias("pos"), F.col(f"known{k}").alias("known")) for k in range(4)))
     slots = stats.select("p", "n", F.explode(kinds).alias("x")).select("p", "n", "x.*")
-    best, n_best = None, 0
-    for _ in range(rounds):
+    best, sets, n = None, [(0, None)], 0
+    while rounds is None or n < rounds:
+        n += 1
         known = slots.withColumn("seen", F.col("pos"))  # occurrences of known instances that fit
         if best is not None:
             more = open_edges.join(small(best.select("value", "k", "score")), "value").groupBy("p", "k").agg(
@@ -224,15 +264,15 @@ def promoted(inst: DataFrame, rounds: int, min_support: int, min_score: float, o
         scored = scored.select("value", "k", (1 - F.exp("doubt")).alias("score"), F.when(_bit(F.col("fits"), F.col("k")), min_score).otherwise(odd_score).alias("least")).where("score >= least")
         before, best = best, materialize(scored.groupBy("value").agg(F.max_by(F.struct("k", "score"), F.struct("score", -F.col("k"))).alias("x")).select("value", "x.*"), "pii-promoted")
         discard(sure, *([before] if before is not None else []))
-        now = best.count()
-        if now == n_best:
+        now = tuple(best.agg(F.count("*"), F.sum(F.xxhash64("value", "k").cast("decimal(38,0)"))).first())
+        if now in sets:
             break
-        n_best = now
+        sets.append(now)
     discard(edges, stats, open_edges)
-    return best if n_best else None
+    return best if best is not None and not best.isEmpty() else None
 
 
-def _bootstrap(found: DataFrame, rounds: int, min_support: int, min_score: float, odd_score: float) -> DataFrame | None:
+def _bootstrap(found: DataFrame, rounds: int | None, min_support: int, min_score: float, odd_score: float) -> DataFrame | None:
     """doc_id, text_key, added spans of the documents that have any; None if nothing is promoted."""
     inst = found.select("doc_id", "text_key", F.explode("inst").alias("i")).select("doc_id", "text_key", "i.*")
     best = promoted(inst, rounds, min_support, min_score, odd_score)

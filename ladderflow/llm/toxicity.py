@@ -4,8 +4,11 @@ score = sigmoid(b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), where x_i says
 pairwise part learns what additive weights miss, such as an insult together with the mention of a group.
 
 Terms are a text's lower-cased words, and for longer words their first three to six letters, which stand for inflected
-and compound forms. Terms are hashed into ``n_buckets``; the model keeps weights for the ``n_terms`` buckets that tell the
-labels apart best (chi-square), among those in at least ``min_rows`` training rows.
+and compound forms. Terms are hashed into ``n_buckets``. The model keeps weights for the buckets that tell the labels apart alone
+(chi-square above 3.84, in at least ``min_rows`` training rows), and for those that do so in pairs, however little each of
+them says alone: of all pairs of buckets that at least ``min_share`` of the training rows hold, those whose effect together
+differs from the sum of their own effects (a contrast of the four cells, of at least 20 rows each). How many are kept has no
+limit but the number of buckets.
 
 The model is fitted on the driver on at most ``max_rows`` labelled rows, chosen by the hash of doc_id; this bound is the
 only sample. Everything else covers all rows. Scores come from the text alone.
@@ -84,15 +87,44 @@ class Model:
         return float(self.scores([terms])[0])
 
 
-def choose(seen: np.ndarray, seen1: np.ndarray, n: int, n1: int, n_terms: int = 4096, min_rows: int = 4) -> np.ndarray:
-    """The buckets that tell the labels apart best; seen, seen1: training rows, and toxic ones, that have each bucket."""
+def choose(seen: np.ndarray, seen1: np.ndarray, n: int, n1: int, min_rows: int = 4) -> np.ndarray:
+    """The buckets that tell the labels apart alone; seen, seen1: training rows, and toxic ones, that have each bucket."""
     seen, seen1 = seen.astype(float), seen1.astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
         gap = seen1 * (n - n1 - (seen - seen1)) - (n1 - seen1) * (seen - seen1)
         chi = np.where(seen >= min_rows, n * gap**2 / (seen * (n - seen) * n1 * (n - n1)), 0.0)
-    chi = np.nan_to_num(chi)
-    kept = np.argsort(-chi, kind="stable")[:n_terms]
-    return np.sort(kept[chi[kept] > 3.84])
+    return np.flatnonzero(np.nan_to_num(chi) > 3.84)
+
+
+def choose_pairs(rows: list[np.ndarray], label: np.ndarray, buckets: np.ndarray, n_buckets: int, least: float = 30.0, min_cell: int = 20, block: int = 512) -> np.ndarray:
+    """Those of the buckets that tell the labels apart together with another one: where the share of toxic rows among rows with
+    both, one, the other and none (p11 - p10 - p01 + p00, squared over its variance) is above least. rows: buckets of each row."""
+    width = len(buckets)
+    slot = np.full(n_buckets, -1, np.int32)
+    slot[buckets] = np.arange(width)
+    x = np.zeros((len(rows), width), np.int8)
+    for i, r in enumerate(rows):
+        at = slot[r]
+        x[i, at[at >= 0]] = 1
+    y = np.asarray(label, bool)
+    n, n1 = len(y), int(y.sum())
+    own, own1 = x.sum(0, dtype=np.int64).astype(float), x[y].sum(0, dtype=np.int64).astype(float)
+    found = np.zeros(width, bool)
+    for b in range(0, width, block):
+        both, both1 = (np.zeros((min(block, width - b), width)) for _ in range(2))
+        for i in range(0, n, 4096):
+            part, toxic = x[i : i + 4096].astype(np.float32), y[i : i + 4096]
+            both += part[:, b : b + block].T @ part
+            both1 += part[toxic, b : b + block].T @ part[toxic]
+        a, a1 = own[b : b + block, None], own1[b : b + block, None]
+        cells = [(both, both1), (a - both, a1 - both1), (own[None, :] - both, own1[None, :] - both1), (n - a - own[None, :] + both, n1 - a1 - own1[None, :] + both1)]
+        shares = [(t + 0.5) / (m + 1) for m, t in cells]
+        gap = shares[0] - shares[1] - shares[2] + shares[3]
+        noise = sum(p * (1 - p) / (m + 1) for p, (m, _) in zip(shares, cells, strict=True))
+        good = (gap**2 > least * noise) & np.logical_and.reduce([m >= min_cell for m, _ in cells])
+        found[b : b + block] |= good.any(1)
+        found |= good.any(0)
+    return buckets[found]
 
 
 def constant(share: float, n_buckets: int, n_factors: int = 4) -> Model:
@@ -145,9 +177,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows: int = 20_000, min_share: float = 0.02) -> Model:
     """Fits the model on at most max_rows labelled rows that are not held out. To the driver come a count for each bucket
-    and, of each training row, only the kept buckets."""
+    and, of each training row, only the buckets that may be kept."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # its size is bounded: it may be broadcast
@@ -176,9 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows
     stats = found.select("toxic", "terms").mapInArrow(counted, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     seen = np.zeros((2, n_buckets), np.int64)
     seen[:, stats["bucket"]] = stats[["clean", "toxic"]].to_numpy().T
-    kept = choose(seen.sum(0), seen[1], n, n1)
+    alone, frequent = choose(seen.sum(0), seen[1], n, n1), np.flatnonzero((seen.sum(0) >= min_share * n) & (seen.sum(0) <= (1 - min_share) * n))
     is_kept = np.zeros(n_buckets, bool)
-    is_kept[kept] = True
+    is_kept[alone] = is_kept[frequent] = True
 
     def only_kept(batches):
         for b in batches:
@@ -186,7 +218,11 @@ def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
     table = found.mapInArrow(only_kept, "doc_id long, toxic int, terms array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(t, np.int32) for t in table["terms"]], (table["toxic"] > 0).to_numpy(), kept, n_buckets)
+    rows, toxic = [np.asarray(t, np.int32) for t in table["terms"]], (table["toxic"] > 0).to_numpy()
+    kept = np.union1d(alone, choose_pairs(rows, toxic, frequent, n_buckets))
+    is_kept[:] = False
+    is_kept[kept] = True
+    return fit([r[is_kept[r]] for r in rows], toxic, kept, n_buckets)
 
 
 def score(docs: DataFrame, model: Model, *keep: str, threshold: float = 0.3, n_buckets: int = 1 << 18) -> DataFrame:
