@@ -5,10 +5,11 @@ pairwise part learns what additive weights miss, such as an insult together with
 
 Terms are a text's lower-cased words, and for longer words their first three to six letters, which stand for inflected
 and compound forms. Terms are hashed into ``n_buckets``. The model keeps weights for the buckets that tell the labels apart alone
-(chi-square above 3.84, in at least ``min_rows`` training rows), and for those that do so in pairs, however little each of
+(chi-square above 6.63, in at least ``min_rows`` training rows), and for those that do so in pairs, however little each of
 them says alone: of all pairs of buckets that at least ``min_share`` of the training rows hold, those whose effect together
-differs from the sum of their own effects (a contrast of the four cells, of at least 20 rows each). How many are kept has no
-limit but the number of buckets.
+differs from the sum of their own effects (a contrast of the four cells, of at least 20 rows each; a stronger one if one of the two
+is kept anyway, since a plain word beside a toxic one differs by language alone). How many are kept has no limit but the number of
+buckets.
 
 The model is fitted on the driver on at most ``max_rows`` labelled rows, chosen by the hash of doc_id; this bound is the
 only sample. Everything else covers all rows. Scores come from the text alone.
@@ -93,12 +94,15 @@ def choose(seen: np.ndarray, seen1: np.ndarray, n: int, n1: int, min_rows: int =
     with np.errstate(divide="ignore", invalid="ignore"):
         gap = seen1 * (n - n1 - (seen - seen1)) - (n1 - seen1) * (seen - seen1)
         chi = np.where(seen >= min_rows, n * gap**2 / (seen * (n - seen) * n1 * (n - n1)), 0.0)
-    return np.flatnonzero(np.nan_to_num(chi) > 3.84)
+    return np.flatnonzero(np.nan_to_num(chi) > 6.63)
 
 
-def choose_pairs(rows: list[np.ndarray], label: np.ndarray, buckets: np.ndarray, n_buckets: int, least: float = 30.0, min_cell: int = 20, block: int = 512) -> np.ndarray:
+def choose_pairs(
+    rows: list[np.ndarray], label: np.ndarray, buckets: np.ndarray, n_buckets: int, alone: np.ndarray | None = None, least: float = 30.0, least_beside: float = 1_000.0, min_cell: int = 20, block: int = 512
+) -> np.ndarray:
     """Those of the buckets that tell the labels apart together with another one: where the share of toxic rows among rows with
-    both, one, the other and none (p11 - p10 - p01 + p00, squared over its variance) is above least. rows: buckets of each row."""
+    both, one, the other and none (p11 - p10 - p01 + p00, squared over its variance) is above least, or above least_beside if one of
+    the two is in alone. rows: buckets of each row."""
     width = len(buckets)
     slot = np.full(n_buckets, -1, np.int32)
     slot[buckets] = np.arange(width)
@@ -110,6 +114,7 @@ def choose_pairs(rows: list[np.ndarray], label: np.ndarray, buckets: np.ndarray,
     n, n1 = len(y), int(y.sum())
     own, own1 = x.sum(0, dtype=np.int64).astype(float), x[y].sum(0, dtype=np.int64).astype(float)
     found = np.zeros(width, bool)
+    kept = np.isin(buckets, alone if alone is not None else [])
     for b in range(0, width, block):
         both, both1 = (np.zeros((min(block, width - b), width)) for _ in range(2))
         for i in range(0, n, 4096):
@@ -121,7 +126,8 @@ def choose_pairs(rows: list[np.ndarray], label: np.ndarray, buckets: np.ndarray,
         shares = [(t + 0.5) / (m + 1) for m, t in cells]
         gap = shares[0] - shares[1] - shares[2] + shares[3]
         noise = sum(p * (1 - p) / (m + 1) for p, (m, _) in zip(shares, cells, strict=True))
-        good = (gap**2 > least * noise) & np.logical_and.reduce([m >= min_cell for m, _ in cells])
+        bound = np.where(kept[b : b + block, None] | kept[None, :], least_beside, least)
+        good = (gap**2 > bound * noise) & np.logical_and.reduce([m >= min_cell for m, _ in cells])
         found[b : b + block] |= good.any(1)
         found |= good.any(0)
     return buckets[found]
@@ -219,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows
 
     table = found.mapInArrow(only_kept, "doc_id long, toxic int, terms array<int>").toPandas().sort_values("doc_id", kind="stable")
     rows, toxic = [np.asarray(t, np.int32) for t in table["terms"]], (table["toxic"] > 0).to_numpy()
-    kept = np.union1d(alone, choose_pairs(rows, toxic, frequent, n_buckets))
+    kept = np.union1d(alone, choose_pairs(rows, toxic, frequent, n_buckets, alone))
     is_kept[:] = False
     is_kept[kept] = True
     return fit([r[is_kept[r]] for r in rows], toxic, kept, n_buckets)
