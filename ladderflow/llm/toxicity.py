@@ -98,11 +98,11 @@ def choose(seen: np.ndarray, seen1: np.ndarray, n: int, n1: int, min_rows: int =
 
 
 def choose_pairs(
-    rows: list[np.ndarray], label: np.ndarray, buckets: np.ndarray, n_buckets: int, alone: np.ndarray | None = None, least: float = 30.0, least_beside: float = 1_000.0, min_cell: int = 20, block: int = 512
+    rows: list[np.ndarray], label: np.ndarray, buckets: np.ndarray, n_buckets: int, alone: np.ndarray | None = None, least: float = 30.0, least_beside: float = 1_000.0, min_cell: int = 20, block: int = 128, chunk: int = 1_024
 ) -> np.ndarray:
     """Those of the buckets that tell the labels apart together with another one: where the share of toxic rows among rows with
     both, one, the other and none (p11 - p10 - p01 + p00, squared over its variance) is above least, or above least_beside if one of
-    the two is in alone. rows: buckets of each row."""
+    the two is in alone. rows: buckets of each row. Memory: a byte for each row and bucket, and some arrays of block times buckets."""
     width = len(buckets)
     slot = np.full(n_buckets, -1, np.int32)
     slot[buckets] = np.arange(width)
@@ -117,8 +117,8 @@ def choose_pairs(
     kept = np.isin(buckets, alone if alone is not None else [])
     for b in range(0, width, block):
         both, both1 = (np.zeros((min(block, width - b), width)) for _ in range(2))
-        for i in range(0, n, 4096):
-            part, toxic = x[i : i + 4096].astype(np.float32), y[i : i + 4096]
+        for i in range(0, n, chunk):
+            part, toxic = x[i : i + chunk].astype(np.float32), y[i : i + chunk]
             both += part[:, b : b + block].T @ part
             both1 += part[toxic, b : b + block].T @ part[toxic]
         a, a1 = own[b : b + block, None], own1[b : b + block, None]
@@ -183,7 +183,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows: int = 20_000, min_share: float = 0.02) -> Model:
+def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows: int = 20_000, min_share: float = 0.05) -> Model:
     """Fits the model on at most max_rows labelled rows that are not held out. To the driver come a count for each bucket
     and, of each training row, only the buckets that may be kept."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -223,8 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows
             rows = [x[is_kept[x]] for x in (row.values.to_numpy() for row in b.column("terms"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
-    table = found.mapInArrow(only_kept, "doc_id long, toxic int, terms array<int>").toPandas().sort_values("doc_id", kind="stable")
-    rows, toxic = [np.asarray(t, np.int32) for t in table["terms"]], (table["toxic"] > 0).to_numpy()
+    table = found.mapInArrow(only_kept, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    toxic = table.column("toxic").to_numpy() > 0
+    terms_of = table.column("terms").combine_chunks()
+    begin, flat = terms_of.offsets.to_numpy(), terms_of.values.to_numpy()
+    rows = [flat[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]  # views of one array
     kept = np.union1d(alone, choose_pairs(rows, toxic, frequent, n_buckets, alone))
     is_kept[:] = False
     is_kept[kept] = True
