@@ -1,7 +1,7 @@
 """Graph of candidate links: build, components, best neighbours.
 
-The reference semantic of clusters is connected components (its own fallback); betweenness is computed there and thrown
-away, so it is not computed here.
+Clusters are connected components here (the original's own fallback) and communities by modularity in communities.py; betweenness
+is computed there and thrown away, so it is not computed here.
 """
 
 from __future__ import annotations
