@@ -183,7 +183,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows: int = 20_000, min_share: float = 0.05) -> Model:
+def train(docs: DataFrame, labels: DataFrame, n_buckets: int = 1 << 18, max_rows: int = 20_000, min_share: float = 0.2) -> Model:
     """Fits the model on at most max_rows labelled rows that are not held out. To the driver come a count for each bucket
     and, of each training row, only the buckets that may be kept."""
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
