@@ -150,6 +150,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, kept: np.ndarray, n_buckets:
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), n_factors)), float(np.log(n1 / (n - n1)))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v), 0.0, 0.0]
+    by_slot = lambda at, x, size: np.stack([np.bincount(at, x[:, k], size) for k in range(x.shape[1])], 1)
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(rows))
@@ -158,15 +159,13 @@ def fit(rows: list[np.ndarray], label: np.ndarray, kept: np.ndarray, n_buckets:
             counts = begin[part + 1] - begin[part]
             at = np.repeat(begin[part] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
             ids, own = local[at], np.repeat(np.arange(len(part)), counts)
-            total = np.zeros((len(part), n_factors))
-            np.add.at(total, own, v[ids])
-            square = np.bincount(own, (v[ids] ** 2).sum(1), len(part))
+            mine = v[ids]
+            total = by_slot(own, mine, len(part))
+            square = np.bincount(own, (mine**2).sum(1), len(part))
             z = b + np.bincount(own, w[ids], len(part)) + 0.5 * ((total**2).sum(1) - square)
             error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[part]
             gw = np.bincount(ids, error[own], len(w)) / len(part) + l2 * w
-            gv = np.zeros_like(v)
-            np.add.at(gv, ids, error[own, None] * (total[own] - v[ids]))
-            gv = gv / len(part) + l2 * v
+            gv = by_slot(ids, error[own, None] * (total[own] - mine), len(w)) / len(part) + l2 * v
             gb = error.mean()
             step += 1
             for k, (value, g) in enumerate(((w, gw), (v, gv))):
