@@ -37,6 +37,27 @@ def first_match(candidates: DataFrame, *order: str | Column) -> DataFrame:
     return candidates.withColumn("_rn", F.row_number().over(by)).where("_rn = 1").drop("_rn")
 
 
+def nearest_match(left: DataFrame, right: DataFrame, hours: int = 24) -> DataFrame:
+    """The first of band_join() by gap and right_id of each left row that has one, without making the pairs. Right rows of
+    one place and time are one, that of the least id; they go to their own bucket and both neighbours, left rows to their own, under
+    their region and under the right side's 'global'. The nearest row is the last one before in a bucket's order, or the last
+    one of the reverse order."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    width = hours * 3_600_000_000
+    bucket = F.floor(F.col("t") / width)
+    b = right.select("region", micros.alias("t"), "id").where("region IS NOT NULL AND t IS NOT NULL").groupBy("region", "t").agg(F.min("id").alias("right_id"))
+    b = b.select("region", "t", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"), F.lit(None).alias("left_id"), "right_id", F.lit(0).alias("side"))
+    places = F.array_compact(F.array(F.when(F.col("region") != "global", F.col("region")), F.lit("global")))
+    a = left.select(F.explode(places).alias("region"), micros.alias("t"), F.col("id").alias("left_id")).where("t IS NOT NULL")
+    rows = b.unionByName(a.select("region", "t", bucket.alias("bucket"), "left_id", F.lit(None).alias("right_id"), F.lit(1).alias("side")))
+    by = Window.partitionBy("region", "bucket").rowsBetween(Window.unboundedPreceding, 0)
+    met = F.when(F.col("side") == 0, F.struct(F.col("t").alias("b"), "right_id"))
+    near = rows.withColumn("_x", F.last(met, True).over(by.orderBy("t", "side"))).withColumn("_y", F.last(met, True).over(by.orderBy(F.desc("t"), "side"))).where("side = 1")
+    gap = lambda c: F.when(F.abs(F.col("t") - F.col(f"{c}.b")) < width, F.struct(F.abs(F.col("t") - F.col(f"{c}.b")).alias("gap"), F.col(f"{c}.right_id").alias("right_id")))
+    best = near.select("left_id", F.least(gap("_x"), gap("_y")).alias("m")).groupBy("left_id").agg(F.min("m").alias("m")).where("m IS NOT NULL")
+    return best.select("left_id", "m.right_id", "m.gap")
+
+
 def token_pairs(left: DataFrame, right: DataFrame, least: int = 2, least_length: int = 4) -> DataFrame:
     """Pairs of (id, tokens array) that share at least so many tokens, one of them long enough: see
     candidates.shared_tokens()."""

@@ -36,7 +36,7 @@ def band_join_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("blocked_first_match", "J02 F08", f"WITH {_BAND}, k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY gap, right_id) AS rn FROM j) SELECT left_id, right_id, CAST(gap AS BIGINT) AS gap FROM k WHERE rn = 1")
 def blocked_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link.first_match(link.band_join(*_events(spark, sf_dir)), "gap", "right_id")
+    return link.nearest_match(*_events(spark, sf_dir))
 
 
 @query("unmatched_antijoin", "J13", f"WITH {_BAND} SELECT id FROM l WHERE id NOT IN (SELECT left_id FROM j)")

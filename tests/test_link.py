@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ladderflow.functions import fuzzy, predicates
 from ladderflow.functions import text as T
 from ladderflow.operators import graph, link
+from ladderflow.plans import catalog
+
+catalog.load()
 
 
 @pytest.mark.parametrize(
@@ -65,3 +68,27 @@ def test_dictionary(spark):
     assert {r.id: r.canonical for r in link.resolve_exact(names, aliases).collect()} == {1: "Manchester United", 2: None, 3: None}
     last = aliases.where("version > 0 or sport = 't'")
     assert {r.id: r.canonical for r in link.resolve_fuzzy(names, last).collect()} == {1: "Manchester United", 2: "Manchester United", 3: None}
+
+
+def test_nearest_match_makes_no_pairs(spark):
+    """The first of all pairs by gap and id, also at bucket ends, at equal times, of global and of unnamed regions; no plan joins."""
+    import random
+
+    pick = random.Random(3)
+    rows = lambda n, start: [(start + i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=pick.randrange(240)), pick.choice(["r1", "r2", "global", None])) for i in range(n)]
+    schema = "id long, ts timestamp, region string"
+    left = spark.createDataFrame([*rows(80, 0), (90, None, "r1"), (91, dt.datetime(2030, 1, 1), "r1")], schema)
+    right = spark.createDataFrame([*rows(30, 100), (190, None, "global"), (191, dt.datetime(2024, 1, 5), "r1"), (192, dt.datetime(2024, 1, 5), "r1")], schema)
+    want = sorted(map(tuple, link.first_match(link.band_join(left, right), "gap", "right_id").select("left_id", "right_id", "gap").collect()))
+    found = link.nearest_match(left, right)
+    assert want and sorted(map(tuple, found.collect())) == want
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["blocked_first_match"])
+def test_nearest_queries_make_no_pairs(spark, monkeypatch, name):
+    def none(*_, **__):
+        raise AssertionError("all pairs of a band")
+
+    monkeypatch.setattr(link, "band_join", none)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").columns
