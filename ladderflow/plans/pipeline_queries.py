@@ -17,7 +17,7 @@ _CYCLE = f"""{_BAND}, k AS (SELECT *, row_number() OVER (PARTITION BY left_id OR
 
 
 def _cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = link.first_match(link.band_join(*_events(spark, sf_dir)), "gap", "right_id")
+    found = link.nearest_match(*_events(spark, sf_dir))
     rows = found.select("left_id", "right_id", (F.col("left_id") % 90 / 100 + 0.05).alias("price"), (1.2 + F.col("right_id") % 50 / 10).alias("lay"))
     return rows.withColumn("roi", odds.lay_hedge_roi(F.col("price"), F.col("lay")))
 
