@@ -42,7 +42,7 @@ def blocked_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unmatched_antijoin", "J13", f"WITH {_BAND} SELECT id FROM l WHERE id NOT IN (SELECT left_id FROM j)")
 def unmatched_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _events(spark, sf_dir)
-    return left.select("id").join(link.band_join(left, right).select(F.col("left_id").alias("id")), "id", "left_anti")
+    return left.select("id").join(link.nearest_match(left, right).select(F.col("left_id").alias("id")), "id", "left_anti")
 
 
 #: The distinct words of whole texts and the pairs that share some, in SQL.

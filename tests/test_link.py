@@ -85,7 +85,7 @@ def test_nearest_match_makes_no_pairs(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["blocked_first_match", "audit_summary", "shadow_cycle"])
+@pytest.mark.parametrize("name", ["blocked_first_match", "audit_summary", "shadow_cycle", "unmatched_antijoin"])
 def test_nearest_queries_make_no_pairs(spark, monkeypatch, name):
     def none(*_, **__):
         raise AssertionError("all pairs of a band")
