@@ -139,7 +139,7 @@ def quote_crossing_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ask at or below the earlier bid of ours buys, a bid at or above the earlier ask sells; quotes stand 10 away."""
     before = F.lag("value").over(S.by_key())
     rows = ticks(spark, sf_dir).withColumn("b", before).where(F.abs(F.col("value") - F.col("b")) >= 10)
-    return rows.select("seq", F.when(F.col("value") <= F.col("b") - 10, "BUY").otherwise("SELL").alias("fill"))
+    return rows.select("seq", F.when(F.col("value") <= F.col("b") - 10, "BUY").when(F.col("value") >= F.col("b") + 10, "SELL").alias("fill"))
 
 
 _TELEMETRY = f"""{TICKS}, l AS (SELECT key, list(value ORDER BY ts, seq) AS vs, list(CAST(CASE WHEN value >= 50 THEN 1 ELSE 0 END AS DOUBLE) ORDER BY ts, seq) AS hs, count(*) AS n FROM tick GROUP BY 1),

@@ -1,5 +1,7 @@
 """Pruned scans, seeding with a log, new aliases, counters of a scan, cascaded answers, the online model."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,13 @@ def test_online_model_equals_the_plain_one(spark):
             error = y - 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, v, strict=True))))
             w = [0.95 * a + 0.1 * error * b for a, b in zip(w, v, strict=True)]
         assert got[key] == pytest.approx(w)
+
+
+def test_a_move_that_rounding_makes_has_no_side(spark, tmp_path):
+    """11.12 is 10 above 1.12, but not as large as 1.12 + 10: SQL names no side."""
+    from ladderflow.plans import catalog
+
+    catalog.load()
+    rows = [(1, dt.datetime(2024, 1, 1), 1, "x", 1.12, ""), (2, dt.datetime(2024, 1, 2), 1, "x", 11.12, ""), (3, dt.datetime(2024, 1, 3), 1, "x", 90.0, ""), (4, dt.datetime(2024, 1, 4), 1, "x", 70.0, "")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.seq: r.fill for r in catalog.QUERIES["quote_crossing_fills"](spark, str(tmp_path)).collect()} == {2: None, 3: "SELL", 4: "BUY"}
