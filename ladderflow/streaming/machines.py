@@ -128,19 +128,19 @@ class Guardian(Machine):
     """Balance and losing streak of a key; a loss beyond the drawdown or a long streak pauses trading for a while from
     that row on, and the pause is lifted by time alone. event: trade, or lifted at the end of a pause."""
 
-    state = "balance double, streak long, until long, paused boolean"
+    state = "total double, streak long, until long, paused boolean"
     columns = "pnl double"
     output = "event string, streak long, drawdown double, pause_until long"
 
     def __init__(self, initial: float, max_drawdown: float = 0.05, losers: int = 5, pause_minutes: float = 60):
         self.start, self.most, self.losers, self.pause = initial, max_drawdown, losers, int(pause_minutes * MINUTE)
-        self.initial = {"balance": initial, "streak": 0, "until": None, "paused": False}
+        self.initial = {"total": 0.0, "streak": 0, "until": None, "paused": False}
 
     def step(self, s, row):
         pnl = row["pnl"] or 0.0
-        s["balance"] += pnl
+        s["total"] += pnl  # apart from the start, as the batch twin adds up: a loss that equals the limit rounds alike
         s["streak"] = s["streak"] + 1 if pnl < 0 else 0
-        down = max(self.start - s["balance"], 0.0) / self.start if self.start > 0 else 0.0
+        down = max(self.start - (self.start + s["total"]), 0.0) / self.start if self.start > 0 else 0.0
         if down > self.most or s["streak"] >= self.losers:
             s["until"], s["paused"] = row["us"] + self.pause, True
         yield {"event": "trade", "streak": s["streak"], "drawdown": down, "pause_until": s["until"]}

@@ -159,3 +159,12 @@ def test_run_available_replaces_a_repeated_batch(spark, tmp_path):
     stream = numbers(spark, tmp_path / "in", 4, 4)
     path = run_available(stream, str(tmp_path / "out"))
     assert sorted(r.i for r in spark.read.parquet(path).collect()) == list(range(8))
+
+
+def test_a_loss_that_equals_the_limit_is_no_break():
+    """Ten trades lose 100 of 1000: added up on the start they come to 899.9999999999999, on their own to -100."""
+    machine = machines.Guardian(1000.0, 0.1, 9, 1_440)
+    state = dict(machine.initial)
+    for us, value in enumerate((46.92, 52.8, 61.55, 9.58, 17.12, 18.41, 67.5, 4.85, 58.26, 63.01)):
+        (row,) = machine.step(state, {"pnl": value - 50, "us": us})
+    assert row["drawdown"] == 0.1 and row["pause_until"] == 8 + machine.pause  # from the row before on, which broke it
