@@ -327,12 +327,20 @@ def name_cascade(left: DataFrame, right: DataFrame, least_common: int = 2, least
 
 def prop_match(props: DataFrame, titles: DataFrame, least: int = 85) -> DataFrame:
     """Player props (prop_id, stat, line, player) and titles (title_id, stat, line, title) of one statistic and line
-    whose names fit: partial token-set ratio of at least so much. Equal pairs of names are compared once."""
+    whose names fit: partial token-set ratio of at least so much. Names of a statistic and line meet once, however many rows bear
+    them; rows are joined to the pairs that fit."""
     from ladderflow.functions.fuzzy import partial_set_ratio_column
 
-    pairs = props.join(titles, ["stat", "line"])
-    scored = pairs.select("player", "title").distinct().withColumn("score", partial_set_ratio_column(F.col("player"), F.col("title"))).where(F.col("score") >= least)
-    return pairs.join(scored, ["player", "title"]).select("prop_id", "title_id", "score")
+    by = ["stat", "line"]
+    parts = int(props.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as few bytes make many rows here and would be put into one task
+    names, texts = props.select(*by, "player").distinct(), titles.select(*by, "title").distinct()
+    met = names.repartition(parts, *by).hint("merge").join(texts.repartition(parts, *by), by)
+    asked = met.select("player", "title").distinct()
+    scored = written(asked.withColumn("score", partial_set_ratio_column(F.col("player"), F.col("title"))).where(F.col("score") >= least), "scored")
+    # ids of a title travel as lists, in pieces, so that nothing is shuffled once for each pair of rows
+    pieces = titles.groupBy(*by, "title", F.pmod(F.xxhash64("title_id"), F.lit(8)).alias("piece")).agg(F.collect_list("title_id").alias("title_ids")).drop("piece")
+    fits = met.join(scored, ["player", "title"]).join(pieces.hint("merge"), [*by, "title"]).select(*by, "player", "score", "title_ids")
+    return props.repartition(parts, *by, "player").hint("merge").join(fits.repartition(parts, *by, "player"), [*by, "player"]).select("prop_id", F.explode("title_ids").alias("title_id"), "score")
 
 
 def triangle(ab: DataFrame, bc: DataFrame) -> DataFrame:

@@ -153,3 +153,17 @@ def test_fuzzy_pairs_and_hybrid_candidates(spark):
     got = {(r.left_id, r.rank): (r.right_id, round(r.score, 9)) for r in link.hybrid_top(a, b, 3).collect()}
     want = {(i, n): (j, round(-s, 9)) for i, x in left for n, (s, j) in enumerate(sorted((-score(x, y), j) for j, y in right if score(x, y) is not None)[:3], 1)}
     assert got == want
+
+
+def test_prop_names_meet_once_however_many_rows_bear_them(spark):
+    import re
+
+    rows = lambda n, *names: [(i, "goals", 2, names[i % len(names)]) for i in range(n)]
+    props = spark.createDataFrame([*rows(40, "leo messi", "messi"), (99, "goals", 3, "messi")], "prop_id long, stat string, line int, player string")
+    titles = spark.createDataFrame(rows(30, "messi goals", "kane goals"), "title_id long, stat string, line int, title string")
+    found = link.prop_match(props, titles)
+    want = {(p, t) for p in range(40) for t in range(0, 30, 2)}
+    assert sorted((r.prop_id, r.title_id) for r in found.collect()) == sorted(want)
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any(re.search(r"title_id#\d+.*prop_id#\d+", line) for line in joins)
+    assert "Aggregate [stat#" in found._jdf.queryExecution().optimizedPlan().toString()
