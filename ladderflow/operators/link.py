@@ -180,14 +180,24 @@ def hybrid_top(left: DataFrame, right: DataFrame, k: int = 10, least_ratio: int
     return left.select(F.col("id").alias("left_id"), F.col("t").alias("a")).join(best, "a").select("left_id", "right_id", "score", "rank")
 
 
-def mentioned(texts: DataFrame, aliases: DataFrame, least_length: int = 3) -> DataFrame:
+def mentioned(texts: DataFrame, aliases: DataFrame, least_length: int = 3, most_broadcast: int = 100_000) -> DataFrame:
     """The canonical names whose aliases a text holds; the first word of an alias must be a word of the text, which
-    makes the search an equality join."""
+    makes the search an equality join. Aliases are counted before they are broadcast; texts never are."""
     a = aliases.where(F.length("alias") >= least_length).select(F.lower("alias").alias("alias"), "canonical").withColumn("w", F.get(T.words(F.col("alias")), F.lit(0)))
+    a = written(a, "aliases")
+    a = F.broadcast(a) if a.count() <= most_broadcast else a.hint("merge")
     t = texts.select("id", F.lower("text").alias("text")).withColumn("w", F.explode(F.array_distinct(T.words(F.col("text")))))
     return t.join(a, "w").where(F.contains("text", "alias")).groupBy("id").agg(F.array_sort(F.collect_set("canonical")).alias("canonicals"))
 
 
+def once(rows: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
+    """rows with columns that depend on the keys alone and are dear: made once for each distinct value of the keys, dealt to all cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    made = rows.select(*keys).distinct().repartition(4 * cores, *keys).select(*[F.col(k).alias(f"_{k}") for k in keys], *[c.alias(n) for n, c in columns.items()])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.hint("merge").join(made, same).drop(*[f"_{k}" for k in keys])
+
+
 def sides(x: Column) -> Column:
     """Parts of a title around vs, @ or a dash, of more than two letters."""
     return F.filter(F.transform(F.split(F.lower(x), r" vs\.? | v\.? | @ | - "), lambda s: F.trim(s)), lambda s: F.length(s) > 2)

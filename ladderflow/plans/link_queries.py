@@ -100,7 +100,7 @@ def fuzzy_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def substring_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.get(F.split("p_name", " "), F.lit(1))
     aliases = table(spark, sf_dir, "part").select(F.lower(word).alias("alias"), F.upper(word).alias("canonical")).distinct()
-    texts = titles(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("t").alias("text"))
+    texts = spread(titles(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.col("t").alias("text")))
     return link.mentioned(texts, aliases).select("id", F.array_join("canonicals", ",").alias("canonicals"))
 
 

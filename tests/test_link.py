@@ -92,3 +92,13 @@ def test_nearest_queries_make_no_pairs(spark, monkeypatch, name):
 
     monkeypatch.setattr(link, "band_join", none)
     assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").columns
+
+
+def test_mentioned_never_broadcasts_texts(spark):
+    texts = spark.createDataFrame([(1, "Red Bull vs red star"), (2, "blue"), (3, None)], "id long, text string")
+    aliases = spark.createDataFrame([("red", "RED"), ("red star", "RS"), ("bu", "X"), ("blue", "B")], "alias string, canonical string")
+    for most, hint in ((10, "strategy=broadcast"), (0, "strategy=merge")):
+        found = link.mentioned(texts, aliases, most_broadcast=most)
+        assert {r.id: r.canonicals for r in found.collect()} == {1: ["RED", "RS"], 2: ["B"]}
+        joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+        assert joins and all(f"rightHint=({hint})" in line and "leftHint=(strategy=broadcast)" not in line for line in joins), joins
