@@ -328,8 +328,8 @@ def prop_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def matcher_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each title against the title nine parts on; a test holds the rules to a plain version."""
     t = titles(spark, sf_dir)
-    pairs = t.select("p_partkey", F.col("t").alias("a")).join(t.select((F.col("p_partkey") - 9).alias("p_partkey"), F.col("t").alias("b")), "p_partkey")
-    return pairs.select("p_partkey", link.static_match(F.col("a"), F.col("b"), "soccer").alias("rule"))
+    pairs = t.select("p_partkey", F.col("t").alias("a")).hint("merge").join(t.select((F.col("p_partkey") - 9).alias("p_partkey"), F.col("t").alias("b")), "p_partkey")
+    return link.once(pairs, ["a", "b"], rule=link.static_match(F.col("a"), F.col("b"), "soccer")).select("p_partkey", "rule")
 
 
 @query("event_groups", "S04", """SELECT 'e' || CAST(o_orderkey AS VARCHAR) AS event_id, o_orderpriority AS title, 'm' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS market_id, l_quantity / 51 AS price

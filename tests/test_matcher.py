@@ -167,3 +167,14 @@ def test_prop_names_meet_once_however_many_rows_bear_them(spark):
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert joins and not any(re.search(r"title_id#\d+.*prop_id#\d+", line) for line in joins)
     assert "Aggregate [stat#" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["matcher_cascade"])
+def test_rules_are_asked_once_for_each_pair_of_titles(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [a#" in plan and "strategy=broadcast" not in plan
+
+
+def test_once_keeps_every_row(spark):
+    rows = spark.createDataFrame([(1, "a", "b"), (2, "a", "b"), (3, None, "b"), (4, None, None)], "id int, a string, b string")
+    assert sorted(tuple(r) for r in link.once(rows, ["a", "b"], n=F.concat_ws("-", "a", "b")).select("id", "n").collect()) == [(1, "a-b"), (2, "a-b"), (3, "b"), (4, "")]
