@@ -110,9 +110,10 @@ def two_sided_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = titles(spark, sf_dir).select("p_partkey", F.col("t").alias("a"))
     b = titles(spark, sf_dir).select((F.col("p_partkey") - 9).alias("p_partkey"), F.col("t").alias("b"))
     none = F.array().cast("array<string>")
-    rows = a.join(b, "p_partkey")
+    rows = a.hint("merge").join(b, "p_partkey")
     guard = link.guardrail(F.col("a"), F.col("b"), none, none)
-    return rows.select("p_partkey", link.overlap(F.col("a"), F.col("b"), "soccer").alias("fits"), guard["reason"].alias("reason"), link.static_match(F.col("a"), F.col("b")).alias("rule"))
+    done = link.once(rows, ["a", "b"], fits=link.overlap(F.col("a"), F.col("b"), "soccer"), reason=guard["reason"], rule=link.static_match(F.col("a"), F.col("b")))
+    return done.select("p_partkey", "fits", "reason", "rule")
 
 
 @query("fuzzy_best_match", "J05 J06 L09 X09 X10", None)

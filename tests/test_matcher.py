@@ -169,7 +169,7 @@ def test_prop_names_meet_once_however_many_rows_bear_them(spark):
     assert "Aggregate [stat#" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["matcher_cascade"])
+@pytest.mark.parametrize("name", ["matcher_cascade", "two_sided_overlap"])
 def test_rules_are_asked_once_for_each_pair_of_titles(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [a#" in plan and "strategy=broadcast" not in plan
