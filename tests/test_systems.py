@@ -240,3 +240,17 @@ def test_cache_answers_by_the_index(spark):
     by = lambda how: {r.q: (r.answer, r.kind) for r in cached_answer(asked, cache, 0.4, how).collect()}
     exact, near = by(top_similar), by(lambda q, d, k: similarity_index.indexed_top(q, d, k, recall=1.0, refine=50))
     assert exact == near and {k for _, k in exact.values()} >= {"exact", "semantic"}
+
+
+def test_equal_systems_are_solved_once(spark):
+    """Sixty systems of two kinds, one of them with a negative zero, are two rows for the solver; every group has its result."""
+    from ladderflow.operators import systems
+
+    ids = [(g, i) for g in range(60) for i in (1, 2)]
+    points = spark.createDataFrame([(g, i, -0.0 if g % 2 else 1.0) for g, i in ids], "group_id long, idx long, value double")
+    terms = spark.createDataFrame([(g, 0, i, 1.0) for g, i in ids], "group_id long, c_id int, idx long, coeff double")
+    rules = spark.createDataFrame([(g, 0, ">=", 1.0) for g in range(60)], "group_id long, c_id int, sense string, rhs double")
+    gathered = systems.gather(terms, rules, points)
+    assert systems._distinct(gathered)[1].count() == 2
+    assert {tuple(r) for r in systems.statuses(gathered).collect()} == {(g, "Optimal") for g in range(60)}
+    assert {(r.group_id, r.idx): r.z for r in systems.descent_vertices(gathered).collect()} == {(g, i): float(i - 1) for g, i in ids}
