@@ -57,7 +57,7 @@ def _book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_l2_book", "T03", ORACLE["l2_book_replay"])
 def stream_l2_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level updates as a stream; map state gives what the replay gives in batch."""
+    """Level updates as a stream; the kept levels give what the replay gives in batch."""
     changes = run(spark, machines.book_stream(_book_rows(spark, sf_dir).withColumn("kind", F.lit("delta")), bid="F"), "update")
     return machines.last_levels(changes)
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -255,78 +255,49 @@ class Cache(Machine):
         yield {"event": "expired", "data": data}
 
 
-BOOK_ROWS = "book_id long, side string, price double, size double, seq array<double>"
-BOOK_TOPS = "book_id long, version long, best_bid double, bid_size double, best_ask double, ask_size double, mid double, spread double, levels long"
-
-
-class Book(StatefulProcessor):
-    """A book's levels in map state, (side, price) -> (size, seq). A row of kind snapshot clears what is older than itself
-    and sets its level; one of kind delta sets a level or, with a size of 0 or less, deletes it.
-
-    seq is an array of numbers, compared from left to right. A level keeps the seq of its last change, a deleted one too (until
-    the next snapshot), and the book that of its last snapshot: rows that come out of order change nothing that is newer, so
-    the end does not depend on how rows were dealt to batches. Rows without side, price, size or seq are left out.
+def book_stream(updates: DataFrame, tops: bool = False, bid: str = "BUY") -> DataFrame:
+    """A stream of updates (book_id, seq array, kind, side, price, size) as a stream of changed levels, for last_levels() or, with
+    tops, which marks the bid side, for last_tops(). A row of kind snapshot clears what is older than itself and sets its level; one
+    of kind delta sets a level or, with a size of 0 or less, deletes it.
+
+    seq is an array of numbers, compared from left to right. The state of a level is its last change by seq, also of a deleted one,
+    and that of a book its last snapshot, a row without side and price. Both are maxima, so rows that come out of order change nothing
+    that is newer, the end does not depend on how rows were dealt to batches, and the state needs no Python. What a snapshot cleared
+    is told by its seq. Rows without side, price, size or seq are left out.
     """
+    whole = updates.where("side IS NOT NULL AND price IS NOT NULL AND size IS NOT NULL AND seq IS NOT NULL")
+    price, size = F.col("price").cast("double"), F.greatest(F.col("size").cast("double"), F.lit(0.0))
+    level = F.struct(F.col("side").alias("side"), price.alias("price"), size.alias("size"))
+    gone = F.struct(F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("price"), F.lit(0.0).alias("size"))
+    places = F.when(F.col("kind") == "snapshot", F.array(level, gone)).otherwise(F.array(level))
+    rows = whole.select("book_id", F.col("seq").cast("array<double>").alias("seq"), "kind", F.explode(places).alias("x"))
+    last = F.max(F.struct("seq", "kind", F.col("x.size").alias("size")))
+    out = rows.groupBy("book_id", F.col("x.side").alias("side"), F.col("x.price").alias("price")).agg(last.alias("last"))
+    out = out.select("book_id", "side", "price", "last.size", "last.seq")
+    return out.withColumn("is_bid", F.col("side") == bid) if tops else out
 
-    def __init__(self, tops: bool, bid: str):
-        self.tops, self.bid = tops, bid
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.levels = handle.getMapState("levels", "side string, price double", "size double, seq array<double>")
-        self.cleared = handle.getValueState("cleared", "seq array<double>, version long")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        new = pd.concat(list(rows))
-        before = {(k[0], float(k[1])): (float(v[0]), tuple(v[1])) for k, v in self.levels.iterator()}
-        cleared, version = self.cleared.get() if self.cleared.exists() else ((), 0)
-        book, cleared = dict(before), tuple(cleared)
-        for seq, kind, side, price, size in sorted((tuple(q), k, s, float(p), float(z)) for q, k, s, p, z in zip(new["seq"], new["kind"], new["side"], new["price"], new["size"], strict=True)):
-            if kind == "snapshot" and seq > cleared:
-                cleared = seq
-                book = {level: x for level, x in book.items() if x[1] >= seq}
-            if seq >= cleared and ((side, price) not in book or seq >= book[side, price][1]):
-                book[side, price] = (max(size, 0.0), seq)
-        for level in before.keys() - book.keys():
-            self.levels.removeKey(level)
-        changed = {level: x for level, x in book.items() if before.get(level) != x}
-        for level, (size, seq) in changed.items():
-            self.levels.updateValue(level, (size, list(seq)))
-        self.cleared.update((list(cleared), version + 1))
-        if self.tops:
-            yield self._top(key, book, version + 1)
-        else:
-            gone = [(key[0], s, p, 0.0, list(cleared)) for s, p in before.keys() - book.keys() if before[s, p][0] > 0]
-            rows = [(key[0], s, p, size, list(seq)) for (s, p), (size, seq) in changed.items() if size > 0 or before.get((s, p), (0.0,))[0] > 0]
-            yield pd.DataFrame(gone + rows, columns=names(BOOK_ROWS))
-
-    def _top(self, key, book: dict, version: int) -> pd.DataFrame:
-        live = {level: x[0] for level, x in book.items() if x[0] > 0}
-        bid = max((p for s, p in live if s == self.bid), default=None)
-        ask = min((p for s, p in live if s != self.bid), default=None)
-        both = bid is not None and ask is not None
-        size = lambda p, is_bid: sum(z for (s, x), z in live.items() if x == p and (s == self.bid) == is_bid)
-        row = (key[0], version, bid, size(bid, True), ask, size(ask, False), (bid + ask) / 2 if both else None, ask - bid if both else None, len(live))
-        return pd.DataFrame([row], columns=names(BOOK_TOPS), dtype=object)
-
-    def close(self) -> None:
-        pass
 
-
-def book_stream(updates: DataFrame, tops: bool = False, bid: str = "BUY") -> DataFrame:
-    """A stream of updates (book_id, seq array, kind, side, price, size) as a stream of changed levels (size 0: gone), or,
-    with tops, of each changed book's best prices after a batch. The last change of a level is the one of largest seq."""
-    whole = updates.where("side IS NOT NULL AND price IS NOT NULL AND size IS NOT NULL AND seq IS NOT NULL")
-    rows = whole.select("book_id", F.col("seq").cast("array<double>").alias("seq"), "kind", "side", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
-    return rows.groupBy("book_id").transformWithStateInPandas(Book(tops, bid), BOOK_TOPS if tops else BOOK_ROWS, "update", "none")
+def _levels(changes: DataFrame) -> DataFrame:
+    """The last change of each level, and whether it is live: it has a size and no later snapshot cleared it."""
+    own = changes.repartition("book_id").groupBy(*[c for c in changes.columns if c not in ("size", "seq")]).agg(F.max(F.struct("seq", "size")).alias("x"))
+    cleared = F.max(F.when(F.col("side").isNull(), F.col("x.seq"))).over(Window.partitionBy("book_id"))
+    live = F.col("side").isNotNull() & (F.col("x.size") > 0) & (F.col("cleared").isNull() | (F.col("x.seq") >= F.col("cleared")))
+    return own.withColumn("cleared", cleared).withColumn("live", live).withColumn("size", F.col("x.size")).drop("x", "cleared")
 
 
 def last_levels(changes: DataFrame) -> DataFrame:
     """The book that a table of changed levels leads to."""
-    last = changes.groupBy("book_id", "side", "price").agg(F.max_by("size", F.struct("seq", -F.col("size"))).alias("size"))
-    return last.where("size > 0")
-
-
-def last_tops(tops: DataFrame) -> DataFrame:
-    """The last best prices of each book."""
-    one: Column = F.max_by(F.struct(*[c for c in tops.columns if c not in ("book_id", "version")]), "version")
-    return tops.groupBy("book_id").agg(one.alias("t")).select("book_id", "t.*")
+    return _levels(changes).where("live").select("book_id", "side", "price", "size")
+
+
+def last_tops(changes: DataFrame) -> DataFrame:
+    """The last best prices of each book, of one without levels too."""
+    by = Window.partitionBy("book_id")
+    bid, ask = F.col("live") & F.col("is_bid"), F.col("live") & ~F.col("is_bid")
+    rows = _levels(changes).withColumn("best_bid", F.max(F.when(bid, F.col("price"))).over(by)).withColumn("best_ask", F.min(F.when(ask, F.col("price"))).over(by))
+    size = lambda side, best: F.coalesce(F.sum(F.when(side & (F.col("price") == F.col(best)), F.col("size"))), F.lit(0.0))
+    tops = rows.groupBy("book_id").agg(
+        F.max("best_bid").alias("best_bid"), size(bid, "best_bid").alias("bid_size"), F.max("best_ask").alias("best_ask"), size(ask, "best_ask").alias("ask_size"), F.count_if("live").alias("levels"),
+    )
+    mid, spread = (F.col("best_bid") + F.col("best_ask")) / 2, F.col("best_ask") - F.col("best_bid")
+    return tops.select("book_id", "best_bid", "bid_size", "best_ask", "ask_size", mid.alias("mid"), spread.alias("spread"), "levels")
