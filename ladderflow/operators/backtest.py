@@ -1,16 +1,20 @@
 """Replay of history.
 
 Where profit does not depend on the path, replay is a window sum. Where the state feeds back into sizes or decisions it
-runs in one Arrow batch for each run or key (applyInPandas); a single key is then one task, as its order is inherent.
+runs in one Arrow batch for each run (applyInPandas), or by in_order() over the sorted rows of many keys; a single key is then one
+task, as its order is inherent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ladderflow.operators.book import walk
 from ladderflow.plans.proxies import quantise
@@ -101,53 +105,73 @@ def odds_backtest(history: DataFrame, capital: float, stake: float = 50.0, edge:
     )
 
 
+def in_order(rows: DataFrame, columns: list[str], step: Callable, output: str) -> DataFrame:
+    """Rows (seq, ts, key, the columns) of each key in order of (ts, seq) through step(state, (seq, microseconds, key, *columns)), which
+    gives the next state and an output row or None; a key begins with None. Keys are dealt to tasks and sorted there, and rows
+    stream through in Arrow batches: many short keys cost no call each, and of a long one only the state is held."""
+    schema = to_arrow_schema(StructType.fromDDL(output))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None  # equal to no key
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[2] != last:
+                    last, state = row[2], None
+                state, given = step(state, row)
+                if given is not None:
+                    out.append(given)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    session = rows.sparkSession
+    parts = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))  # stated, as few bytes would be put into one task
+    dealt = rows.select("seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "key", *columns).repartition(parts, "key")
+    return dealt.sortWithinPartitions("key", F.asc_nulls_last("us"), F.asc_nulls_last("seq")).mapInArrow(run, output)
+
+
 def dedup_signals(signals: DataFrame, ttl_seconds: float = 3600.0, points: float = 5.0) -> DataFrame:
     """Seq of the signals (seq, ts, key, profit) to send: new ones, ones whose last sending is older than the lifetime,
     and ones better by the points than the last sent. The state changes only on sending."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        sent_at = sent = None
-        out = []
-        for r in rows.sort_values(["ts", "seq"]).itertuples(index=False):
-            if sent_at is None or (r.ts - sent_at).total_seconds() > ttl_seconds or r.profit >= sent + points:
-                sent_at, sent = r.ts, r.profit
-                out.append((r.seq, key[0], r.profit))
-        return pd.DataFrame(out, columns=["seq", "key", "profit"])
+    def step(sent, row):
+        seq, us, key, profit = row
+        if sent is not None:
+            late = us is not None and sent[0] is not None and us - sent[0] > ttl_seconds * 1e6
+            if not late and (profit is None or sent[1] is None or not profit >= sent[1] + points):
+                return sent, None
+        return (us, profit), (seq, key, profit)
 
-    return signals.groupBy("key").applyInPandas(run, "seq long, key string, profit double")
+    return in_order(signals, ["profit"], step, "seq long, key string, profit double")
 
 
 def rate_limit(alerts: DataFrame, seconds: float) -> DataFrame:
     """Seq of the alerts (seq, ts, key) that are at least so many seconds after the last one sent of their type."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        sent, out = None, []
-        for r in rows.sort_values(["ts", "seq"]).itertuples(index=False):
-            if sent is None or (r.ts - sent).total_seconds() >= seconds:
-                sent = r.ts
-                out.append((r.seq, key[0]))
-        return pd.DataFrame(out, columns=["seq", "key"])
+    def step(sent, row):
+        seq, us, key = row
+        if sent is not None and (us is None or sent[0] is None or us - sent[0] < seconds * 1e6):
+            return sent, None
+        return (us,), (seq, key)
 
-    return alerts.groupBy("key").applyInPandas(run, "seq long, key string")
+    return in_order(alerts, [], step, "seq long, key string")
 
 
 def api_breaker(calls: DataFrame, failures: int = 3, timeout: float = 60.0) -> DataFrame:
     """Whether each call (seq, ts, key, ok) may run: a breaker opens after failures in a row, lets a call through
     once the timeout is over, and closes on success. Calls that may not run do not change the state."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        bad, opened, last, out = 0, False, None, []
-        for r in rows.sort_values(["ts", "seq"]).itertuples(index=False):
-            allowed = not opened or (r.ts - last).total_seconds() > timeout
-            if allowed and r.ok:
-                bad, opened = 0, False
-            elif allowed:
-                bad, last = bad + 1, r.ts
-                opened = opened or bad >= failures
-            out.append((r.seq, key[0], allowed, "OPEN" if opened else "CLOSED"))
-        return pd.DataFrame(out, columns=["seq", "key", "allowed", "state"])
-
-    return calls.groupBy("key").applyInPandas(run, "seq long, key long, allowed boolean, state string")
+    def step(state, row):
+        bad, opened, last = state or (0, False, None)
+        seq, us, key, ok = row
+        allowed = not opened or (us is not None and last is not None and us - last > timeout * 1e6)
+        if allowed and ok:
+            bad, opened = 0, False
+        elif allowed:
+            bad, last = bad + 1, us
+            opened = opened or bad >= failures
+        return (bad, opened, last), (seq, key, allowed, "OPEN" if opened else "CLOSED")
+
+    return in_order(calls, ["ok"], step, "seq long, key long, allowed boolean, state string")
 
 
 def random_walk_maker(spark, seeds: int, steps: int, spread: float, skew: float):

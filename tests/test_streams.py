@@ -77,3 +77,17 @@ def test_sources_and_sinks(spark, tmp_path):
     moves = spark.createDataFrame([(1, "0xA", "0xB"), (5, "0xa", "0xC"), (6, "0xd", "0xA"), (7, "0xd", "0xe")], "block long, from string, to string")
     got = readers.transfers(moves, spark.createDataFrame([("0xA",)], "wallet string"), 1).orderBy("block").collect()
     assert [(r.block, r.side) for r in got] == [(5, "SELL"), (6, "BUY")]
+
+
+def test_ordered_rows_of_many_keys_stream_through(spark):
+    """Keys without rows between them, a null key, a row without time or profit: the state begins anew at each key, and no key is a group of its own."""
+    rows = [(i, T0 + dt.timedelta(seconds=i), None if i % 5 == 4 else f"k{i % 5}", float(i)) for i in range(50)] + [(90, None, "k0", 200.0), (91, T0 + dt.timedelta(seconds=49), "k0", None)]
+    df = spark.createDataFrame(rows, "seq long, ts timestamp, key string, profit double")
+    sent = backtest.dedup_signals(df, 1e9, 20.0)
+    assert "FlatMapGroups" not in sent._jdf.queryExecution().analyzed().toString()
+    want = {f"k{i}": [i, i + 20, i + 40] for i in range(4)} | {None: [4, 24, 44]}
+    want["k0"].append(90)
+    got = {}
+    for r in sent.orderBy("seq").collect():
+        got.setdefault(r.key, []).append(r.seq)
+    assert got == want
