@@ -78,23 +78,28 @@ def latest_prices(ticks: DataFrame) -> DataFrame:
 SENT = "seq long, key string, profit double"
 
 
-def refiring_signals(ticks: DataFrame, ttl_seconds: float, points: float = 5.0) -> DataFrame:
-    """Signals (seq, ts, key, profit) that are new, past the lifetime of the last sent one, or better by the points."""
+#: Keys are dealt to so many groups by their hash. Each group is one call of Python and one state in a batch.
+SIGNAL_GROUPS = 8_192
 
-    def run(key, batches, state):
-        at, sent = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"], kind="stable")
+
+def refiring_signals(ticks: DataFrame, ttl_seconds: float, points: float = 5.0, groups: int = SIGNAL_GROUPS) -> DataFrame:
+    """Signals (seq, ts, key, profit) that are new, past the lifetime of the last sent one, or better by the points. The state
+    of a group of keys holds the last sending of each of its keys: most keys have a row or two, and a call for each costs
+    more than its rows."""
+
+    def run(group, batches, state):
+        kept = {k: (at, sent) for k, at, sent in zip(*state.get, strict=True)} if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(["us", "seq"], kind="stable")
         out = []
-        for r in rows.itertuples(index=False):
-            stamp = r.ts.value
-            if at is None or stamp - at > ttl_seconds * 1e9 or r.profit >= sent + points:
-                at, sent = stamp, r.profit
-                out.append((r.seq, key[0], r.profit))
-        if at is not None:
-            state.update((at, sent))
+        for seq, us, key, profit in zip(*(rows[c].tolist() for c in ("seq", "us", "key", "profit")), strict=True):
+            if key not in kept or us - kept[key][0] > ttl_seconds * 1e6 or profit >= kept[key][1] + points:
+                kept[key] = (float(us), profit)  # microseconds, exact as a double; NaN if there is no time
+                out.append((seq, key, profit))
+        state.update((list(kept), [at for at, _ in kept.values()], [sent for _, sent in kept.values()]))
         yield pd.DataFrame(out, columns=["seq", "key", "profit"])
 
-    return ticks.groupBy("key").applyInPandasWithState(run, SENT, "at long, sent double", "append", GroupStateTimeout.NoTimeout)
+    rows = ticks.select(F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"), "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "key", "profit")
+    return rows.groupBy("group").applyInPandasWithState(run, SENT, "keys array<string>, at array<double>, sent array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def verified(opportunities: DataFrame, prices: DataFrame, delay_minutes: int = 15, within: str = "1 hour") -> DataFrame:

@@ -91,3 +91,15 @@ def test_ordered_rows_of_many_keys_stream_through(spark):
     for r in sent.orderBy("seq").collect():
         got.setdefault(r.key, []).append(r.seq)
     assert got == want
+
+
+def test_signals_of_a_group_keep_their_own_state(spark, tmp_path):
+    """Forty keys in two groups over three batches send what the batch twin sends; the stream's groups are not its keys."""
+    schema = "seq long, ts timestamp, key string, profit double"
+    rows = [(i, T0 + dt.timedelta(minutes=i), f"k{i % 40}", float(i * 7 % 50)) for i in range(240)]
+    for i in range(0, 240, 80):
+        spark.createDataFrame(rows[i : i + 80], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streaming.read_ticks(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    sent = streaming.refiring_signals(stream, 6_000.0, groups=2)
+    got = sorted(tuple(r) for r in spark.read.parquet(streaming.run_available(sent, str(tmp_path / "out"))).collect())
+    assert got == sorted(tuple(r) for r in backtest.dedup_signals(spark.createDataFrame(rows, schema), 6_000.0).collect()) and 40 < len(got) < 240
