@@ -3,7 +3,7 @@
 An aggregator has a zero, takes rows (update), joins two states (merge) and ends in a result (finish). States are made within
 each task before anything is shuffled: a task keeps at most ``most_keys`` states and hands them on when it has more. States of one key
 are then merged in two steps, first those of each of ``salts`` shares, then the shares, so a key that every task holds is never
-one group of all its states. A state's share is that of its task, so a task that runs again gives the same. merge must not depend
+one group of all its states. Both steps run over sorted states and hold one at a time; no key costs a call of its own. A state's share is that of its task, so a task that runs again gives the same. merge must not depend
 on the order of states.
 """
 
@@ -63,25 +63,31 @@ def aggregate(df: DataFrame, keys: list[str], agg: Aggregator, most_keys: int =
                     states.clear()
         yield pa.RecordBatch.from_arrays(columns([(*k, *s) for k, s in states.items()], inner), schema=inner)
 
-    def merged(t: pa.Table) -> tuple[tuple, tuple]:
-        rows = list(zip(*(t.column(c).to_pylist() for c in inner.names), strict=True))
-        state = rows[0][n:]
-        for r in rows[1:]:
-            state = agg.merge(state, r[n:])
-        return rows[0][:n], state
-
-    def share(t: pa.Table) -> pa.Table:
-        k, s = merged(t)
-        return pa.Table.from_arrays(columns([(*k, *s)], inner), schema=inner)
-
-    def finish(t: pa.Table) -> pa.Table:
-        k, s = merged(t)
-        return pa.Table.from_arrays(columns([(*k, *agg.finish(s))], outer), schema=outer)
-
+    def merged(made, schema: pa.Schema):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, state = (), None
+            for b in batches:
+                out = []
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    k = row[:n]
+                    if state is not None and (k == last or all(x == y or (x != x and y != y) for x, y in zip(k, last, strict=True))):  # NaN is a key too
+                        state = agg.merge(state, row[n:])
+                        continue
+                    if state is not None:
+                        out.append((*last, *made(state)))
+                    last, state = k, row[n:]
+                yield pa.RecordBatch.from_arrays(columns(out, schema), schema=schema)
+            if state is not None:
+                yield pa.RecordBatch.from_arrays(columns([(*last, *made(state))], schema), schema=schema)
+
+        return run
+
+    session = df.sparkSession
+    parts = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))  # stated, as few bytes would be put into one task
     states = df.select(*keys, *agg.columns).mapInArrow(partial, f"{by}, {agg.state}")
-    dealt = states.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    few = dealt.groupBy(*keys, "_salt").applyInArrow(share, f"{by}, {agg.state}")
-    return few.groupBy(*keys).applyInArrow(finish, f"{by}, {agg.output}")
+    dealt = states.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts))).repartition(parts, *keys, "_salt").drop("_salt")
+    few = dealt.sortWithinPartitions(*keys).mapInArrow(merged(lambda s: s, inner), f"{by}, {agg.state}")
+    return few.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(merged(agg.finish, outer), f"{by}, {agg.output}")
 
 
 class MarketPrices(Aggregator):
@@ -95,8 +101,12 @@ class MarketPrices(Aggregator):
         return (0, 0.0, None, None)
 
     def update(self, state, row):
-        token, price = row
-        return state if price is None else self.merge(state, (1, price, price, token))
+        (token, price), (n, total, least, kept) = row, state
+        if price is None:
+            return state
+        if least is None or price < least or (price == least and (token or "") < (kept or "")):
+            least, kept = price, token
+        return (n + 1, total + price, least, kept)
 
     def merge(self, a, b):
         cheap = min((x for x in (a, b) if x[2] is not None), key=lambda x: (x[2], x[3] or ""), default=(0, 0.0, None, None))

@@ -254,3 +254,16 @@ def test_equal_systems_are_solved_once(spark):
     assert systems._distinct(gathered)[1].count() == 2
     assert {tuple(r) for r in systems.statuses(gathered).collect()} == {(g, "Optimal") for g in range(60)}
     assert {(r.group_id, r.idx): r.z for r in systems.descent_vertices(gathered).collect()} == {(g, i): float(i - 1) for g, i in ids}
+
+
+def test_states_of_an_aggregator_are_no_groups(spark):
+    """Merging runs over sorted states, a group for each key took most of the time; a key may be NaN."""
+    rows = [(float(i % 3) if i % 4 else float("nan"), f"t{i}", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k double, token_id string, price double").repartition(5)
+    found = aggregators.aggregate(df, ["k"], aggregators.MarketPrices(), most_keys=2)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().analyzed().toString()
+    got = {str(r.k): (r.outcomes, r.total, r.cheapest) for r in found.collect()}
+    own = {}
+    for k, t, p in rows:
+        own.setdefault(str(k), []).append((p, t))
+    assert got == {k: (len(x), sum(p for p, _ in x), min(x)[1]) for k, x in own.items()}
