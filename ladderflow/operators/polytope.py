@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 MAX_VARIABLES = 16
 
 
-def feasible(terms: DataFrame, constraints: DataFrame, points: DataFrame, tolerance: float = 1e-5) -> DataFrame:
-    """Whether the point (group_id, idx, value) meets all constraints of its group."""
-    sums = terms.join(points, ["group_id", "idx"]).groupBy("group_id", "c_id").agg(F.sum(F.col("coeff") * F.col("value")).alias("v"))
+def feasible(terms: DataFrame, constraints: DataFrame, points: DataFrame, tolerance: float = 1e-5, tasks: int | None = None) -> DataFrame:
+    """Whether the point (group_id, idx, value) meets all constraints of its group. With tasks, the sums are dealt to so many, and
+    terms and points should come dealt to as many by group_id and idx, constraints by group_id and c_id."""
+    met = terms.join(points, ["group_id", "idx"]).select("group_id", "c_id", (F.col("coeff") * F.col("value")).alias("v"))
+    sums = (met.repartition(tasks, "group_id", "c_id") if tasks else met).groupBy("group_id", "c_id").agg(F.sum("v").alias("v"))
     x, rhs = F.col("v"), F.col("rhs")
     met = F.when(F.col("sense") == ">=", x >= rhs - tolerance).when(F.col("sense") == "<=", x <= rhs + tolerance).otherwise(F.abs(x - rhs) <= tolerance)
     return constraints.join(sums, ["group_id", "c_id"]).groupBy("group_id").agg(F.bool_and(met).alias("feasible"))

@@ -45,6 +45,9 @@ def best_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cluster_confidence", quantise(F.col("cluster_confidence")))
 
 
+#: Rows of lineitem for each task of constraint_feasibility.
+ROWS_A_TASK = 500_000
+
 _POINTS = "SELECT l_orderkey AS group_id, CAST(l_linenumber AS INTEGER) AS idx, min(l_discount) * 5 AS value FROM lineitem GROUP BY 1, 2"
 
 
@@ -52,14 +55,16 @@ _POINTS = "SELECT l_orderkey AS group_id, CAST(l_linenumber AS INTEGER) AS idx,
  SELECT group_id, total <= 1.00001 AND coalesce(diff >= -0.00001, true) AS feasible FROM s""")
 def constraint_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's outcomes must not add up to more than 1, and the first must not be below the second."""
-    line = table(spark, sf_dir, "lineitem")
-    points = line.groupBy(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("idx")).agg((F.min("l_discount") * 5).alias("value"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.col("l_linenumber").alias("idx"), "l_discount")
+    # tasks by the number of rows: what one holds to sort and group does not grow with the table
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-line.count() // ROWS_A_TASK))
+    points = line.repartition(tasks, "group_id", "idx").groupBy("group_id", "idx").agg((F.min("l_discount") * 5).alias("value"))
     keys = points.select("group_id", "idx")
     total = keys.select("group_id", F.lit(0).alias("c_id"), "idx", F.lit(1.0).alias("coeff"))
     order = keys.where("idx <= 2").select("group_id", F.lit(1).alias("c_id"), "idx", F.when(F.col("idx") == 1, 1.0).otherwise(-1.0).alias("coeff"))
     terms = total.unionByName(order)
-    rules = terms.select("group_id", "c_id").distinct().select("group_id", "c_id", F.when(F.col("c_id") == 0, "<=").otherwise(">=").alias("sense"), F.when(F.col("c_id") == 0, 1.0).otherwise(0.0).alias("rhs"))
-    return polytope.feasible(terms, rules, points)
+    rules = terms.select("group_id", "c_id").repartition(tasks, "group_id", "c_id").distinct().select("group_id", "c_id", F.when(F.col("c_id") == 0, "<=").otherwise(">=").alias("sense"), F.when(F.col("c_id") == 0, 1.0).otherwise(0.0).alias("rhs"))
+    return polytope.feasible(terms.repartition(tasks, "group_id", "idx"), rules, points, tasks=tasks)
 
 
 _GROUPS = f"{OUTCOMES}, x AS (SELECT market_id AS group_id, list(price * 0.4 ORDER BY pos) AS xs FROM outcome GROUP BY 1)"
