@@ -60,3 +60,12 @@ def test_token_pairs_of_odd_rows(spark):
     assert pairs(left, right) == {(1, 7): (2, 1)}
     assert pairs(left, right, 1, 0) == {(1, 7): (2, 2), (1, 10): (1, 1), (4, 7): (1, 1), (4, 10): (2, 2)}
     assert pairs(left, right.limit(0)) == pairs(left.limit(0), right) == {}
+
+
+def test_pairs_of_few_keys_are_dealt_to_all_tasks(spark):
+    left = spark.createDataFrame([(i, i % 3 if i % 10 else None) for i in range(90)], "left_id long, k int")
+    right = spark.createDataFrame([(i, i % 4) for i in range(70)] + [(5, 1)], "right_id long, k int")
+    found = link.dealt_pairs(left, right, ["k"], "left_id", "right_id")
+    assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString() and "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((a, b) for a in range(90) if a % 10 for b, k in [(i, i % 4) for i in range(70)] + [(5, 1)] if a % 3 == k)
+    assert sorted(tuple(r) for r in found.collect()) == want
