@@ -69,3 +69,20 @@ def test_pairs_of_few_keys_are_dealt_to_all_tasks(spark):
     assert "RepartitionByExpression" in found._jdf.queryExecution().optimizedPlan().toString() and "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
     want = sorted((a, b) for a in range(90) if a % 10 for b, k in [(i, i % 4) for i in range(70)] + [(5, 1)] if a % 3 == k)
     assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_fuzzy_pairs_of_few_texts_are_dealt_as_lists(spark):
+    texts = ["red bolt", "bolt red", "blue nut", "big green bolt", None, ""]
+    left = [(i, texts[i % 6]) for i in range(400)]
+    right = [(i, texts[i % 7 % 6] if i % 5 else f"{texts[i % 4]} {i % 3}") for i in range(300)] + [(7, "red bolt")]
+    frames = [spark.createDataFrame(rows, "id long, t string") for rows in (left, right)]
+    found = link.fuzzy_pairs(*frames, share_word=False)
+    want = []
+    for i, t in left:
+        for j, u in right:
+            if t and u and (score := (fuzzy.token_sort_ratio(t, u) + fuzzy.token_set_ratio(t, u)) / 2) > 60:
+                want.append((i, j, score, score > 75))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want) and len(want) > link.LIST_IDS**2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # rows are made at the end, behind the joins and in a step of its own, from lists that are dealt to shares
+    assert plan.count("explode(left_ids") == 1 and plan.index("explode(right_ids") < plan.index("explode(left_ids") < plan.index("Repartition ") < plan.index("Join Inner") and "share" in plan
