@@ -39,18 +39,30 @@ def modularity(adj: DataFrame, labels: DataFrame) -> float:
     return row[1] / row[0] - row[2] / row[0] ** 2 if row[0] else 0.0
 
 
-def _moves(adj: DataFrame, nodes: DataFrame, total: float) -> DataFrame:
-    """(id, c, to, gain) of nodes (id, k, c) that gain by moving; gain is half of total times what modularity gains."""
-    tot = nodes.groupBy("c").agg(F.sum("k").alias("tot"))
-    near = adj.where("u <> v").join(nodes.select(F.col("id").alias("v"), F.col("c").alias("to")), "v").groupBy(F.col("u").alias("id"), "to").agg(F.sum("w").alias("near"))
-    rows = near.join(nodes, "id").join(tot.withColumnRenamed("c", "to").withColumnRenamed("tot", "to_tot"), "to")
+def _state(adj: DataFrame, nodes: DataFrame, total: float) -> DataFrame:
+    """(id, k, loop, c, own, to, gain) of nodes (id, k, loop, c) as a written table: the weight of a node's edges within its community (a
+    loop's too) and, if it gains by moving, where to and how much; gain is half of total times what modularity gains. The adjacency
+    is joined once: modularity and the next moves both follow from here."""
+    tot = nodes.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("to_tot"))
+    met = adj.where("u <> v").join(nodes.select(F.col("id").alias("v"), F.col("c").alias("to")), "v").select(F.col("u").alias("id"), "to", "w")
+    stays = nodes.select("id", F.col("c").alias("to"), F.lit(0.0).alias("w"))  # also without a neighbour in its own community
+    near = met.union(stays).repartition("id").groupBy("id", "to").agg(F.sum("w").alias("near"))
+    rows = near.join(nodes, "id").join(tot, "to")
     own = F.col("to") == F.col("c")
     value = F.col("near") - F.col("k") * (F.col("to_tot") - F.when(own, F.col("k")).otherwise(0.0)) / total
-    best = rows.withColumn("value", value).groupBy("id", "k", "c").agg(
-        F.min_by(F.struct("to", "value"), F.when(~own, F.struct(-F.col("value"), F.col("to")))).alias("b"), F.max(F.when(own, F.col("value"))).alias("stay"),
-    ).where("b.to <> c").join(tot, "c")
-    alone = -F.col("k") * (F.col("tot") - F.col("k")) / total  # no neighbour in its own community
-    return best.select("id", "c", F.col("b.to").alias("to"), (F.col("b.value") - F.coalesce("stay", alone)).alias("gain")).where(F.col("gain") > LEAST_GAIN * total)
+    best = rows.withColumn("value", value).groupBy("id", "k", "loop", "c").agg(
+        F.min_by(F.struct("to", "value"), F.when(~own, F.struct(-F.col("value"), F.col("to")))).alias("b"), F.max(F.when(own, F.col("value"))).alias("stay"), F.max(F.when(own, F.col("near"))).alias("near"),
+    )
+    gain = F.when((F.col("b.to") != F.col("c")) & (F.col("b.value") - F.col("stay") > LEAST_GAIN * total), F.col("b.value") - F.col("stay"))
+    rated = best.withColumn("gain", gain).withColumn("to", F.when(F.col("gain").isNotNull(), F.col("b.to")))
+    return written(rated.select("id", "k", "loop", "c", (F.col("near") + F.col("loop")).alias("own"), "to", "gain"), "state")
+
+
+def _rated(state: DataFrame) -> tuple[float, int]:
+    """Modularity of the labels of a state, and how many nodes gain by moving."""
+    by = state.groupBy("c").agg(F.sum("k").alias("tot"), F.sum("own").alias("own"), F.count("gain").alias("n"))
+    row = by.agg(F.sum("tot"), F.sum("own"), F.sum(F.col("tot") * F.col("tot")), F.sum("n")).first()
+    return (row[1] / row[0] - row[2] / row[0] ** 2 if row[0] else 0.0), row[3] or 0
 
 
 def _apart(moves: DataFrame) -> DataFrame:
@@ -64,22 +76,21 @@ def _apart(moves: DataFrame) -> DataFrame:
 
 def local_moving(adj: DataFrame, labels: DataFrame, total: float, q: float, rounds: int = 500, least_rise: float = LEAST_RISE) -> tuple[DataFrame, float, bool]:
     """(labels, modularity, whether anything moved): rounds of moves until no node gains, or two rounds in a row gain little."""
-    degrees = written(adj.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k")), "degrees")
-    moved, slow = False, 0
+    loop = F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0))
+    degrees = adj.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("loop"))
+    state = _state(adj, written(degrees.join(labels, "id"), "nodes"), total)
+    moves, moved, slow = _rated(state)[1], False, 0
     for n in range(rounds):
-        nodes = degrees.join(labels, "id")
-        moves = written(_moves(adj, nodes, total), "moves")
-        if moves.isEmpty():
+        if not moves:
             return labels, q, moved
-        half = moves.where(F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0)
-        for some in (half, None):
-            chosen = _apart(moves) if some is None else some
-            new = labels.join(chosen.select("id", "to"), "id", "left").select("id", F.coalesce("to", "c").alias("c"))
-            new = written(new, "labels")
-            found = modularity(adj, new)
+        half = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0
+        for some in (True, False):
+            to = state.withColumn("to", F.when(half, F.col("to"))) if some else state.drop("to").join(_apart(state.where("gain IS NOT NULL")).select("id", "to"), "id", "left")
+            new = _state(adj, to.select("id", "k", "loop", F.coalesce("to", "c").alias("c")), total)
+            found, found_moves = _rated(new)
             if found > q:
                 slow = slow + 1 if found - q < least_rise else 0
-                labels, q, moved = new, found, True
+                state, labels, q, moves, moved = new, new.select("id", "c"), found, found_moves, True
                 break
         else:
             return labels, q, moved  # what is left to gain is rounding

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladderflow.operators import communities, graph, polytope, similarity_index, systems
+from ladderflow.operators.scratch import written
 from ladderflow.operators.vectors import cached_answer, top_similar
 from ladderflow.plans.catalog import query
 from ladderflow.plans.proxies import OUTCOMES, outcomes, q, quantise, table, ticks
@@ -170,7 +171,7 @@ def volatile_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities by modularity: every node is in one, which is named by its least node, and modularity is above that of the
     connected components. A test holds the communities to the plain greedy method."""
-    edges = _edges(spark, sf_dir)
+    edges = written(_edges(spark, sf_dir), "edges")  # read by each of the three steps
     found, q_found = communities.communities(edges)
     parts = graph.components(edges).select("id", F.col("component").alias("c"))
     above = q_found > communities.modularity(communities.adjacency(edges), parts)

@@ -168,6 +168,17 @@ def test_communities_are_not_below_the_greedy_ones(spark, name):
         assert {frozenset(g) for g in groups.values()} == {frozenset(f"{c}{i}" for i in range(4)) for c in "abcde"}
 
 
+def test_a_round_of_moves_joins_the_adjacency_once(spark, monkeypatch):
+    """Modularity is not computed by joins of its own: it follows from the table that the next moves are taken from."""
+    asked = []
+    plain = communities.modularity
+    monkeypatch.setattr(communities, "modularity", lambda *a: asked.append(1) or plain(*a))
+    edges = graphs()["pair"]
+    found, q = communities.communities(spark.createDataFrame(edges, "u string, v string, weight double"))
+    assert q == pytest.approx(plain_modularity(edges, {r.id: r.community for r in found.collect()}))
+    assert len(asked) <= 1
+
+
 def test_communities_of_repeated_edges_loops_and_nothing(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0), ("a", "a", 1.0), ("c", "d", 1.0)], "u string, v string, weight double")
     adj = {(r.u, r.v): r.w for r in communities.adjacency(df).collect()}
