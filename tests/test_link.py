@@ -56,6 +56,26 @@ def test_band_join_meets_each_pair_once(spark):
     assert got == want
 
 
+def test_band_join_meets_lists_of_ids(spark, monkeypatch):
+    """One join, of left rows with lists of right ids; ids are laid out behind it. Null and repeated ids, lists of several pieces, unnamed
+    and global regions and rows without time give the pairs of the plain condition."""
+    import random
+
+    monkeypatch.setattr(link, "GROUPED_IDS", 3)
+    pick = random.Random(5)
+    rows = lambda n, ids: [(pick.choice(ids), dt.datetime(1969, 12, 30) + dt.timedelta(hours=pick.randrange(96)), pick.choice(["r1", "r2", "global", None])) for i in range(n)]
+    schema, noon = "id long, ts timestamp, region string", dt.datetime(1970, 1, 1, 12)
+    a = [*rows(60, [None, *range(20)]), (21, None, "r1"), (22, noon, "r1")]
+    b = [*rows(60, [None, *range(20)]), (31, None, "global"), *[(i % 7 + 40, noon, "r1") for i in range(14)], *[(None, noon, "global")] * 4]
+    day = dt.timedelta(hours=24)
+    want = [(x, y, abs(s - t) // dt.timedelta(microseconds=1)) for x, s, p in a for y, t, r in b if s and t and abs(s - t) < day and (r == "global" or (p and p == r))]
+    found = link.band_join(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema))
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted(map(tuple, found.select("left_id", "right_id", "gap").collect()), key=key) == sorted(want, key=key)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan and plan.index("Generate explode(right_ids") < plan.index("Join"), plan
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("d", "e", 1.0), *[(f"k{i:02}", f"k{i + 1:02}", 1.0) for i in range(30)]], "u string, v string, weight double")
     got = {r.id: r.component for r in graph.components(edges).collect()}
