@@ -56,8 +56,8 @@ def running_drawdown(equity: Column, order: Window) -> Column:
 
 
 def streaks(df: DataFrame, bad: Column, key: str = "key") -> DataFrame:
-    """Adds streak, the number of bad rows in a row that end here (gaps and islands)."""
-    order = by_key(key)
+    """Adds streak, the number of bad rows in a row that end here (gaps and islands). A row of no value is not bad."""
+    order, bad = by_key(key), F.coalesce(bad, F.lit(False))
     island = F.sum((~bad).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     inner = Window.partitionBy(key, "_island").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_island", island).withColumn("streak", F.sum(bad.cast("int")).over(inner)).drop("_island")

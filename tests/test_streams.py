@@ -59,6 +59,15 @@ def test_balances_fail_closed(spark):
     assert [r.x for r in raw.select(risk.validated_balance(F.col("b")).alias("x")).collect()] == [0, 0, 0, 0, 5, 100.5]
 
 
+def test_streaks_end_at_rows_without_value(spark):
+    """As in SQL and in the stream's machine: a row without value is no loss, ends a streak and counts as none."""
+    values = [None, 49.0, 48.0, None, 40.0, 30.0, 20.0, 10.0, 60.0, None]
+    rows = spark.createDataFrame([(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), 1, v) for i, v in enumerate(values)], "seq long, ts timestamp, key long, value double")
+    got = risk.guardian(rows, F.col("value") - 50, 1000.0, losers=4).orderBy("seq").collect()
+    assert [r.streak for r in got] == [0, 1, 2, 0, 1, 2, 3, 4, 0, 0]
+    assert [r.pause_until is not None for r in got] == [i >= 7 for i in range(10)]
+
+
 def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("2024-01-01T00:00:00", "c", "t", "Yes", 0.5, 0.4, 0.6, 1.0, 1.0, 0.2), ("2024-01-02T00:00:00", "c", "u", "Yes", 0.5, 0.4, 0.6, 1.0, 1.0, 0.2)], schemas.SNAPSHOT)
     sinks.append_by_day(df, str(tmp_path / "s"))
