@@ -12,7 +12,8 @@ name. At the end single nodes may move once more between the communities that we
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderflow.operators.scratch import written
@@ -21,6 +22,8 @@ from ladderflow.operators.scratch import written
 LEAST_GAIN = 1e-12
 #: A level ends when two rounds in a row raise modularity by less than this.
 LEAST_RISE = 1e-4
+#: Both directions of an edge count.
+EDGES_OF_A_TASK = 100_000
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -39,18 +42,25 @@ def modularity(adj: DataFrame, labels: DataFrame) -> float:
     return row[1] / row[0] - row[2] / row[0] ** 2 if row[0] else 0.0
 
 
-def _state(adj: DataFrame, nodes: DataFrame, total: float) -> DataFrame:
-    """(id, k, loop, c, own, to, gain) of nodes (id, k, loop, c) as a written table: the weight of a node's edges within its community (a
-    loop's too) and, if it gains by moving, where to and how much; gain is half of total times what modularity gains. The adjacency
-    is joined once: modularity and the next moves both follow from here."""
-    tot = nodes.groupBy(F.col("c").alias("to")).agg(F.sum("k").alias("to_tot"))
-    met = adj.where("u <> v").join(nodes.select(F.col("id").alias("v"), F.col("c").alias("to")), "v").select(F.col("u").alias("id"), "to", "w")
-    stays = nodes.select("id", F.col("c").alias("to"), F.lit(0.0).alias("w"))  # also without a neighbour in its own community
-    near = met.union(stays).repartition("id").groupBy("id", "to").agg(F.sum("w").alias("near"))
-    rows = near.join(nodes, "id").join(tot, "to")
-    own = F.col("to") == F.col("c")
-    value = F.col("near") - F.col("k") * (F.col("to_tot") - F.when(own, F.col("k")).otherwise(0.0)) / total
-    best = rows.withColumn("value", value).groupBy("id", "k", "loop", "c").agg(
+def _dealt(adj: DataFrame, degrees: DataFrame, parts: int) -> DataFrame:
+    """(u, v, w, k) of the edges of a level but loops, with the weight of all of u's edges, dealt and sorted by v once and kept: each round
+    only nodes go to them."""
+    edges = adj.where("u <> v").join(degrees.select(F.col("id").alias("u"), "k"), "u")
+    return edges.repartition(parts, "v").sortWithinPartitions("v").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _state(edges: DataFrame, nodes: DataFrame, total: float, parts: int) -> DataFrame:
+    """(id, k, loop, c, own, to, gain) of nodes (id, k, loop, c) and dealt edges as a written table: the weight of a node's edges within its
+    community (a loop's too) and, if it gains by moving, where to and how much; gain is half of total times what modularity
+    gains. Nodes take the weight of their community along, so edges are shuffled once; modularity and the next moves both follow from here."""
+    placed = nodes.join(nodes.groupBy("c").agg(F.sum("k").alias("tot")), "c").select("id", "k", "loop", F.col("c").alias("to"), "tot")
+    met = edges.join(placed.select(F.col("id").alias("v"), "to", "tot"), "v").select(F.col("u").alias("id"), "to", "w", "tot", "k", F.lit(None).cast("double").alias("loop"))
+    stays = placed.select("id", "to", F.lit(0.0).alias("w"), "tot", "k", "loop")  # also without a neighbour in its own community
+    near = met.union(stays).repartition(parts, "id").groupBy("id", "to").agg(F.sum("w").alias("near"), *(F.max(x).alias(x) for x in ("tot", "k", "loop")))
+    own = F.col("loop").isNotNull()
+    value = F.col("near") - F.col("k") * (F.col("tot") - F.when(own, F.col("k")).otherwise(0.0)) / total
+    best = near.withColumn("value", value).groupBy("id").agg(
+        F.max("k").alias("k"), F.max("loop").alias("loop"), F.max(F.when(own, F.col("to"))).alias("c"),
         F.min_by(F.struct("to", "value"), F.when(~own, F.struct(-F.col("value"), F.col("to")))).alias("b"), F.max(F.when(own, F.col("value"))).alias("stay"), F.max(F.when(own, F.col("near"))).alias("near"),
     )
     gain = F.when((F.col("b.to") != F.col("c")) & (F.col("b.value") - F.col("stay") > LEAST_GAIN * total), F.col("b.value") - F.col("stay"))
@@ -74,50 +84,71 @@ def _apart(moves: DataFrame) -> DataFrame:
     return moves.where("first_c = id AND first_to = id").select("id", "c", "to", "gain")
 
 
-def local_moving(adj: DataFrame, labels: DataFrame, total: float, q: float, rounds: int = 500, least_rise: float = LEAST_RISE) -> tuple[DataFrame, float, bool]:
+def local_moving(adj: DataFrame, labels: DataFrame, total: float, rounds: int = 500, least_rise: float = LEAST_RISE) -> tuple[DataFrame, float, bool]:
     """(labels, modularity, whether anything moved): rounds of moves until no node gains, or two rounds in a row gain little."""
     loop = F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0))
-    degrees = adj.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("loop"))
-    state = _state(adj, written(degrees.join(labels, "id"), "nodes"), total)
-    moves, moved, slow = _rated(state)[1], False, 0
+    degrees = written(adj.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"), loop.alias("loop")), "degrees")
+    parts = 1 + adj.count() // EDGES_OF_A_TASK
+    edges = _dealt(adj, degrees, parts)
+    try:
+        return _rounds(edges, degrees.join(labels, "id"), total, parts, rounds, least_rise)
+    finally:
+        edges.unpersist()
+
+
+def _rounds(edges: DataFrame, nodes: DataFrame, total: float, parts: int, rounds: int, least_rise: float) -> tuple[DataFrame, float, bool]:
+    state = _state(edges, nodes, total, parts)
+    (q, moves), moved, slow = _rated(state), False, 0
     for n in range(rounds):
         if not moves:
-            return labels, q, moved
+            return state.select("id", "c"), q, moved
         half = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0
         for some in (True, False):
             to = state.withColumn("to", F.when(half, F.col("to"))) if some else state.drop("to").join(_apart(state.where("gain IS NOT NULL")).select("id", "to"), "id", "left")
-            new = _state(adj, to.select("id", "k", "loop", F.coalesce("to", "c").alias("c")), total)
+            new = _state(edges, to.select("id", "k", "loop", F.coalesce("to", "c").alias("c")), total, parts)
             found, found_moves = _rated(new)
             if found > q:
                 slow = slow + 1 if found - q < least_rise else 0
-                state, labels, q, moves, moved = new, new.select("id", "c"), found, found_moves, True
+                state, q, moves, moved = new, found, found_moves, True
                 break
         else:
-            return labels, q, moved  # what is left to gain is rounding
+            return state.select("id", "c"), q, moved  # what is left to gain is rounding
         if slow == 2:
-            return labels, q, moved
+            return state.select("id", "c"), q, moved
     raise RuntimeError(f"nodes still move after {rounds} rounds")
 
 
+def _numbered(adj: DataFrame) -> DataFrame:
+    """(id, n) of all nodes of an adjacency, numbered from 0 in the order of their ids: numbers are shuffled and compared in their place."""
+    rows = written(adj.select(F.col("u").alias("id")).distinct().orderBy("id").withColumn("m", F.monotonically_increasing_id()), "ids")
+    share = F.shiftright("m", 33)  # the task that wrote the row; tasks follow the order of ids
+    before = Window.orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(share.alias("share")).agg(F.count("*").alias("rows")).select("share", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))  # a row for each task
+    return rows.withColumn("share", share).join(F.broadcast(starts), "share").select("id", (F.col("start") + F.col("m") - F.shiftleft("share", 33)).alias("n"))
+
+
 def communities(edges: DataFrame, levels: int = 50) -> tuple[DataFrame, float]:
     """(id, community) of every node of the edges (u, v, weight), and the modularity."""
-    whole = written(adjacency(edges), "adjacency")
+    named = written(adjacency(edges), "named")
+    ids = written(_numbered(named), "numbered")
+    to = lambda x: ids.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    whole = written(named.join(to("u"), "u").join(to("v"), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"), "w"), "adjacency")
     total = whole.agg(F.sum("w")).first()[0] or 0.0
-    labels = written(whole.select(F.col("u").alias("id"), F.col("u").alias("c")).distinct(), "labels")
-    q = modularity(whole, labels)
+    labels = ids.select(F.col("n").alias("id"), F.col("n").alias("c"))
     for _ in range(levels):
-        labels, q, moved = local_moving(whole, labels, total, q)  # single nodes, also between communities that were merged
+        labels, q, moved = local_moving(whole, labels, total)  # single nodes, also between communities that were merged
         merged = False
         while True:
             names = [labels.select(F.col("id").alias(x), F.col("c").alias(f"c{x}")) for x in "uv"]
             small = written(whole.join(names[0], "u").join(names[1], "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "adjacency")
-            own = written(small.select(F.col("u").alias("id"), F.col("u").alias("c")).distinct(), "labels")
-            own, q, went = local_moving(small, own, total, q)
+            own = small.select(F.col("u").alias("id"), F.col("u").alias("c")).distinct()
+            own, q, went = local_moving(small, own, total)
             if not went:
                 break
             merged = True
             labels = written(labels.withColumnRenamed("c", "old").join(own.select(F.col("id").alias("old"), "c"), "old").select("id", "c"), "labels")
         if not merged:
             break
-    least = labels.groupBy("c").agg(F.min("id").alias("community"))
-    return labels.join(least, "c").select("id", "community"), q
+    least = labels.join(labels.groupBy("c").agg(F.min("id").alias("least")), "c")
+    both = least.join(ids.select(F.col("n").alias("least"), F.col("id").alias("community")), "least").select(F.col("id").alias("n"), "community")
+    return both.join(ids, "n").select("id", "community"), q

@@ -179,6 +179,28 @@ def test_a_round_of_moves_joins_the_adjacency_once(spark, monkeypatch):
     assert len(asked) <= 1
 
 
+def test_a_round_of_moves_shuffles_edges_once(spark, monkeypatch):
+    """Edges are dealt once for a level and kept; a round sends what they meet to the nodes, and nothing else of their size."""
+    plans = []
+    plain = communities.written
+    monkeypatch.setattr(communities, "written", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, label))
+    df = spark.createDataFrame([("a", "b", 2.0)], "u string, v string, weight double")
+    adj = communities.adjacency(df)
+    degrees = adj.groupBy(F.col("u").alias("id")).agg(F.sum("w").alias("k"), F.lit(0.0).alias("loop"))
+    edges = communities._dealt(adj, degrees, 2)
+    communities._state(edges, degrees.withColumn("c", F.col("id")), 4.0, 2)
+    edges.unpersist()
+    own = plans[0].split("InMemoryRelation")[0]
+    assert "InMemoryTableScan" in own and own.count("REPARTITION") == 1
+
+
+def test_nodes_are_numbered_in_the_order_of_their_ids(spark):
+    ids = [f"n{i * 7919 % 1000}" for i in range(1000)]
+    adj = spark.createDataFrame([(u, v, 1.0) for u, v in zip(ids, ids[1:] + ids[:1], strict=True)], "u string, v string, w double").repartition(7)
+    assert {r.id: r.n for r in communities._numbered(adj).collect()} == {u: n for n, u in enumerate(sorted(ids))}
+    assert communities._numbered(adj.limit(0)).collect() == []
+
+
 def test_communities_of_repeated_edges_loops_and_nothing(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0), ("a", "a", 1.0), ("c", "d", 1.0)], "u string, v string, weight double")
     adj = {(r.u, r.v): r.w for r in communities.adjacency(df).collect()}
