@@ -1,5 +1,7 @@
 """Linkage over whole tables and texts, against brute force."""
 
+import itertools
+
 from ladderflow.functions import fuzzy
 from ladderflow.operators import link
 from ladderflow.plans import catalog
@@ -86,3 +88,16 @@ def test_fuzzy_pairs_of_few_texts_are_dealt_as_lists(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # rows are made at the end, behind the joins and in a step of its own, from lists that are dealt to shares
     assert plan.count("explode(left_ids") == 1 and plan.index("explode(right_ids") < plan.index("explode(left_ids") < plan.index("Repartition ") < plan.index("Join Inner") and "share" in plan
+
+
+def test_dealt_pairs_meet_bounded_lists_and_keep_rows_without_id(spark, monkeypatch):
+    """No list of ids grows with its key, and the pairs of two lists come together; a row without id has its pairs, as in SQL."""
+    monkeypatch.setattr(link, "MET_IDS", 3, raising=False)
+    left = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 0)], "left_id long, k long")
+    right = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(None, 1), (7, None)], "right_id long, k long")
+    found = link.dealt_pairs(left, right, ["k"], "left_id", "right_id", shares=2)
+    want = left.join(right, "k").select("left_id", "right_id")
+    assert found.exceptAll(want).count() == 0 and want.exceptAll(found).count() == 0
+    rows = [tuple(r) for r in link.dealt_pairs(left, right.where("right_id < 100"), ["k"], "left_id", "right_id", shares=2).collect()]
+    runs = [list(g) for _, g in itertools.groupby(rows, key=lambda r: r[0])]
+    assert max(map(len, runs)) <= 3
